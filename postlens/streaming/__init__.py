@@ -1,0 +1 @@
+"""Streaming variants of the batch operators."""
