@@ -3,6 +3,7 @@ suffix stemming and dictionary lemmas."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -131,20 +132,36 @@ STEM_RULES: tuple[tuple[str, str, str], ...] = (
 )
 
 
-def stem_word(x: Column) -> Column:
-    """Light suffix stemmer: one rule per step group, first match wins."""
-    out = x
-    for step in ("1a", "1b", "1c", "2", "3"):
-        rules = [(p, r) for s, p, r in STEM_RULES if s == step]
-        expr = None
-        for p, r in rules:
-            cond, val = out.rlike(p), F.regexp_replace(out, p, r)
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        out = expr.otherwise(out)
-    return out
+STEM_STEPS = ("1a", "1b", "1c", "2", "3")
+
+
+def _literal_suffix(pattern: str) -> str:
+    """'([aeiouy].*)ing$' -> 'ing': the fixed letters a rule's match ends with."""
+    tail = re.search(r"([a-z]+)\$$", pattern)
+    return tail.group(1) if tail else ""
+
+
+def stem_step(x: Column, step: str) -> Column:
+    """One step group: the first matching rule rewrites the word."""
+    expr = None
+    for s, p, r in STEM_RULES:
+        if s != step:
+            continue
+        # the literal ending is tested first (cheap); the regex only runs on
+        # words that already have it
+        cond = x.endswith(_literal_suffix(p)) & x.rlike(p)
+        val = F.regexp_replace(x, p, r)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return expr.otherwise(x)
 
 
 def stem_tokens(tokens: Column | str, min_len: int = 3) -> Column:
     """Stem every token, drop stems shorter than ``min_len``; keeps order and
-    duplicates."""
-    return F.filter(F.transform(_c(tokens), stem_word), lambda s: F.length(s) >= min_len)
+    duplicates.  Each step is its own array transform, so every step reads
+    the previous step's result once instead of re-deriving it."""
+    def step_fn(step):
+        return lambda x: stem_step(x, step)
+    out = _c(tokens)
+    for step in STEM_STEPS:
+        out = F.transform(out, step_fn(step))
+    return F.filter(out, lambda s: F.length(s) >= min_len)

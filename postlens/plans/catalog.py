@@ -48,3 +48,424 @@ def q_comment_features(spark, sf_dir):
 @register("comment_features_sql", _scored_cte(f"SELECT * FROM ({S.COMMENT_FEATURES_SQL}) cf"))
 def q_comment_features_sql(spark, sf_dir):
     return FE.comment_features_sql(spark, _scored(spark, sf_dir))
+
+
+# --- helpers ----------------------------------------------------------------
+
+def _r(c: str, d: int = 6):
+    return F.round(F.col(c), d).alias(c)
+
+
+def _posts(spark, sf_dir):
+    return posts_view(spark, sf_dir)
+
+
+def _posts_cte(body: str) -> str:
+    return with_views(body, posts=True, comments=False)
+
+
+def _clean_cte(body: str) -> str:
+    b = body.strip()
+    inner = b[5:] if b[:5].upper() == "WITH " else None
+    ctes = S.POSTS_CLEAN_CTES + (",\n" + inner if inner else "")
+    return with_views("WITH " + ctes + ("" if inner else "\n" + b), posts=True, comments=False)
+
+
+def _wide_cte(body: str) -> str:
+    b = body.strip()
+    inner = b[5:] if b[:5].upper() == "WITH " else None
+    ctes = (f"scored AS ({S.SCORED_SQL}),\n" + S.POSTS_CLEAN_CTES + ",\n" + S.WIDE_CTES
+            + (",\n" + inner if inner else ""))
+    return with_views("WITH " + ctes + ("" if inner else "\n" + b), posts=True, comments=True)
+
+
+from ..operators import cleaning as CL  # noqa: E402
+from ..operators import emoji as EM  # noqa: E402
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import profiling as PR  # noqa: E402
+from ..operators import sentiment as SE  # noqa: E402
+from ..operators import text as TX  # noqa: E402
+from ..operators.timing import add_calendar, timing_features  # noqa: E402
+from . import ml as ML  # noqa: E402
+
+PROFILE_COLS = ("post_id", "profile_name", "post_text", "nbr_pictures", "google_maps_url",
+                "location", "nbr_likes", "nbr_comments", "is_video")
+NUMERIC_PROFILE = {"nbr_pictures", "nbr_likes", "nbr_comments"}
+
+
+# --- P1-P8 profiling ----------------------------------------------------------
+
+def _summary_sql() -> str:
+    parts = []
+    for c in PROFILE_COLS:
+        num = c in NUMERIC_PROFILE
+        mean = f"round(avg({c}), 6)" if num else "CAST(NULL AS DOUBLE)"
+        sd = f"round(stddev_samp({c}), 6)" if num else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT '{c}' AS column_name, count({c}) AS n, {mean} AS mean, {sd} AS stddev, "
+                     f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM posts")
+    return _posts_cte("\nUNION ALL\n".join(parts))
+
+
+@register("posts_summary_stats", _summary_sql())
+def q_summary(spark, sf_dir):
+    return PR.summary_stats(_posts(spark, sf_dir), list(PROFILE_COLS)).select(
+        "column_name", "n", _r("mean"), _r("stddev"), "min_value", "max_value")
+
+
+POST_COLS = ("post_id", "profile_name", "post_timestamp", "post_text", "nbr_pictures", "is_multiple_pictures",
+             "google_maps_url", "location", "nbr_likes", "nbr_comments", "is_video")
+
+
+@register("posts_null_counts", _posts_cte(
+    "SELECT " + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in POST_COLS) + " FROM posts"))
+def q_nulls(spark, sf_dir):
+    return PR.null_counts(_posts(spark, sf_dir))
+
+
+@register("distinct_post_ids", _posts_cte("SELECT count(DISTINCT post_id) AS n_distinct FROM posts"))
+def q_distinct_ids(spark, sf_dir):
+    return PR.distinct_count(_posts(spark, sf_dir), "post_id")
+
+
+@register("distinct_profiles", _posts_cte("SELECT count(DISTINCT profile_name) AS n_distinct FROM posts"))
+def q_distinct_profiles(spark, sf_dir):
+    return PR.distinct_count(_posts(spark, sf_dir), "profile_name")
+
+
+def _group_distinct(by: str):
+    sql = _posts_cte(f"SELECT {by}, count(DISTINCT post_id) AS n_distinct FROM posts GROUP BY {by}")
+
+    def fn(spark, sf_dir):
+        return PR.group_distinct_count(_posts(spark, sf_dir), by, "post_id")
+    return fn, sql
+
+
+for _by in ("nbr_pictures", "is_multiple_pictures", "location", "is_video"):
+    _fn, _sql = _group_distinct(_by)
+    register(f"posts_by_{_by}", _sql)(_fn)
+
+
+@register("posts_with_location_url", _posts_cte(
+    "SELECT post_id, google_maps_url, location, nbr_likes FROM posts WHERE google_maps_url IS NOT NULL"))
+def q_with_url(spark, sf_dir):
+    return PR.non_null_rows(_posts(spark, sf_dir), "google_maps_url").select(
+        "post_id", "google_maps_url", "location", "nbr_likes")
+
+
+def _hist_sql(col: str, width: float) -> str:
+    return _posts_cte(f"""
+SELECT bin, 0.0 + bin * {width} AS bin_lo, 0.0 + (bin + 1) * {width} AS bin_hi, count(*) AS n
+FROM (SELECT CAST(floor(({col} - 0.0) / {width}) AS BIGINT) AS bin FROM posts WHERE {col} IS NOT NULL) b
+GROUP BY bin""")
+
+
+@register("likes_histogram", _hist_sql("nbr_likes", 10000.0))
+def q_likes_hist(spark, sf_dir):
+    return PR.histogram(_posts(spark, sf_dir), "nbr_likes", 10000.0)
+
+
+@register("comments_histogram", _hist_sql("nbr_comments", 25.0))
+def q_comments_hist(spark, sf_dir):
+    return PR.histogram(_posts(spark, sf_dir), "nbr_comments", 25.0)
+
+
+KDE_BW, KDE_STEP, KDE_CUT = 0.1, 0.02, 4.0
+
+
+@register("sentiment_density", _scored_cte(f"""
+, cf AS ({S.COMMENT_FEATURES_SQL}),
+cells AS (SELECT CAST(round((comments_sentiment - 0.0) / {KDE_STEP}) AS BIGINT) AS cell, count(*) AS n
+          FROM cf WHERE comments_sentiment IS NOT NULL GROUP BY 1),
+tot AS (SELECT count(*) AS n_total FROM cf WHERE comments_sentiment IS NOT NULL),
+g AS (SELECT cell, n, unnest(range(cell - {int(__import__('math').ceil(KDE_CUT * KDE_BW / KDE_STEP))},
+                                   cell + {int(__import__('math').ceil(KDE_CUT * KDE_BW / KDE_STEP))} + 1)) AS grid
+      FROM cells)
+SELECT grid, CAST(0.0 + grid * {KDE_STEP} AS DOUBLE) AS x,
+       round(sum(n * exp(-0.5 * ((grid - cell) * {KDE_STEP} / {KDE_BW}) * ((grid - cell) * {KDE_STEP} / {KDE_BW})))
+             / (max(n_total) * {KDE_BW} * sqrt(2 * pi())), 6) AS density
+FROM g, tot GROUP BY grid""".replace("\n, cf AS", "SELECT 1", 0)))
+def q_kde(spark, sf_dir):
+    cf = FE.comment_features(_scored(spark, sf_dir))
+    return PR.kde(cf, "comments_sentiment", KDE_BW, KDE_STEP, KDE_CUT).select("grid", "x", _r("density"))
+
+
+@register("likes_comments_bins", _posts_cte("""
+SELECT CAST(floor(nbr_likes / 50000.0) AS BIGINT) AS bx, CAST(floor(nbr_comments / 50.0) AS BIGINT) AS by,
+       count(*) AS n
+FROM posts WHERE nbr_likes IS NOT NULL AND nbr_comments IS NOT NULL GROUP BY 1, 2"""))
+def q_pair_bins(spark, sf_dir):
+    return PR.pair_density(_posts(spark, sf_dir), "nbr_likes", "nbr_comments", 50000.0, 50.0)
+
+
+@register("likes_comments_corr", _posts_cte("""
+SELECT round(corr(nbr_likes, nbr_comments), 6) AS corr, count(*) AS n
+FROM posts WHERE nbr_likes IS NOT NULL AND nbr_comments IS NOT NULL"""))
+def q_pair_corr(spark, sf_dir):
+    return PR.pair_corr(_posts(spark, sf_dir), "nbr_likes", "nbr_comments").select(_r("corr"), "n")
+
+
+def _mean_by_sql(y: str) -> str:
+    parts = []
+    for d in ("year", "month", "dayofweek", "hour"):
+        parts.append(f"""SELECT '{d}' AS dimension, CAST({d} AS BIGINT) AS value, count({y}) AS n,
+       round(avg({y}), 6) AS mean, round(stddev_samp({y}), 6) AS sd,
+       round(avg({y}) - 1.96 * stddev_samp({y}) / sqrt(count({y})), 6) AS ci_lo,
+       round(avg({y}) + 1.96 * stddev_samp({y}) / sqrt(count({y})), 6) AS ci_hi
+FROM cal GROUP BY {d}""")
+    return _posts_cte(f"WITH cal AS (SELECT *, {S.calendar_cols()} FROM posts)\n" + "\nUNION ALL\n".join(parts))
+
+
+def _mean_by(y: str):
+    def fn(spark, sf_dir):
+        cal = add_calendar(_posts(spark, sf_dir))
+        return PR.mean_by(cal, ["year", "month", "dayofweek", "hour"], y).select(
+            "dimension", "value", "n", _r("mean"), _r("sd"), _r("ci_lo"), _r("ci_hi"))
+    return fn
+
+
+register("likes_by_calendar", _mean_by_sql("nbr_likes"))(_mean_by("nbr_likes"))
+register("comments_by_calendar", _mean_by_sql("nbr_comments"))(_mean_by("nbr_comments"))
+
+
+# --- C1-C8 cleaning, quantiles, bands ----------------------------------------
+
+@register("likes_quantiles", _posts_cte("""
+SELECT CAST(0.3 AS DOUBLE) AS prob, quantile_disc(nbr_likes, 0.3) AS value FROM posts
+UNION ALL SELECT CAST(0.6 AS DOUBLE) AS prob, quantile_disc(nbr_likes, 0.6) AS value FROM posts"""))
+def q_likes_quantiles(spark, sf_dir):
+    return CL.exact_quantiles(_posts(spark, sf_dir), "nbr_likes", [0.3, 0.6])
+
+
+@register("posts_clean", _clean_cte("SELECT * FROM posts_clean"))
+def q_posts_clean(spark, sf_dir):
+    return CL.clean_posts(_posts(spark, sf_dir))
+
+
+@register("likes_level_counts", _clean_cte(
+    "SELECT likes_level, count(*) AS n FROM posts_clean GROUP BY likes_level"))
+def q_likes_levels(spark, sf_dir):
+    return CL.clean_posts(_posts(spark, sf_dir)).groupBy("likes_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- D1-D3 calendar -------------------------------------------------------------
+
+@register("timing_features", _posts_cte(
+    f"SELECT post_id, year, month, dayofweek, is_weekend FROM (SELECT post_id, {S.calendar_cols()} FROM posts) t"))
+def q_timing(spark, sf_dir):
+    return timing_features(_posts(spark, sf_dir))
+
+
+# --- T1-T11, N1, F3b text --------------------------------------------------------
+
+def _post_text_sql() -> str:
+    words_f = S.remove_stop(S.tokens(S.clean_text("post_text")))
+    return _posts_cte(f"""
+SELECT post_id, {S.has_sub('post_text', '@')} AS has_mention, {S.has_sub('post_text', '#')} AS has_hashtag,
+       CAST(len(lemmas) AS INTEGER) AS nbr_words,
+       array_to_string(words_f, ' ') AS text_words_f,
+       array_to_string(lemmas, ' ') AS vector_lemma,
+       array_to_string({S.stem_tokens('words_f')}, ' ') AS vector_stemmed
+FROM (SELECT post_id, post_text, words_f, {S.lemmatise('words_f')} AS lemmas
+      FROM (SELECT post_id, post_text, {words_f} AS words_f FROM posts) a) b""")
+
+
+@register("post_text_features", _post_text_sql())
+def q_post_text(spark, sf_dir):
+    tf = TX.text_features(_posts(spark, sf_dir))
+    return tf.select("post_id", "has_mention", "has_hashtag", "nbr_words",
+                     F.array_join("text_words_f", " ").alias("text_words_f"),
+                     F.array_join("vector_lemma", " ").alias("vector_lemma"),
+                     F.array_join("vector_stemmed", " ").alias("vector_stemmed"))
+
+
+def _lemmas_sql_cte() -> str:
+    words_f = S.remove_stop(S.tokens(S.clean_text("post_text")))
+    return f"lem AS (SELECT post_id, {S.lemmatise(words_f)} AS lemmas FROM posts)"
+
+
+@register("post_top_words", _posts_cte(f"""WITH {_lemmas_sql_cte()}
+SELECT trim(lower(w)) AS post_word, count(*) AS count
+FROM (SELECT unnest(list_distinct(lemmas)) AS w FROM lem) u WHERE length(w) > 0 GROUP BY 1"""))
+def q_post_top_words(spark, sf_dir):
+    tf = TX.text_features(_posts(spark, sf_dir))
+    return TX.word_frequency(tf, "vector_lemma", "post_word", distinct_per_row=True)
+
+
+@register("post_top_words_25", _posts_cte(f"""WITH {_lemmas_sql_cte()}
+SELECT trim(lower(w)) AS post_word, count(*) AS count
+FROM (SELECT unnest(list_distinct(lemmas)) AS w FROM lem) u WHERE length(w) > 0 GROUP BY 1
+ORDER BY count DESC, post_word LIMIT 25"""))
+def q_post_top_words_25(spark, sf_dir):
+    tf = TX.text_features(_posts(spark, sf_dir))
+    return TX.word_frequency(tf, "vector_lemma", "post_word", distinct_per_row=True, top_k=25)
+
+
+@register("comment_top_words", _scored_cte(f"""
+SELECT trim(lower(w)) AS word, count(*) AS count
+FROM (SELECT unnest({S.lemmatise('comment_words_f')}) AS w FROM scored) u WHERE length(w) > 0 GROUP BY 1"""))
+def q_comment_top_words(spark, sf_dir):
+    from ..functions.text import lemmatise
+    sc = _scored(spark, sf_dir).withColumn("comment_words_l", lemmatise("comment_words_f"))
+    return TX.word_frequency(sc, "comment_words_l", "word", distinct_per_row=True)
+
+
+def _slice_words_sql(cond: str, name: str) -> str:
+    return _scored_cte(f"""
+SELECT trim(lower(w)) AS {name}, count(*) AS count
+FROM (SELECT unnest(comment_words_f) AS w FROM scored WHERE {cond}) u WHERE length(w) > 0 GROUP BY 1""")
+
+
+@register("positive_comment_words", _slice_words_sql("polarity >= 0.75", "p_word"))
+def q_pos_words(spark, sf_dir):
+    pos = SE.extreme_comments(_scored(spark, sf_dir), side="positive")
+    return TX.word_frequency(pos, "comment_words_f", "p_word")
+
+
+@register("negative_comment_words", _slice_words_sql("polarity <= -0.5", "n_word"))
+def q_neg_words(spark, sf_dir):
+    neg = SE.extreme_comments(_scored(spark, sf_dir), side="negative")
+    return TX.word_frequency(neg, "comment_words_f", "n_word")
+
+
+@register("post_tfidf", _posts_cte(f"""WITH {_lemmas_sql_cte()},
+tf AS (SELECT post_id, w AS word, count(*) AS tf FROM (SELECT post_id, unnest(lemmas) AS w FROM lem) u GROUP BY 1, 2),
+dfq AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+nd AS (SELECT count(*) AS n FROM posts)
+SELECT tf.post_id, tf.word, tf.tf, dfq.df,
+       round(CASE WHEN dfq.df < 100 THEN 0.0 ELSE ln((nd.n + 1.0) / (dfq.df + 1)) END, 6) AS idf,
+       round(tf.tf * CASE WHEN dfq.df < 100 THEN 0.0 ELSE ln((nd.n + 1.0) / (dfq.df + 1)) END, 6) AS tfidf
+FROM tf JOIN dfq USING (word) CROSS JOIN nd"""))
+def q_tfidf(spark, sf_dir):
+    tf = TX.text_features(_posts(spark, sf_dir))
+    return TX.tfidf_table(tf, "post_id", "vector_lemma", min_doc_freq=ML.IDF_MIN_DOC_FREQ).select(
+        "post_id", "word", "tf", "df", _r("idf"), _r("tfidf"))
+
+
+@register("post_tokens_normalised", _posts_cte(f"""
+SELECT post_id, array_to_string(list_transform({S.remove_stop(S.tokens(S.clean_text('post_text')))},
+       lambda x: coalesce(({S.smap(__import__('postlens.functions.lexicons', fromlist=['x']).VERB_LEMMAS)})[x], x)),
+       ' ') AS normalised FROM posts"""))
+def q_normalised(spark, sf_dir):
+    from ..functions.lexicons import VERB_LEMMAS
+    tf = TX.text_features(_posts(spark, sf_dir))
+    dic = spark.createDataFrame(sorted(VERB_LEMMAS.items()), "surface string, base string")
+    out = TX.normalise_vocabulary(tf, "post_id", "text_words_f", dic)
+    return out.select("post_id", F.array_join("normalised", " ").alias("normalised"))
+
+
+# --- M1-M9 sentiment and emoji ------------------------------------------------------
+
+@register("comment_sentiment", _scored_cte("""
+SELECT comment_id, post_id, nbr_mentions, is_verified_author, round(polarity, 6) AS polarity, label,
+       array_to_string(emojis, ' ') AS emojis, emojis[1] AS unique_emoji, sentiment_emoji, overall_sentiment
+FROM scored"""))
+def q_comment_sentiment(spark, sf_dir):
+    sc = _scored(spark, sf_dir)
+    return sc.select("comment_id", "post_id", "nbr_mentions", "is_verified_author", _r("polarity"), "label",
+                     F.array_join("emojis", " ").alias("emojis"), "unique_emoji", "sentiment_emoji",
+                     "overall_sentiment")
+
+
+@register("emoji_counts", _scored_cte("""
+SELECT comment_id, e AS emoji, CAST(count(*) AS INTEGER) AS n
+FROM (SELECT comment_id, unnest(emojis) AS e FROM scored) u GROUP BY 1, 2"""))
+def q_emoji_counts(spark, sf_dir):
+    return EM.emoji_counts(_scored(spark, sf_dir))
+
+
+@register("top_emojis", _scored_cte("""
+SELECT emojis[1] AS unique_emoji, count(emojis[1]) AS n FROM scored GROUP BY 1"""))
+def q_top_emojis(spark, sf_dir):
+    return EM.top_emojis(_scored(spark, sf_dir))
+
+
+@register("polarity_lexicon_join", _scored_cte("SELECT comment_id, round(polarity, 6) AS polarity FROM scored"))
+def q_polarity_join(spark, sf_dir):
+    from ..functions.lexicons import POLARITY_LEXICON
+    from ..functions.text import tokenize
+    c = comments_view(spark, sf_dir).select("comment_id", tokenize("comment_text").alias("toks"))
+    lex = spark.createDataFrame(sorted(POLARITY_LEXICON.items()), "word string, polarity double")
+    return SE.polarity_by_join(c, "comment_id", "toks", lex).select("comment_id", _r("polarity"))
+
+
+@register("most_positive_comments", _scored_cte(
+    "SELECT comment_id, post_id, round(polarity, 6) AS polarity FROM scored WHERE polarity >= 0.75"))
+def q_most_positive(spark, sf_dir):
+    return SE.extreme_comments(_scored(spark, sf_dir), side="positive").select(
+        "comment_id", "post_id", _r("polarity"))
+
+
+@register("most_negative_comments", _scored_cte(
+    "SELECT comment_id, post_id, round(polarity, 6) AS polarity FROM scored WHERE polarity <= -0.5"))
+def q_most_negative(spark, sf_dir):
+    return SE.extreme_comments(_scored(spark, sf_dir), side="negative").select(
+        "comment_id", "post_id", _r("polarity"))
+
+
+# --- J1 wide table -------------------------------------------------------------------
+
+WIDE_COLS = ("post_id", "profile_name", "post_timestamp", "post_text", "is_multiple_pictures", "nbr_likes",
+             "nbr_comments", "is_video", "likes_level", "year", "month", "dayofweek", "is_weekend",
+             "has_mention", "has_hashtag", "nbr_words", "comments_sentiment", "comments_nbr_mentions",
+             "comments_nbr_verified", "comment_positivity")
+
+
+@register("posts_wide", _wide_cte("SELECT * FROM wide"))
+def q_wide(spark, sf_dir):
+    return FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir)).select(*WIDE_COLS)
+
+
+@register("comment_positivity_counts", _wide_cte(
+    "SELECT comment_positivity, count(*) AS n FROM wide GROUP BY 1"))
+def q_positivity(spark, sf_dir):
+    w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    return w.groupBy("comment_positivity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- X1, X3, X7, X9 feature preparation ----------------------------------------------
+
+def _index_sql(col: str) -> str:
+    return _posts_cte(f"""WITH cal AS (SELECT CAST({col} AS VARCHAR) AS v
+                    FROM (SELECT {S.calendar_cols()} FROM posts) c)
+SELECT '{col}' AS feature, v AS value, row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS idx
+FROM cal WHERE v IS NOT NULL GROUP BY v""")
+
+
+def _index_q(col: str):
+    def fn(spark, sf_dir):
+        from pyspark.ml.feature import StringIndexer
+        cal = add_calendar(_posts(spark, sf_dir)).select(F.col(col).cast("string").alias(col))
+        labels = StringIndexer(inputCol=col, outputCol="i").fit(cal).labels
+        return spark.createDataFrame([(col, v, i) for i, v in enumerate(labels)],
+                                     "feature string, value string, idx bigint")
+    return fn
+
+
+for _c in ("year", "month", "dayofweek"):
+    register(f"{_c}_index", _index_sql(_c))(_index_q(_c))
+
+
+@register("mentions_imputed", _wide_cte(
+    "SELECT post_id, round(coalesce(comments_nbr_mentions, avg(comments_nbr_mentions) OVER ()), 6) "
+    "AS comments_nbr_mentions FROM wide"))
+def q_imputed(spark, sf_dir):
+    from pyspark.ml.feature import Imputer
+    w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir)).select(
+        "post_id", "comments_nbr_mentions")
+    imp = Imputer(inputCols=["comments_nbr_mentions"], outputCols=["comments_nbr_mentions"]).fit(w)
+    return imp.transform(w).select("post_id", _r("comments_nbr_mentions"))
+
+
+@register("train_test_split", _posts_cte(
+    f"SELECT post_id, CAST({S.split_bucket('post_id')} < 70 AS INTEGER) AS is_train FROM posts"))
+def q_split(spark, sf_dir):
+    p = _posts(spark, sf_dir)
+    return p.select("post_id", (ML.split_bucket("post_id") < 70).cast("int").alias("is_train"))
+
+
+@register("posts_dummies", None)
+def q_dummies(spark, sf_dir):
+    w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    keep = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",
+            "comments_nbr_mentions", "nbr_likes"]
+    return FE.dummies(w, keep=keep)

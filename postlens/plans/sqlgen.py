@@ -60,18 +60,18 @@ def lemmatise(toks: str) -> str:
             f"lambda x: coalesce(({smap(VERB_LEMMAS)})[x], x))))")
 
 
-def stem_word(x: str) -> str:
-    out = x
-    for step in ("1a", "1b", "1c", "2", "3"):
-        rules = [(p, r.replace("$1", "\\1")) for s, p, r in STEM_RULES if s == step]
-        whens = " ".join(f"WHEN regexp_matches({out}, {q(p)}) THEN regexp_replace({out}, {q(p)}, {q(r)})"
-                         for p, r in rules)
-        out = f"(CASE {whens} ELSE {out} END)"
-    return out
+def stem_step(x: str, step: str) -> str:
+    rules = [(p, r.replace("$1", "\\1")) for s, p, r in STEM_RULES if s == step]
+    whens = " ".join(f"WHEN regexp_matches({x}, {q(p)}) THEN regexp_replace({x}, {q(p)}, {q(r)})"
+                     for p, r in rules)
+    return f"(CASE {whens} ELSE {x} END)"
 
 
 def stem_tokens(toks: str, min_len: int = 3) -> str:
-    return f"list_filter(list_transform({toks}, lambda w: {stem_word('w')}), lambda s: length(s) >= {min_len})"
+    out = toks
+    for step in ("1a", "1b", "1c", "2", "3"):
+        out = f"list_transform({out}, lambda w: {stem_step('w', step)})"
+    return f"list_filter({out}, lambda s: length(s) >= {min_len})"
 
 
 def polarity(toks: str, lexicon: Mapping[str, float] = POLARITY_LEXICON) -> str:
@@ -138,3 +138,52 @@ FROM scored
 WHERE post_id IS NOT NULL
 GROUP BY post_id
 """
+
+
+def split_bucket(id_expr: str, seed: int = 72584) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({id_expr} AS VARCHAR)), 1, 8)) AS BIGINT) % 100)"
+
+
+# posts_clean over the `posts` CTE (likes banded by exact 30/60% quantiles)
+POSTS_CLEAN_CTES = """
+likes_q AS (SELECT quantile_disc(nbr_likes, 0.3) AS q0, quantile_disc(nbr_likes, 0.6) AS q1 FROM posts),
+posts_clean AS (
+  SELECT post_id, profile_name, post_timestamp, post_text,
+         CAST(is_multiple_pictures AS INTEGER) AS is_multiple_pictures, nbr_likes, nbr_comments,
+         CAST(replace(is_video, chr(13), '') = 'True' AS INTEGER) AS is_video,
+         CASE WHEN nbr_likes < q0 THEN 'low' WHEN nbr_likes < q1 THEN 'medium'
+              WHEN nbr_likes >= q1 THEN 'high' END AS likes_level
+  FROM posts, likes_q)
+"""
+
+
+def calendar_cols(ts: str = "post_timestamp") -> str:
+    return (f"CAST(year({ts}) AS INTEGER) AS year, CAST(month({ts}) AS INTEGER) AS month, "
+            f"CAST(dayofweek({ts}) + 1 AS INTEGER) AS dayofweek, CAST(hour({ts}) AS INTEGER) AS hour, "
+            f"CASE WHEN {ts} IS NULL THEN NULL WHEN dayofweek({ts}) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END "
+            f"AS is_weekend")
+
+
+def post_text_cols(t: str = "post_text") -> str:
+    words_f = remove_stop(tokens(clean_text(t)))
+    return (f"{has_sub(t, '@')} AS has_mention, {has_sub(t, '#')} AS has_hashtag, "
+            f"CAST(len({lemmatise(words_f)}) AS INTEGER) AS nbr_words")
+
+
+# wide table over posts, comments (needs scored, posts_clean CTEs)
+WIDE_CTES = f"""
+cf AS ({COMMENT_FEATURES_SQL}),
+med AS (SELECT quantile_disc(comments_sentiment, 0.5) AS m FROM cf),
+wide AS (
+  SELECT pc.post_id, pc.profile_name, pc.post_timestamp, pc.post_text, pc.is_multiple_pictures,
+         pc.nbr_likes, pc.nbr_comments, pc.is_video, pc.likes_level,
+         CAST(CAST(year(pc.post_timestamp) AS INTEGER) AS VARCHAR) AS year,
+         CAST(CAST(month(pc.post_timestamp) AS INTEGER) AS VARCHAR) AS month,
+         CAST(CAST(dayofweek(pc.post_timestamp) + 1 AS INTEGER) AS VARCHAR) AS dayofweek,
+         CASE WHEN dayofweek(pc.post_timestamp) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END AS is_weekend,
+         {post_text_cols('pc.post_text')},
+         cf.comments_sentiment, CAST(cf.comments_nbr_mentions AS DOUBLE) AS comments_nbr_mentions,
+         cf.comments_nbr_verified,
+         CASE WHEN cf.comments_sentiment > med.m THEN 'high' ELSE 'low' END AS comment_positivity
+  FROM posts_clean pc LEFT JOIN cf ON cf.post_id = pc.post_id CROSS JOIN med)
+"""
