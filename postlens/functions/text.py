@@ -98,10 +98,13 @@ def lemmatise(tokens: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS,
     see ``operators.text.normalise_vocabulary`` for dictionaries given as tables.
     """
     m = _map_literal(dictionary)
+    keys = sorted(dictionary)
     bad = list(drop)
     kept = F.filter(_c(tokens), lambda x: ~x.isin(*bad)) if bad else _c(tokens)
-    lemmas = F.transform(kept, lambda x: F.coalesce(F.try_element_at(m, x), x))
-    return F.array_sort(F.array_distinct(lemmas))
+    # hash-set membership first (InSet); the map, whose lookup scans its keys,
+    # is probed only for words that are in it
+    lemmas = F.transform(kept, lambda x: F.when(x.isin(*keys), F.element_at(m, x)).otherwise(x))
+    return F.sort_array(F.array_distinct(lemmas))
 
 
 def n_distinct_words(tokens: Column | str) -> Column:

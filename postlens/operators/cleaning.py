@@ -5,51 +5,66 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import clean_bool_string
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    num_partitions: int | None = None) -> DataFrame:
+def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
+                  num_partitions: int | None = None) -> list[tuple[float, object]]:
     """Exact discrete quantiles (SQL ``percentile_disc``): for each p the
     smallest value whose cumulative count reaches ceil(p * n).
 
     Distributed: values are pre-aggregated to (value, count) with a map-side
     combine, range-partitioned, cumulated inside each partition, and shifted by
-    the totals of the preceding partitions (one small number per partition).
-    No task ever holds more than one range of distinct values.  Returns
-    (prob, value); empty when the column has no non-null value.
+    the totals of the preceding partitions (one number per partition comes
+    back to the driver).  No task holds more than one range of distinct
+    values.  The (value, count) table is persisted for the three actions of
+    this call and released at the end.  Returns [(prob, value)], empty when
+    the column has no non-null value.
     """
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-          .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    ranged = (vc.repartitionByRange(n_part, "v")
-              .withColumn("pid", F.spark_partition_id()))
-    # per-partition totals: at most n_part rows
-    totals = sorted((r["pid"], r["t"]) for r in
-                    ranged.groupBy("pid").agg(F.sum("n").alias("t")).collect())
-    if not totals:
-        return spark.createDataFrame([], "prob double, value " + dict(df.dtypes)[col])
-    grand = sum(t for _, t in totals)
-    # offset of each partition = rows in all lower partitions; an array literal
-    # indexed by partition id (length <= n_part)
-    by_pid, run = dict(totals), 0
-    offsets = []
-    for pid in range(max(by_pid) + 1):
-        offsets.append(run)
-        run += by_pid.get(pid, 0)
-    offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("pid") + 1)
-    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    targets = [(float(p), max(1, min(grand, math.ceil(p * grand)))) for p in probs]
-    cum = ranged.withColumn("cum", F.sum("n").over(w) + offset_col)
-    tgt = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).cast("bigint").alias("k"))
-                              for p, k in targets])).alias("t")
-    return (cum.select("v", "n", "cum", tgt)
-            .where((F.col("cum") - F.col("n") < F.col("t.k")) & (F.col("t.k") <= F.col("cum")))
-            .select(F.col("t.prob").alias("prob"), F.col("v").alias("value")))
+          .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    ranged = (vc.repartitionByRange(n_part, "v").withColumn("pid", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        totals = dict((r["pid"], r["t"]) for r in
+                      ranged.groupBy("pid").agg(F.sum("n").alias("t")).collect())
+        if not totals:
+            return []
+        grand, run, offsets = sum(totals.values()), 0, []
+        for pid in range(max(totals) + 1):
+            offsets.append(run)
+            run += totals.get(pid, 0)
+        # offset of a partition = rows in all lower partitions: an array
+        # literal indexed by partition id (length <= n_part)
+        offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("pid") + 1)
+        w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        targets = [(float(p), max(1, min(grand, math.ceil(p * grand)))) for p in probs]
+        tgt = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).cast("bigint").alias("k"))
+                                  for p, k in targets])).alias("t")
+        hits = (ranged.withColumn("cum", F.sum("n").over(w) + offset_col)
+                .select("v", "n", "cum", tgt)
+                .where((F.col("cum") - F.col("n") < F.col("t.k")) & (F.col("t.k") <= F.col("cum")))
+                .select(F.col("t.prob").alias("prob"), F.col("v").alias("value")).collect())
+        got = {r["prob"]: r["value"] for r in hits}
+        return [(float(p), got[float(p)]) for p in probs]
+    finally:
+        ranged.unpersist()
+        vc.unpersist()
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """``quantile_rows`` as a (prob, value) frame of at most len(probs) rows."""
+    vtype = dict(df.dtypes)[col]
+    return df.sparkSession.createDataFrame(quantile_rows(df, col, probs, num_partitions),
+                                           f"prob double, value {vtype}")
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], rel_err: float = 0.0) -> list:
@@ -61,8 +76,7 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], rel_err: float =
     """
     if rel_err > 0:
         return df.approxQuantile(col, list(probs), rel_err)
-    got = {r["prob"]: r["value"] for r in exact_quantiles(df, col, probs).collect()}
-    return [got[float(p)] for p in probs] if got else []
+    return [v for _, v in quantile_rows(df, col, probs)]
 
 
 def band_by_quantiles(c: Column | str, cuts: Sequence, labels: Sequence[str] = ("low", "medium", "high")) -> Column:

@@ -67,6 +67,11 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
         F.struct(F.lit("accuracy").alias("class_name"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("s")).alias("f1"),
                  F.col("s").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("s").cast("bigint")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("s").cast("bigint")))))
+        _report_row("macro avg", "mp", "mr", "mf"),
+        _report_row("weighted avg", "wp", "wr", "wf"))))
     return classes.unionByName(summary)
+
+
+def _report_row(name: str, p: str, r: str, f: str):
+    return F.struct(F.lit(name).alias("class_name"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                    F.col(f).alias("f1"), F.col("s").cast("bigint").alias("support"))

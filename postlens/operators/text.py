@@ -65,10 +65,10 @@ def normalise_vocabulary(df: DataFrame, id_col: str, tokens_col: str, dictionary
                     .dropDuplicates(["tok"])
     j = toks.join(dic, "tok", "left").withColumn("w", F.coalesce("base", "tok"))
     entry = F.when(F.col("tok").isNotNull(), F.struct("pos", "w"))
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    g = j.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     words = F.transform("_e", lambda e: e["w"])
     if distinct:
-        words = F.array_sort(F.array_distinct(words))
+        words = F.sort_array(F.array_distinct(words))
     return g.select(id_col, words.alias(out_col))
 
 

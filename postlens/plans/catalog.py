@@ -9,6 +9,7 @@ rounded to 6 decimals on both sides so the comparison is order-insensitive.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +67,14 @@ def _posts_cte(body: str) -> str:
 
 def _clean_cte(body: str) -> str:
     b = body.strip()
-    inner = b[5:] if b[:5].upper() == "WITH " else None
+    inner = b[4:].lstrip() if re.match(r"(?i)with\s", b) else None
     ctes = S.POSTS_CLEAN_CTES + (",\n" + inner if inner else "")
     return with_views("WITH " + ctes + ("" if inner else "\n" + b), posts=True, comments=False)
 
 
 def _wide_cte(body: str) -> str:
     b = body.strip()
-    inner = b[5:] if b[:5].upper() == "WITH " else None
+    inner = b[4:].lstrip() if re.match(r"(?i)with\s", b) else None
     ctes = (f"scored AS ({S.SCORED_SQL}),\n" + S.POSTS_CLEAN_CTES + ",\n" + S.WIDE_CTES
             + (",\n" + inner if inner else ""))
     return with_views("WITH " + ctes + ("" if inner else "\n" + b), posts=True, comments=True)
@@ -469,3 +470,199 @@ def q_dummies(spark, sf_dir):
     keep = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",
             "comments_nbr_mentions", "nbr_likes"]
     return FE.dummies(w, keep=keep)
+
+
+# --- X5 scaling with train-only statistics ------------------------------------------
+
+@register("contfeats_scaled", _wide_cte(f"""WITH
+imp0 AS (SELECT post_id, CAST(nbr_words AS DOUBLE) AS nw, comments_nbr_mentions AS cm,
+                {S.split_bucket('post_id')} < 70 AS is_train FROM wide),
+m AS (SELECT avg(cm) AS mm FROM imp0 WHERE is_train),
+imp AS (SELECT post_id, nw, coalesce(cm, mm) AS cm, is_train FROM imp0, m),
+sd AS (SELECT stddev_samp(nw) AS s1, stddev_samp(cm) AS s2 FROM imp WHERE is_train)
+SELECT post_id, round(CASE WHEN s1 = 0 THEN 0.0 ELSE nw / s1 END, 6) AS nbr_words_scaled,
+       round(CASE WHEN s2 = 0 THEN 0.0 ELSE cm / s2 END, 6) AS comments_nbr_mentions_scaled
+FROM imp, sd"""))
+def q_scaled(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    train, test, model = ML.prepare(wide, "classification", with_text=False)
+    full = model.transform(ML.prepare_input(wide, "classification"))
+    arr = vector_to_array("scaled_contfeats")
+    return full.select("post_id", F.round(arr[0], 6).alias("nbr_words_scaled"),
+                       F.round(arr[1], 6).alias("comments_nbr_mentions_scaled"))
+
+
+# --- E1-E7 evaluation on a deterministic baseline ---------------------------------------
+# Regression baseline: predict a test post's likes by the floored mean likes of
+# training posts of the same month (else of all training posts).
+# Classification baseline: predict high comment positivity when likes are high.
+
+def _regression_baseline(spark, sf_dir):
+    cal = add_calendar(_posts(spark, sf_dir)).select("post_id", "nbr_likes", "month")
+    train, test = ML.hash_split(cal)
+    # <= 12 rows (one per month): a provably small broadcast
+    mm = train.groupBy("month").agg(F.floor(F.avg("nbr_likes")).cast("double").alias("pm"))
+    g = train.agg(F.floor(F.avg("nbr_likes")).cast("double")).first()[0]
+    return test.join(F.broadcast(mm), "month", "left").select(
+        "post_id", F.col("nbr_likes").cast("double").alias("label"),
+        F.coalesce(F.col("pm"), F.lit(g)).alias("prediction"))
+
+
+_REG_PRED_SQL = _posts_cte(f"""WITH
+cal AS (SELECT post_id, nbr_likes, CAST(month(post_timestamp) AS INTEGER) AS month,
+               {S.split_bucket('post_id')} < 70 AS is_train FROM posts),
+mm AS (SELECT month, CAST(floor(avg(nbr_likes)) AS DOUBLE) AS pm FROM cal WHERE is_train GROUP BY month),
+gm AS (SELECT CAST(floor(avg(nbr_likes)) AS DOUBLE) AS g FROM cal WHERE is_train),
+pred AS (SELECT post_id, CAST(nbr_likes AS DOUBLE) AS label, coalesce(mm.pm, gm.g) AS prediction
+         FROM cal LEFT JOIN mm USING (month) CROSS JOIN gm WHERE NOT is_train)
+SELECT * FROM pred""")
+
+
+def _over_pred(pred_sql: str, body: str) -> str:
+    """Replace the final SELECT of a prediction CTE chain; a body starting
+    with ',' continues the CTE list."""
+    return pred_sql.replace("\nSELECT * FROM pred", body if body.startswith(",") else "\n" + body)
+
+
+@register("regression_metrics_baseline", _over_pred(_REG_PRED_SQL, """
+SELECT count(*) AS n, round(avg((label - prediction) * (label - prediction)), 2) AS mse,
+       round(sqrt(avg((label - prediction) * (label - prediction))), 4) AS rmse,
+       round(avg(abs(label - prediction)), 4) AS mae,
+       round(1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*)), 6) AS r2
+FROM pred"""))
+def q_reg_metrics(spark, sf_dir):
+    m = EV.regression_metrics(_regression_baseline(spark, sf_dir))
+    return m.select("n", _r("mse", 2), _r("rmse", 4), _r("mae", 4), _r("r2"))
+
+
+@register("residuals_baseline", _over_pred(
+    _REG_PRED_SQL, "SELECT post_id, label, prediction, label - prediction AS residual FROM pred"))
+def q_residuals(spark, sf_dir):
+    return EV.residuals(_regression_baseline(spark, sf_dir))
+
+
+def _classification_baseline(spark, sf_dir):
+    wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    _, test = ML.hash_split(wide)
+    return test.select("post_id",
+                       F.when(F.col("comment_positivity") == "high", 1.0).otherwise(0.0).alias("label"),
+                       F.when(F.col("likes_level") == "high", 1.0).otherwise(0.0).alias("prediction"))
+
+
+_CLS_PRED_SQL = _wide_cte(f"""WITH
+pred AS (SELECT post_id, CASE WHEN comment_positivity = 'high' THEN 1.0 ELSE 0.0 END AS label,
+                CASE WHEN likes_level = 'high' THEN 1.0 ELSE 0.0 END AS prediction
+         FROM wide WHERE {S.split_bucket('post_id')} >= 70)
+SELECT * FROM pred""")
+
+
+@register("confusion_matrix_baseline", _over_pred(_CLS_PRED_SQL, """
+SELECT CAST(label AS DOUBLE) AS label, count_if(prediction = 0.0) AS pred_0, count_if(prediction = 1.0) AS pred_1
+FROM pred GROUP BY label"""))
+def q_confusion(spark, sf_dir):
+    return EV.confusion_matrix(_classification_baseline(spark, sf_dir))
+
+
+@register("prediction_counts_baseline", _over_pred(
+    _CLS_PRED_SQL, "SELECT CAST(prediction AS DOUBLE) AS prediction, count(*) AS n FROM pred GROUP BY 1"))
+def q_pred_counts(spark, sf_dir):
+    return EV.prediction_counts(_classification_baseline(spark, sf_dir))
+
+
+@register("classification_report_baseline", _over_pred(_CLS_PRED_SQL, """,
+pairs AS (SELECT label AS l, prediction AS p, count(*) AS n FROM pred GROUP BY 1, 2),
+tp AS (SELECT l AS c, n AS tp FROM pairs WHERE l = p),
+sup AS (SELECT l AS c, sum(n) AS support FROM pairs GROUP BY 1),
+prd AS (SELECT p AS c, sum(n) AS pred_n FROM pairs GROUP BY 1),
+per AS (SELECT coalesce(sup.c, prd.c) AS c, coalesce(sup.support, 0) AS support,
+               coalesce(prd.pred_n, 0) AS pred_n FROM sup FULL JOIN prd ON sup.c = prd.c),
+per2 AS (SELECT per.c, per.support, coalesce(tp.tp, 0) AS tp,
+                CASE WHEN pred_n > 0 THEN coalesce(tp.tp, 0) / pred_n ELSE 0.0 END AS precision,
+                CASE WHEN support > 0 THEN coalesce(tp.tp, 0) / support ELSE 0.0 END AS recall
+         FROM per LEFT JOIN tp ON tp.c = per.c),
+per3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                        ELSE 0.0 END AS f1 FROM per2)
+SELECT CAST(CAST(c AS DOUBLE) AS VARCHAR) AS class_name, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM per3
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+                 CAST(sum(support) AS BIGINT) FROM per3
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM per3""".replace("\n,\npairs", "\npairs", 0)))
+def q_report(spark, sf_dir):
+    rep = EV.classification_report(_classification_baseline(spark, sf_dir))
+    return rep.select("class_name", _r("precision"), _r("recall"), _r("f1"), "support")
+
+
+# --- F1-F5, L1-L9, E1-E3 with Spark ML (rows-only: fitted models are not
+# bit-stable across partitionings, so values are not compared) ---------------------
+
+_FITTED: dict[tuple, tuple] = {}
+
+
+def _fitted(spark, sf_dir: str, task: str):
+    """Fit once per (session, tables, task) and reuse across the queries that
+    report on the same models.  Holds models and lazy frames, not rows."""
+    key = (spark.sparkContext.applicationId, sf_dir, task)
+    if key not in _FITTED:
+        wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir), keep_tokens=True)
+        train, test, feat_model = ML.prepare(wide, task, with_text=True)
+        models = ML.fit_cv(train, task, folds=5, parallelism=4)
+        _FITTED[key] = (train, test, feat_model, models)
+    return _FITTED[key]
+
+
+@register("ml_classification_predictions", None)
+def q_ml_cls_pred(spark, sf_dir):
+    _, test, _, models = _fitted(spark, sf_dir, "classification")
+    return ML.predictions(models, test)
+
+
+@register("ml_regression_predictions", None)
+def q_ml_reg_pred(spark, sf_dir):
+    _, test, _, models = _fitted(spark, sf_dir, "regression")
+    return ML.predictions(models, test)
+
+
+@register("ml_model_report", None)
+def q_ml_report(spark, sf_dir):
+    """Best hyper-parameters and held-out metrics of every tuned model."""
+    rows = []
+    for task in ("classification", "regression"):
+        train, test, feat_model, models = _fitted(spark, sf_dir, task)
+        for m, p, v, score in ML.best_params(models):
+            rows.append((task, m, "best_param", p, v, score))
+        metrics = ML.classifier_metrics(models, test) if task == "classification" \
+            else ML.regressor_metrics(models, test)
+        for m, metric, val in metrics:
+            rows.append((task, m, "metric", metric, None, val))
+        if task == "classification":
+            for i, lab in enumerate(ML.fitted_labels(feat_model)):
+                rows.append((task, "label_indexer", "label", str(i), lab, None))
+    return spark.createDataFrame(rows, "task string, model string, kind string, name string, "
+                                       "value string, score double")
+
+
+@register("text_feature_vectors", None)
+def q_text_vectors(spark, sf_dir):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    tf = TX.text_features(_posts(spark, sf_dir))
+    model = Pipeline(stages=ML.text_vector_stages(with_bow=True, with_w2v=True)).fit(tf)
+    out = model.transform(tf)
+    nnz = lambda c: F.size(F.filter(vector_to_array(c), lambda x: x != 0.0))
+    return out.select("post_id", nnz("features_bow").alias("bow_nnz"), nnz("featuresTF").alias("tf_nnz"),
+                      nnz("text_features").alias("idf_nnz"),
+                      F.size(vector_to_array("features_w2v")).alias("w2v_size"))
+
+
+@register("shallow_tree_rules", None)
+def q_tree_rules(spark, sf_dir):
+    w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    keep = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",
+            "comments_nbr_mentions", "nbr_likes"]
+    d = FE.dummies(w, keep=keep)
+    _, rules = ML.shallow_tree_rules(d, "nbr_likes", 3)
+    return spark.createDataFrame(rules, "line_no int, rule string")

@@ -90,18 +90,18 @@ def default_outcome(task: str) -> str:
 
 
 def prepare(wide: DataFrame, task: str = "classification", outcome: str | None = None,
-            with_text: bool = True, train_pct: int = 70, seed: int = SEED):
+            with_text: bool = True, train_pct: int = 70, seed: int = SEED, checkpoint: bool = True):
     """Split, fit the feature pipeline on train, and return
     (train, test, fitted feature model).  Both frames hold post_id,
-    features, features_wtext (with_text) and label."""
+    features, features_wtext (with_text) and label.
+
+    The input is check-pointed once (``checkpoint``): each estimator in the
+    pipeline makes its own pass, and without the cut every pass would redo
+    the joins and aggregates behind the wide table."""
     outcome = outcome or default_outcome(task)
-    df = wide
-    for c in CAT_NUM:
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    for c in CONT:
-        df = df.withColumn(c, F.col(c).cast("double"))
-    if task != "classification":
-        df = df.withColumn("label", F.col(outcome).cast("double"))
+    df = prepare_input(wide, task, outcome)
+    if checkpoint:
+        df = cut_lineage(df)
     train, test = hash_split(df, "post_id", train_pct, seed)
     stages = prepare_stages(task, outcome, with_text=with_text)
     stages += [StandardScaler(inputCol="contfeats", outputCol="scaled_contfeats", withStd=True, withMean=False),
@@ -113,6 +113,20 @@ def prepare(wide: DataFrame, task: str = "classification", outcome: str | None =
     return model.transform(train).select(*keep), model.transform(test).select(*keep), model
 
 
+def prepare_input(wide: DataFrame, task: str = "classification", outcome: str | None = None) -> DataFrame:
+    """Numeric category flags as double (null -> 0.0, which one-hot encoding
+    requires), continuous columns as double, regression label."""
+    outcome = outcome or default_outcome(task)
+    df = wide
+    for c in CAT_NUM:
+        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    for c in CONT:
+        df = df.withColumn(c, F.col(c).cast("double"))
+    if task != "classification":
+        df = df.withColumn("label", F.col(outcome).cast("double"))
+    return df
+
+
 def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
                feature_col: str = "features") -> dict:
     """name -> (estimator, param grid, evaluator).  Default grids:

@@ -20,6 +20,8 @@ exports, and about one comment in 37 has no post_id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,8 +139,8 @@ def with_views(sql_body: str, posts: bool = True, comments: bool = True) -> str:
     if comments:
         ctes.append(f"comments AS ({COMMENTS_SQL})")
     body = sql_body.strip()
-    if body[:5].upper() == "WITH ":
+    if re.match(r"(?i)with\s", body):
         # merge the caller's own CTE list with ours
-        ctes.append(body[5:])
+        ctes.append(body[4:].lstrip())
         return "WITH " + ",\n".join(ctes)
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
