@@ -666,3 +666,19 @@ def q_tree_rules(spark, sf_dir):
     d = FE.dummies(w, keep=keep)
     _, rules = ML.shallow_tree_rules(d, "nbr_likes", 3)
     return spark.createDataFrame(rules, "line_no int, rule string")
+
+
+@register("train_test_sizes", _posts_cte(f"""
+SELECT CASE WHEN {S.split_bucket('post_id')} < 70 THEN 'train' ELSE 'test' END AS part, count(*) AS n
+FROM posts GROUP BY 1"""))
+def q_split_sizes(spark, sf_dir):
+    return (_posts(spark, sf_dir).groupBy(ML.split_label("post_id").alias("part"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("post_text_feature_table", None)
+def q_text_table(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    t = ML.text_feature_table(_posts(spark, sf_dir))
+    return t.select("post_id", "has_mention", "has_hashtag", "nbr_words",
+                    F.size(F.filter(vector_to_array("text_features"), lambda x: x != 0.0)).alias("tfidf_nnz"))

@@ -40,6 +40,11 @@ def split_bucket(id_col: str, seed: int = SEED, buckets: int = 100) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
+def split_label(id_col: str = "post_id", train_pct: int = 70, seed: int = SEED) -> Column:
+    """'train' / 'test' by the same bucket rule as hash_split."""
+    return F.when(split_bucket(id_col, seed) < train_pct, F.lit("train")).otherwise(F.lit("test"))
+
+
 def hash_split(df: DataFrame, id_col: str = "post_id", train_pct: int = 70,
                seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(train, test): disjoint, complete, independent of partitioning."""
@@ -62,6 +67,16 @@ def text_vector_stages(tokens: str = "vector_lemma", out: str = "text_features",
     return stages
 
 
+def text_feature_table(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text") -> DataFrame:
+    """Per post: has_mention, has_hashtag, nbr_words and the TF-IDF vector
+    ``text_features`` (1000 hashed features, min doc freq 100), fitted on the
+    given rows.  The IDF fit is one aggregation of fixed-width vectors."""
+    from ..operators.text import text_features
+    tf = text_features(posts, id_col, text_col)
+    model = Pipeline(stages=text_vector_stages()).fit(tf)
+    return model.transform(tf).select(id_col, "has_mention", "has_hashtag", "nbr_words", "text_features")
+
+
 def prepare_stages(task: str = "classification", outcome: str | None = None,
                    cat_str: Sequence[str] = CAT_STR, cat_num: Sequence[str] = CAT_NUM,
                    cont: Sequence[str] = CONT, with_text: bool = True) -> list:

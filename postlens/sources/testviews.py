@@ -72,7 +72,12 @@ def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    return comments_from_conversations(table(spark, sf_dir, "conversations"))
+
+
+def comments_from_conversations(c: DataFrame) -> DataFrame:
+    """Row-by-row mapping of conversation turns to comments; works on batch
+    and streaming frames alike."""
     k8 = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     k6 = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
     cid = F.col("conv_id") * 1000 + F.col("turn")

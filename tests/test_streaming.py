@@ -1,0 +1,27 @@
+"""The streaming rollup ends in the same state as the batch rollup."""
+
+import math
+
+from postlens.operators.features import comment_features
+from postlens.operators.sentiment import score_comments
+from postlens.sources.testviews import comments_from_conversations, comments_view
+from postlens.streaming.comments import read_comment_stream, start_comment_features
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stream_matches_batch(spark, tmp_dir):
+    schema = spark.read.parquet(f"{SF}/conversations.parquet").schema
+    stream = comments_from_conversations(
+        read_comment_stream(spark, SF, schema, file_glob="conversations.parquet"))
+    q = start_comment_features(stream, "cf_stream_test", checkpoint_location=f"{tmp_dir}/ckpt",
+                               available_now=True)
+    q.awaitTermination(120)
+    got = {r.post_id: r for r in spark.sql("SELECT * FROM cf_stream_test").collect()}
+    want = {r.post_id: r for r in comment_features(score_comments(comments_view(spark, SF))).collect()}
+    assert got.keys() == want.keys() and len(got) > 0
+    for k, w in want.items():
+        g = got[k]
+        assert math.isclose(g.comments_sentiment, w.comments_sentiment)
+        assert (g.comments_nbr_mentions, g.comments_nbr_verified) == (w.comments_nbr_mentions,
+                                                                      w.comments_nbr_verified)
