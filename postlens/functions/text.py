@@ -107,6 +107,17 @@ def lemmatise(tokens: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS,
     return F.sort_array(F.array_distinct(lemmas))
 
 
+def explode_values(arr: Column | str, name: str) -> tuple[Column, Column]:
+    """(generator, keep-condition) for exploding an array or map whose
+    elements are computed by a costly expression.
+
+    A plain ``explode`` makes the optimizer infer ``size(arr) > 0`` and push
+    it towards the scan, which evaluates the costly expression a second time
+    per row; ``explode_outer`` infers nothing, and the empty-array rows it
+    emits are dropped by the returned condition instead."""
+    return F.explode_outer(arr).alias(name), F.col(name).isNotNull()
+
+
 def n_distinct_words(tokens: Column | str) -> Column:
     return F.size(F.array_distinct(_c(tokens)))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def emoji_counts(scored: DataFrame, id_col: str = "comment_id") -> DataFrame:
     """Long form of the per-comment emoji histogram: (id, emoji, n).
     Row-local explode of a map built inside each row; no shuffle."""
-    return scored.select(id_col, F.explode("emojis_count").alias("emoji", "n"))
+    return (scored.select(id_col, F.explode_outer("emojis_count").alias("emoji", "n"))
+            .where(F.col("emoji").isNotNull()))
 
 
 def top_emojis(scored: DataFrame, top_k: int | None = None) -> DataFrame:

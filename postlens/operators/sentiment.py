@@ -36,7 +36,8 @@ def polarity_by_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataF
     per id, left-joined back; 0.0 without a hit.  ``id_col`` must be unique."""
     lex = lexicon.select(F.col(word_col).alias("_w"), F.col(value_col).cast("double").alias("_p")) \
                  .dropDuplicates(["_w"])
-    per = (df.select(id_col, F.explode(tokens_col).alias("_w"))
+    gen, keep = T.explode_values(tokens_col, "_w")
+    per = (df.select(id_col, gen).where(keep)
            .join(lex, "_w")
            .groupBy(id_col).agg(F.avg("_p").alias(out_col)))
     return (df.join(per, id_col, "left")

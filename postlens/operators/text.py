@@ -39,7 +39,8 @@ def word_frequency(df: DataFrame, words_col: str, word_name: str = "word",
     tokens costs one partial row per task, not a hot reducer.
     """
     words = F.array_distinct(words_col) if distinct_per_row else F.col(words_col)
-    out = (df.select(F.explode(words).alias(word_name))
+    gen, keep = T.explode_values(words, word_name)
+    out = (df.select(gen).where(keep)
            .where(F.length(word_name) > 0)
            .select(F.trim(F.lower(F.col(word_name))).alias(word_name))
            .groupBy(word_name).agg(F.count(word_name).alias(count_name))
@@ -80,15 +81,19 @@ def tfidf_table(df: DataFrame, id_col: str, words_col: str, min_doc_freq: int =
     collisions).  N is a single count brought back to the driver.
     """
     n_docs = df.select(id_col).count()
-    tf = (df.select(id_col, F.explode(words_col).alias("word"))
+    gen, keep = T.explode_values(words_col, "word")
+    tf = (df.select(id_col, gen).where(keep)
           .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf")))
-    dfreq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # df also carries the collection frequency (sum of tf): reading tf keeps
+    # this branch identical to the other one below the exchange, so the
+    # tokenised rows are computed once and the shuffle output is reused
+    dfreq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     idf = F.when(F.col("df") < min_doc_freq, F.lit(0.0)).otherwise(
         F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)))
     return (tf.join(dfreq, "word")
             .withColumn("idf", idf)
             .withColumn("tfidf", F.col("tf") * F.col("idf"))
-            .select(id_col, "word", "tf", "df", "idf", "tfidf"))
+            .select(id_col, "word", "tf", "df", "cf", "idf", "tfidf"))
 
 
 def _log_ratio(n: int, d: int) -> float:  # reference value for tests

@@ -330,16 +330,16 @@ def q_neg_words(spark, sf_dir):
 
 @register("post_tfidf", _posts_cte(f"""WITH {_lemmas_sql_cte()},
 tf AS (SELECT post_id, w AS word, count(*) AS tf FROM (SELECT post_id, unnest(lemmas) AS w FROM lem) u GROUP BY 1, 2),
-dfq AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+dfq AS (SELECT word, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY 1),
 nd AS (SELECT count(*) AS n FROM posts)
-SELECT tf.post_id, tf.word, tf.tf, dfq.df,
+SELECT tf.post_id, tf.word, tf.tf, dfq.df, dfq.cf,
        round(CASE WHEN dfq.df < 100 THEN 0.0 ELSE ln((nd.n + 1.0) / (dfq.df + 1)) END, 6) AS idf,
        round(tf.tf * CASE WHEN dfq.df < 100 THEN 0.0 ELSE ln((nd.n + 1.0) / (dfq.df + 1)) END, 6) AS tfidf
 FROM tf JOIN dfq USING (word) CROSS JOIN nd"""))
 def q_tfidf(spark, sf_dir):
     tf = TX.text_features(_posts(spark, sf_dir))
     return TX.tfidf_table(tf, "post_id", "vector_lemma", min_doc_freq=ML.IDF_MIN_DOC_FREQ).select(
-        "post_id", "word", "tf", "df", _r("idf"), _r("tfidf"))
+        "post_id", "word", "tf", "df", "cf", _r("idf"), _r("tfidf"))
 
 
 @register("post_tokens_normalised", _posts_cte(f"""

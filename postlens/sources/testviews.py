@@ -33,8 +33,19 @@ VERIFIED_VALUES = ("True", "1.0", "False", "0.0", "Not found")
 NULL_POST_MOD = 37
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance_partitions(df) if balance else df
+
+
+def balance_partitions(scan: DataFrame, target: int | None = None) -> DataFrame:
+    """Round-robin repartition a file scan that yields fewer tasks than the
+    cluster can run (e.g. files of one big row group), so CPU-heavy text work
+    downstream uses every core.  A no-op for a scan that is already split
+    finely, which is the normal case for large inputs.  Only call on a plain
+    scan (planning its partitions runs no job)."""
+    target = target or scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan
 
 
 def _case(key: F.Column, values) -> F.Column:
@@ -46,7 +57,7 @@ def _case(key: F.Column, values) -> F.Column:
 
 
 def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = table(spark, sf_dir, "documents", balance=True).select("doc_id", "text", "source")
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
@@ -72,7 +83,7 @@ def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments_from_conversations(table(spark, sf_dir, "conversations"))
+    return comments_from_conversations(table(spark, sf_dir, "conversations", balance=True))
 
 
 def comments_from_conversations(c: DataFrame) -> DataFrame:
