@@ -92,15 +92,20 @@ def post_text_feature(name: str, text_col: str = "post_text"):
 
 
 def dummies(df: DataFrame, cols: Sequence[str] = ("year", "month", "dayofweek"),
-            keep: Sequence[str] = (), drop_nulls: bool = True) -> DataFrame:
+            keep: Sequence[str] = (), drop_nulls: bool = True, max_values: int = 1000) -> DataFrame:
     """One 0/1 column per observed value of each column (``{col}_{value}``),
     next to ``keep``; rows with a null in any kept column are dropped.
 
     The distinct values of each column are brought back to name the columns;
-    they are calendar parts, so bounded (years, 12 months, 7 days)."""
+    they are calendar parts, so bounded (years, 12 months, 7 days).  A column
+    with more than ``max_values`` distinct values raises instead of fetching
+    an unbounded list."""
     out_cols = [F.col(c) for c in keep]
     for c in cols:
-        values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
+                        .limit(max_values + 1).collect())
+        if len(values) > max_values:
+            raise ValueError(f"{c} has more than {max_values} distinct values; index it instead")
         out_cols += [(F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}") for v in values]
     out = df.select(*out_cols)
     return out.na.drop() if drop_nulls else out

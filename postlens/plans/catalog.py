@@ -605,25 +605,22 @@ _FITTED: dict[tuple, tuple] = {}
 def _fitted(spark, sf_dir: str, task: str):
     """Fit once per (session, tables, task) and reuse across the queries that
     report on the same models.  Holds models and lazy frames, not rows."""
+    from .analysis import run_task
     key = (spark.sparkContext.applicationId, sf_dir, task)
     if key not in _FITTED:
         wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir), keep_tokens=True)
-        train, test, feat_model = ML.prepare(wide, task, with_text=True)
-        models = ML.fit_cv(train, task, folds=5, parallelism=4)
-        _FITTED[key] = (train, test, feat_model, models)
+        _FITTED[key] = run_task(wide, task, folds=5, parallelism=4)
     return _FITTED[key]
 
 
 @register("ml_classification_predictions", None)
 def q_ml_cls_pred(spark, sf_dir):
-    _, test, _, models = _fitted(spark, sf_dir, "classification")
-    return ML.predictions(models, test)
+    return _fitted(spark, sf_dir, "classification").predictions()
 
 
 @register("ml_regression_predictions", None)
 def q_ml_reg_pred(spark, sf_dir):
-    _, test, _, models = _fitted(spark, sf_dir, "regression")
-    return ML.predictions(models, test)
+    return _fitted(spark, sf_dir, "regression").predictions()
 
 
 @register("ml_model_report", None)
@@ -631,16 +628,13 @@ def q_ml_report(spark, sf_dir):
     """Best hyper-parameters and held-out metrics of every tuned model."""
     rows = []
     for task in ("classification", "regression"):
-        train, test, feat_model, models = _fitted(spark, sf_dir, task)
-        for m, p, v, score in ML.best_params(models):
+        res = _fitted(spark, sf_dir, task)
+        for m, p, v, score in res.best_params:
             rows.append((task, m, "best_param", p, v, score))
-        metrics = ML.classifier_metrics(models, test) if task == "classification" \
-            else ML.regressor_metrics(models, test)
-        for m, metric, val in metrics:
+        for m, metric, val in res.metrics:
             rows.append((task, m, "metric", metric, None, val))
-        if task == "classification":
-            for i, lab in enumerate(ML.fitted_labels(feat_model)):
-                rows.append((task, "label_indexer", "label", str(i), lab, None))
+        for i, lab in enumerate(res.labels):
+            rows.append((task, "label_indexer", "label", str(i), lab, None))
     return spark.createDataFrame(rows, "task string, model string, kind string, name string, "
                                        "value string, score double")
 
