@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicons import EMOJI_RANGES, NEGATIVE_SYMBOLS, POSITIVE_SYMBOLS
-from .text import null_to_empty
+from .text import null_to_empty, string_array_literal
 
 
 def emoji_class(ranges: Iterable[tuple[int, int]] = EMOJI_RANGES) -> str:
@@ -35,9 +35,13 @@ def first_emoji(emojis: Column | str) -> Column:
     return F.try_element_at(e, F.lit(1))
 
 
+def symbol_array(symbols: Iterable[str]) -> Column:
+    """The symbols as one array literal (duplicates need no second test)."""
+    return string_array_literal(dict.fromkeys(symbols))
+
+
 def _any_contains(text: Column, symbols: Iterable[str]) -> Column:
-    syms = list(dict.fromkeys(symbols))  # order kept, duplicates need no second test
-    return reduce(lambda a, b: a | b, [F.instr(text, s) > 0 for s in syms])
+    return F.exists(symbol_array(symbols), lambda s: F.instr(text, s) > 0)
 
 
 def _is_pictograph(s: str) -> bool:
@@ -52,7 +56,8 @@ def _any_token(text: Column, symbols: Iterable[str]) -> Column:
     if pict:
         parts.append(_any_contains(text, pict))
     if emoticons:
-        parts.append(F.exists(F.split(text, r"\s+"), lambda t: t.isin(*emoticons)))
+        arr = symbol_array(emoticons)
+        parts.append(F.exists(F.split(text, r"\s+"), lambda t: F.array_contains(arr, t)))
     return reduce(lambda a, b: a | b, parts)
 
 

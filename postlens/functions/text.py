@@ -81,10 +81,24 @@ def remove_stopwords(tokens: Column | str, stop_words: Iterable[str] = STOP_WORD
     return F.filter(_c(tokens), lambda x: ~F.lower(x).isin(*stop))
 
 
+_SEP = "\u0001"
+
+
+def string_array_literal(values: Iterable[str]) -> Column:
+    """An array<string> literal from one packed string literal (two JVM calls
+    however long the list; the optimizer folds the split to a constant)."""
+    vals = list(values)
+    assert all(_SEP not in v for v in vals)
+    return F.split(F.lit(_SEP.join(vals)), _SEP)
+
+
 def _map_literal(d: Mapping[str, object]) -> Column:
+    """map<string, string|double> literal built from two packed arrays."""
     items = sorted(d.items())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                             F.array(*[F.lit(v) for _, v in items]))
+    keys = string_array_literal(k for k, _ in items)
+    if all(isinstance(v, str) for _, v in items):
+        return F.map_from_arrays(keys, string_array_literal(v for _, v in items))
+    return F.map_from_arrays(keys, string_array_literal(repr(float(v)) for _, v in items).cast("array<double>"))
 
 
 def lemmatise(tokens: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS,

@@ -19,9 +19,7 @@ POSITIVE_CUT, NEGATIVE_CUT = 0.1, -0.1
 def polarity_expr(tokens: Column | str, lexicon: Mapping[str, float] = POLARITY_LEXICON) -> Column:
     """Mean polarity of the tokens found in a bounded lexicon, 0.0 without a
     hit.  Row-local (map literal lookup inside the array), no shuffle."""
-    items = sorted(lexicon.items())
-    m = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
-                          F.array(*[F.lit(float(v)) for _, v in items]))
+    m = T._map_literal({k: float(v) for k, v in lexicon.items()})
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     hits = F.filter(F.transform(t, lambda w: F.try_element_at(m, w)), lambda v: v.isNotNull())
     total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
@@ -70,19 +68,31 @@ def score_comments(comments: DataFrame, text_col: str = "comment_text",
     unique_emoji, sentiment_emoji, overall_sentiment.  Null text reads as ''.
     """
     positive, negative = list(positive), list(negative)
-    return (comments
-            .withColumn("comment_str_only", T.clean_text(text_col))
-            .withColumn("nbr_mentions", T.count_mentions(text_col))
-            .withColumn("is_verified_author", normalise_flag("commenter_verified"))
-            .withColumn("comment_words", T.tokenize("comment_str_only", unicode))
-            .withColumn("comment_words_f", T.remove_stopwords("comment_words"))
-            .withColumn("polarity", polarity_expr(T.tokenize(text_col, unicode), lexicon))
-            .withColumn("label", sentiment_label("polarity"))
-            .withColumn("emojis", E.extract_emojis(text_col))
-            .withColumn("emojis_count", E.emoji_count_map("emojis"))
-            .withColumn("unique_emoji", E.first_emoji("emojis"))
-            .withColumn("sentiment_emoji", E.emoji_sentiment(text_col, positive, negative, symbol_mode))
-            .withColumn("overall_sentiment", overall_sentiment("sentiment_emoji", "label")))
+    # three projections in dependency order (one analysis each, instead of
+    # one per column); Catalyst collapses them into a single Project
+    stage1 = {
+        "comment_str_only": T.clean_text(text_col),
+        "nbr_mentions": T.count_mentions(text_col),
+        "is_verified_author": normalise_flag("commenter_verified"),
+        "polarity": polarity_expr(T.tokenize(text_col, unicode), lexicon),
+        "emojis": E.extract_emojis(text_col),
+        "sentiment_emoji": E.emoji_sentiment(text_col, positive, negative, symbol_mode),
+    }
+    stage2 = {
+        "comment_words": T.tokenize("comment_str_only", unicode),
+        "label": sentiment_label("polarity"),
+        "emojis_count": E.emoji_count_map("emojis"),
+        "unique_emoji": E.first_emoji("emojis"),
+    }
+    stage3 = {
+        "comment_words_f": T.remove_stopwords("comment_words"),
+        "overall_sentiment": overall_sentiment("sentiment_emoji", "label"),
+    }
+    order = ["comment_str_only", "nbr_mentions", "is_verified_author", "comment_words", "comment_words_f",
+             "polarity", "label", "emojis", "emojis_count", "unique_emoji", "sentiment_emoji",
+             "overall_sentiment"]
+    out = comments.withColumns(stage1).withColumns(stage2).withColumns(stage3)
+    return out.select(*[c for c in comments.columns if c not in order], *order)
 
 
 def extreme_comments(scored: DataFrame, positive_at: float = 0.75, negative_at: float = -0.5,

@@ -18,14 +18,15 @@ def text_features(posts: DataFrame, id_col: str = "post_id", text_col: str = "po
 
     One row-local projection: no shuffle, everything codegen'd.
     """
+    stage1 = {"text_only_str": T.clean_text(text_col),
+              "has_mention": T.has_mention(text_col),
+              "has_hashtag": T.has_hashtag(text_col)}
     return (posts.select(id_col, text_col)
-            .withColumn("text_only_str", T.clean_text(text_col))
-            .withColumn("has_mention", T.has_mention(text_col))
-            .withColumn("has_hashtag", T.has_hashtag(text_col))
+            .withColumns(stage1)
             .withColumn("text_words", T.tokenize("text_only_str", unicode))
             .withColumn("text_words_f", T.remove_stopwords("text_words"))
-            .withColumn("vector_stemmed", T.stem_tokens("text_words_f"))
-            .withColumn("vector_lemma", T.lemmatise("text_words_f"))
+            .withColumns({"vector_stemmed": T.stem_tokens("text_words_f"),
+                          "vector_lemma": T.lemmatise("text_words_f")})
             .withColumn("nbr_words", F.size("vector_lemma")))
 
 
