@@ -9,12 +9,14 @@ rounded to 6 decimals on both sides so the comparison is order-insensitive.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import POLARITY_LEXICON, VERB_LEMMAS
 from ..operators import features as FE
 from ..operators.sentiment import score_comments
 from ..sources.testviews import comments_view, posts_view, with_views
@@ -35,8 +37,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_comments(comments_view(spark, sf_dir))
 
 
-def _scored_cte(body: str, posts: bool = False) -> str:
-    return with_views(f"WITH scored AS ({S.SCORED_SQL})\n{body}", posts=posts, comments=True)
+def _scored_cte(body: str, posts: bool = False, extra_ctes: str = "") -> str:
+    """Query body over the `scored` CTE (plus optional further CTEs)."""
+    more = f",\n{extra_ctes.strip()}" if extra_ctes else ""
+    return with_views(f"WITH scored AS ({S.SCORED_SQL}){more}\n{body}", posts=posts, comments=True)
 
 
 # --- A1: per-post comment rollup (flagship) --------------------------------
@@ -171,20 +175,19 @@ def q_comments_hist(spark, sf_dir):
 
 
 KDE_BW, KDE_STEP, KDE_CUT = 0.1, 0.02, 4.0
+KDE_REACH = int(math.ceil(KDE_CUT * KDE_BW / KDE_STEP))
 
 
 @register("sentiment_density", _scored_cte(f"""
-, cf AS ({S.COMMENT_FEATURES_SQL}),
-cells AS (SELECT CAST(round((comments_sentiment - 0.0) / {KDE_STEP}) AS BIGINT) AS cell, count(*) AS n
-          FROM cf WHERE comments_sentiment IS NOT NULL GROUP BY 1),
-tot AS (SELECT count(*) AS n_total FROM cf WHERE comments_sentiment IS NOT NULL),
-g AS (SELECT cell, n, unnest(range(cell - {int(__import__('math').ceil(KDE_CUT * KDE_BW / KDE_STEP))},
-                                   cell + {int(__import__('math').ceil(KDE_CUT * KDE_BW / KDE_STEP))} + 1)) AS grid
-      FROM cells)
 SELECT grid, CAST(0.0 + grid * {KDE_STEP} AS DOUBLE) AS x,
        round(sum(n * exp(-0.5 * ((grid - cell) * {KDE_STEP} / {KDE_BW}) * ((grid - cell) * {KDE_STEP} / {KDE_BW})))
              / (max(n_total) * {KDE_BW} * sqrt(2 * pi())), 6) AS density
-FROM g, tot GROUP BY grid""".replace("\n, cf AS", "SELECT 1", 0)))
+FROM g, tot GROUP BY grid""", extra_ctes=f"""
+cf AS ({S.COMMENT_FEATURES_SQL}),
+cells AS (SELECT CAST(round((comments_sentiment - 0.0) / {KDE_STEP}) AS BIGINT) AS cell, count(*) AS n
+          FROM cf WHERE comments_sentiment IS NOT NULL GROUP BY 1),
+tot AS (SELECT count(*) AS n_total FROM cf WHERE comments_sentiment IS NOT NULL),
+g AS (SELECT cell, n, unnest(range(cell - {KDE_REACH}, cell + {KDE_REACH} + 1)) AS grid FROM cells)"""))
 def q_kde(spark, sf_dir):
     cf = FE.comment_features(_scored(spark, sf_dir))
     return PR.kde(cf, "comments_sentiment", KDE_BW, KDE_STEP, KDE_CUT).select("grid", "x", _r("density"))
@@ -344,10 +347,9 @@ def q_tfidf(spark, sf_dir):
 
 @register("post_tokens_normalised", _posts_cte(f"""
 SELECT post_id, array_to_string(list_transform({S.remove_stop(S.tokens(S.clean_text('post_text')))},
-       lambda x: coalesce(({S.smap(__import__('postlens.functions.lexicons', fromlist=['x']).VERB_LEMMAS)})[x], x)),
+       lambda x: coalesce(({S.smap(VERB_LEMMAS)})[x], x)),
        ' ') AS normalised FROM posts"""))
 def q_normalised(spark, sf_dir):
-    from ..functions.lexicons import VERB_LEMMAS
     tf = TX.text_features(_posts(spark, sf_dir))
     dic = spark.createDataFrame(sorted(VERB_LEMMAS.items()), "surface string, base string")
     out = TX.normalise_vocabulary(tf, "post_id", "text_words_f", dic)
@@ -382,7 +384,6 @@ def q_top_emojis(spark, sf_dir):
 
 @register("polarity_lexicon_join", _scored_cte("SELECT comment_id, round(polarity, 6) AS polarity FROM scored"))
 def q_polarity_join(spark, sf_dir):
-    from ..functions.lexicons import POLARITY_LEXICON
     from ..functions.text import tokenize
     c = comments_view(spark, sf_dir).select("comment_id", tokenize("comment_text").alias("toks"))
     lex = spark.createDataFrame(sorted(POLARITY_LEXICON.items()), "word string, polarity double")
@@ -590,7 +591,7 @@ UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), r
                  CAST(sum(support) AS BIGINT) FROM per3
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
                  round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
-                 CAST(sum(support) AS BIGINT) FROM per3""".replace("\n,\npairs", "\npairs", 0)))
+                 CAST(sum(support) AS BIGINT) FROM per3"""))
 def q_report(spark, sf_dir):
     rep = EV.classification_report(_classification_baseline(spark, sf_dir))
     return rep.select("class_name", _r("precision"), _r("recall"), _r("f1"), "support")
