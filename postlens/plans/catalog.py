@@ -122,7 +122,7 @@ POST_COLS = ("post_id", "profile_name", "post_timestamp", "post_text", "nbr_pict
 
 
 @register("posts_null_counts", _posts_cte(
-    "SELECT " + ", ".join(f"count_if({c} IS NULL) AS {c}" for c in POST_COLS) + " FROM posts"))
+    "SELECT " + ", ".join(f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}" for c in POST_COLS) + " FROM posts"))
 def q_nulls(spark, sf_dir):
     return PR.null_counts(_posts(spark, sf_dir))
 
@@ -159,7 +159,8 @@ def q_with_url(spark, sf_dir):
 
 def _hist_sql(col: str, width: float) -> str:
     return _posts_cte(f"""
-SELECT bin, 0.0 + bin * {width} AS bin_lo, 0.0 + (bin + 1) * {width} AS bin_hi, count(*) AS n
+SELECT bin, CAST(0.0 + bin * {width} AS DOUBLE) AS bin_lo, CAST(0.0 + (bin + 1) * {width} AS DOUBLE) AS bin_hi,
+       count(*) AS n
 FROM (SELECT CAST(floor(({col} - 0.0) / {width}) AS BIGINT) AS bin FROM posts WHERE {col} IS NOT NULL) b
 GROUP BY bin""")
 
@@ -559,7 +560,8 @@ SELECT * FROM pred""")
 
 
 @register("confusion_matrix_baseline", _over_pred(_CLS_PRED_SQL, """
-SELECT CAST(label AS DOUBLE) AS label, count_if(prediction = 0.0) AS pred_0, count_if(prediction = 1.0) AS pred_1
+SELECT CAST(label AS DOUBLE) AS label, CAST(count_if(prediction = 0.0) AS BIGINT) AS pred_0,
+       CAST(count_if(prediction = 1.0) AS BIGINT) AS pred_1
 FROM pred GROUP BY label"""))
 def q_confusion(spark, sf_dir):
     return EV.confusion_matrix(_classification_baseline(spark, sf_dir))

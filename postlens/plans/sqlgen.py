@@ -160,8 +160,8 @@ posts_clean AS (
 def calendar_cols(ts: str = "post_timestamp") -> str:
     return (f"CAST(year({ts}) AS INTEGER) AS year, CAST(month({ts}) AS INTEGER) AS month, "
             f"CAST(dayofweek({ts}) + 1 AS INTEGER) AS dayofweek, CAST(hour({ts}) AS INTEGER) AS hour, "
-            f"CASE WHEN {ts} IS NULL THEN NULL WHEN dayofweek({ts}) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END "
-            f"AS is_weekend")
+            f"CAST(CASE WHEN {ts} IS NULL THEN NULL WHEN dayofweek({ts}) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END "
+            f"AS DOUBLE) AS is_weekend")
 
 
 def post_text_cols(t: str = "post_text") -> str:
@@ -180,7 +180,7 @@ wide AS (
          CAST(CAST(year(pc.post_timestamp) AS INTEGER) AS VARCHAR) AS year,
          CAST(CAST(month(pc.post_timestamp) AS INTEGER) AS VARCHAR) AS month,
          CAST(CAST(dayofweek(pc.post_timestamp) + 1 AS INTEGER) AS VARCHAR) AS dayofweek,
-         CASE WHEN dayofweek(pc.post_timestamp) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END AS is_weekend,
+         CAST(CASE WHEN dayofweek(pc.post_timestamp) + 1 IN (6, 7) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_weekend,
          {post_text_cols('pc.post_text')},
          cf.comments_sentiment, CAST(cf.comments_nbr_mentions AS DOUBLE) AS comments_nbr_mentions,
          cf.comments_nbr_verified,

@@ -10,6 +10,8 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -42,6 +44,9 @@ def test_matches_duckdb(spark, con, name):
     rel = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(dcols) == cols
+    dtypes = {c: str(t) for c, t in zip(con.sql(E.oracle_sql()[name]).columns, con.sql(E.oracle_sql()[name]).types)}
+    for c, t in sdf.dtypes:
+        assert SAME_TYPE.get(t, t) == dtypes[c], (c, t, dtypes[c])
     order = sorted(range(len(dcols)), key=lambda i: dcols[i])
     drows = sorted((tuple(_norm(r[i]) for i in order) for r in rel.fetchall()), key=str)
     assert len(srows) == len(drows)
