@@ -469,9 +469,7 @@ def q_split(spark, sf_dir):
 @register("posts_dummies", None)
 def q_dummies(spark, sf_dir):
     w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
-    keep = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",
-            "comments_nbr_mentions", "nbr_likes"]
-    return FE.dummies(w, keep=keep)
+    return FE.dummies(w, keep=DUMMY_KEEP)
 
 
 # --- X5 scaling with train-only statistics ------------------------------------------
@@ -679,3 +677,24 @@ def q_text_table(spark, sf_dir):
     t = ML.text_feature_table(_posts(spark, sf_dir))
     return t.select("post_id", "has_mention", "has_hashtag", "nbr_words",
                     F.size(F.filter(vector_to_array("text_features"), lambda x: x != 0.0)).alias("tfidf_nnz"))
+
+
+DUMMY_KEEP = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",
+              "comments_nbr_mentions", "nbr_likes"]
+
+
+@register("posts_dummy_counts", _wide_cte("""WITH
+nn AS (SELECT * FROM wide WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in DUMMY_KEEP) + """)
+SELECT 'year_' || year AS dummy, count(*) AS n FROM nn GROUP BY 1
+UNION ALL SELECT 'month_' || month, count(*) FROM nn GROUP BY 1
+UNION ALL SELECT 'dayofweek_' || dayofweek, count(*) FROM nn GROUP BY 1
+UNION ALL SELECT '_rows', count(*) FROM nn"""))
+def q_dummy_counts(spark, sf_dir):
+    """Column sums of the dummies table (one row per dummy column) plus its
+    row count: checks the one-hot columns and the null-row drop."""
+    w = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
+    d = FE.dummies(w, keep=DUMMY_KEEP)
+    dummy_cols = [c for c in d.columns if c not in DUMMY_KEEP]
+    sums = d.agg(*[F.sum(c).cast("bigint").alias(c) for c in dummy_cols], F.count(F.lit(1)).alias("_rows"))
+    pairs = [F.struct(F.lit(c).alias("dummy"), F.col(c).alias("n")) for c in dummy_cols + ["_rows"]]
+    return sums.select(F.inline(F.array(*pairs))).where(F.col("n") > 0)
