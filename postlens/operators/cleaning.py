@@ -6,35 +6,50 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import clean_bool_string
 
 
+def _running_count(batches):
+    """Per-partition running total of ``n`` over rows sorted by value; the
+    partition id identifies the value range."""
+    from pyspark import TaskContext
+    pid, run = TaskContext.get().partitionId(), 0
+    for pdf in batches:
+        cum = pdf["n"].cumsum() + run
+        if len(cum):
+            run = int(cum.iloc[-1])
+        yield pdf.assign(pid=pid, cum=cum)
+
+
 def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
                   num_partitions: int | None = None) -> list[tuple[float, object]]:
     """Exact discrete quantiles (SQL ``percentile_disc``): for each p the
     smallest value whose cumulative count reaches ceil(p * n).
 
-    Distributed: values are pre-aggregated to (value, count) with a map-side
-    combine, range-partitioned, cumulated inside each partition, and shifted by
-    the totals of the preceding partitions (one number per partition comes
-    back to the driver).  No task holds more than one range of distinct
-    values.  The (value, count) table is persisted for the three actions of
-    this call and released at the end.  Returns [(prob, value)], empty when
-    the column has no non-null value.
+    Distributed, two shuffles: values are pre-aggregated to (value, count)
+    with a map-side combine (a value holding a third of all rows is one
+    partial row per task), then the distinct values are range-partitioned and
+    sorted inside each partition, where a running count is kept (Arrow
+    batches, no further shuffle).  The totals of the preceding partitions
+    (one number per partition) shift each running count to a global rank.
+    The ranked table is persisted for the two actions of this call and
+    released at the end.  Returns [(prob, value)], empty when the column has
+    no non-null value.
     """
     spark = df.sparkSession
     n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vtype = dict(df.dtypes)[col]
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-          .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
-    ranged = (vc.repartitionByRange(n_part, "v").withColumn("pid", F.spark_partition_id())
+          .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = (vc.repartitionByRange(n_part, "v").sortWithinPartitions("v")
+              .mapInPandas(_running_count, f"v {vtype}, n bigint, pid int, cum bigint")
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         totals = dict((r["pid"], r["t"]) for r in
-                      ranged.groupBy("pid").agg(F.sum("n").alias("t")).collect())
+                      ranked.groupBy("pid").agg(F.max("cum").alias("t")).collect())
         if not totals:
             return []
         grand, run, offsets = sum(totals.values()), 0, []
@@ -44,19 +59,17 @@ def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
         # offset of a partition = rows in all lower partitions: an array
         # literal indexed by partition id (length <= n_part)
         offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("pid") + 1)
-        w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         targets = [(float(p), max(1, min(grand, math.ceil(p * grand)))) for p in probs]
         tgt = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).cast("bigint").alias("k"))
                                   for p, k in targets])).alias("t")
-        hits = (ranged.withColumn("cum", F.sum("n").over(w) + offset_col)
+        hits = (ranked.withColumn("cum", F.col("cum") + offset_col)
                 .select("v", "n", "cum", tgt)
                 .where((F.col("cum") - F.col("n") < F.col("t.k")) & (F.col("t.k") <= F.col("cum")))
                 .select(F.col("t.prob").alias("prob"), F.col("v").alias("value")).collect())
         got = {r["prob"]: r["value"] for r in hits}
         return [(float(p), got[float(p)]) for p in probs]
     finally:
-        ranged.unpersist()
-        vc.unpersist()
+        ranked.unpersist()
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],

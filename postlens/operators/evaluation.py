@@ -39,39 +39,44 @@ def prediction_counts(pred: DataFrame, prediction: str = "prediction") -> DataFr
     return pred.groupBy(prediction).agg(F.count(F.lit(1)).alias("n"))
 
 
+REPORT_SCHEMA = "class_name string, precision double, recall double, f1 double, support bigint"
+
+
 def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and
     support-weighted averages — long form (class_name, precision, recall,
-    f1, support).  Built from the (label, prediction) count table, whose
-    size is classes^2 however large the input."""
-    pairs = pred.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"))
-    tp = pairs.where(F.col("l") == F.col("p")).select(F.col("l").alias("c"), F.col("n").alias("tp"))
-    sup = pairs.groupBy(F.col("l").alias("c")).agg(F.sum("n").alias("support"))
-    predicted = pairs.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("pred_n"))
-    per = (sup.join(predicted, "c", "full").join(tp, "c", "left").na.fill(0, ["tp", "support", "pred_n"])
-           .select("c", "support",
-                   F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0).alias("precision"),
-                   F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0).alias("recall"), "tp"))
-    per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
-                                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-                         .otherwise(0.0))
-    classes = per.select(F.col("c").cast("string").alias("class_name"), "precision", "recall", "f1",
-                         F.col("support").cast("bigint").alias("support"))
-    tot = per.agg(F.sum("support").alias("s"), F.sum("tp").alias("tp"), F.avg("precision").alias("mp"),
-                  F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                  (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    summary = tot.select(F.inline(F.array(
-        F.struct(F.lit("accuracy").alias("class_name"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("s")).alias("f1"),
-                 F.col("s").cast("bigint").alias("support")),
-        _report_row("macro avg", "mp", "mr", "mf"),
-        _report_row("weighted avg", "wp", "wr", "wf"))))
-    return classes.unionByName(summary)
-
-
-def _report_row(name: str, p: str, r: str, f: str):
-    return F.struct(F.lit(name).alias("class_name"), F.col(p).alias("precision"), F.col(r).alias("recall"),
-                    F.col(f).alias("f1"), F.col("s").cast("bigint").alias("support"))
+    f1, support).
+
+    One aggregation job: the (label, prediction) count table has at most
+    classes^2 rows whatever the input size, so it is brought back and the
+    handful of report rows is computed from it."""
+    pairs = [(float(r["l"]), float(r["p"]), int(r["n"])) for r in
+             pred.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p"))
+                 .agg(F.count(F.lit(1)).alias("n")).collect()]
+    return pred.sparkSession.createDataFrame(report_rows(pairs), REPORT_SCHEMA)
+
+
+def report_rows(pairs: Sequence[tuple[float, float, int]]) -> list[tuple]:
+    """Report rows from (label, prediction, count) triples."""
+    classes = sorted({l for l, _, _ in pairs} | {p for _, p, _ in pairs})
+    support = {c: sum(n for l, _, n in pairs if l == c) for c in classes}
+    predicted = {c: sum(n for _, p, n in pairs if p == c) for c in classes}
+    tp = {c: sum(n for l, p, n in pairs if l == c and p == c) for c in classes}
+    rows = []
+    for c in classes:
+        prec = tp[c] / predicted[c] if predicted[c] else 0.0
+        rec = tp[c] / support[c] if support[c] else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec > 0 else 0.0
+        rows.append((str(c), prec, rec, f1, support[c]))
+    total = sum(support.values())
+    k = len(rows)
+    if k:
+        rows.append(("accuracy", None, None, sum(tp.values()) / total, total))
+        rows.append(("macro avg", sum(r[1] for r in rows[:k]) / k, sum(r[2] for r in rows[:k]) / k,
+                     sum(r[3] for r in rows[:k]) / k, total))
+        rows.append(("weighted avg", sum(r[1] * r[4] for r in rows[:k]) / total,
+                     sum(r[2] * r[4] for r in rows[:k]) / total, sum(r[3] * r[4] for r in rows[:k]) / total,
+                     total))
+    return rows
+
+

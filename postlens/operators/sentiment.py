@@ -28,12 +28,16 @@ def polarity_expr(tokens: Column | str, lexicon: Mapping[str, float] = POLARITY_
 
 def polarity_by_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame,
                      word_col: str = "word", value_col: str = "polarity",
-                     out_col: str = "polarity") -> DataFrame:
+                     out_col: str = "polarity", broadcast_lexicon: bool = False) -> DataFrame:
     """Polarity for lexicons given as a table of any size: tokens join the
     lexicon (broadcast when its statistics allow, else sort-merge), average
-    per id, left-joined back; 0.0 without a hit.  ``id_col`` must be unique."""
+    per id, left-joined back; 0.0 without a hit.  ``id_col`` must be unique.
+    ``broadcast_lexicon`` forces the broadcast; set it only for a lexicon of
+    known bounded size whose statistics the planner lacks."""
     lex = lexicon.select(F.col(word_col).alias("_w"), F.col(value_col).cast("double").alias("_p")) \
                  .dropDuplicates(["_w"])
+    if broadcast_lexicon:
+        lex = F.broadcast(lex)
     gen, keep = T.explode_values(tokens_col, "_w")
     per = (df.select(id_col, gen).where(keep)
            .join(lex, "_w")

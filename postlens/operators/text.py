@@ -51,20 +51,26 @@ def word_frequency(df: DataFrame, words_col: str, word_name: str = "word",
 
 def normalise_vocabulary(df: DataFrame, id_col: str, tokens_col: str, dictionary: DataFrame,
                          surface_col: str = "surface", base_col: str = "base",
-                         out_col: str = "normalised", distinct: bool = False) -> DataFrame:
+                         out_col: str = "normalised", distinct: bool = False,
+                         broadcast_dictionary: bool = False) -> DataFrame:
     """Replace tokens by their dictionary base form, for dictionaries given as
     a table of any size.
 
     posexplode -> left join (surface, base) on the token -> regroup per id in
     the original token order.  The planner broadcasts the dictionary when its
     statistics are under the broadcast threshold and sort-merges otherwise;
-    AQE splits a skewed token.  Groups are one document's tokens.  Tokens
+    AQE splits a skewed token.  ``broadcast_dictionary`` forces the broadcast:
+    set it only for a dictionary of known bounded size whose statistics the
+    planner lacks (e.g. built from a local list).  Groups are one document's
+    tokens.  Tokens
     without an entry stay as they are.  Returns (id, out_col); ids with no
     tokens get an empty array.
     """
     toks = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "tok"))
     dic = dictionary.select(F.col(surface_col).alias("tok"), F.col(base_col).alias("base")) \
                     .dropDuplicates(["tok"])
+    if broadcast_dictionary:
+        dic = F.broadcast(dic)
     j = toks.join(dic, "tok", "left").withColumn("w", F.coalesce("base", "tok"))
     entry = F.when(F.col("tok").isNotNull(), F.struct("pos", "w"))
     g = j.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))

@@ -353,7 +353,8 @@ SELECT post_id, array_to_string(list_transform({S.remove_stop(S.tokens(S.clean_t
 def q_normalised(spark, sf_dir):
     tf = TX.text_features(_posts(spark, sf_dir))
     dic = spark.createDataFrame(sorted(VERB_LEMMAS.items()), "surface string, base string")
-    out = TX.normalise_vocabulary(tf, "post_id", "text_words_f", dic)
+    # fixed dictionary of len(VERB_LEMMAS) rows: a proven bound for the broadcast
+    out = TX.normalise_vocabulary(tf, "post_id", "text_words_f", dic, broadcast_dictionary=True)
     return out.select("post_id", F.array_join("normalised", " ").alias("normalised"))
 
 
@@ -388,7 +389,9 @@ def q_polarity_join(spark, sf_dir):
     from ..functions.text import tokenize
     c = comments_view(spark, sf_dir).select("comment_id", tokenize("comment_text").alias("toks"))
     lex = spark.createDataFrame(sorted(POLARITY_LEXICON.items()), "word string, polarity double")
-    return SE.polarity_by_join(c, "comment_id", "toks", lex).select("comment_id", _r("polarity"))
+    # fixed lexicon of len(POLARITY_LEXICON) rows: a proven bound for the broadcast
+    return SE.polarity_by_join(c, "comment_id", "toks", lex, broadcast_lexicon=True).select(
+        "comment_id", _r("polarity"))
 
 
 @register("most_positive_comments", _scored_cte(
