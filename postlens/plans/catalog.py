@@ -701,3 +701,29 @@ def q_dummy_counts(spark, sf_dir):
     sums = d.agg(*[F.sum(c).cast("bigint").alias(c) for c in dummy_cols], F.count(F.lit(1)).alias("_rows"))
     pairs = [F.struct(F.lit(c).alias("dummy"), F.col(c).alias("n")) for c in dummy_cols + ["_rows"]]
     return sums.select(F.inline(F.array(*pairs))).where(F.col("n") > 0)
+
+
+# --- ML coverage: the deterministic part of the model outputs, SQL-checked --------
+# Every tuned model predicts every held-out post; held-out labels are the label
+# indexer's (fitted on the training split, most frequent class first) for
+# classification and the like counts for regression.
+
+@register("ml_classification_coverage", _wide_cte(f"""WITH
+sp AS (SELECT comment_positivity AS v, {S.split_bucket('post_id')} < 70 AS is_train FROM wide),
+idx AS (SELECT v, CAST(row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS DOUBLE) AS label
+        FROM sp WHERE is_train GROUP BY v),
+te AS (SELECT idx.label FROM sp JOIN idx USING (v) WHERE NOT sp.is_train),
+m AS (SELECT * FROM (VALUES ('dt'), ('rf'), ('nb')) t(model))
+SELECT m.model, te.label, count(*) AS n FROM te CROSS JOIN m GROUP BY 1, 2"""))
+def q_ml_cls_cov(spark, sf_dir):
+    pred = _fitted(spark, sf_dir, "classification").predictions()
+    return pred.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ml_regression_coverage", _posts_cte(f"""WITH
+te AS (SELECT CAST(nbr_likes AS DOUBLE) AS label FROM posts WHERE {S.split_bucket('post_id')} >= 70),
+m AS (SELECT * FROM (VALUES ('lr'), ('rfreg')) t(model))
+SELECT m.model, count(*) AS n, round(sum(te.label), 1) AS label_sum FROM te CROSS JOIN m GROUP BY 1"""))
+def q_ml_reg_cov(spark, sf_dir):
+    pred = _fitted(spark, sf_dir, "regression").predictions()
+    return pred.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 1).alias("label_sum"))
