@@ -9,8 +9,8 @@ from postlens.sources import read_comments, read_posts, register_view, write_fea
 def test_posts_csv_round_trip(spark, tmp_dir):
     header = ";".join(f.name for f in POSTS_SCHEMA.fields)
     rows = [
-        '0;p1;tomorrowland;2019-07-20 18:30:00;"Hello; world ""quoted""\nsecond line #fest @dj";1;false;;;1200;15;False',
-        "1;p2;tomorrowland;2019-07-21 20:00:00;plain text;3;true;https://maps/x;Boom;98000;420;True",
+        '0;p1;festival_account;2019-07-20 18:30:00;"Hello; world ""quoted""\nsecond line #fest @dj";1;false;;;1200;15;False',
+        "1;p2;festival_account;2019-07-21 20:00:00;plain text;3;true;https://maps/x;Main Stage;98000;420;True",
     ]
     with open(os.path.join(tmp_dir, "posts_2019.csv"), "w", newline="") as fh:
         fh.write(header + "\r\n" + "\r\n".join(rows) + "\r\n")
@@ -24,7 +24,7 @@ def test_posts_csv_round_trip(spark, tmp_dir):
     from postlens.functions.flags import clean_bool_string
     flags = {r.post_id: r.v for r in df.select("post_id", clean_bool_string("is_video").alias("v")).collect()}
     assert flags == {"p1": 0, "p2": 1}
-    assert got["p2"].location == "Boom" and got["p2"].nbr_likes == 98000
+    assert got["p2"].location == "Main Stage" and got["p2"].nbr_likes == 98000
     assert got["p1"].is_multiple_pictures is False and got["p1"].google_maps_url is None
 
 
