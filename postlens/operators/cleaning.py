@@ -12,18 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.flags import clean_bool_string
 
 
-def _running_count(batches):
-    """Per-partition running total of ``n`` over rows sorted by value; the
-    partition id identifies the value range."""
-    from pyspark import TaskContext
-    pid, run = TaskContext.get().partitionId(), 0
-    for pdf in batches:
-        cum = pdf["n"].cumsum() + run
-        if len(cum):
-            run = int(cum.iloc[-1])
-        yield pdf.assign(pid=pid, cum=cum)
-
-
 def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
                   num_partitions: int | None = None) -> list[tuple[float, object]]:
     """Exact discrete quantiles (SQL ``percentile_disc``): for each p the
@@ -39,13 +27,28 @@ def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
     released at the end.  Returns [(prob, value)], empty when the column has
     no non-null value.
     """
-    spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vtype = dict(df.dtypes)[col]
+
+    # Defined here so it is shipped to the Python workers by value: executors
+    # need pyspark, not this package.
+    def running_count(batches):
+        """Running total of ``n`` over one partition's rows (sorted by value);
+        the partition id identifies the value range."""
+        from pyspark import TaskContext
+        pid, run = TaskContext.get().partitionId(), 0
+        for pdf in batches:
+            cum = pdf["n"].cumsum() + run
+            if len(cum):
+                run = int(cum.iloc[-1])
+            yield pdf.assign(pid=pid, cum=cum)
+
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
           .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    ranked = (vc.repartitionByRange(n_part, "v").sortWithinPartitions("v")
-              .mapInPandas(_running_count, f"v {vtype}, n bigint, pid int, cum bigint")
+    # one value range per core by default: the distinct-value table is much
+    # smaller than the input, and each range is one Arrow-batched task
+    n_ranges = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranked = (vc.repartitionByRange(n_ranges, "v").sortWithinPartitions("v")
+              .mapInPandas(running_count, f"v {vtype}, n bigint, pid int, cum bigint")
               .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         totals = dict((r["pid"], r["t"]) for r in
@@ -57,7 +60,7 @@ def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
             offsets.append(run)
             run += totals.get(pid, 0)
         # offset of a partition = rows in all lower partitions: an array
-        # literal indexed by partition id (length <= n_part)
+        # literal indexed by partition id (one entry per range partition)
         offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("pid") + 1)
         targets = [(float(p), max(1, min(grand, math.ceil(p * grand)))) for p in probs]
         tgt = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).cast("bigint").alias("k"))
