@@ -314,6 +314,16 @@ def q_comment_top_words(spark, sf_dir):
     return TX.word_frequency(sc, "comment_words_l", "word", distinct_per_row=True)
 
 
+@register("comment_top_words_100", _scored_cte(f"""
+SELECT trim(lower(w)) AS word, count(*) AS count
+FROM (SELECT unnest({S.lemmatise('comment_words_f')}) AS w FROM scored) u WHERE length(w) > 0 GROUP BY 1
+ORDER BY count DESC, word LIMIT 100"""))
+def q_comment_top_words_100(spark, sf_dir):
+    from ..functions.text import lemmatise
+    sc = _scored(spark, sf_dir).withColumn("comment_words_l", lemmatise("comment_words_f"))
+    return TX.word_frequency(sc, "comment_words_l", "word", distinct_per_row=True, top_k=100)
+
+
 def _slice_words_sql(cond: str, name: str) -> str:
     return _scored_cte(f"""
 SELECT trim(lower(w)) AS {name}, count(*) AS count

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..schemas import COMMENTS_SCHEMA, POSTS_SCHEMA, ROW_INDEX
+from .balance import balance_partitions
 
 CSV_OPTIONS = {
     "sep": ";",
@@ -20,15 +21,13 @@ def read_csv_table(spark: SparkSession, path_glob: str, schema: StructType,
                    num_partitions: int | None = None) -> DataFrame:
     """Read a glob of CSV exports with an explicit schema and drop the row index.
 
-    ``multiLine`` makes every file one unsplittable task, so at scale the rows
-    are spread with a round-robin repartition right after the scan
-    (``num_partitions``; default: the session's shuffle partition count).
+    ``multiLine`` makes every file one unsplittable task; when there are
+    fewer files than cores the rows are spread with a round-robin repartition
+    right after the scan (to ``num_partitions``, default the cluster's
+    parallelism).  Many files are already many tasks and are left alone.
     """
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path_glob)
-    if ROW_INDEX in df.columns:
-        df = df.drop(ROW_INDEX)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    df = balance_partitions(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path_glob), num_partitions)
+    return df.drop(ROW_INDEX) if ROW_INDEX in df.columns else df
 
 
 def read_posts(spark: SparkSession, path_glob: str, num_partitions: int | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .balance import balance_partitions
+
 # FIXED VALUES: comment decorations by (conv_id + turn) % 8, and verification
 # strings by (conv_id + turn) % 6 (5 -> null; role 'system' -> 'pending').
 COMMENT_SUFFIXES = (" 😍😍 great", " 😭 awful", " it's 10:30", " https://a.b",
@@ -38,16 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) ->
     return balance_partitions(df) if balance else df
 
 
-def balance_partitions(scan: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin repartition a file scan that yields fewer tasks than the
-    cluster can run (e.g. files of one big row group), so CPU-heavy text work
-    downstream uses every core.  A no-op for a scan that is already split
-    finely, which is the normal case for large inputs.  Only call on a plain
-    scan (planning its partitions runs no job)."""
-    target = target or scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan
-
-
 def _case(key: F.Column, values) -> F.Column:
     expr = None
     for i, v in enumerate(values):
