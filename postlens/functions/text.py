@@ -80,9 +80,24 @@ def tokenize(c: Column | str, unicode: bool = False) -> Column:
     return F.filter(F.split(F.lower(null_to_empty(c)), pattern), lambda x: F.length(x) > 0)
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_values(values: Iterable[str]) -> str:
+    return ", ".join(sql_str(v) for v in values)
+
+
 def remove_stopwords(tokens: Column | str, stop_words: Iterable[str] = STOP_WORDS_EN) -> Column:
-    """Case-insensitive stop-word filter that keeps duplicates and order."""
+    """Case-insensitive stop-word filter that keeps duplicates and order.
+
+    For a named column the filter is written as one SQL expression (parsed
+    on the JVM side in one call); Catalyst turns the IN list into a hash set
+    either way."""
     stop = sorted({w.lower() for w in stop_words})
+    if isinstance(tokens, str):
+        return F.expr(f"filter(`{tokens}`, w__ -> NOT lower(w__) IN ({_sql_values(stop)}))")
     return F.filter(_c(tokens), lambda x: ~F.lower(x).isin(*stop))
 
 
@@ -116,9 +131,14 @@ def lemmatise(tokens: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS,
     bounded literal map, so this is a row-local expression with no shuffle;
     see ``operators.text.normalise_vocabulary`` for dictionaries given as tables.
     """
-    m = _map_literal(dictionary)
     keys = sorted(dictionary)
     bad = list(drop)
+    if isinstance(tokens, str):
+        kept = f"filter(`{tokens}`, w__ -> NOT w__ IN ({_sql_values(bad)}))" if bad else f"`{tokens}`"
+        pairs = ", ".join(f"{sql_str(k)}, {sql_str(dictionary[k])}" for k in keys)
+        return F.expr(f"sort_array(array_distinct(transform({kept}, w__ -> CASE WHEN w__ IN "
+                      f"({_sql_values(keys)}) THEN element_at(map({pairs}), w__) ELSE w__ END)))")
+    m = _map_literal(dictionary)
     kept = F.filter(_c(tokens), lambda x: ~x.isin(*bad)) if bad else _c(tokens)
     # hash-set membership first (InSet); the map, whose lookup scans its keys,
     # is probed only for words that are in it

@@ -134,8 +134,7 @@ def clean_posts(posts: DataFrame, cuts: Sequence[int] | None = None, rel_err: fl
     cuts = likes_cuts(posts, rel_err=rel_err) if cuts is None else list(cuts)
     band = (band_by_quantiles("nbr_likes", cuts) if cuts
             else F.lit(None).cast("string"))
-    return (posts
-            .withColumn("is_video", clean_bool_string("is_video"))
-            .withColumn("is_multiple_pictures", F.col("is_multiple_pictures").cast("int"))
-            .withColumn("likes_level", band)
+    return (posts.withColumns({"is_video": clean_bool_string("is_video"),
+                               "is_multiple_pictures": F.col("is_multiple_pictures").cast("int"),
+                               "likes_level": band})
             .drop(*DROPPED_POST_COLUMNS))

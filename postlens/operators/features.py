@@ -68,27 +68,21 @@ def assemble_features(posts: DataFrame, comments: DataFrame, *, likes_cuts: Sequ
         median = sentiment_median(cf, rel_err)
     # Text features are projections of the same post rows, so they are added
     # as columns rather than self-joined back on post_id.
-    text_cols = ["has_mention", "has_hashtag", "nbr_words"] + (["vector_lemma"] if keep_tokens else [])
-    with_text = clean.select("*", *[post_text_feature(c).alias(c) for c in text_cols])
+    words_f = T.remove_stopwords(T.tokenize(T.clean_text("post_text")))
+    with_text = (clean.withColumns({"has_mention": T.has_mention("post_text"),
+                                    "has_hashtag": T.has_hashtag("post_text"), "_words_f": words_f})
+                 .withColumn("vector_lemma", T.lemmatise("_words_f"))
+                 .withColumn("nbr_words", F.size("vector_lemma"))
+                 .drop("_words_f", *([] if keep_tokens else ["vector_lemma"])))
     return (add_calendar(with_text, weekend_days=weekend_days).drop("hour")
             .join(cf, "post_id", "left")
-            .withColumn("comments_nbr_mentions", F.col("comments_nbr_mentions").cast("double"))
-            .withColumn("comment_positivity",
-                        binary_by_threshold("comments_sentiment", median, null_as=null_positivity_as))
-            .withColumn("year", F.col("year").cast("string"))
-            .withColumn("month", F.col("month").cast("string"))
-            .withColumn("dayofweek", F.col("dayofweek").cast("string")))
-
-
-def post_text_feature(name: str, text_col: str = "post_text"):
-    """Column expression of one text feature of a post (see text_features)."""
-    words_f = T.remove_stopwords(T.tokenize(T.clean_text(text_col)))
-    return {
-        "has_mention": lambda: T.has_mention(text_col),
-        "has_hashtag": lambda: T.has_hashtag(text_col),
-        "nbr_words": lambda: F.size(T.lemmatise(words_f)),
-        "vector_lemma": lambda: T.lemmatise(words_f),
-    }[name]()
+            .withColumns({
+                "comments_nbr_mentions": F.col("comments_nbr_mentions").cast("double"),
+                "comment_positivity": binary_by_threshold("comments_sentiment", median,
+                                                          null_as=null_positivity_as),
+                "year": F.col("year").cast("string"),
+                "month": F.col("month").cast("string"),
+                "dayofweek": F.col("dayofweek").cast("string")}))
 
 
 def dummies(df: DataFrame, cols: Sequence[str] = ("year", "month", "dayofweek"),

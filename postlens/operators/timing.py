@@ -13,11 +13,8 @@ from ..functions.calendar import DEFAULT_WEEKEND_DAYS, is_weekend
 def add_calendar(df: DataFrame, ts: str = "post_timestamp",
                  weekend_days: Iterable[int] = DEFAULT_WEEKEND_DAYS) -> DataFrame:
     """year, month, dayofweek (1 = Sunday), hour and is_weekend (double)."""
-    return (df.withColumn("year", F.year(ts))
-              .withColumn("month", F.month(ts))
-              .withColumn("dayofweek", F.dayofweek(ts))
-              .withColumn("hour", F.hour(ts))
-              .withColumn("is_weekend", is_weekend("dayofweek", weekend_days)))
+    return df.withColumns({"year": F.year(ts), "month": F.month(ts), "dayofweek": F.dayofweek(ts),
+                           "hour": F.hour(ts), "is_weekend": is_weekend(F.dayofweek(ts), weekend_days)})
 
 
 def timing_features(posts: DataFrame, ts: str = "post_timestamp",
