@@ -67,9 +67,24 @@ def non_null_rows(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull())
 
 
-def histogram(df: DataFrame, col: str, width: float, lo: float = 0.0) -> DataFrame:
+def histogram(df: DataFrame, col: str, width: float | None = None, lo: float = 0.0,
+              bins: int | None = None) -> DataFrame:
     """Equal-width bin counts: bin = floor((x - lo) / width); nulls skipped.
-    (bin, bin_lo, bin_hi, n)."""
+    (bin, bin_lo, bin_hi, n).
+
+    With ``bins`` instead of ``width``, the range comes from one min/max
+    aggregate (two numbers to the driver) and is cut into ``bins`` bins; the
+    maximum falls in the last bin."""
+    if bins is not None:
+        mn, mx = df.agg(F.min(col), F.max(col)).first()
+        if mn is None:
+            return df.sparkSession.createDataFrame([], "bin bigint, bin_lo double, bin_hi double, n bigint")
+        lo, width = float(mn), (float(mx) - float(mn)) / bins or 1.0
+        b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("bigint")
+        return (df.where(F.col(col).isNotNull()).select(b.alias("bin"))
+                .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+                .select("bin", (F.lit(lo) + F.col("bin") * width).alias("bin_lo"),
+                        (F.lit(lo) + (F.col("bin") + 1) * width).alias("bin_hi"), "n"))
     b = F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("bigint")
     return (df.where(F.col(col).isNotNull()).select(b.alias("bin"))
             .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -78,6 +78,8 @@ def test_histogram_and_kde(spark):
     df = spark.createDataFrame([(float(x) / 10,) for x in range(-20, 21)] + [(None,)], "x double")
     h = PR.histogram(df, "x", 0.5, lo=-2.0)
     assert sum(r.n for r in h.collect()) == 41
+    hb = {r.bin: r.n for r in PR.histogram(df, "x", bins=4).collect()}
+    assert sorted(hb) == [0, 1, 2, 3] and sum(hb.values()) == 41 and hb[3] == 11
     k = PR.kde(df, "x", bandwidth=0.3, step=0.05, lo=0.0).collect()
     mass = sum(r.density for r in k) * 0.05
     assert abs(mass - 1.0) < 0.01
