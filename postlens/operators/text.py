@@ -3,7 +3,6 @@ frequencies, dictionary normalisation as a join, and long-form TF-IDF."""
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +101,3 @@ def tfidf_table(df: DataFrame, id_col: str, words_col: str, min_doc_freq: int =
             .withColumn("tfidf", F.col("tf") * F.col("idf"))
             .select(id_col, "word", "tf", "df", "cf", "idf", "tfidf"))
 
-
-def _log_ratio(n: int, d: int) -> float:  # reference value for tests
-    return math.log((n + 1) / (d + 1))
