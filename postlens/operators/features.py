@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.calendar import DEFAULT_WEEKEND_DAYS
+from ..session import cut_lineage
 from ..sources.sinks import register_view
 from .cleaning import binary_by_threshold, clean_posts, quantiles
 from .sentiment import score_comments
@@ -61,10 +62,15 @@ def assemble_features(posts: DataFrame, comments: DataFrame, *, likes_cuts: Sequ
     Calendar and text features are computed on the posts rows themselves
     (row-local columns), so the only join is posts LEFT JOIN the per-post
     comment aggregate on post_id.  The cut values are the only driver trips.
+    When the median is computed here, the per-post aggregate is check-pointed
+    into the shared folder first, so comments are read once.
     """
     clean = clean_posts(posts, likes_cuts, rel_err)
     cf = comment_features(score_comments(comments))
     if median is None:
+        # the aggregate feeds both the median and the join: check-point it
+        # (one row per post) so the comments are scanned and scored once
+        cf = cut_lineage(cf)
         median = sentiment_median(cf, rel_err)
     # Text features are projections of the same post rows, so they are added
     # as columns rather than self-joined back on post_id.
