@@ -115,6 +115,11 @@ def prepare(wide: DataFrame, task: str = "classification", outcome: str | None =
     the joins and aggregates behind the wide table."""
     outcome = outcome or default_outcome(task)
     df = prepare_input(wide, task, outcome)
+    # only what the feature pipeline reads is kept (not the post text), so
+    # the checkpoint is a narrow table
+    needed = ["post_id", *CAT_STR, *CAT_NUM, *CONT, outcome] + (["label"] if task != "classification" else []) \
+        + (["vector_lemma"] if with_text else [])
+    df = df.select(*dict.fromkeys(needed))
     if checkpoint:
         df = cut_lineage(df)
     train, test = hash_split(df, "post_id", train_pct, seed)

@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app_name: str = "postlens",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # remove reliable checkpoint files once their DataFrame is gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # no Python call-site capture per Column operation (error messages only)
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
