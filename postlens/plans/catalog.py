@@ -623,7 +623,7 @@ def _fitted(spark, sf_dir: str, task: str):
     key = (spark.sparkContext.applicationId, sf_dir, task)
     if key not in _FITTED:
         wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir), keep_tokens=True)
-        _FITTED[key] = run_task(wide, task, folds=5, parallelism=4)
+        _FITTED[key] = run_task(wide, task, folds=5)
     return _FITTED[key]
 
 

@@ -183,11 +183,15 @@ def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
     return out
 
 
-def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int = 4,
+def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int | None = None,
            grids: Mapping[str, Mapping[str, list]] | None = None, feature_col: str = "features",
            models: Sequence[str] | None = None, seed: int = SEED) -> dict[str, CrossValidatorModel]:
     """k-fold grid search per model.  Folds are hash buckets of post_id; the
-    training frame is check-pointed once so every fit rescans it."""
+    training frame is check-pointed once so every fit rescans it.  Up to
+    ``parallelism`` fits run at once (default: the cores available, capped at
+    8 — each fit is itself a distributed job, the concurrency only hides
+    per-job overhead)."""
+    parallelism = parallelism or min(8, train.sparkSession.sparkContext.defaultParallelism)
     data = train.withColumn("fold", F.pmod(split_bucket("post_id", seed + 1), F.lit(folds)).cast("int"))
     data = cut_lineage(data.select("post_id", F.col(feature_col).alias("features"), "label", "fold"))
     out = {}
