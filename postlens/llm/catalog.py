@@ -1,9 +1,15 @@
 """The registered queries of this subpackage, with oracle SQL where SQL can express them."""
 
 from postlens.llm.bpe import op7_bpe_encode_decode
+from postlens.llm.neighbours import op10_nearest_neighbours
+from postlens.llm.quality import op8_quality_rules
+from postlens.llm.sharding import op2_sharding
 from postlens.llm.token_counts import op1_token_counts
 
 CATALOG = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_sharding": (op2_sharding, None),
     "op7_bpe_encode_decode": (op7_bpe_encode_decode, None),
+    "op8_quality_rules": (op8_quality_rules, None),
+    "op10_nearest_neighbours": (op10_nearest_neighbours, None),
 }
