@@ -3,6 +3,8 @@ and distributed connected components."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,15 @@ def fold(id_column: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def per_worker(key, make):
+    """What ``make()`` gives, made once in each Python worker process: Spark reuses
+    workers for many tasks, so vocabularies are loaded and caches filled once."""
+    store = sys.modules.setdefault("_postlens_worker_store", types.ModuleType("_postlens_worker_store")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder under a new name and read
     it back: the lineage is cut and the rows survive lost executors."""

@@ -1,7 +1,9 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to ``chunk_chars`` code points are encoded whole.  Longer ones are
-encoded as overlapping chunks with offsets, and neighbouring chunks are spliced
+Texts up to ``chunk_chars`` code points are one chunk; where a single space stands
+between two characters that are no white space, a pre-token ends and one starts, so
+the counts of the pieces between such places add up, and repeated pieces are
+encoded once.  Longer texts are encoded as overlapping chunks with offsets, and neighbouring chunks are spliced
 at a proven stable common boundary: a place where the left chunk starts a
 pre-token whose end decision saw at least ``margin`` more characters, and the
 right chunk starts a pre-token too.  Pre-tokens are matched left to right
@@ -12,13 +14,14 @@ such place it is widened (doubled), in the end over the whole text.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm.common import id_and_text, read
+from postlens.llm.common import id_and_text, per_worker, read
 
 SCHEMA = ("doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int")
 
@@ -41,6 +44,38 @@ def boundary_margin(tok) -> int:
     return max([4, *special]) + 1
 
 
+between = re.compile(r"(?<=\S) (?=\S)").split
+#: A space at an end, or beside other white space.
+uneven = re.compile(r"^\s|\s$|\s\s").search
+
+
+class Pieces:
+    """Counts texts by pieces.  The counts of the first ``size`` pieces (of up to 64
+    characters) are remembered; a text's other pieces are encoded together."""
+
+    def __init__(self, path: str, size: int = 150_000):
+        self.tok, self.size, self.known = load_tokenizer(path), size, {}
+        self.apart = not any(" " in t.content for t in self.tok.get_added_tokens_decoder().values()) \
+            and self.tok.normalizer is None
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.tok.encode_batch_fast(texts, add_special_tokens=False)))
+
+    def count(self, text: str) -> int:
+        if not self.apart:
+            return self.encoded([text])[0]
+        first, *rest = between(text) if uneven(text) else text.split(" ")
+        pieces = [first, *[" " + p for p in rest]]
+        counts = list(map(self.known.get, pieces))
+        new = [p for p, c in zip(pieces, counts) if c is None]
+        total = sum(c for c in counts if c is not None) if new else sum(counts)
+        if new and len(self.known) < self.size:
+            found = self.encoded(new)
+            self.known.update((p, c) for p, c in zip(new, found) if len(p) <= 64)
+            return total + sum(found)
+        return total + (self.encoded(["".join(new)])[0] if new else 0)
+
+
 class Chunk:
     """One encoded chunk: token count, and where its pre-tokens start (position
     in the whole text, index of the token)."""
@@ -112,18 +147,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
 
     def count(batches):
-        tok = load_tokenizer(path)
+        pieces = per_worker(("pieces", path), lambda: Pieces(path))
+        tok = pieces.tok
         margin = boundary_margin(tok)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            out = [None] * len(texts)
-            for lo in range(0, len(texts), 64):
-                short = [i for i in range(lo, min(lo + 64, len(texts))) if len(texts[i]) <= chunk_chars]
-                for i, e in zip(short, tok.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-                    out[i] = (len(e.ids), 1, 0)
-            for i, t in enumerate(texts):
-                if out[i] is None:
-                    out[i] = count_long(tok, t, chunk_chars, overlap_chars, margin)
+            out = [(pieces.count(t), 1, 0) if len(t) <= chunk_chars
+                   else count_long(tok, t, chunk_chars, overlap_chars, margin) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()),
                  pa.array([o[0] for o in out], pa.int64()), pa.array([o[0] > limit for o in out], pa.bool_()),
