@@ -1,18 +1,91 @@
-"""A corpus preparation pipeline over ``documents``."""
+"""A corpus preparation pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postlens.llm.bpe import encode_decode
+from postlens.llm.common import keep, read, text_hash
+from postlens.llm.mixing import TARGET, labelled_domains, mix
+from postlens.llm.similarity import similar_components
+from postlens.llm.substrings import dedup_substrings
+from postlens.llm.toxicity import score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs joined with rows of (found_id, found_h, ...) by id and text hash; null ids
+    match each other."""
+    keyed = docs.select(*COLUMNS).withColumn("h", text_hash())
+    return keyed.join(found, (keyed["h"] == found["found_h"]) & keyed["doc_id"].eqNullSafe(found["found_id"]), how)
+
+
+def keys(found: DataFrame) -> list:
+    """The key columns of an operator's result under the names that ``matched`` joins by."""
+    return [found["doc_id"].alias("found_id"), found["h"].alias("found_h")]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scores = score_toxicity(docs, read(spark, sf_dir, "labels"), text_source=read(spark, sf_dir, "documents"))
+    toxic = scores.where("predicted = 1").select(*keys(scores)).distinct()
+    return matched(docs, toxic, "left_anti").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; groups
+    in which no row has an id stay but for rows with the same text."""
+    group = similar_components(docs)
+    gone = group.where(~F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return matched(docs, gone.select(*keys(group)).distinct(), "left_anti") \
+        .select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go; a document stays with what is left."""
+    found = dedup_substrings(docs).where("n_removed_words > 0")
+    rest = found.select(*keys(found), F.col("text").alias("rest")).dropDuplicates(["found_id", "found_h"])
+    return matched(docs, rest, "left").select(
+        "doc_id", F.coalesce("rest", "text").alias("text"), "lang", "source",
+        F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest")).cast("long").alias("n_chars"))
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of languages below their target share are repeated; every document
+    stays at least once."""
+    rates = mix(docs, labelled_domains(spark, sf_dir), TARGET, min_rate=1.0, train_docs=read(spark, sf_dir, "documents"))
+    copies = rates.groupBy(*keys(rates)).agg(F.max("copies").alias("copies"))
+    return matched(docs, copies, "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
+        .select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what goes into training."""
+    return encode_decode(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("mixing", mix_domains),
+    ("bpe", encode),
+]
 
-#: The stages tokenise, train and link; SQL cannot express them.
+#: The stages train, link and tokenise; SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to the table ``documents``, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages applied to ``documents``, one after the other; what a stage returns
+    is written as Parquet and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

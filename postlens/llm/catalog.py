@@ -2,6 +2,7 @@
 
 from postlens.llm.bpe import op7_bpe_encode_decode
 from postlens.llm.lm import op6_lm_scoring
+from postlens.llm.mixing import op3_mixing
 from postlens.llm.neighbours import op10_nearest_neighbours
 from postlens.llm.quality import op8_quality_rules
 from postlens.llm.sharding import op2_sharding
@@ -13,6 +14,7 @@ from postlens.llm.toxicity import op4_toxicity
 CATALOG = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_sharding": (op2_sharding, None),
+    "op3_mixing": (op3_mixing, None),
     "op4_toxicity": (op4_toxicity, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_lm_scoring": (op6_lm_scoring, None),

@@ -25,6 +25,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_hash(text: str = "text") -> Column:
+    """Hash of a text's bytes (null as empty): with the id it names a row."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+
+
 def as_bytes(df: DataFrame) -> DataFrame:
     """The text as UTF-8 bytes (null as empty), the form the word rules work on:
     ``bytes.split()`` cuts at exactly [\\x20\\x09-\\x0D] and ``bytes.lower()``

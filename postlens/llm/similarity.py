@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postlens.llm.common import as_bytes, components, id_and_text, keep, read
+from postlens.llm.common import as_bytes, components, id_and_text, keep, read, text_hash
 
 SHINGLE, NUM, DEN, HOT = 4, 85, 100, 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -235,7 +235,7 @@ class Join:
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: sets of distinct 4-word shingles
+    """doc_id, h (text hash), n_shingles, component_id of every row: sets of distinct 4-word shingles
     link when den * shared >= num * union; component_id is the smallest doc_id
     reachable by links, the row's own included.
 
@@ -245,7 +245,7 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int
     repeat an id with another text are linked by that id's name only.  An empty
     table gives an empty result.
     """
-    texts = as_bytes(id_and_text(docs, id_col, text_col)).withColumn("h", F.xxhash64("text"))
+    texts = as_bytes(id_and_text(docs, id_col, text_col)).withColumn("h", text_hash())
     join = Join(texts, num, den, hot)
     label = join.run()
     named = (join.classes.select("d", "least").join(label.withColumnRenamed("node", "d"), "d", "left")
@@ -253,13 +253,13 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = keep(named.join(least, "root").select(F.col("d").alias("cd"), "component_id"), "component")
     # rows without a set are their own component
-    rows = join.rows.select("doc_id", "n", "d")
+    rows = join.rows.select("doc_id", "h", "n", "d")
     linked = (rows.where("d is not null").join(of_class, F.col("d") == F.col("cd"))
-              .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
-    alone = rows.where("d is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"),
+              .select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "component_id"))
+    alone = rows.where("d is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"),
                                            F.col("doc_id").alias("component_id"))
     return linked.union(alone)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(read(spark, sf_dir, "documents"))
+    return similar_components(read(spark, sf_dir, "documents")).drop("h")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import id_and_text, keep, read
+from postlens.llm.common import id_and_text, keep, read, text_hash
 
 #: Words of a unit on average and at most; words of the shortest run that is removed.
 PIECE_WORDS, MOST_WORDS, MIN_WORDS = 6, 12, 25
@@ -127,7 +127,7 @@ def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """doc_id, text (what is kept), removed (array of start, end in code points of the
+    """doc_id, h (hash of the original text), text (what is kept), removed (array of start, end in code points of the
     original text), n_removed_words, n_words of every document.
 
     Earliest is the smallest (doc_id, text hash, place); a null id ranks first.
@@ -137,9 +137,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     meet the texts again; a text's own units are one group.
     """
     texts = id_and_text(docs, id_col, text_col)
-    found = texts.where("text is not null").withColumn("h", F.xxhash64("text"))
+    found = texts.where("text is not null").withColumn("h", text_hash())
     later = repeats(found).select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later")
-    both = texts.withColumn("h", F.xxhash64("text")).join(
+    both = texts.withColumn("h", text_hash()).join(
         later, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")), "left")
 
     def run(batches):
@@ -154,12 +154,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
             cols = list(zip(*out)) or [()] * 4
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), span, pa.int64(), pa.int64())))],
-                names=["doc_id", "text", "removed", "n_removed_words", "n_words"])
+                [batch.column("doc_id"), batch.column("h"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), span, pa.int64(), pa.int64())))],
+                names=["doc_id", "h", "text", "removed", "n_removed_words", "n_words"])
 
-    return both.select("doc_id", "text", "later").mapInArrow(
-        run, "doc_id long, text string, removed array<struct<start:int,end:int>>, n_removed_words long, n_words long")
+    return both.select("doc_id", "h", "text", "later").mapInArrow(
+        run, "doc_id long, h long, text string, removed array<struct<start:int,end:int>>, n_removed_words long, n_words long")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(read(spark, sf_dir, "documents"))
+    return dedup_substrings(read(spark, sf_dir, "documents")).drop("h")

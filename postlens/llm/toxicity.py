@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import fold, id_and_text, read
+from postlens.llm.common import fold, id_and_text, read, text_hash
 from postlens.llm.linear import Rows, bounded_sample, features, fit, select_features
 
 #: Names of groups, by kind; a name is swapped for others of its kind.
@@ -97,7 +97,7 @@ def score_text(text: str, weights: dict[str, float], bias: float) -> float:
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, label_col: str = "toxic",
                    id_col: str = "doc_id", text_col: str = "text", identity_terms=IDENTITY_TERMS,
                    text_source: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out (crc32 of the id mod 5 is 0; such rows never train), score
+    """doc_id, h (text hash), held_out (crc32 of the id mod 5 is 0; such rows never train), score
     (0 to 1) and predicted (score >= 0.5) of every whole text.
 
     ``text_source``: where the labelled texts are looked up, the documents
@@ -116,13 +116,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
         for batch in batches:
             scores = [score_text(t or "", weights, bias) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
+                [batch.column("doc_id"), batch.column("h"), batch.column("held_out"), pa.array(scores, pa.float64()),
                  pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                names=["doc_id", "held_out", "score", "predicted"])
+                names=["doc_id", "h", "held_out", "score", "predicted"])
 
-    return (texts.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
-            .mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"))
+    return (texts.select("doc_id", text_hash().alias("h"), (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+            .mapInArrow(run, "doc_id long, h long, held_out boolean, score double, predicted int"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("h")
