@@ -5,16 +5,20 @@ sets are one class.  All sets are ordered alike (by hash).  With need(n) =
 ceil(0.85 n), two sets that link share at least l tokens in their l-prefixes, the
 first n - need(n) + l tokens, for every l.
 
-The candidate cost of a token is the number of sets that post it.  A set whose
-prefix holds h costly tokens (posted by more than ``hot`` sets) lengthens its prefix
-until it reads h + 1 matches, l = h + 1: of that many shared tokens one at least is
-cheap, so only cheap tokens need to be posted.  Sets that stay among costly tokens
-however far the prefix is lengthened ("dense": members of large groups of near
-copies) post the costly tokens of their shortest prefix too; those long lists are
-never expanded into pairs: in rounds, a growing number of leaders of each list is
-compared with its members, members that already are in the leader's component are
-left out, until each list is one component or every pair of it was compared.
-
+The candidate cost of a token is the number of components, known so far, whose sets
+post it.  A set whose prefix holds h costly tokens (cost over ``hot``) lengthens its
+prefix until it reads h + 1 matches, l = h + 1: of that many shared tokens one at
+least is cheap, so only cheap tokens need to be posted.  Prefixes are stored with
+some room; sets that need more ("dense") are posted again as a whole among
+themselves, where l may grow up to the overlap that a link needs.  Sets that stay
+among costly tokens even so hold little else: large groups of near copies that did
+not link yet.  They also post the costly tokens of their shortest prefix, and those
+long lists are never expanded into pairs at once: in rounds, a growing number of
+leaders of each list is compared with its members, members already in the leader's
+component are left out, until each list is one component or every pair was compared.
+
+Before all that, each set is compared with the one set that leads most of its lists;
+this links most near copies with one comparison a set and only saves work.
 Candidates are verified in two steps: from the stored prefixes, whose missing tokens
 bound the overlap, and then on the whole sets.  Links feed connected components.
 """
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import as_bytes, components, id_and_text, keep, read, text_hash
 
-SHINGLE, NUM, DEN, HOT = 4, 85, 100, 32
+SHINGLE, NUM, DEN, HOT = 4, 85, 100, 16
+#: A prefix is stored with room for 4 + n / ROOM more tokens.
+ROOM = 48
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,7 +57,7 @@ def shingle_set(raw: bytes, size: int = SHINGLE) -> np.ndarray:
 
 def prefix_sizes(n: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
     """(tokens of the 1-prefix, tokens it may be lengthened by)."""
-    return n - (num * n + den - 1) // den + 1, 4 + n // 16
+    return n - (num * n + den - 1) // den + 1, 4 + n // ROOM
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -107,32 +113,49 @@ class Join:
                          .join(c, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("rep_h"))
                                & F.col("doc_id").eqNullSafe(F.col("rep_id")))
                          .select("d", "n", "prefix").dropDuplicates(["d"]), "reps")
-        self.links: DataFrame | None = None
+        # (node, root) of every set in a link so far
+        self.label = self.reps.sparkSession.createDataFrame([], "node long, root long")
+        self.compared = self.reps.sparkSession.createDataFrame([], "a long, b long")
 
-    def postings(self) -> DataFrame:
-        """(s, d, n, place, cost, dense, own): tokens that several sets post; ``own``
-        marks those that a set posts in the end."""
-        p1 = F.col("n") - F.ceil(F.lit(self.num) * F.col("n") / self.den).cast("int") + 1
-        every = self.reps.select("d", "n", F.posexplode("prefix").alias("place", "s"))
-        cost = keep(every.groupBy("s").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1"), "cost")
-        shared = keep(every.join(cost, "s").withColumn("p1", p1), "shared")
-        # costly tokens inside the lengthening prefix: the i-th is if fewer than p1 cheap ones stand before it
+    def rooted(self, post: DataFrame) -> DataFrame:
+        """Postings with the component that their set is in so far."""
+        return post.join(self.label.select(F.col("node").alias("d"), "root"), "d", "left") \
+            .withColumn("root", F.coalesce("root", "d"))
+
+    def choose(self, post: DataFrame, whole: bool) -> DataFrame:
+        """(s, d, n, m, cost, dense) of the tokens that sets post in the end, from
+        (s, d, n, place, root); ``whole``: from whole sets, not stored prefixes.  m is
+        the most that a set can share with one of another component."""
+        num, den = self.num, self.den
+        cost = keep(post.select("s", "root").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("cost"))
+                    .where("cost > 1"), "cost")
+        n = F.col("n")
+        p1 = n - F.ceil(F.lit(num) * n / den).cast("int") + 1
+        shared = post.join(cost, "s").withColumn("p1", p1)
+        if whole:
+            # a whole set shares no more with other components than its tokens of cost over 1
+            most = shared.groupBy("d", "n").agg(F.count(F.lit(1)).cast("int").alias("m")).where(F.col("m") * den >= n * num)
+            shared = shared.join(most.select("d", "m"), "d")
+        else:
+            shared = shared.withColumn("m", n)
+        shared = keep(shared, "shared")
+        # a partner may be shorter, and so may its longest prefix
+        shortest = F.floor(n * num / den)
+        room = F.ceil(F.lit(num) * shortest / den) - 1 if whole else F.lit(4) + F.floor(shortest / ROOM)
+        # the i-th costly token is inside the lengthening prefix if fewer than p1 cheap ones stand before it
         heavy = (shared.where(F.col("cost") > self.hot).groupBy("d", "n", "p1")
                  .agg(F.array_sort(F.collect_list("place")).alias("at"))
-                 .select("d", F.size(F.filter("at", lambda r, i: r - i < F.col("p1"))).alias("h"),
-                         # a partner may be shorter, and so may its longest prefix
-                         (F.lit(4) + F.floor(F.floor(F.col("n") * self.num / self.den) / 16)).alias("room")))
-        heavy = heavy.withColumn("dense", F.col("h") > F.col("room"))
-        j = shared.join(heavy, "d", "left")
-        h, dense = F.coalesce("h", F.lit(0)), F.coalesce("dense", F.lit(False))
-        cheap = F.col("cost") <= self.hot
+                 .select("d", F.size(F.filter("at", lambda r, i: r - i < F.col("p1"))).alias("h"), room.alias("room")))
+        j = shared.join(heavy.withColumn("dense", F.col("h") > F.col("room")), "d", "left")
+        h, dense, cheap = F.coalesce("h", F.lit(0)), F.coalesce("dense", F.lit(False)), F.col("cost") <= self.hot
         own = F.when(dense, cheap | (F.col("place") < F.col("p1"))).otherwise(cheap & (F.col("place") < F.col("p1") + h))
-        return keep(j.select("s", "d", "n", "place", "cost", dense.alias("dense"), own.alias("own"), "p1")
-                    .where("own").drop("own"), "postings")
+        return keep(j.where(own).select("s", "d", "n", "m", "cost", dense.alias("dense")), "postings")
 
     def sizes_fit(self, a: str = "x", b: str = "y"):
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
+        most = F.least(F.col(f"{a}.m"), F.col(f"{b}.m"))
+        return (F.least(x, y) * self.den >= F.greatest(x, y) * self.num) & \
+            (most * (self.den + self.num) >= (x + y) * self.num)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs (a, b)."""
@@ -149,18 +172,7 @@ class Join:
         close = keep(pairs.join(r.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
                      .join(r.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
                      .select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long"), "close")
-        # whole sets of the documents that are left
-        need = (close.select(F.col("a").alias("cd")).union(close.select("b")).distinct()
-                .join(self.classes.select(F.col("d").alias("cd"), "rep_id", "rep_h"), "cd")
-                .select("cd", "rep_id", F.col("rep_h").alias("nh")))
-
-        def sets(batches):
-            for batch in batches:
-                out = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([batch.column("cd"), pa.array(out, pa.binary())], names=["d", "s"])
-
-        whole = keep(self.texts.join(need, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-                     .select("cd", "text").dropDuplicates(["cd"]).mapInArrow(sets, "d long, s binary"), "whole")
+        whole = keep(self.whole_sets(close.select(F.col("a").alias("cd")).union(close.select("b")).distinct()), "whole")
 
         def exact(batches):
             for batch in batches:
@@ -176,60 +188,98 @@ class Join:
                     .join(whole.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
                     .select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "links")
 
-    def add(self, links: DataFrame) -> None:
-        self.links = links if self.links is None else self.links.union(links)
-        self.label = components(self.links)
+    def whole_sets(self, classes: DataFrame) -> DataFrame:
+        """(d, s binary: the sorted hashes) of the classes in column ``cd``; their texts are
+        read again, through a broadcast where the planner finds the classes few."""
+        need = keep(classes.join(self.classes.select(F.col("d").alias("cd"), "rep_id", F.col("rep_h").alias("nh")), "cd")
+                    .select("cd", "rep_id", "nh"), "need")
 
-    def labelled(self, post: DataFrame) -> DataFrame:
-        return post.join(self.label.select(F.col("node").alias("d"), "root"), "d", "left") \
-            .withColumn("root", F.coalesce("root", "d"))
+        def sets(batches):
+            for batch in batches:
+                out = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("cd"), pa.array(out, pa.binary())], names=["d", "s"])
+
+        return (self.texts.join(need, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+                .select("cd", "text").dropDuplicates(["cd"]).mapInArrow(sets, "d long, s binary"))
+
+    def whole_postings(self, classes: DataFrame) -> DataFrame:
+        """(s, d, n, place) of every token of the classes in column ``cd``."""
+
+        def explode(batches):
+            for batch in batches:
+                for d, raw in zip(batch.column("d").to_pylist(), batch.column("s")):
+                    s = np.frombuffer(raw.as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(s), pa.array(np.full(len(s), d, np.int64)), pa.array(np.full(len(s), len(s), np.int32)),
+                         pa.array(np.arange(len(s), dtype=np.int32))], names=["s", "d", "n", "place"])
+
+        return self.whole_sets(classes).mapInArrow(explode, "s long, d long, n int, place int")
 
-    def fresh(self, pairs: DataFrame) -> DataFrame:
-        """Candidates that no earlier round compared, with the compared ones noted."""
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the candidates that were not compared yet, and join what links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        self.compared = pairs if self.compared is None else self.compared.union(pairs)
-        return pairs
+        pairs = keep(pairs.join(self.compared, ["a", "b"], "left_anti"), "pairs")
+        self.compared = self.compared.union(pairs)
+        links = self.verify(pairs)
+        if links.isEmpty():
+            return
+        label = self.label
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        nodes = keep(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("root")).union(label), "nodes")
+        of = nodes.withColumnRenamed("root", "r")
+        between = (links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a")
+                   .join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
+                   .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        new = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        self.label = keep(nodes.join(new, nodes["root"] == new["old"], "left")
+                          .select("node", F.coalesce("new", "root").alias("root")), "label")
+
+    def compare_cheap(self, post: DataFrame) -> None:
+        """Cheap lists hold few components; pairs across them are candidates."""
+        cheap = self.rooted(post.where(F.col("cost") <= self.hot).select("s", "d", "n", "m"))
+        x, y = cheap.alias("x"), cheap.alias("y")
+        self.compare(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d"))
+                            & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
+                     .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
 
     def run(self) -> DataFrame:
         """(node, root) of every class that has a link; nodes are set digests."""
-        self.compared = None
-        post = self.postings()
-        # first the likely links, which only save work: a set and the first set of its lists,
-        # where they share at least half of the 1-prefix
-        first = post.groupBy("s").agg(F.min(F.struct("d", "n")).alias("lead"))
-        near = (post.join(first, "s").where(F.col("lead.d") != F.col("d")).groupBy("d", F.col("lead.d").alias("lead"))
-                .agg(F.count(F.lit(1)).alias("k"), F.max("p1").alias("p1")).where("2 * k >= p1"))
-        best = near.groupBy("d").agg(F.max_by("lead", "k").alias("lead"))
-        self.add(self.verify(self.fresh(best.select(F.col("d").alias("a"), F.col("lead").alias("b")))))
-        # cheap lists: at most hot sets each, and pairs across components only
-        cheap = self.labelled(post.where(F.col("cost") <= self.hot).select("s", "d", "n"))
-        x, y = cheap.alias("x"), cheap.alias("y")
-        pairs = (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d"))
-                        & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
-                 .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
-        self.add(self.verify(self.fresh(pairs)))
-        # costly lists of dense sets: leaders in rounds
+        every = self.reps.select("d", "n", F.posexplode("prefix").alias("place", "s"))
+        shared = keep(every.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"), "shared")
+        post = keep(every.join(shared, "s").select("s", "d", "n", "place"), "post")
+        first = post.groupBy("s").agg(F.min("d").alias("lead"))
+        p1 = F.col("n") - F.ceil(F.lit(self.num) * F.col("n") / self.den) + 1
+        near = (post.join(first, "s").where("lead <> d").groupBy("d", "lead")
+                .agg(F.count(F.lit(1)).alias("k"), F.max(p1).alias("p1")).where("2 * k >= p1"))
+        self.compare(near.groupBy("d").agg(F.max_by("lead", "k").alias("lead"))
+                     .select(F.col("d").alias("a"), F.col("lead").alias("b")))
+        post = self.choose(self.rooted(post), whole=False)
+        self.compare_cheap(post)
+        dense = keep(post.where("dense").select(F.col("d").alias("cd")).distinct(), "dense")
+        if dense.isEmpty():
+            return self.label
+        post = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
+        self.compare_cheap(post)
+        self.compare_costly(post.where((F.col("cost") > self.hot) & F.col("dense")))
+        return self.label
+
+    def compare_costly(self, post: DataFrame) -> None:
+        """Costly lists, by rounds of leaders."""
         order = F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("d"), "d"))
-        costly = keep(post.where((F.col("cost") > self.hot) & F.col("dense")).select("s", "d", "n", order.alias("at")),
-                      "costly")
+        costly = keep(post.select("s", "d", "n", "m", order.alias("at")), "costly")
         low, high = 1, 1
         while True:
-            marked = keep(self.labelled(costly), "marked")
+            marked = keep(self.rooted(costly), "marked")
             # lists that still hold several components, and members that were not all leaders yet
-            open_lists = keep(marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                                      F.max("at").alias("size"))
-                              .where((F.col("r0") != F.col("r1")) & (F.col("size") > low)).select("s"), "open")
-            if open_lists.isEmpty():
-                return self.label
-            todo = keep(marked.join(open_lists, "s", "left_semi"), "todo")
+            still = (marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("at").alias("size"))
+                     .where((F.col("r0") != F.col("r1")) & (F.col("size") > low)).select("s"))
+            todo = keep(marked.join(still, "s", "left_semi"), "todo")
+            if todo.isEmpty():
+                return
             lead, rest = todo.where(F.col("at").between(low, high)).alias("x"), todo.alias("y")
-            pairs = (rest.join(lead, (F.col("x.s") == F.col("y.s")) & (F.col("y.at") > F.col("x.at"))
-                               & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
-                     .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
-            self.add(self.verify(self.fresh(pairs)))
+            self.compare(rest.join(lead, (F.col("x.s") == F.col("y.s")) & (F.col("y.at") > F.col("x.at"))
+                                   & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
+                         .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
             low, high = high + 1, high * 4
 
 
