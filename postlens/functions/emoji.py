@@ -41,7 +41,8 @@ def symbol_array(symbols: Iterable[str]) -> Column:
 
 
 def _any_contains(text: Column, symbols: Iterable[str]) -> Column:
-    return F.exists(symbol_array(symbols), lambda s: F.instr(text, s) > 0)
+    # one pass over the text for all symbols, each quoted literally
+    return text.rlike("|".join(r"\Q" + s + r"\E" for s in dict.fromkeys(symbols)))
 
 
 def _is_pictograph(s: str) -> bool:

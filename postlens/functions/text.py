@@ -146,6 +146,22 @@ def lemmatise(tokens: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS,
     return F.sort_array(F.array_distinct(lemmas))
 
 
+def verb_base(word: Column | str, dictionary: Mapping[str, str] = VERB_LEMMAS) -> Column:
+    """Base form of one word: the dictionary's, else the regular ending taken off.
+    -ies and -ied become -y; -ing, -ed and -s go where at least three letters stay
+    that hold a vowel; a consonant doubled before -ing or -ed is single again (not
+    l, s or z)."""
+    w = _c(word)
+    keys = sorted(dictionary)
+    stem = (F.when(w.rlike(r"^.{2,}(ies|ied)$"), F.regexp_replace(w, r"(ies|ied)$", "y"))
+            .when(w.rlike(r"^.{3,}(ing|ed)$") & w.rlike(r"[aeiouy].*(ing|ed)$"),
+                  F.regexp_replace(F.regexp_replace(w, r"(ing|ed)$", ""), r"([bdfgmnprt])\1$", "$1"))
+            .when(w.rlike(r"^.{2,}(ss|sh|ch|x)es$"), F.regexp_replace(w, r"es$", ""))
+            .when(w.rlike(r"^.{2,}[^sui]s$"), F.regexp_replace(w, r"s$", ""))
+            .otherwise(w))
+    return F.when(w.isin(*keys), F.element_at(_map_literal(dictionary), w)).otherwise(stem)
+
+
 def explode_values(arr: Column | str, name: str) -> tuple[Column, Column]:
     """(generator, keep-condition) for exploding an array or map whose
     elements are computed by a costly expression.

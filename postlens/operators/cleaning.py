@@ -5,82 +5,78 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flags import clean_bool_string
 
 
-def quantile_rows(df: DataFrame, col: str, probs: Sequence[float],
-                  num_partitions: int | None = None) -> list[tuple[float, object]]:
-    """Exact discrete quantiles (SQL ``percentile_disc``): for each p the
-    smallest value whose cumulative count reaches ceil(p * n).
-
-    Distributed, two shuffles: values are pre-aggregated to (value, count)
-    with a map-side combine (a value holding a third of all rows is one
-    partial row per task), then the distinct values are range-partitioned and
-    sorted inside each partition, where a running count is kept (Arrow
-    batches, no further shuffle).  The totals of the preceding partitions
-    (one number per partition) shift each running count to a global rank.
-    The ranked table is persisted for the two actions of this call and
-    released at the end.  Returns [(prob, value)], empty when the column has
-    no non-null value.
-    """
-    vtype = dict(df.dtypes)[col]
+#: Distinct values that the last step of an exact quantile brings back at most.
+FEW_VALUES = 20_000
+
 
-    # Defined here so it is shipped to the Python workers by value: executors
-    # need pyspark, not this package.
-    def running_count(batches):
-        """Running total of ``n`` over one partition's rows (sorted by value);
-        the partition id identifies the value range."""
-        from pyspark import TaskContext
-        pid, run = TaskContext.get().partitionId(), 0
-        for pdf in batches:
-            cum = pdf["n"].cumsum() + run
-            if len(cum):
-                run = int(cum.iloc[-1])
-            yield pdf.assign(pid=pid, cum=cum)
-
-    vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-          .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    # one value range per core by default: the distinct-value table is much
-    # smaller than the input, and each range is one Arrow-batched task
-    n_ranges = num_partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranked = (vc.repartitionByRange(n_ranges, "v").sortWithinPartitions("v")
-              .mapInPandas(running_count, f"v {vtype}, n bigint, pid int, cum bigint")
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        totals = dict((r["pid"], r["t"]) for r in
-                      ranked.groupBy("pid").agg(F.max("cum").alias("t")).collect())
-        if not totals:
-            return []
-        grand, run, offsets = sum(totals.values()), 0, []
-        for pid in range(max(totals) + 1):
-            offsets.append(run)
-            run += totals.get(pid, 0)
-        # offset of a partition = rows in all lower partitions: an array
-        # literal indexed by partition id (one entry per range partition)
-        offset_col = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("pid") + 1)
-        targets = [(float(p), max(1, min(grand, math.ceil(p * grand)))) for p in probs]
-        tgt = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(k).cast("bigint").alias("k"))
-                                  for p, k in targets])).alias("t")
-        hits = (ranked.withColumn("cum", F.col("cum") + offset_col)
-                .select("v", "n", "cum", tgt)
-                .where((F.col("cum") - F.col("n") < F.col("t.k")) & (F.col("t.k") <= F.col("cum")))
-                .select(F.col("t.prob").alias("prob"), F.col("v").alias("value")).collect())
-        got = {r["prob"]: r["value"] for r in hits}
-        return [(float(p), got[float(p)]) for p in probs]
-    finally:
-        ranked.unpersist()
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    num_partitions: int | None = None) -> DataFrame:
+def quantile_rows(df: DataFrame, col: str, probs: Sequence[float], few: int = FEW_VALUES) -> list[tuple[float, object]]:
+    """Exact discrete quantiles (SQL ``percentile_disc``): for each p the smallest
+    value whose cumulative count reaches ceil(p * n).  Returns [(prob, value)], empty
+    when the column has no non-null value.
+
+    Values are counted with a map-side combine.  Up to ``few`` distinct values the
+    (value, count) table itself comes back, in one job.  Beyond that each quantile is
+    bracketed by Spark's percentile sketch, one aggregate counts what lies below the
+    bracket, and the values inside are looked at in the same way; a bracket holds a
+    small share of the rows, so this ends after a step or two at any size.
+    """
+    values = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
+    rows = _value_counts(values, few)
+    if rows is not None:
+        n = sum(c for _, c in rows)
+        return [(float(p), _at_rank(rows, _rank(p, n))) for p in probs] if n else []
+    n = values.count()
+    return [(float(p), _select(values, _rank(p, n), n, few)) for p in probs]
+
+
+def _rank(p: float, n: int) -> int:
+    return max(1, min(n, math.ceil(p * n)))
+
+
+def _value_counts(values: DataFrame, few: int) -> list[tuple] | None:
+    """Sorted (value, count) pairs, or None if there are more than ``few``."""
+    rows = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(few + 1).collect()
+    return sorted((r["v"], r["n"]) for r in rows) if len(rows) <= few else None
+
+
+def _at_rank(rows: list[tuple], k: int):
+    seen = 0
+    for v, n in rows:
+        seen += n
+        if seen >= k:
+            return v
+    return rows[-1][0]
+
+
+def _select(values: DataFrame, k: int, n: int, few: int):
+    """The k-th of n values."""
+    slack = 2e-4
+    while True:
+        p = k / n
+        lo, hi = values.agg(F.percentile_approx("v", [max(0.0, p - slack), min(1.0, p + slack)], 100_000)).first()[0]
+        below, upto = values.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).first()
+        if not below < k <= upto:
+            slack *= 4
+            continue
+        inside = values.where(F.col("v").between(lo, hi))
+        rows = _value_counts(inside, few)
+        if rows is not None:
+            return _at_rank(rows, k - below)
+        if upto - below >= n:
+            slack /= 8  # the bracket did not shrink
+        values, k, n = inside, k - below, upto - below
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     """``quantile_rows`` as a (prob, value) frame of at most len(probs) rows."""
     vtype = dict(df.dtypes)[col]
-    return df.sparkSession.createDataFrame(quantile_rows(df, col, probs, num_partitions),
-                                           f"prob double, value {vtype}")
+    return df.sparkSession.createDataFrame(quantile_rows(df, col, probs), f"prob double, value {vtype}")
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], rel_err: float = 0.0) -> list:

@@ -26,13 +26,30 @@ def residuals(pred: DataFrame, label: str = "label", prediction: str = "predicti
     return pred.withColumn("residual", F.col(label) - F.col(prediction))
 
 
-def confusion_matrix(pred: DataFrame, classes: Sequence[float] = (0.0, 1.0), label: str = "label",
+def confusion_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(label, prediction, n) for every pair of classes, zero-filled: a class is any
+    value that occurs as a label or as a prediction.  One aggregate over the rows;
+    the class set is taken from its result."""
+    n = pred.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    classes = n.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.collect_set("c").alias("cs"))
+    pairs = classes.select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("prediction"))
+    return (pairs.join(n, ["label", "prediction"], "left")
+            .select("label", "prediction", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
+
+
+def confusion_matrix(pred: DataFrame, classes: Sequence[float] | None = None, label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
     """Rows = true label, one column per predicted class (pred_<k>), zero-filled.
-    The pivot values are given, so the plan is a single grouped aggregate."""
-    aggs = [F.count_if(F.col(prediction) == F.lit(float(c))).cast("bigint").alias(f"pred_{int(c)}")
-            for c in classes]
-    return pred.groupBy(F.col(label).alias("label")).agg(*aggs)
+    The classes are those that occur, and ``classes`` besides; none is left out."""
+    long = confusion_counts(pred, label, prediction)
+    seen = {float(r[0]) for r in long.select("label").distinct().collect()}
+    every = sorted(seen | {float(c) for c in classes or ()})
+    aggs = [F.sum(F.when(F.col("prediction") == F.lit(c), F.col("n")).otherwise(F.lit(0))).cast("bigint")
+            .alias(f"pred_{c:g}") for c in every]
+    rows = long.groupBy("label").agg(*aggs)
+    unseen = [(c, *[0] * len(every)) for c in every if c not in seen]
+    return rows.unionByName(pred.sparkSession.createDataFrame(unseen, rows.schema)) if unseen else rows
 
 
 def prediction_counts(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -42,17 +59,21 @@ def prediction_counts(pred: DataFrame, prediction: str = "prediction") -> DataFr
 REPORT_SCHEMA = "class_name string, precision double, recall double, f1 double, support bigint"
 
 
-def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def classification_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                          max_pairs: int = 1_000_000) -> DataFrame:
     """Per-class precision / recall / F1 / support, then accuracy, macro and
     support-weighted averages — long form (class_name, precision, recall,
     f1, support).
 
     One aggregation job: the (label, prediction) count table has at most
     classes^2 rows whatever the input size, so it is brought back and the
-    handful of report rows is computed from it."""
-    pairs = [(float(r["l"]), float(r["p"]), int(r["n"])) for r in
-             pred.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p"))
-                 .agg(F.count(F.lit(1)).alias("n")).collect()]
+    handful of report rows is computed from it.  Columns that hold no classes
+    (more than ``max_pairs`` pairs) are an error; nothing is left out."""
+    counts = (pred.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p"))
+              .agg(F.count(F.lit(1)).alias("n")).limit(max_pairs + 1).collect())
+    if len(counts) > max_pairs:
+        raise ValueError(f"more than {max_pairs} (label, prediction) pairs: these columns hold no classes")
+    pairs = [(float(r["l"]), float(r["p"]), int(r["n"])) for r in counts]
     return pred.sparkSession.createDataFrame(report_rows(pairs), REPORT_SCHEMA)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,6 +13,7 @@ from ..session import cut_lineage
 from ..sources.sinks import register_view
 from .cleaning import binary_by_threshold, clean_posts, quantiles
 from .sentiment import score_comments
+from .text import join_by_word
 from .timing import add_calendar
 
 COMMENT_FEATURES_SQL = """
@@ -91,21 +92,47 @@ def assemble_features(posts: DataFrame, comments: DataFrame, *, likes_cuts: Sequ
                 "dayofweek": F.col("dayofweek").cast("string")}))
 
 
+def observed_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """The distinct non-null values of each column, sorted; one aggregate for all
+    columns.  Meant for calendar parts, whose values are few."""
+    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first()
+    return {c: list(row[c] or ()) for c in cols}
+
+
 def dummies(df: DataFrame, cols: Sequence[str] = ("year", "month", "dayofweek"),
-            keep: Sequence[str] = (), drop_nulls: bool = True, max_values: int = 1000) -> DataFrame:
+            keep: Sequence[str] = (), drop_nulls: bool = True, values: Mapping[str, Sequence] | None = None) -> DataFrame:
     """One 0/1 column per observed value of each column (``{col}_{value}``),
     next to ``keep``; rows with a null in any kept column are dropped.
 
-    The distinct values of each column are brought back to name the columns;
-    they are calendar parts, so bounded (years, 12 months, 7 days).  A column
-    with more than ``max_values`` distinct values raises instead of fetching
-    an unbounded list."""
+    The values name the columns, so they are brought back (one aggregate, or given
+    as ``values``); for columns with many values use ``dummy_rows``."""
+    values = values or observed_values(df, cols)
     out_cols = [F.col(c) for c in keep]
-    for c in cols:
-        values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                        .limit(max_values + 1).collect())
-        if len(values) > max_values:
-            raise ValueError(f"{c} has more than {max_values} distinct values; index it instead")
-        out_cols += [(F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}") for v in values]
+    out_cols += [(F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}") for c in cols for v in values[c]]
     out = df.select(*out_cols)
     return out.na.drop() if drop_nulls else out
+
+
+def dummy_rows(df: DataFrame, id_col: str, cols: Sequence[str] = ("year", "month", "dayofweek")) -> DataFrame:
+    """The set dummies in long form: (id, feature ``{col}_{value}``, value 1), with no
+    list of values anywhere; nulls set none."""
+    pairs = F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}_"), F.col(c).cast("string")))
+                                for c in cols])).alias("feature")
+    return df.select(F.col(id_col), pairs).where("feature is not null").withColumn("value", F.lit(1))
+
+
+def onehot_rows(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
+    """One-hot vectors as rows (id, feature, place, value 1.0): the categories of each
+    column by falling frequency (ties by value), the last one dropped.  ``place`` is
+    the category's index in its column's block."""
+    long = df.select(F.col(id_col), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                                        for c in cols])).alias("p")) \
+        .select(id_col, "p.c", "p.v").where("v is not null")
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    by_count = Window.partitionBy("c").orderBy(F.desc("n"), "v")
+    codes = (counts.withColumn("place", F.row_number().over(by_count) - 1)
+             .withColumn("last", F.max("place").over(Window.partitionBy("c"))).where("place < last"))
+    # category counts of a few columns; salted, since one category may hold most rows
+    feature = F.concat("c", F.lit("_"), "v")
+    return (join_by_word(long.withColumn("feature", feature), codes.select(feature.alias("feature"), "place"),
+                         "feature", id_col).select(id_col, "feature", "place", F.lit(1.0).alias("value")))

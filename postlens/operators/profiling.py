@@ -92,27 +92,33 @@ def histogram(df: DataFrame, col: str, width: float | None = None, lo: float = 0
                     (F.lit(lo) + (F.col("bin") + 1) * width).alias("bin_hi"), "n"))
 
 
-def kde(df: DataFrame, col: str, bandwidth: float, step: float, cutoff: float = 4.0,
-        lo: float = 0.0) -> DataFrame:
-    """Binned Gaussian kernel density on the grid lo + g * step.
-
-    Values are first counted per grid cell (map-side combined), each occupied
-    cell is expanded to the grid points within ``cutoff`` bandwidths of its
-    centre, and contributions are summed per grid point.  The work is bounded
-    by (occupied cells x window width), independent of row count, and no
-    pairing of rows with rows or with the whole grid happens.  Returns
-    (grid, x, density).
+def kde(df: DataFrame, col: str, bandwidth: float | None = None, step: float | None = None, lo: float | None = None,
+        grid: int = 128, margin: float = 3.0) -> DataFrame:
+    """Gaussian kernel density on the grid lo + g * step, as (grid, x, density).
+
+    Values are counted per grid cell first (map-side combined).  Every occupied cell
+    contributes to every point of the grid, which reaches ``margin`` bandwidths past
+    the occupied cells; no contribution is cut.  By default the bandwidth follows
+    Scott's rule, sd * n^(-1/5), lo is the minimum, and step divides the range into
+    ``grid`` cells.  The work is bounded by the square of the grid's length,
+    whatever the number of rows.
     """
-    n_total = df.where(F.col(col).isNotNull()).count()
-    reach = int(math.ceil(cutoff * bandwidth / step))
-    cells = (df.where(F.col(col).isNotNull())
-             .select(F.round((F.col(col) - F.lit(lo)) / F.lit(step)).cast("bigint").alias("cell"))
-             .groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-    g = F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)).alias("grid")
-    contrib = cells.select("cell", "n", g)
+    known = df.where(F.col(col).isNotNull())
+    n, sd, mn, mx = known.agg(F.count(F.lit(1)), F.stddev_samp(col), F.min(col), F.max(col)).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "grid bigint, x double, density double")
+    mn, mx = float(mn), float(mx)
+    lo = mn if lo is None else lo
+    step = step or (mx - mn) / grid or 1.0
+    bandwidth = bandwidth or (float(sd) if sd else 0.0) * n ** -0.2 or step
+    reach = int(math.ceil(margin * bandwidth / step))
+    cell = F.round((F.col(col) - F.lit(lo)) / F.lit(step)).cast("bigint")
+    cells = known.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    ends = cells.agg(F.min("cell"), F.max("cell")).first()
+    points = F.explode(F.sequence(F.lit(ends[0] - reach), F.lit(ends[1] + reach))).alias("grid")
     z = (F.col("grid") - F.col("cell")) * F.lit(step) / F.lit(bandwidth)
-    dens = F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)) / F.lit(max(n_total, 1) * bandwidth * _SQRT_2PI)
-    return (contrib.groupBy("grid").agg(dens.alias("density"))
+    dens = F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)) / F.lit(n * bandwidth * _SQRT_2PI)
+    return (cells.select("cell", "n", points).groupBy("grid").agg(dens.alias("density"))
             .select("grid", (F.lit(lo) + F.col("grid") * step).alias("x"), "density"))
 
 

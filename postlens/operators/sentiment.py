@@ -12,6 +12,7 @@ from ..functions import emoji as E
 from ..functions import text as T
 from ..functions.flags import normalise_flag
 from ..functions.lexicons import NEGATIVE_SYMBOLS, POLARITY_LEXICON, POSITIVE_SYMBOLS
+from .text import join_by_word
 
 POSITIVE_CUT, NEGATIVE_CUT = 0.1, -0.1
 
@@ -21,7 +22,8 @@ def polarity_expr(tokens: Column | str, lexicon: Mapping[str, float] = POLARITY_
     hit.  Row-local (map literal lookup inside the array), no shuffle."""
     m = T._map_literal({k: float(v) for k, v in lexicon.items()})
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    hits = F.filter(F.transform(t, lambda w: F.try_element_at(m, w)), lambda v: v.isNotNull())
+    # hash-set membership first; the map, whose lookup scans its keys, is probed for hits only
+    hits = F.transform(F.filter(t, lambda w: w.isin(*sorted(lexicon))), lambda w: F.element_at(m, w))
     total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
     return F.when(F.size(hits) == 0, F.lit(0.0)).otherwise(total / F.size(hits))
 
@@ -30,18 +32,17 @@ def polarity_by_join(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataF
                      word_col: str = "word", value_col: str = "polarity",
                      out_col: str = "polarity", broadcast_lexicon: bool = False) -> DataFrame:
     """Polarity for lexicons given as a table of any size: tokens join the
-    lexicon (broadcast when its statistics allow, else sort-merge), average
-    per id, left-joined back; 0.0 without a hit.  ``id_col`` must be unique.
+    lexicon (salted by the id, so a frequent word is dealt over many tasks),
+    average per id, left-joined back; 0.0 without a hit.  Several rows for one
+    word count as their mean.  ``id_col`` must be unique.
     ``broadcast_lexicon`` forces the broadcast; set it only for a lexicon of
     known bounded size whose statistics the planner lacks."""
     lex = lexicon.select(F.col(word_col).alias("_w"), F.col(value_col).cast("double").alias("_p")) \
-                 .dropDuplicates(["_w"])
-    if broadcast_lexicon:
-        lex = F.broadcast(lex)
+                 .groupBy("_w").agg(F.avg("_p").alias("_p"))
     gen, keep = T.explode_values(tokens_col, "_w")
-    per = (df.select(id_col, gen).where(keep)
-           .join(lex, "_w")
-           .groupBy(id_col).agg(F.avg("_p").alias(out_col)))
+    toks = df.select(id_col, gen).where(keep)
+    hits = toks.join(F.broadcast(lex), "_w") if broadcast_lexicon else join_by_word(toks, lex, "_w", id_col)
+    per = (hits.groupBy(id_col).agg(F.avg("_p").alias(out_col)))
     return (df.join(per, id_col, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0))))
 

@@ -3,11 +3,26 @@ frequencies, dictionary normalisation as a join, and long-form TF-IDF."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lexicons import VERB_LEMMAS
+
+#: Parts that the rows of one word are dealt into for a join; the word's side is repeated as often.
+WORD_SALTS = 16
+
+
+def join_by_word(tokens: DataFrame, words: DataFrame, word: str, salt_by: str, how: str = "inner",
+                 salts: int = WORD_SALTS) -> DataFrame:
+    """tokens JOIN words on ``word``, with the tokens of one word dealt into ``salts``
+    parts by a hash of ``salt_by`` and each row of ``words`` (one per word) repeated
+    for every part, so a frequent word is never one task's work."""
+    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [word, "_salt"], how).drop("_salt")
 
 
 def text_features(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text",
@@ -56,9 +71,9 @@ def normalise_vocabulary(df: DataFrame, id_col: str, tokens_col: str, dictionary
     a table of any size.
 
     posexplode -> left join (surface, base) on the token -> regroup per id in
-    the original token order.  The planner broadcasts the dictionary when its
-    statistics are under the broadcast threshold and sort-merges otherwise;
-    AQE splits a skewed token.  ``broadcast_dictionary`` forces the broadcast:
+    the original token order.  The join is salted by the id, so a frequent token
+    is dealt over many tasks.  Of several entries for one surface form the smallest
+    base (in binary order) holds.  ``broadcast_dictionary`` forces a broadcast:
     set it only for a dictionary of known bounded size whose statistics the
     planner lacks (e.g. built from a local list).  Groups are one document's
     tokens.  Tokens
@@ -67,10 +82,10 @@ def normalise_vocabulary(df: DataFrame, id_col: str, tokens_col: str, dictionary
     """
     toks = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "tok"))
     dic = dictionary.select(F.col(surface_col).alias("tok"), F.col(base_col).alias("base")) \
-                    .dropDuplicates(["tok"])
-    if broadcast_dictionary:
-        dic = F.broadcast(dic)
-    j = toks.join(dic, "tok", "left").withColumn("w", F.coalesce("base", "tok"))
+                    .groupBy("tok").agg(F.min("base").alias("base"))
+    j = toks.join(F.broadcast(dic), "tok", "left") if broadcast_dictionary else \
+        join_by_word(toks, dic, "tok", id_col, "left")
+    j = j.withColumn("w", F.coalesce("base", "tok"))
     entry = F.when(F.col("tok").isNotNull(), F.struct("pos", "w"))
     g = j.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     words = F.transform("_e", lambda e: e["w"])
@@ -79,25 +94,35 @@ def normalise_vocabulary(df: DataFrame, id_col: str, tokens_col: str, dictionary
     return g.select(id_col, words.alias(out_col))
 
 
-def tfidf_table(df: DataFrame, id_col: str, words_col: str, min_doc_freq: int = 0) -> DataFrame:
-    """Long-form TF-IDF with exact words: (id, word, tf, df, idf, tfidf).
+def tfidf_table(df: DataFrame, id_col: str, words_col: str, min_doc_freq: int = 0,
+                distinct_words: bool = False) -> DataFrame:
+    """Long-form TF-IDF with exact words: (id, word, tf, df, cf, idf, tfidf).
 
     idf = ln((N + 1) / (df + 1)), and 0 when df < min_doc_freq (the same
     formula as Spark ML's IDF over hashed term frequencies, without hash
-    collisions).  N is a single count brought back to the driver.
+    collisions).  N is a single count brought back to the driver.  Ids are unique,
+    so tf is counted inside the row (it is 1 for ``distinct_words`` arrays) and the
+    only shuffles are the map-side combined word counts and the salted join.
     """
     n_docs = df.select(id_col).count()
-    gen, keep = T.explode_values(words_col, "word")
-    tf = (df.select(id_col, gen).where(keep)
-          .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf")))
-    # df also carries the collection frequency (sum of tf): reading tf keeps
-    # this branch identical to the other one below the exchange, so the
-    # tokenised rows are computed once and the shuffle output is reused
+    words = F.col(words_col)
+    pairs = F.transform(words if distinct_words else F.array_distinct(words), lambda w: F.struct(
+        w.alias("word"), (F.lit(1) if distinct_words else F.size(F.filter(words, lambda x: x == w)))
+        .cast("bigint").alias("tf")))
+    gen, keep = T.explode_values(pairs, "_p")
+    tf = df.select(id_col, gen).where(keep).select(id_col, "_p.word", "_p.tf")
     dfreq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     idf = F.when(F.col("df") < min_doc_freq, F.lit(0.0)).otherwise(
         F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)))
-    return (tf.join(dfreq, "word")
+    return (join_by_word(tf, dfreq, "word", id_col)
             .withColumn("idf", idf)
             .withColumn("tfidf", F.col("tf") * F.col("idf"))
             .select(id_col, "word", "tf", "df", "cf", "idf", "tfidf"))
 
+
+def vocabulary_bases(df: DataFrame, words_col: str, dictionary: Mapping[str, str] = VERB_LEMMAS) -> DataFrame:
+    """(word, n_rows, base) of every distinct word: what the dictionary says, else the
+    rule for regular verb endings, worked out once per word."""
+    gen, keep = T.explode_values(F.array_distinct(words_col), "word")
+    vocabulary = df.select(gen).where(keep).groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
+    return vocabulary.withColumn("base", T.verb_base("word", dictionary))

@@ -31,7 +31,7 @@ class TaskResult:
 
 def run_task(wide: DataFrame, task: str = "classification", feature_set: str = "features",
              grids: Mapping[str, Mapping[str, list]] | None = None, folds: int = 5,
-             parallelism: int | None = None) -> TaskResult:
+             parallelism: int = 8) -> TaskResult:
     """Fit the feature pipeline on the training split, tune every model of the
     task by k-fold CV on ``feature_set`` ('features' or 'features_wtext'), and
     evaluate on the held-out split."""

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import POLARITY_LEXICON, VERB_LEMMAS
 from ..operators import features as FE
 from ..operators.sentiment import score_comments
-from ..sources.testviews import comments_view, posts_view, with_views
+from ..session import cut_lineage
+from ..sources import testviews
+from ..sources.testviews import with_views
 from . import sqlgen as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,19 @@ def register(name: str, sql: str | None):
     return deco
 
 
+def _read_partitions(spark: SparkSession) -> int | None:
+    """How many partitions the session wants small input files dealt over, if any."""
+    return int(spark.conf.get("spark.postlens.readPartitions", "0")) or None
+
+
+def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testviews.comments_view(spark, sf_dir, _read_partitions(spark))
+
+
+def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testviews.posts_view(spark, sf_dir, _read_partitions(spark))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_comments(comments_view(spark, sf_dir))
 
@@ -175,23 +190,49 @@ def q_comments_hist(spark, sf_dir):
     return PR.histogram(_posts(spark, sf_dir), "nbr_comments", 25.0)
 
 
-KDE_BW, KDE_STEP, KDE_CUT = 0.1, 0.02, 4.0
-KDE_REACH = int(math.ceil(KDE_CUT * KDE_BW / KDE_STEP))
+KDE_BW, KDE_STEP = 0.1, 0.02
+KDE_REACH = math.ceil(3.0 * KDE_BW / KDE_STEP)  # the default margin of 3 bandwidths
 
 
 @register("sentiment_density", _scored_cte(f"""
 SELECT grid, CAST(0.0 + grid * {KDE_STEP} AS DOUBLE) AS x,
        round(sum(n * exp(-0.5 * ((grid - cell) * {KDE_STEP} / {KDE_BW}) * ((grid - cell) * {KDE_STEP} / {KDE_BW})))
              / (max(n_total) * {KDE_BW} * sqrt(2 * pi())), 6) AS density
-FROM g, tot GROUP BY grid""", extra_ctes=f"""
+FROM cells, g, tot GROUP BY grid""", extra_ctes=f"""
 cf AS ({S.COMMENT_FEATURES_SQL}),
 cells AS (SELECT CAST(round((comments_sentiment - 0.0) / {KDE_STEP}) AS BIGINT) AS cell, count(*) AS n
           FROM cf WHERE comments_sentiment IS NOT NULL GROUP BY 1),
 tot AS (SELECT count(*) AS n_total FROM cf WHERE comments_sentiment IS NOT NULL),
-g AS (SELECT cell, n, unnest(range(cell - {KDE_REACH}, cell + {KDE_REACH} + 1)) AS grid FROM cells)"""))
+g AS (SELECT unnest(range(min(cell) - {KDE_REACH}, max(cell) + {KDE_REACH} + 1)) AS grid FROM cells)"""))
 def q_kde(spark, sf_dir):
     cf = FE.comment_features(_scored(spark, sf_dir))
-    return PR.kde(cf, "comments_sentiment", KDE_BW, KDE_STEP, KDE_CUT).select("grid", "x", _r("density"))
+    return PR.kde(cf, "comments_sentiment", KDE_BW, KDE_STEP, lo=0.0).select("grid", "x", _r("density"))
+
+
+def _density_sql(col: str) -> str:
+    """Scott's bandwidth over a grid of 64 cells from the minimum to the maximum."""
+    return _posts_cte(f"""WITH
+v AS (SELECT CAST({col} AS DOUBLE) AS v FROM posts WHERE {col} IS NOT NULL),
+par AS (SELECT count(*) AS n, min(v) AS lo, (max(v) - min(v)) / 64 AS step,
+               stddev_samp(v) * pow(count(*), -0.2) AS bw FROM v),
+cells AS (SELECT CAST(round((v - lo) / step) AS BIGINT) AS cell, count(*) AS k FROM v, par GROUP BY 1),
+g AS (SELECT unnest(range(min(cell) - CAST(max(ceil(3.0 * bw / step)) AS BIGINT),
+                          max(cell) + CAST(max(ceil(3.0 * bw / step)) AS BIGINT) + 1)) AS grid FROM cells, par)
+SELECT grid, round(max(lo) + grid * max(step), 4) AS x,
+       round(1000 * sum(k * exp(-0.5 * ((grid - cell) * step / bw) * ((grid - cell) * step / bw)))
+             / (max(n) * max(bw) * sqrt(2 * pi())), 6) AS density_per_1000
+FROM cells, g, par GROUP BY grid""")
+
+
+def _density(col: str):
+    def fn(spark, sf_dir):
+        d = PR.kde(_posts(spark, sf_dir), col, grid=64)
+        return d.select("grid", _r("x", 4), F.round(1000 * F.col("density"), 6).alias("density_per_1000"))
+    return fn
+
+
+register("likes_density", _density_sql("nbr_likes"))(_density("nbr_likes"))
+register("comments_density", _density_sql("nbr_comments"))(_density("nbr_comments"))
 
 
 @register("likes_comments_bins", _posts_cte("""
@@ -352,7 +393,8 @@ SELECT tf.post_id, tf.word, tf.tf, dfq.df, dfq.cf,
 FROM tf JOIN dfq USING (word) CROSS JOIN nd"""))
 def q_tfidf(spark, sf_dir):
     tf = TX.text_features(_posts(spark, sf_dir))
-    return TX.tfidf_table(tf, "post_id", "vector_lemma", min_doc_freq=ML.IDF_MIN_DOC_FREQ).select(
+    return TX.tfidf_table(tf, "post_id", "vector_lemma", min_doc_freq=ML.IDF_MIN_DOC_FREQ,
+                          distinct_words=True).select(
         "post_id", "word", "tf", "df", "cf", _r("idf"), _r("tfidf"))
 
 
@@ -368,6 +410,26 @@ def q_normalised(spark, sf_dir):
     return out.select("post_id", F.array_join("normalised", " ").alias("normalised"))
 
 
+def _verb_base_sql(w: str) -> str:
+    """The endings rule, spelled out for DuckDB."""
+    stem = f"regexp_replace({w}, '(ing|ed)$', '')"
+    doubled = ", ".join(f"'{c}{c}'" for c in "bdfgmnprt")
+    return f"""(CASE WHEN {w} IN ({", ".join(S.q(k) for k in sorted(VERB_LEMMAS))}) THEN ({S.smap(VERB_LEMMAS)})[{w}]
+  WHEN length({w}) >= 5 AND (ends_with({w}, 'ies') OR ends_with({w}, 'ied')) THEN left({w}, -3) || 'y'
+  WHEN (ends_with({w}, 'ing') OR ends_with({w}, 'ed')) AND length({stem}) >= 3 AND regexp_matches({stem}, '[aeiouy]')
+    THEN CASE WHEN right({stem}, 2) IN ({doubled}) THEN left({stem}, -1) ELSE {stem} END
+  WHEN regexp_matches({w}, '^.{{2,}}(ss|sh|ch|x)es$') THEN left({w}, -2)
+  WHEN length({w}) >= 4 AND ends_with({w}, 's') AND left(right({w}, 2), 1) NOT IN ('s', 'u', 'i') THEN left({w}, -1)
+  ELSE {w} END)"""
+
+
+@register("vocabulary_normalised", _posts_cte(f"""
+SELECT w AS word, count(*) AS n_rows, {_verb_base_sql('w')} AS base
+FROM (SELECT unnest(list_distinct({S.remove_stop(S.tokens(S.clean_text('post_text')))})) AS w FROM posts) u GROUP BY w"""))
+def q_vocabulary(spark, sf_dir):
+    return TX.vocabulary_bases(TX.text_features(_posts(spark, sf_dir)), "text_words_f")
+
+
 # --- M1-M9 sentiment and emoji ------------------------------------------------------
 
 @register("comment_sentiment", _scored_cte("""
@@ -485,6 +547,30 @@ def q_dummies(spark, sf_dir):
     return FE.dummies(w, keep=DUMMY_KEEP)
 
 
+@register("posts_dummy_rows", _posts_cte(f"""WITH cal AS (SELECT post_id, {S.calendar_cols()} FROM posts)
+SELECT post_id, 'year_' || year AS feature, 1 AS value FROM cal WHERE year IS NOT NULL
+UNION ALL SELECT post_id, 'month_' || month, 1 FROM cal WHERE month IS NOT NULL
+UNION ALL SELECT post_id, 'dayofweek_' || dayofweek, 1 FROM cal WHERE dayofweek IS NOT NULL"""))
+def q_dummy_rows(spark, sf_dir):
+    return FE.dummy_rows(add_calendar(_posts(spark, sf_dir)), "post_id")
+
+
+ONEHOT_COLS = ("year", "month", "dayofweek", "is_multiple_pictures", "is_video")
+
+
+@register("posts_onehot_rows", _clean_cte("WITH cal AS (SELECT post_id, is_multiple_pictures, is_video, "
+    + S.calendar_cols() + " FROM posts_clean),\nlong AS (" + " UNION ALL ".join(
+        f"SELECT post_id, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM cal WHERE {c} IS NOT NULL" for c in ONEHOT_COLS) + """),
+ranked AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) - 1 AS place,
+                  count(*) OVER (PARTITION BY c) AS k FROM long GROUP BY c, v)
+SELECT post_id, long.c || '_' || long.v AS feature, CAST(place AS INTEGER) AS place, CAST(1.0 AS DOUBLE) AS value
+FROM long JOIN ranked ON long.c = ranked.c AND long.v = ranked.v WHERE place < k - 1"""))
+def q_onehot_rows(spark, sf_dir):
+    # category counts need no bands: any cut values do
+    clean = CL.clean_posts(_posts(spark, sf_dir), cuts=[0, 0])
+    return FE.onehot_rows(add_calendar(clean), "post_id", ONEHOT_COLS)
+
+
 # --- X5 scaling with train-only statistics ------------------------------------------
 
 @register("contfeats_scaled", _wide_cte(f"""WITH
@@ -555,12 +641,19 @@ def q_residuals(spark, sf_dir):
     return EV.residuals(_regression_baseline(spark, sf_dir))
 
 
+def _positivity_and_likes(spark, sf_dir):
+    """(post_id, nbr_likes, label): label 1.0 where the comments are above the median."""
+    posts = _posts(spark, sf_dir).select("post_id", "nbr_likes")
+    cf = cut_lineage(FE.comment_features(_scored(spark, sf_dir)).select("post_id", "comments_sentiment"))
+    high = CL.binary_by_threshold("comments_sentiment", FE.sentiment_median(cf)) == "high"
+    return posts.join(cf, "post_id", "left").select("post_id", "nbr_likes", F.when(high, 1.0).otherwise(0.0).alias("label"))
+
+
 def _classification_baseline(spark, sf_dir):
-    wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir))
-    _, test = ML.hash_split(wide)
-    return test.select("post_id",
-                       F.when(F.col("comment_positivity") == "high", 1.0).otherwise(0.0).alias("label"),
-                       F.when(F.col("likes_level") == "high", 1.0).otherwise(0.0).alias("prediction"))
+    cuts = CL.likes_cuts(_posts(spark, sf_dir))
+    level = CL.band_by_quantiles("nbr_likes", cuts) if cuts else F.lit(None).cast("string")
+    _, test = ML.hash_split(_positivity_and_likes(spark, sf_dir))
+    return test.select("post_id", "label", F.when(level == "high", 1.0).otherwise(0.0).alias("prediction"))
 
 
 _CLS_PRED_SQL = _wide_cte(f"""WITH
@@ -578,6 +671,98 @@ def q_confusion(spark, sf_dir):
     return EV.confusion_matrix(_classification_baseline(spark, sf_dir))
 
 
+@register("confusion_matrix_levels", _clean_cte("""WITH
+lv AS (SELECT CAST(CASE likes_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS DOUBLE) AS label,
+              CAST(nbr_comments % 4 AS DOUBLE) AS prediction FROM posts_clean
+       WHERE likes_level IS NOT NULL AND nbr_comments IS NOT NULL),
+cl AS (SELECT label AS c FROM lv UNION SELECT prediction FROM lv),
+n AS (SELECT label, prediction, count(*) AS n FROM lv GROUP BY 1, 2)
+SELECT a.c AS label, b.c AS prediction, coalesce(n.n, 0) AS n
+FROM cl a CROSS JOIN cl b LEFT JOIN n ON n.label = a.c AND n.prediction = b.c"""))
+def q_confusion_levels(spark, sf_dir):
+    """Three classes of likes against a prediction with a fourth class."""
+    clean = CL.clean_posts(_posts(spark, sf_dir)).where("likes_level IS NOT NULL AND nbr_comments IS NOT NULL")
+    label = F.when(F.col("likes_level") == "low", 0.0).when(F.col("likes_level") == "medium", 1.0).otherwise(2.0)
+    return EV.confusion_counts(clean.select(label.alias("label"),
+                                            (F.col("nbr_comments") % 4).cast("double").alias("prediction")))
+
+
+@register("ranking_baseline", _wide_cte("""WITH
+x AS (SELECT CAST(comment_positivity = 'high' AS INTEGER) AS l, nbr_likes AS s FROM wide),
+tot AS (SELECT sum(l) AS p, count(*) - sum(l) AS n FROM x),
+rk AS (SELECT l, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM x),
+auc AS (SELECT (sum(r) FILTER (l = 1) - max(p) * (max(p) + 1) / 2.0) / (max(p) * max(n)) AS auc FROM rk, tot),
+th AS (SELECT s, sum(l) AS tp, count(*) AS k FROM x GROUP BY s),
+cu AS (SELECT s, sum(tp) OVER (ORDER BY s DESC) AS tp, sum(k) OVER (ORDER BY s DESC) AS k FROM th),
+pt AS (SELECT s, tp / p AS rec, tp / k AS prec FROM cu, tot),
+sg AS (SELECT rec - coalesce(lag(rec) OVER (ORDER BY s DESC), 0) AS dr,
+              prec + coalesce(lag(prec) OVER (ORDER BY s DESC), prec) AS pp FROM pt)
+SELECT 'areaUnderROC' AS metric, round(auc, 6) AS value FROM auc
+UNION ALL SELECT 'areaUnderPR', round(sum(dr * pp / 2), 6) FROM sg"""))
+def q_ranking(spark, sf_dir):
+    """E2, E3 on a deterministic score: the likes of a post against its comments' positivity."""
+    rows = ML.ranking_metrics(_positivity_and_likes(spark, sf_dir).withColumnRenamed("nbr_likes", "score"))
+    return spark.createDataFrame([(m, round(v, 6)) for m, v in rows], "metric string, value double")
+
+
+NB_FEATURES = ("is_video", "is_multiple_pictures", "has_mention", "has_hashtag")
+
+
+def _flag_frame(spark, sf_dir):
+    clean = CL.clean_posts(_posts(spark, sf_dir))
+    return clean.select((F.col("likes_level") == "high").cast("int").alias("c"), "nbr_likes", "nbr_comments", "is_video",
+                        "is_multiple_pictures", TX.T.has_mention("post_text").alias("has_mention"),
+                        TX.T.has_hashtag("post_text").alias("has_hashtag")).where("c IS NOT NULL")
+
+
+_FLAG_CTE = f"""fl AS (SELECT CAST(likes_level = 'high' AS INTEGER) AS c, nbr_likes, nbr_comments, is_video,
+  is_multiple_pictures, {S.has_sub('post_text', '@')} AS has_mention, {S.has_sub('post_text', '#')} AS has_hashtag
+  FROM posts_clean WHERE likes_level IS NOT NULL)"""
+
+
+@register("naive_bayes_baseline", _clean_cte(f"WITH {_FLAG_CTE},\nlg AS (" + " UNION ALL ".join(
+    f"SELECT c, '{f}' AS feature, sum({f}) AS s FROM fl GROUP BY c" for f in NB_FEATURES) + """),
+tt AS (SELECT c, sum(s) AS t FROM lg GROUP BY c)
+SELECT c AS class, 'prior' AS feature,
+       round(ln(count(*) + 1.0) - ln((SELECT count(*) FROM fl) + 2.0), 6) AS log_value FROM fl GROUP BY c
+UNION ALL SELECT lg.c, feature, round(ln(s + 1.0) - ln(t + 4.0), 6) FROM lg JOIN tt USING (c)"""))
+def q_naive_bayes(spark, sf_dir):
+    """The fitted log priors and likelihoods, from counts in SQL."""
+    rows, _ = ML.naive_bayes_tables(_flag_frame(spark, sf_dir), NB_FEATURES, "c")
+    return spark.createDataFrame([(c, f, round(v, 6)) for c, f, v in rows], "class int, feature string, log_value double")
+
+
+@register("linear_regression_baseline", _clean_cte(f"""WITH {_FLAG_CTE},
+m AS (SELECT covar_pop(nbr_comments, nbr_likes) AS c1, covar_pop(is_video, nbr_likes) AS c2, var_pop(nbr_comments) AS v1,
+             var_pop(is_video) AS v2, covar_pop(nbr_comments, is_video) AS c12, avg(nbr_likes) AS my,
+             avg(nbr_comments) AS m1, avg(is_video) AS m2 FROM fl),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m)
+SELECT 'nbr_comments' AS term, round(b1, 3) AS value FROM b UNION ALL SELECT 'is_video', round(b2, 3) FROM b
+UNION ALL SELECT 'intercept', round(my - b1 * m1 - b2 * m2, 3) FROM b"""))
+def q_linear_regression(spark, sf_dir):
+    """L1 without a penalty: the coefficients are those of the normal equations."""
+    names = ("nbr_comments", "is_video")
+    data = ML.VectorAssembler(inputCols=list(names), outputCol="features").transform(
+        _flag_frame(spark, sf_dir).withColumn("label", F.col("nbr_likes").cast("double")))
+    model = ML.LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal").fit(data)
+    rows = [*zip(names, model.coefficients), ("intercept", model.intercept)]
+    return spark.createDataFrame([(n, round(float(v), 3)) for n, v in rows], "term string, value double")
+
+
+@register("tree_root_split", _clean_cte(f"WITH {_FLAG_CTE},\nsp AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, avg(nbr_likes) FILTER ({f} = 0) AS lo, avg(nbr_likes) FILTER ({f} = 1) AS hi, "
+    f"count(*) FILTER ({f} = 0) AS n0, count(*) FILTER ({f} = 1) AS n1 FROM fl" for f in NB_FEATURES) + """)
+SELECT feature, round(lo, 3) AS left_mean, round(hi, 3) AS right_mean FROM sp WHERE n0 > 0 AND n1 > 0
+ORDER BY n0 * n1 * (lo - hi) * (lo - hi) DESC LIMIT 1"""))
+def q_tree_root(spark, sf_dir):
+    """The root split of the shallow tree is the flag that explains most variance."""
+    _, rules = ML.shallow_tree_rules(_flag_frame(spark, sf_dir).select(*NB_FEATURES, "nbr_likes"), "nbr_likes", 1)
+    text = "\n".join(r for _, r in rules)
+    feature = re.search(r"If \((\w+) <=", text).group(1)
+    left, right = (round(float(x), 3) for x in re.findall(r"Predict: ([-0-9.Ee]+)", text))
+    return spark.createDataFrame([(feature, left, right)], "feature string, left_mean double, right_mean double")
+
+
 @register("prediction_counts_baseline", _over_pred(
     _CLS_PRED_SQL, "SELECT CAST(prediction AS DOUBLE) AS prediction, count(*) AS n FROM pred GROUP BY 1"))
 def q_pred_counts(spark, sf_dir):
@@ -618,10 +803,13 @@ _FITTED: dict[tuple, tuple] = {}
 
 def _fitted(spark, sf_dir: str, task: str):
     """Fit once per (session, tables, task) and reuse across the queries that
-    report on the same models.  Holds models and lazy frames, not rows."""
+    report on the same models.  Holds the models and lazy frames of one folder of
+    tables at a time, not rows."""
     from .analysis import run_task
     key = (spark.sparkContext.applicationId, sf_dir, task)
     if key not in _FITTED:
+        for old in [k for k in _FITTED if k[:2] != key[:2]]:
+            del _FITTED[old]
         wide = FE.assemble_features(_posts(spark, sf_dir), comments_view(spark, sf_dir), keep_tokens=True)
         _FITTED[key] = run_task(wide, task, folds=5)
     return _FITTED[key]
@@ -653,17 +841,19 @@ def q_ml_report(spark, sf_dir):
                                        "value string, score double")
 
 
-@register("text_feature_vectors", None)
+@register("text_feature_vectors", _posts_cte(f"""WITH {_lemmas_sql_cte()}
+SELECT post_id, CAST(len(lemmas) AS INTEGER) AS bow_nnz, CAST(len(lemmas) AS DOUBLE) AS tf_sum, 100 AS w2v_size FROM lem"""))
 def q_text_vectors(spark, sf_dir):
+    """Every distinct lemma is one entry of the bag of words and adds 1 to the hashed counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
-    tf = TX.text_features(_posts(spark, sf_dir))
-    model = Pipeline(stages=ML.text_vector_stages(with_bow=True, with_w2v=True)).fit(tf)
-    out = model.transform(tf)
-    nnz = lambda c: F.size(F.filter(vector_to_array(c), lambda x: x != 0.0))
-    return out.select("post_id", nnz("features_bow").alias("bow_nnz"), nnz("featuresTF").alias("tf_nnz"),
-                      nnz("text_features").alias("idf_nnz"),
-                      F.size(vector_to_array("features_w2v")).alias("w2v_size"))
+    tf = cut_lineage(TX.text_features(_posts(spark, sf_dir)).select("post_id", "vector_lemma"))
+    model = Pipeline(stages=ML.text_vector_stages(with_bow=True, with_w2v=True, w2v_partitions=4)).fit(tf)
+    nnz = F.udf(lambda v: int(v.numNonzeros()), "int")  # a sparse row stays sparse
+    return model.transform(tf).select(
+        "post_id", nnz("features_bow").alias("bow_nnz"),
+        F.aggregate(vector_to_array("featuresTF"), F.lit(0.0), lambda a, x: a + x).alias("tf_sum"),
+        F.size(vector_to_array("features_w2v")).alias("w2v_size"))
 
 
 @register("shallow_tree_rules", None)
@@ -684,12 +874,15 @@ def q_split_sizes(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("post_text_feature_table", None)
+@register("post_text_feature_table", _posts_cte(f"""WITH {_lemmas_sql_cte()}
+SELECT posts.post_id, {S.has_sub('post_text', '@')} AS has_mention, {S.has_sub('post_text', '#')} AS has_hashtag,
+       CAST(len(lemmas) AS INTEGER) AS nbr_words, CAST(len(lemmas) AS DOUBLE) AS tf_sum
+FROM posts JOIN lem USING (post_id)"""))
 def q_text_table(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
     t = ML.text_feature_table(_posts(spark, sf_dir))
     return t.select("post_id", "has_mention", "has_hashtag", "nbr_words",
-                    F.size(F.filter(vector_to_array("text_features"), lambda x: x != 0.0)).alias("tfidf_nnz"))
+                    F.aggregate(vector_to_array("featuresTF"), F.lit(0.0), lambda a, x: a + x).alias("tf_sum"))
 
 
 DUMMY_KEEP = ["is_multiple_pictures", "is_video", "is_weekend", "has_mention", "has_hashtag", "nbr_words",

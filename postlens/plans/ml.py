@@ -53,28 +53,41 @@ def hash_split(df: DataFrame, id_col: str = "post_id", train_pct: int = 70,
 
 
 def text_vector_stages(tokens: str = "vector_lemma", out: str = "text_features",
-                       with_bow: bool = False, with_w2v: bool = False) -> list:
+                       with_bow: bool = False, with_w2v: bool = False, vocab_size: int = 1 << 18,
+                       w2v_partitions: int = 8, w2v_size: int = 100, w2v_min_count: int = 5) -> list:
     """Hashed term frequencies (1000 features) + IDF (min doc freq 100);
     optional bag-of-words and Word2Vec outputs (their fits cost a full pass
-    each and are unused downstream, so they are opt-in)."""
+    each and are unused downstream, so they are opt-in).
+
+    The bag of words keeps the ``vocab_size`` most frequent words: the vocabulary is
+    held by the driver (``words_outside`` counts the others).  Word2Vec trains in
+    ``w2v_partitions`` tasks and keeps words found ``w2v_min_count`` times."""
     stages = []
     if with_bow:
-        stages.append(CountVectorizer(inputCol=tokens, outputCol="features_bow"))
+        stages.append(CountVectorizer(inputCol=tokens, outputCol="features_bow", vocabSize=vocab_size))
     stages += [HashingTF(inputCol=tokens, outputCol="featuresTF", numFeatures=HASH_WIDTH),
                IDF(inputCol="featuresTF", outputCol=out, minDocFreq=IDF_MIN_DOC_FREQ)]
     if with_w2v:
-        stages.append(Word2Vec(inputCol=tokens, outputCol="features_w2v", seed=SEED))
+        stages.append(Word2Vec(inputCol=tokens, outputCol="features_w2v", seed=SEED, numPartitions=w2v_partitions,
+                               vectorSize=w2v_size, minCount=w2v_min_count))
     return stages
 
 
+def words_outside(df: DataFrame, tokens: str, vocabulary_size: int) -> int:
+    """How many distinct words a bag of words of that vocabulary leaves out."""
+    n = df.select(F.explode_outer(tokens).alias("w")).agg(F.count_distinct("w")).first()[0]
+    return max(0, n - vocabulary_size)
+
+
 def text_feature_table(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text") -> DataFrame:
     """Per post: has_mention, has_hashtag, nbr_words and the TF-IDF vector
     ``text_features`` (1000 hashed features, min doc freq 100), fitted on the
     given rows.  The IDF fit is one aggregation of fixed-width vectors."""
     from ..operators.text import text_features
-    tf = text_features(posts, id_col, text_col)
+    tf = cut_lineage(text_features(posts, id_col, text_col).select(
+        id_col, "has_mention", "has_hashtag", "nbr_words", "vector_lemma"))
     model = Pipeline(stages=text_vector_stages()).fit(tf)
-    return model.transform(tf).select(id_col, "has_mention", "has_hashtag", "nbr_words", "text_features")
+    return model.transform(tf).select(id_col, "has_mention", "has_hashtag", "nbr_words", "featuresTF", "text_features")
 
 
 def prepare_stages(task: str = "classification", outcome: str | None = None,
@@ -148,12 +161,13 @@ def prepare_input(wide: DataFrame, task: str = "classification", outcome: str |
 
 
 def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
-               feature_col: str = "features") -> dict:
+               feature_col: str = "features", original_nb_grid: bool = False) -> dict:
     """name -> (estimator, param grid, evaluator).  Default grids:
     regression  lr regParam {.2,.8} x elasticNetParam {0,.5,1}; rfreg maxDepth
     {3,5,7} x maxBins {32,100,200}; classification dt maxBins {32,80};
-    rf maxDepth {3,7} x maxBins {32,80}; nb smoothing {.3,.8,1} (0 gives
-    -inf scores for a feature unseen in a class)."""
+    rf maxDepth {3,7} x maxBins {32,80}; nb smoothing {.3,.8,1}, or the original
+    {0,.3,.8} with ``original_nb_grid`` (0 gives -inf scores for a feature unseen
+    in a class, so a tiny smoothing stands in for it)."""
     if task == "regression":
         ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mse")
         cands = {
@@ -171,7 +185,7 @@ def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
             "rf": (RandomForestClassifier(labelCol="label", featuresCol=feature_col, numTrees=50, seed=SEED),
                    {"maxDepth": [3, 7], "maxBins": [32, 80]}),
             "nb": (NaiveBayes(labelCol="label", featuresCol=feature_col),
-                   {"smoothing": [0.3, 0.8, 1.0]}),
+                   {"smoothing": [1e-10, 0.3, 0.8] if original_nb_grid else [0.3, 0.8, 1.0]}),
         }
     out = {}
     for name, (est, grid) in cands.items():
@@ -183,15 +197,13 @@ def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
     return out
 
 
-def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int | None = None,
+def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int = 8,
            grids: Mapping[str, Mapping[str, list]] | None = None, feature_col: str = "features",
            models: Sequence[str] | None = None, seed: int = SEED) -> dict[str, CrossValidatorModel]:
     """k-fold grid search per model.  Folds are hash buckets of post_id; the
     training frame is check-pointed once so every fit rescans it.  Up to
-    ``parallelism`` fits run at once (default: the cores available, capped at
-    8 — each fit is itself a distributed job, the concurrency only hides
-    per-job overhead)."""
-    parallelism = parallelism or min(8, train.sparkSession.sparkContext.defaultParallelism)
+    ``parallelism`` fits run at once (each fit is itself a distributed job, the
+    concurrency only hides per-job overhead and changes no result)."""
     data = train.withColumn("fold", F.pmod(split_bucket("post_id", seed + 1), F.lit(folds)).cast("int"))
     data = cut_lineage(data.select("post_id", F.col(feature_col).alias("features"), "label", "fold"))
     out = {}
@@ -252,6 +264,26 @@ def regressor_metrics(cv_models: Mapping[str, CrossValidatorModel], test: DataFr
     return rows
 
 
+def ranking_metrics(pred: DataFrame, label: str = "label", score: str = "score") -> list[tuple[str, float]]:
+    """Exact areas under the ROC and the precision-recall curve of a score (ties are one
+    threshold; the curves are not down-sampled)."""
+    df = pred.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("rawPrediction"))
+    return [(m, float(BinaryClassificationEvaluator(metricName=m, numBins=0).evaluate(df)))
+            for m in ("areaUnderROC", "areaUnderPR")]
+
+
+def naive_bayes_tables(df: DataFrame, features: Sequence[str], label: str, smoothing: float = 1.0):
+    """(class, feature, log_value): the class log priors (feature ``prior``) and feature
+    log likelihoods of a fitted multinomial naive Bayes model, with the model."""
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(
+        df.select(*features, F.col(label).cast("double").alias("label")))
+    model = NaiveBayes(smoothing=smoothing).fit(data)
+    theta = model.theta.toArray()
+    rows = [(c, "prior", float(p)) for c, p in enumerate(model.pi.toArray())]
+    rows += [(c, f, float(theta[c, j])) for c in range(theta.shape[0]) for j, f in enumerate(features)]
+    return rows, model
+
+
 def shallow_tree_rules(dummy_frame: DataFrame, label: str = "nbr_likes", max_depth: int = 3):
     """Explanatory regression tree on every row (no split): returns the fitted
     model and its rules as (line_no, rule) with feature indices replaced by

@@ -1,7 +1,7 @@
 """DuckDB spellings of the library's column functions, for the oracle SQL.
 
-Each helper mirrors one function in ``postlens.functions`` and takes/returns
-SQL expression text.  Keep the two sides in step.
+Each helper states one function of ``postlens.functions`` anew and takes/returns
+SQL expression text.  Only the fixed word and symbol lists are shared.
 """
 
 from __future__ import annotations
@@ -11,7 +11,20 @@ from collections.abc import Iterable, Mapping
 from ..functions.emoji import emoji_class
 from ..functions.lexicons import (BAD_TOKENS, NEGATIVE_SYMBOLS, POLARITY_LEXICON,
                                   POSITIVE_SYMBOLS, STOP_WORDS_EN, VERB_LEMMAS)
-from ..functions.text import DIGITS, PUNCT_CLASS, STEM_RULES
+
+# Spelled out again, not imported: a wrong pattern or rule in the library must not
+# be repeated here.
+DIGITS = "[0-9]+"
+PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
+# (step, ending, what must stand before it as RE2, what the ending becomes)
+STEMS = (
+    ("1a", "sses", "", "ss"), ("1a", "ies", "", "i"), ("1a", "s", "[^s]", ""),
+    ("1b", "eed", "[aeiouy].*", "ee"), ("1b", "ed", "[aeiouy].*", ""), ("1b", "ing", "[aeiouy].*", ""),
+    ("1c", "y", "[aeiouy].+", "i"),
+    ("2", "ational", "", "ate"), ("2", "tional", "", "tion"), ("2", "ization", "", "ize"), ("2", "iveness", "", "ive"),
+    ("2", "fulness", "", "ful"), ("2", "ousness", "", "ous"),
+    ("3", "icate", "", "ic"), ("3", "alize", "", "al"), ("3", "ness", "", ""),
+)
 
 
 def q(s: str) -> str:
@@ -61,9 +74,8 @@ def lemmatise(toks: str) -> str:
 
 
 def stem_step(x: str, step: str) -> str:
-    rules = [(p, r.replace("$1", "\\1")) for s, p, r in STEM_RULES if s == step]
-    whens = " ".join(f"WHEN regexp_matches({x}, {q(p)}) THEN regexp_replace({x}, {q(p)}, {q(r)})"
-                     for p, r in rules)
+    whens = " ".join(f"WHEN regexp_matches({x}, {q(before + end + '$')}) THEN left({x}, -{len(end)}) || {q(to)}"
+                     for s, end, before, to in STEMS if s == step)
     return f"(CASE {whens} ELSE {x} END)"
 
 

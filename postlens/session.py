@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "postlens",
                   shuffle_partitions: int | None = None,
-                  checkpoint_dir: str | None = None) -> SparkSession:
+                  checkpoint_dir: str | None = None, read_partitions: int | None = None) -> SparkSession:
     """A session tuned for the library's plans.
 
     AQE is on so shuffle partition counts coalesce at runtime and skewed join
     partitions are split; the UI is off (no server).  ``checkpoint_dir`` is only
     applied when the cluster has not named one in ``spark.checkpoint.dir``.
+    ``read_partitions``: how many partitions the registered queries deal small,
+    unsplittable input files over (none by default).
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -27,11 +32,11 @@ def build_session(master: str | None = None, app_name: str = "postlens",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # remove reliable checkpoint files once their DataFrame is gone
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # no Python call-site capture per Column operation (error messages only)
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
+    if read_partitions:
+        conf["spark.postlens.readPartitions"] = str(read_partitions)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
@@ -43,35 +48,33 @@ def build_session(master: str | None = None, app_name: str = "postlens",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for intermediate tables, named by ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``.  When the session names none (local
-    runs), fall back to a folder under the warehouse directory, which on a
-    cluster is shared storage rather than a machine-local temp folder.
+    A session on one machine that names none gets a temporary folder of its own; on a
+    cluster such a folder would not be shared, so there a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        wh = spark.conf.get("spark.sql.warehouse.dir")
-        root = wh.rstrip("/") + "/_postlens_checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="postlens-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
     return root
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write a table as parquet under a new name in the shared folder and read it back.
 
-    Survives executor loss (unlike a local checkpoint) and bounds recompute
-    for iterative consumers such as cross-validation.
+    Survives executor loss, bounds recomputation for iterative consumers such as
+    cross-validation, and no two callers can meet in one name.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_test_session(tmp_root: str | None = None) -> SparkSession:
     """local[*] session used by tests and scripts on one machine."""
     tmp_root = tmp_root or os.environ.get("POSTLENS_TMP", "/tmp")
-    return build_session(master="local[*]", shuffle_partitions=8,
+    return build_session(master="local[*]", shuffle_partitions=8, read_partitions=8,
                          checkpoint_dir=os.path.join(tmp_root, "postlens-ckpt"))

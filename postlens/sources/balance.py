@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def balance_partitions(scan: DataFrame, target: int | None = None) -> DataFrame:
-    """Round-robin repartition a file scan that yields fewer tasks than the
-    cluster can run (files of one big row group, unsplittable multi-line
-    CSV files), so CPU-heavy text work downstream uses every core.  A no-op
-    for a scan that is already split finely, the normal case for large
-    inputs, so no full shuffle of raw rows is added there.  Only call on a
-    plain scan: planning its partitions runs no job."""
-    target = target or scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(target) if scan.rdd.getNumPartitions() < target else scan
+def balance_partitions(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a file scan over ``partitions`` tasks with a round-robin shuffle, for files
+    that cannot be split (one big row group, multi-line CSV) under CPU-heavy text
+    work.  None, the right choice for inputs of many files, leaves the scan alone."""
+    return scan.repartition(partitions) if partitions else scan

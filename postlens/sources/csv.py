@@ -21,10 +21,8 @@ def read_csv_table(spark: SparkSession, path_glob: str, schema: StructType,
                    num_partitions: int | None = None) -> DataFrame:
     """Read a glob of CSV exports with an explicit schema and drop the row index.
 
-    ``multiLine`` makes every file one unsplittable task; when there are
-    fewer files than cores the rows are spread with a round-robin repartition
-    right after the scan (to ``num_partitions``, default the cluster's
-    parallelism).  Many files are already many tasks and are left alone.
+    ``multiLine`` makes every file one unsplittable task; for few files, name
+    ``num_partitions`` to deal the rows over that many tasks right after the scan.
     """
     df = balance_partitions(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path_glob), num_partitions)
     return df.drop(ROW_INDEX) if ROW_INDEX in df.columns else df

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import checkpoint_root
-
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Publish a frame to SQL under ``name``; returns the frame."""
@@ -13,15 +11,8 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def write_features(df: DataFrame, path: str | None = None, name: str = "features",
-                   mode: str = "overwrite") -> DataFrame:
-    """Persist a feature table as parquet and read it back.
-
-    Without ``path`` the table goes under the session's shared checkpoint
-    folder.  Reading it back cuts the lineage, so iterative consumers (grid
-    search, cross-validation) rescan parquet instead of recomputing joins.
-    """
-    spark = df.sparkSession
-    target = path or f"{checkpoint_root(spark).rstrip('/')}/{name}"
-    df.write.mode(mode).parquet(target)
-    return spark.read.parquet(target)
+def write_features(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
+    """Persist a feature table as parquet under ``path`` and read it back; an existing
+    table is only replaced with ``mode="overwrite"``."""
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)

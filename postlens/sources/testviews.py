@@ -35,9 +35,8 @@ VERIFIED_VALUES = ("True", "1.0", "False", "0.0", "Not found")
 NULL_POST_MOD = 37
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balance_partitions(df) if balance else df
+def table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    return balance_partitions(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), partitions)
 
 
 def _case(key: F.Column, values) -> F.Column:
@@ -48,8 +47,8 @@ def _case(key: F.Column, values) -> F.Column:
     return expr
 
 
-def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", balance=True).select("doc_id", "text", "source")
+def posts_view(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    d = table(spark, sf_dir, "documents", partitions).select("doc_id", "text", "source")
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
@@ -74,8 +73,8 @@ def posts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments_from_conversations(table(spark, sf_dir, "conversations", balance=True))
+def comments_view(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    return comments_from_conversations(table(spark, sf_dir, "conversations", partitions))
 
 
 def comments_from_conversations(c: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ def spark():
     from postlens.session import build_session
     scratch = tempfile.mkdtemp(prefix="postlens-tests-")
     s = build_session(master="local[*]", app_name="postlens-tests", shuffle_partitions=8,
+                      read_partitions=4,
                       checkpoint_dir=os.path.join(scratch, "ckpt"))
     s.sparkContext.setLogLevel("ERROR")
     yield s

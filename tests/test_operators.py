@@ -155,3 +155,72 @@ def test_clean_posts_bands_cover_rows(spark, rel_err):
     assert not {"nbr_pictures", "google_maps_url", "location"} & set(clean.columns)
     n = clean.where(F.col("nbr_likes").isNotNull()).count()
     assert clean.where(F.col("likes_level").isNotNull()).count() == n
+
+
+def test_confusion_keeps_every_class(spark):
+    """A class that is only predicted and one that is only a label both have their place."""
+    rows = [(0.0, 2.0), (0.0, 0.0), (2.0, 2.0), (3.0, 0.0)]
+    df = spark.createDataFrame(rows, "label double, prediction double")
+    long = {(r.label, r.prediction): r.n for r in EV.confusion_counts(df).collect()}
+    assert long == {(a, b): rows.count((a, b)) for a in (0.0, 2.0, 3.0) for b in (0.0, 2.0, 3.0)}
+    wide = {r.label: (r.pred_0, r.pred_1, r.pred_2, r.pred_3) for r in EV.confusion_matrix(df, classes=[1.0]).collect()}
+    assert wide == {0.0: (1, 0, 1, 0), 1.0: (0, 0, 0, 0), 2.0: (0, 0, 1, 0), 3.0: (1, 0, 0, 0)}
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_duplicate_dictionary_words(spark, turn):
+    """Several rows for one word: the mean polarity, the smallest base, in any order."""
+    df = spark.createDataFrame([(1, ["good", "ran"])], "id int, t array<string>")
+    lex = spark.createDataFrame([("good", 1.0), ("good", -0.5)][::turn], "word string, polarity double")
+    assert SE.polarity_by_join(df, "id", "t", lex).first().polarity == 0.25
+    dic = spark.createDataFrame([("ran", "run"), ("ran", "flee")][::turn], "surface string, base string")
+    assert TX.normalise_vocabulary(df, "id", "t", dic).first().normalised == ["good", "flee"]
+
+
+def test_exact_quantiles_beyond_the_small_case(spark):
+    """Brackets: more distinct values than may come back, hot values, negative values."""
+    import duckdb
+    xs = [((i * 7919) % 10007) - 3000 for i in range(9000)] + [42] * 3000
+    df = spark.createDataFrame([(x,) for x in xs], "x long").repartition(4)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::BIGINT[]) AS x", [xs])
+    probs = [0.0, 0.01, 0.3, 0.5, 0.777, 1.0]
+    want = [con.execute(f"SELECT quantile_disc(x, {p}) FROM t").fetchone()[0] for p in probs]
+    assert [v for _, v in CL.quantile_rows(df, "x", probs, few=50)] == want
+
+
+def test_kde_is_not_cut(spark):
+    df = spark.createDataFrame([(0.0,), (10.0,)], "x double")
+    at = {r.grid: r.density for r in PR.kde(df, "x", bandwidth=1.0, step=1.0, lo=0.0).collect()}
+    want = (math.exp(-0.5 * 36) + math.exp(-0.5 * 16)) / (2 * math.sqrt(2 * math.pi))
+    assert math.isclose(at[6], want, rel_tol=1e-12)  # both values reach it, six and four bandwidths away
+    assert PR.kde(df.where("x < 0"), "x").count() == 0
+
+
+def test_onehot_drops_the_rarest_category(spark):
+    from postlens.operators.features import dummy_rows, onehot_rows
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, "b", 1), (4, None, 1), (5, "c", 0)], "id int, s string, f int")
+    got = sorted((r.id, r.feature, r.place) for r in onehot_rows(df, "id", ["s", "f"]).collect())
+    assert got == [(1, "s_a", 0), (2, "f_1", 0), (2, "s_a", 0), (3, "f_1", 0), (3, "s_b", 1), (4, "f_1", 0)]
+    assert dummy_rows(df, "id", ["s", "f"]).count() == 9
+
+
+def test_verb_base_literals(spark):
+    from postlens.functions.text import verb_base
+    words = ["went", "playing", "stopped", "tries", "studied", "watches", "runs", "bus", "boss", "sing", "red", "bring",
+             "falling", "liked", "is", "thing"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [r[0] for r in df.select(verb_base("w", {"went": "go", "is": "be"})).collect()]
+    assert got == ["go", "play", "stop", "try", "study", "watch", "run", "bus", "boss", "sing", "red", "bring",
+                   "fall", "lik", "be", "thing"]
+
+
+def test_stem_rules_literals(spark):
+    """One word per rule: changing a rule turns this red."""
+    pairs = {"glasses": "glass", "skies": "ski", "dogs": "dog", "agreed": "agree", "jumped": "jump", "jumping": "jump",
+             "silly": "silli", "relational": "relate", "conditional": "condition", "organization": "organize",
+             "decisiveness": "decisive", "hopefulness": "hopeful", "callousness": "callous", "triplicate": "triplic",
+             "formalize": "formal", "goodness": "good"}
+    from postlens.functions.text import stem_tokens
+    df = spark.createDataFrame([(list(pairs),)], "w array<string>")
+    assert df.select(stem_tokens("w")).first()[0] == list(pairs.values())

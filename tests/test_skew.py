@@ -51,3 +51,23 @@ def test_word_frequency_and_dictionary_join_with_hot_word(spark):
     assert out.count() == 600
     assert out.where(F.array_contains("normalised", "was")).count() == 0
     assert out.select(F.sum(F.size("normalised"))).first()[0] == 600 * 7
+
+
+def test_hot_word_is_dealt_over_the_join(spark):
+    """With broadcasts off and one word in every row, no part of the salted word join
+    holds more than twice the median's rows of that word."""
+    docs = [(i, ["the", f"w{i % 11}"]) for i in range(8000)]
+    df = spark.createDataFrame(docs, "id int, w array<string>").select("id", F.explode("w").alias("word"))
+    words = df.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = TX.join_by_word(df, words, "word", "id")
+        assert joined.count() == 16000
+        parts = df.where("word = 'the'").groupBy(F.pmod(F.xxhash64("id"), F.lit(TX.WORD_SALTS))).count()
+        sizes = sorted(r["count"] for r in parts.collect())
+        assert len(sizes) == TX.WORD_SALTS and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -39,9 +39,9 @@ def test_comments_csv_permissive(spark, tmp_dir):
     assert got[0].comment_id == 11 and got[1].comment_id is None and got[1].post_id is None
 
 
-def test_write_features_and_view(spark):
+def test_write_features_and_view(spark, tmp_dir):
     df = spark.range(10).withColumnRenamed("id", "post_id")
-    back = write_features(df, name="t_features")
+    back = write_features(df, os.path.join(tmp_dir, "t_features"))
     assert back.count() == 10
     register_view(back, "t_features_view")
     assert spark.sql("SELECT count(*) FROM t_features_view").first()[0] == 10
