@@ -17,6 +17,7 @@ others are counted by a shuffle on the word, where no word can be hot.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -48,14 +49,13 @@ def heavy_words(texts: DataFrame) -> tuple[list[bytes], int]:
     some partition."""
 
     def run(batches):
-        count: dict[bytes, int] = {}
+        count: Counter[bytes] = Counter()
         n = 0
         for batch in batches:
             for text in batch.column("text"):
                 words = words_of(text.as_py())
                 n += len(words) + 1
-                for w in words:
-                    count[w] = count.get(w, 0) + 1
+                count.update(words)
         least = max(2, n / HEAD)
         out = [(w, c) for w, c in count.items() if c >= least and len(w) <= LONGEST_HEAD_WORD]
         yield pa.RecordBatch.from_arrays([pa.array([b"", *(w for w, _ in out)], pa.binary()),
@@ -68,11 +68,20 @@ def heavy_words(texts: DataFrame) -> tuple[list[bytes], int]:
     return [bytes(r.word) for r in rows[1:]], total
 
 
+class Tails(dict):
+    """Tail class of a word's last two bytes; at most 65,792 entries."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = TOP + 1 + crc32(end) % TAIL
+        return self[end]
+
+
 class Classes:
     """Class and head place of words."""
 
     def __init__(self, head: list[bytes]):
         self.place = {w: i for i, w in enumerate(head)}
+        self.tails = Tails()
         self.of_head = np.array([i if i < TOP else self.tail(w) for i, w in enumerate(head)] or [0], np.int64)
 
     @staticmethod
@@ -84,8 +93,8 @@ class Classes:
         get = self.place.get
         at = np.array([get(w, -1) for w in words], np.int64)
         cls = self.of_head[at]
-        for i in np.flatnonzero(at < 0):
-            cls[i] = self.tail(words[i])
+        low, tails = np.flatnonzero(at < 0), self.tails
+        cls[low] = [tails[words[i][-2:]] for i in low.tolist()]
         return at, cls
 
 
@@ -184,10 +193,7 @@ def tail_figures(texts: DataFrame, head: list[bytes], class_tokens: np.ndarray)
         for batch in batches:
             rows = []
             for doc_id, h, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "held_out", "text"))):
-                count: dict[bytes, int] = {}
-                for w in words_of(text):
-                    if w not in known:
-                        count[w] = count.get(w, 0) + 1
+                count = Counter([w for w in words_of(text) if w not in known])
                 rows += [(doc_id, h, w, n, 0 if held else n, Classes.tail(w)) for w, n in count.items()]
             for lo in range(0, len(rows), 50_000):
                 cols = list(zip(*rows[lo:lo + 50_000]))

@@ -2,10 +2,10 @@
 
 Units.  Lines are cut into pieces at content-defined places (after a word whose
 hash says so, ``piece_words`` words apart on average), so a passage inside longer
-lines gives the same units wherever it stands.  A unit is normalised (lower case,
-single spaces) and hashed; digests are grouped over all documents and each points
-at its earliest occurrence by (doc_id, text hash, position).  A unit that stands
-later than that is a repeat.  Runs of neighbouring repeats of at least
+lines gives the same units wherever it stands.  A unit is normalised (lower
+case, single spaces) and hashed; digests are grouped over all documents and each
+points at the smallest doc_id that holds it.  A unit in a document with a larger id,
+or that stood earlier in the same document, is a repeat.  Runs of neighbouring repeats of at least
 ``min_words`` words are removed; the rest stays byte for byte, and the removed
 spans keep their offsets in the original text.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 from itertools import groupby
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -28,101 +29,94 @@ PIECE_WORDS, MOST_WORDS, MIN_WORDS = 6, 12, 25
 #: A digest is hot if it makes up this share of all units or more: at most 1 / HOT_SHARE of them, broadcast.
 HOT_SHARE = 1e-4
 word_spans = regex.compile(r"[^\x20\x09-\x0D]+").finditer
-UNIT = "doc_id long, h long, pos int, digest long"
-
-
-def units(text: str, piece_words: int = PIECE_WORDS, most: int = MOST_WORDS) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit, offsets in code points.  A line
-    break always ends a unit; so does a word whose checksum is divisible by
-    ``piece_words``, and the ``most``-th word."""
-    out, first, words = [], 0, []
-    end = 0
-
-    def close():
-        out.append((first, end, len(words), xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)))
-        words.clear()
-
-    for hit in word_spans(text):
-        start = hit.start()
-        if words and text.find("\n", end, start) >= 0:
-            close()
-        if not words:
-            first = start
-        w = hit.group().lower()
-        words.append(w)
-        end = hit.end()
-        if len(words) == most or crc32(w.encode()) % piece_words == 0:
-            close()
-    if words:
-        close()
-    return out
+
+
+def units(text: str, piece_words: int = PIECE_WORDS, most: int = MOST_WORDS) -> tuple[list[int], list[int]]:
+    """(digest, words) of each unit in order.  A line break always ends a unit; so does
+    a word whose checksum is divisible by ``piece_words``, and the ``most``-th word."""
+    digests, sizes = [], []
+    for line in text.lower().encode().split(b"\n"):
+        words = line.split()
+        start = 0
+        for end in [i for i, w in enumerate(words, 1) if not crc32(w) % piece_words] + [len(words)]:
+            while end > start:
+                stop = min(end, start + most)
+                digests.append(xxhash.xxh64_intdigest(b" ".join(words[start:stop])) - (1 << 63))
+                sizes.append(stop - start)
+                start = stop
+    return digests, sizes
 
 
 def unit_rows(texts: DataFrame) -> DataFrame:
-    """One row per distinct unit of each text: its first place there."""
+    """(doc_id, h, digest): one row per distinct unit of each text."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-                seen = set()
-                for pos, (_, _, _, digest) in enumerate(units(text)):
-                    if digest not in seen:
-                        seen.add(digest)
-                        rows.append((doc_id, h, pos, digest))
-            for lo in range(0, len(rows), 100_000):
-                cols = list(zip(*rows[lo:lo + 100_000]))
+            ids, hs, digests, sizes = [], [], [], []
+            for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
+                own = set(units(text.as_py())[0])
+                digests += own
+                sizes.append(len(own))
+                ids.append(doc_id)
+                hs.append(h)
+            at = np.repeat(np.arange(len(ids)), sizes)
+            for lo in range(0, len(at), 100_000):
+                part = pa.array(at[lo:lo + 100_000])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
-                    names=["doc_id", "h", "pos", "digest"])
+                    [pa.array(ids, pa.int64()).take(part), pa.array(hs, pa.int64()).take(part),
+                     pa.array(digests[lo:lo + 100_000], pa.int64())], names=["doc_id", "h", "digest"])
 
-    return texts.mapInArrow(run, UNIT)
+    return texts.mapInArrow(run, "doc_id long, h long, digest long")
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """(doc_id, h, later, inner): the digests of a text that another text holds
-    earlier (``later``), and those it is the first to hold.  Only digests found in
-    several texts are listed, so texts without any have no row."""
+    """(doc_id, h, later): the digests of a text that a document with a smaller id
+    holds too.  Texts without any have no row."""
     rows = unit_rows(texts)
-    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h")).alias("first"))
-                  .where("n > 1").select("digest", "n", F.col("first.doc_id").alias("first_id"),
-                                         F.col("first.h").alias("first_h")), "firsts")
+    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+                  .where("n > 1 and first_id is not null"), "firsts")
     # digests in many texts are few, whatever the size of the corpus; they are broadcast,
     # and no key of the shuffled join holds more than the share
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = firsts.where(F.col("n") >= F.greatest(F.lit(total * HOT_SHARE), F.lit(1000.0)))
-    found = rows.join(F.broadcast(hot.select("digest", "first_id", "first_h")), "digest", "left")
-    is_hot = F.col("first_h").isNotNull()
-    cold = firsts.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select("digest", "first_id", "first_h")
-    some = (found.where(is_hot).select("doc_id", "h", "digest", "first_id", "first_h")
-            .union(found.where(~is_hot).select("doc_id", "h", "digest").join(cold, "digest")
-                   .select("doc_id", "h", "digest", "first_id", "first_h")))
-    later = ~((F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    return (some.where(later).select("doc_id", "h", "digest").groupBy("doc_id", "h")
-            .agg(F.collect_set("digest").alias("later")))
-
-
-def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
-    """(kept text, removed spans, words removed).  A unit is a repeat if another text
+    hot = F.col("n") >= max(total * HOT_SHARE, 1000.0)
+    hot_firsts = F.broadcast(firsts.where(hot).select(F.col("digest").alias("hot_digest"), F.col("first_id").alias("hot_id")))
+    cold_firsts = firsts.where(~hot).select(F.col("digest").alias("cold_digest"), F.col("first_id").alias("cold_id"))
+    marked = rows.join(hot_firsts, F.col("digest") == F.col("hot_digest"), "left") \
+        .withColumn("key", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "h")))
+    found = marked.join(cold_firsts, (F.col("key") == F.col("cold_digest")) & F.col("hot_id").isNull(), "left") \
+        .withColumn("first_id", F.coalesce("hot_id", "cold_id"))
+    later = F.col("first_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id")))
+    return found.where(later).groupBy("doc_id", "h").agg(F.collect_set("digest").alias("later"))
+
+
+def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int, int]], int, int]:
+    """(kept text, removed spans, words removed, words).  A unit is a repeat if another text
     holds it earlier, or if the text itself does; a removed run takes the white space
     before it along, so the text closes up."""
+    digests, sizes = units(text)
+    n_words = sum(sizes)
+    if not later and len(set(digests)) == len(digests):
+        return text, [], 0, n_words
     seen: set[int] = set()
     marks = []
-    for start, end, n, digest in units(text):
-        marks.append((digest in later or digest in seen, start, end, n))
+    for digest in digests:
+        marks.append(digest in later or digest in seen)
         seen.add(digest)
-    spans, words = [], 0
-    for repeat, run in groupby(marks, key=lambda x: x[0]):
-        run = list(run)
-        n = sum(r[3] for r in run)
+    runs, at = [], 0
+    for repeat, run in groupby(zip(marks, sizes), key=lambda x: x[0]):
+        n = sum(size for _, size in run)
         if repeat and n >= min_words:
-            spans.append((run[0][1], run[-1][2]))
-            words += n
+            runs.append((at, at + n))
+        at += n
+    if not runs:
+        return text, [], 0, n_words
+    places = [hit.span() for hit in word_spans(text)]
+    spans = [(places[a][0], places[b - 1][1]) for a, b in runs]
     kept, at = [], 0
     for start, end in spans:
         kept.append(text[at:start])
         at = end
-    return "".join([*kept, text[at:]]), spans, words
+    return "".join([*kept, text[at:]]), spans, sum(b - a for a, b in runs), n_words
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
@@ -130,8 +124,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """doc_id, h (hash of the original text), text (what is kept), removed (array of start, end in code points of the
     original text), n_removed_words, n_words of every document.
 
-    Earliest is the smallest (doc_id, text hash, place); a null id ranks first.
-    Rows that repeat an id and its text are one document, and each gets its result.
+    Earliest is the smallest doc_id, then the place in the text; rows without an id
+    rank last and are not compared among themselves.  Rows that repeat an id are not
+    compared with each other either, and each gets its result.
     A null text stays null and an empty one empty, with nothing removed; an empty
     table gives an empty result.  Units of texts that no other text shares never
     meet the texts again; a text's own units are one group.
@@ -149,8 +144,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
                 if text is None:
                     out.append((None, [], 0, 0))
                     continue
-                kept, spans, words = cut(text, set(later or ()), min_words)
-                out.append((kept, [{"start": a, "end": b} for a, b in spans], words, sum(1 for _ in word_spans(text))))
+                kept, spans, words, n_words = cut(text, set(later or ()), min_words)
+                out.append((kept, [{"start": a, "end": b} for a, b in spans], words, n_words))
             cols = list(zip(*out)) or [()] * 4
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
