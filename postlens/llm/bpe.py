@@ -25,7 +25,7 @@ import hashlib
 import json
 import struct
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import public_tokenizers
@@ -66,7 +66,7 @@ class MergeList:
         self.pattern = split["pattern"]["Regex"]
         self.text_of = {i: s for s, i in (self.vocab | self.special).items()}
 
-    @property
+    @cached_property
     def lookahead(self) -> int | None:
         return sufficient_lookahead(self.merges)
 
