@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from postlens.llm.common import as_bytes, components, id_and_text, keep, read, text_hash
 
 SHINGLE, NUM, DEN, HOT = 4, 85, 100, 16
+#: Leaders of a costly list in the first round.
+LEADERS = 8
 #: A prefix is stored with room for 4 + n / ROOM more tokens.
 ROOM = 48
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +125,7 @@ class Join:
             .withColumn("root", F.coalesce("root", "d"))
 
     def choose(self, post: DataFrame, whole: bool) -> DataFrame:
-        """(s, d, n, m, cost, dense) of the tokens that sets post in the end, from
+        """(s, d, n, m, root, cost, dense) of the tokens that sets post in the end, from
         (s, d, n, place, root); ``whole``: from whole sets, not stored prefixes.  m is
         the most that a set can share with one of another component."""
         num, den = self.num, self.den
@@ -149,7 +151,7 @@ class Join:
         j = shared.join(heavy.withColumn("dense", F.col("h") > F.col("room")), "d", "left")
         h, dense, cheap = F.coalesce("h", F.lit(0)), F.coalesce("dense", F.lit(False)), F.col("cost") <= self.hot
         own = F.when(dense, cheap | (F.col("place") < F.col("p1"))).otherwise(cheap & (F.col("place") < F.col("p1") + h))
-        return keep(j.where(own).select("s", "d", "n", "m", "cost", dense.alias("dense")), "postings")
+        return keep(j.where(own).select("s", "d", "n", "m", "root", "cost", dense.alias("dense")), "postings")
 
     def sizes_fit(self, a: str = "x", b: str = "y"):
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -172,6 +174,8 @@ class Join:
         close = keep(pairs.join(r.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
                      .join(r.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
                      .select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long"), "close")
+        if close.isEmpty():
+            return close
         whole = keep(self.whole_sets(close.select(F.col("a").alias("cd")).union(close.select("b")).distinct()), "whole")
 
         def exact(batches):
@@ -234,13 +238,13 @@ class Join:
         self.label = keep(nodes.join(new, nodes["root"] == new["old"], "left")
                           .select("node", F.coalesce("new", "root").alias("root")), "label")
 
-    def compare_cheap(self, post: DataFrame) -> None:
+    def cheap_pairs(self, post: DataFrame) -> DataFrame:
         """Cheap lists hold few components; pairs across them are candidates."""
-        cheap = self.rooted(post.where(F.col("cost") <= self.hot).select("s", "d", "n", "m"))
+        cheap = post.where(F.col("cost") <= self.hot)
         x, y = cheap.alias("x"), cheap.alias("y")
-        self.compare(x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d"))
-                            & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
-                     .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
+        return (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d"))
+                       & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
+                .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
 
     def run(self) -> DataFrame:
         """(node, root) of every class that has a link; nodes are set digests."""
@@ -254,20 +258,20 @@ class Join:
         self.compare(near.groupBy("d").agg(F.max_by("lead", "k").alias("lead"))
                      .select(F.col("d").alias("a"), F.col("lead").alias("b")))
         post = self.choose(self.rooted(post), whole=False)
-        self.compare_cheap(post)
         dense = keep(post.where("dense").select(F.col("d").alias("cd")).distinct(), "dense")
         if dense.isEmpty():
+            self.compare(self.cheap_pairs(post))
             return self.label
-        post = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
-        self.compare_cheap(post)
-        self.compare_costly(post.where((F.col("cost") > self.hot) & F.col("dense")))
+        among = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
+        self.compare(self.cheap_pairs(post).union(self.cheap_pairs(among)))
+        self.compare_costly(among.where((F.col("cost") > self.hot) & F.col("dense")))
         return self.label
 
     def compare_costly(self, post: DataFrame) -> None:
         """Costly lists, by rounds of leaders."""
         order = F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("d"), "d"))
         costly = keep(post.select("s", "d", "n", "m", order.alias("at")), "costly")
-        low, high = 1, 1
+        low, high = 1, LEADERS
         while True:
             marked = keep(self.rooted(costly), "marked")
             # lists that still hold several components, and members that were not all leaders yet
@@ -280,7 +284,7 @@ class Join:
             self.compare(rest.join(lead, (F.col("x.s") == F.col("y.s")) & (F.col("y.at") > F.col("x.at"))
                                    & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
                          .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
-            low, high = high + 1, high * 4
+            low, high = high + 1, high * 32
 
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",
