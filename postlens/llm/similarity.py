@@ -12,7 +12,7 @@ least is cheap, so only cheap tokens need to be posted.  Prefixes are stored wit
 some room; sets that need more ("dense") are posted again as a whole among
 themselves, where l may grow up to the overlap that a link needs.  Sets that stay
 among costly tokens even so hold little else: large groups of near copies that did
-not link yet.  They also post the costly tokens of their shortest prefix, and those
+not link yet.  Ordered by cost, they also post the costly tokens of their 1-prefix, and those
 long lists are never expanded into pairs at once: in rounds, a growing number of
 leaders of each list is compared with its members, members already in the leader's
 component are left out, until each list is one component or every pair was compared.
@@ -124,8 +124,8 @@ class Join:
         return post.join(self.label.select(F.col("node").alias("d"), "root"), "d", "left") \
             .withColumn("root", F.coalesce("root", "d"))
 
-    def choose(self, post: DataFrame, whole: bool) -> DataFrame:
-        """(s, d, n, m, root, cost, dense) of the tokens that sets post in the end, from
+    def choose(self, post: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+        """The postings and the dense sets (cd): (s, d, n, m, root, cost, dense) of the tokens that sets post in the end, from
         (s, d, n, place, root); ``whole``: from whole sets, not stored prefixes.  m is
         the most that a set can share with one of another component."""
         num, den = self.num, self.den
@@ -148,10 +148,16 @@ class Join:
         heavy = (shared.where(F.col("cost") > self.hot).groupBy("d", "n", "p1")
                  .agg(F.array_sort(F.collect_list("place")).alias("at"))
                  .select("d", F.size(F.filter("at", lambda r, i: r - i < F.col("p1"))).alias("h"), room.alias("room")))
-        j = shared.join(heavy.withColumn("dense", F.col("h") > F.col("room")), "d", "left")
+        heavy = keep(heavy.withColumn("dense", F.col("h") > F.col("room")), "heavy")
+        j = shared.join(heavy, "d", "left")
         h, dense, cheap = F.coalesce("h", F.lit(0)), F.coalesce("dense", F.lit(False)), F.col("cost") <= self.hot
-        own = F.when(dense, cheap | (F.col("place") < F.col("p1"))).otherwise(cheap & (F.col("place") < F.col("p1") + h))
-        return keep(j.where(own).select("s", "d", "n", "m", "root", "cost", dense.alias("dense")), "postings")
+        own = cheap & (dense | (F.col("place") < F.col("p1") + h))
+        if whole:
+            # of sets that stay dense also the costly tokens among their p1 cheapest, unshared ones counted first
+            by_cost = F.row_number().over(W.partitionBy("d").orderBy("cost", "s"))
+            j, own = j.withColumn("r", by_cost), own | dense & (n - F.col("m") + F.col("r") <= F.col("p1"))
+        return keep(j.where(own).select("s", "d", "n", "m", "root", "cost", dense.alias("dense")), "postings"), \
+            heavy.where("dense").select(F.col("d").alias("cd"))
 
     def sizes_fit(self, a: str = "x", b: str = "y"):
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -257,12 +263,11 @@ class Join:
                 .agg(F.count(F.lit(1)).alias("k"), F.max(p1).alias("p1")).where("2 * k >= p1"))
         self.compare(near.groupBy("d").agg(F.max_by("lead", "k").alias("lead"))
                      .select(F.col("d").alias("a"), F.col("lead").alias("b")))
-        post = self.choose(self.rooted(post), whole=False)
-        dense = keep(post.where("dense").select(F.col("d").alias("cd")).distinct(), "dense")
+        post, dense = self.choose(self.rooted(post), whole=False)
         if dense.isEmpty():
             self.compare(self.cheap_pairs(post))
             return self.label
-        among = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
+        among, _ = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
         self.compare(self.cheap_pairs(post).union(self.cheap_pairs(among)))
         self.compare_costly(among.where((F.col("cost") > self.hot) & F.col("dense")))
         return self.label
