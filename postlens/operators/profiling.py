@@ -115,7 +115,7 @@ def kde(df: DataFrame, col: str, bandwidth: float | None = None, step: float | N
     cell = F.round((F.col(col) - F.lit(lo)) / F.lit(step)).cast("bigint")
     cells = known.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     ends = cells.agg(F.min("cell"), F.max("cell")).first()
-    points = F.explode(F.sequence(F.lit(ends[0] - reach), F.lit(ends[1] + reach))).alias("grid")
+    points = F.explode(F.sequence(F.lit(ends[0] - reach).cast("bigint"), F.lit(ends[1] + reach).cast("bigint"))).alias("grid")
     z = (F.col("grid") - F.col("cell")) * F.lit(step) / F.lit(bandwidth)
     dens = F.sum(F.col("n") * F.exp(F.lit(-0.5) * z * z)) / F.lit(n * bandwidth * _SQRT_2PI)
     return (cells.select("cell", "n", points).groupBy("grid").agg(dens.alias("density"))
