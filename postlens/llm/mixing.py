@@ -27,7 +27,7 @@ TRAIN_ROWS, MODEL_FEATURES = 6000, 2048
 #: Share of the tokens that each domain shall have.
 TARGET = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
 #: Steps end when every domain is within TOLERANCE of all target tokens, or no total moves by a tenth of that.
-RIDGE, MOMENTUM, MOST_STEPS, TOLERANCE = 1e-3, 0.6, 60, 1e-4
+RIDGE, MOMENTUM, MOST_STEPS, TOLERANCE = 1e-4, 0.6, 60, 1e-4
 
 
 def train_domains(texts: DataFrame, labelled: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS):
