@@ -17,6 +17,8 @@ from postlens.llm.substrings import dedup_substrings
 from postlens.llm.toxicity import score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies: words of a shingle, and the least similarity as a fraction.
+NEAR_SHINGLE, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; groups
     in which no row has an id stay but for rows with the same text."""
-    group = similar_components(docs)
+    group = similar_components(docs, NEAR_NUM, NEAR_DEN, shingle=NEAR_SHINGLE)
     gone = group.where(~F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     return matched(docs, gone.select(*keys(group)).distinct(), "left_anti") \
         .select(*COLUMNS).dropDuplicates(["doc_id", "text"])

@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document's set holds the 64-bit hashes of its distinct 4-word shingles; equal
-sets are one class.  All sets are ordered alike (by hash).  With need(n) =
-ceil(0.85 n), two sets that link share at least l tokens in their l-prefixes, the
+A document's set holds the 64-bit hashes of its distinct shingles, 4 words by default;
+equal sets are one class.  All sets are ordered alike (by hash).  With need(n) =
+ceil(0.85 n), or another share, two sets that link share at least l tokens in their l-prefixes, the
 first n - need(n) + l tokens, for every l.
 
 The candidate cost of a token is the number of components, known so far, whose sets
@@ -66,7 +66,7 @@ def _long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def set_rows(texts: DataFrame, num: int, den: int) -> DataFrame:
+def set_rows(texts: DataFrame, num: int, den: int, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, h, d, n, prefix) of every row: d is the set's digest, prefix the
     lengthened prefix; empty sets have d null."""
 
@@ -74,7 +74,7 @@ def set_rows(texts: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             d, n, prefix = [], [], []
             for text in batch.column("text"):
-                s = shingle_set(text.as_py())
+                s = shingle_set(text.as_py(), shingle)
                 n.append(len(s))
                 d.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 prefix.append(_long(s[:sum(prefix_sizes(len(s), num, den))]))
@@ -103,9 +103,9 @@ def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, num: int, den: int)
 class Join:
     """One run of the join over (doc_id, h, text)."""
 
-    def __init__(self, texts: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT):
-        self.texts, self.num, self.den, self.hot = texts, num, den, hot
-        self.rows = keep(set_rows(texts, num, den), "sets")
+    def __init__(self, texts: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, shingle: int = SHINGLE):
+        self.texts, self.num, self.den, self.hot, self.shingle = texts, num, den, hot, shingle
+        self.rows = keep(set_rows(texts, num, den, shingle), "sets")
         self.classes = keep(self.rows.where("d is not null").groupBy("d")
                             .agg(F.min(F.struct("doc_id", "h")).alias("r"), F.min("doc_id").alias("least"))
                             .select("d", F.col("r.doc_id").alias("rep_id"), F.col("r.h").alias("rep_h"), "least"), "classes")
@@ -203,10 +203,11 @@ class Join:
         read again, through a broadcast where the planner finds the classes few."""
         need = keep(classes.join(self.classes.select(F.col("d").alias("cd"), "rep_id", F.col("rep_h").alias("nh")), "cd")
                     .select("cd", "rep_id", "nh"), "need")
+        shingle = self.shingle
 
         def sets(batches):
             for batch in batches:
-                out = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
+                out = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("cd"), pa.array(out, pa.binary())], names=["d", "s"])
 
         return (self.texts.join(need, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
@@ -293,9 +294,9 @@ class Join:
 
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """doc_id, h (text hash), n_shingles, component_id of every row: sets of distinct 4-word shingles
-    link when den * shared >= num * union; component_id is the smallest doc_id
+                       text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, h (text hash), n_shingles, component_id of every row: sets of distinct shingles of
+    ``shingle`` words link when den * shared >= num * union; component_id is the smallest doc_id
     reachable by links, the row's own included.
 
     Null and empty texts and texts of white space have an empty set, link with
@@ -305,7 +306,7 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int
     table gives an empty result.
     """
     texts = as_bytes(id_and_text(docs, id_col, text_col)).withColumn("h", text_hash())
-    join = Join(texts, num, den, hot)
+    join = Join(texts, num, den, hot, shingle)
     label = join.run()
     named = (join.classes.select("d", "least").join(label.withColumnRenamed("node", "d"), "d", "left")
              .withColumn("root", F.coalesce("root", "d")))

@@ -223,6 +223,43 @@ def test_pipeline_stages(spark):
     assert got.count() == before.count() and "ids_sha256" in got.columns
 
 
+def brute_near(texts, size=5, num=80, den=100):
+    """Ids that the near-copy stage keeps: the least of each group linked by shingles of ``size`` words."""
+    sets = {}
+    for i, t in texts:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in sets:
+        for b in sets:
+            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_copies_link_from_five_words_and_80_percent(spark):
+    """Links between 0.80 and 0.85, and pairs just below, in words that no other pair shares."""
+    def words(i, n):
+        return [f"v{i}x{k}" for k in range(n)]
+    texts = [(0, words(0, 500)), (1, words(0, 500) + words(1, 100))]
+    scattered = words(2, 200)
+    for k in (30, 70, 110, 150):
+        scattered[k] = f"other{k}"
+    texts += [(2, words(2, 200)), (3, scattered), (4, words(4, 500)), (5, words(4, 500) + words(5, 130))]
+    texts = [(i, " ".join(w)) for i, w in texts] + [(100 + i, t) for i, t in family(60, 5)]
+    assert brute_near(texts[:6]) == {0, 2, 4, 5}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got) == sorted(brute_near(texts))
+
+
 @pytest.mark.parametrize("stage", [1, 2])
 def test_stages_keep_rows_without_ids_apart(odd, spark, stage):
     docs = odd.select(*corpus_pipeline.COLUMNS)
