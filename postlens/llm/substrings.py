@@ -1,20 +1,23 @@
-"""Substring dedup by line hashing.
-
-Units.  Lines are cut into pieces at content-defined places (after a word whose
-hash says so, ``piece_words`` words apart on average), so a passage inside longer
-lines gives the same units wherever it stands.  A unit is normalised (lower
-case, single spaces) and hashed; digests are grouped over all documents and each
-points at the smallest doc_id that holds it.  A unit in a document with a larger id,
-or that stood earlier in the same document, is a repeat.  Runs of neighbouring repeats of at least
-``min_words`` words are removed; the rest stays byte for byte, and the removed
-spans keep their offsets in the original text.
+"""Substring dedup by hashing lines, paragraphs and content-defined spans.
+
+Units.  Whole lines and whole paragraphs are units.  So are spans between cuts: a cut
+stands before the word whose hash, taken over GRAM words, is the least of WINDOW
+neighbouring ones (the last of equal ones), so each window of words holds a cut and
+cuts inside a passage are the same wherever it stands but for its first and last
+window.  From each cut a span runs to the first cut at least half of ``min_words``
+further on; a shared passage of ``least_passage(min_words)`` words holds one, whatever
+its words and line breaks.
+
+Units are normalised (lower case, single spaces) and hashed; digests are grouped over
+all documents and each points at the smallest doc_id that holds it.  A unit in a
+document with a larger id, or that stood earlier in the same document, is a repeat.
+Runs of neighbouring repeats are extended word by word as far as the words around the
+earlier unit are the same; those of at least ``min_words`` words are removed.  The
+rest stays byte for byte, and the removed spans keep their offsets in the original text.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -22,44 +25,89 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import id_and_text, keep, read, text_hash
+from postlens.llm.common import id_and_text, keep, per_worker, read, text_hash
 
-#: Words of a unit on average and at most; words of the shortest run that is removed.
-PIECE_WORDS, MOST_WORDS, MIN_WORDS = 6, 12, 25
+#: Words of a window, which holds a cut, and of a hash; words of the shortest run that is removed.
+MOST_WORDS, GRAM, MIN_WORDS = 12, 3, 25
+#: Words on either side that a run may be extended by: more than lie between a passage's end and its outermost unit.
+AROUND = 2 * MOST_WORDS + GRAM + MIN_WORDS
 #: A digest is hot if it makes up this share of all units or more: at most 1 / HOT_SHARE of them, broadcast.
 HOT_SHARE = 1e-4
+MIX = np.uint64(0x9E3779B97F4A7C15)
 word_spans = regex.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
-def units(text: str, piece_words: int = PIECE_WORDS, most: int = MOST_WORDS) -> tuple[list[int], list[int]]:
-    """(digest, words) of each unit in order.  A line break always ends a unit; so does
-    a word whose checksum is divisible by ``piece_words``, and the ``most``-th word."""
-    digests, sizes = [], []
+def least_passage(min_words: int = MIN_WORDS) -> int:
+    """Words of a shared passage that surely holds a common span."""
+    return min_words // 2 + 2 * MOST_WORDS + GRAM - 1
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of MIX and of its inverse, modulo 2 ** 64; kept by the worker."""
+    store = per_worker("substring_powers", lambda: {"n": 0})
+    if store["n"] < n:
+        n = max(n, 2 * store["n"], 4096)
+        both = [np.full(n, m, np.uint64) for m in (MIX, np.uint64(pow(int(MIX), -1, 1 << 64)))]
+        for x in both:
+            x[0] = 1
+        store.update(n=n, p=[np.cumprod(x) for x in both])
+    return store["p"]
+
+
+def cuts(h: np.ndarray) -> np.ndarray:
+    """Places of the cuts among words with these hashes."""
+    if len(h) < MOST_WORDS + GRAM - 1:
+        return np.zeros(0, np.int64)
+    m = len(h) - GRAM + 1
+    g = h[:m].copy()
+    for i in range(1, GRAM):
+        g = g * MIX + h[i:m + i]
+    g = (g ^ (g >> np.uint64(29))) * MIX
+    # read backwards, the first of equal ones is the last
+    least = np.lib.stride_tricks.sliding_window_view(g[::-1], MOST_WORDS).argmin(axis=1)
+    return m - 1 - np.unique(np.arange(len(least)) + least)[::-1]
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digests, first words, ends) of the units, by place, and the hashes of all words."""
+    words, bounds, blank = [], [0], [0]
     for line in text.lower().encode().split(b"\n"):
-        words = line.split()
-        start = 0
-        for end in [i for i, w in enumerate(words, 1) if not crc32(w) % piece_words] + [len(words)]:
-            while end > start:
-                stop = min(end, start + most)
-                digests.append(xxhash.xxh64_intdigest(b" ".join(words[start:stop])) - (1 << 63))
-                sizes.append(stop - start)
-                start = stop
-    return digests, sizes
-
-
-def unit_rows(texts: DataFrame) -> DataFrame:
+        words += line.split()
+        if len(words) > bounds[-1]:
+            bounds.append(len(words))
+        elif blank[-1] < len(words):
+            blank.append(len(words))
+    if blank[-1] < len(words):
+        blank.append(len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    at = cuts(h)
+    to = np.searchsorted(at, at + (min_words // 2 + 1))
+    inside = to < len(at)
+    pairs = np.concatenate([np.stack([x[:-1], x[1:]], 1) for x in (np.array(bounds), np.array(blank))]
+                           + [np.stack([at[inside], at[to[inside]]], 1)])
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    start, end = pairs[:, 0], pairs[:, 1]
+    p, inverse = powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[:len(h)], dtype=np.uint64)])
+    d = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64)
+    d = (d ^ (d >> np.uint64(29))) * MIX
+    return (d ^ (d >> np.uint64(32))).view(np.int64), start, end, h
+
+
+def unit_rows(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, h, digest): one row per distinct unit of each text."""
 
     def run(batches):
         for batch in batches:
             ids, hs, digests, sizes = [], [], [], []
             for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
-                own = set(units(text.as_py())[0])
-                digests += own
+                own = np.unique(units(text.as_py(), min_words)[0])
+                digests.append(own)
                 sizes.append(len(own))
                 ids.append(doc_id)
                 hs.append(h)
             at = np.repeat(np.arange(len(ids)), sizes)
+            digests = np.concatenate(digests or [np.zeros(0, np.int64)])
             for lo in range(0, len(at), 100_000):
                 part = pa.array(at[lo:lo + 100_000])
                 yield pa.RecordBatch.from_arrays(
@@ -69,45 +117,144 @@ def unit_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, h long, digest long")
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """(doc_id, h, later): the digests of a text that a document with a smaller id
-    holds too.  Texts without any have no row."""
-    rows = unit_rows(texts)
-    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
-                  .where("n > 1 and first_id is not null"), "firsts")
-    # digests in many texts are few, whatever the size of the corpus; they are broadcast,
-    # and no key of the shuffled join holds more than the share
+def by_digest(rows: DataFrame, found: DataFrame, hot_digests: DataFrame, value: str) -> DataFrame:
+    """rows (doc_id, h, digest) with the ``value`` that ``found`` (digest, value) holds for
+    their digest.  Digests in many texts are few, whatever the size of the corpus; they
+    are broadcast, and no key of the shuffled join holds more than the share."""
+    hot = hot_digests.select(F.col("digest").alias("hot_digest"))
+    hot_found = F.broadcast(found.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"))
+                            .select("hot_digest", F.col(value).alias("hot_value")))
+    cold_found = found.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left_anti") \
+        .select(F.col("digest").alias("cold_digest"), F.col(value).alias("cold_value"))
+    marked = rows.join(hot_found, F.col("digest") == F.col("hot_digest"), "left") \
+        .withColumn("key", F.when(F.col("hot_value").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "h")))
+    return marked.join(cold_found, (F.col("key") == F.col("cold_digest")) & F.col("hot_value").isNull(), "left") \
+        .select("doc_id", "h", "digest", F.coalesce("hot_value", "cold_value").alias(value)).where(F.col(value).isNotNull())
+
+
+def repeats(texts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, later): the digests of a text that a document with a smaller id holds
+    too (texts without any have no row); (digest, first_id, first_h) of digests in
+    several texts; the digests in many."""
+    rows = unit_rows(texts, min_words)
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
+    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+                  .where("n > 1 and first is not null")
+                  .select("digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") >= max(total * HOT_SHARE, 1000.0)
-    hot_firsts = F.broadcast(firsts.where(hot).select(F.col("digest").alias("hot_digest"), F.col("first_id").alias("hot_id")))
-    cold_firsts = firsts.where(~hot).select(F.col("digest").alias("cold_digest"), F.col("first_id").alias("cold_id"))
-    marked = rows.join(hot_firsts, F.col("digest") == F.col("hot_digest"), "left") \
-        .withColumn("key", F.when(F.col("hot_id").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "h")))
-    found = marked.join(cold_firsts, (F.col("key") == F.col("cold_digest")) & F.col("hot_id").isNull(), "left") \
-        .withColumn("first_id", F.coalesce("hot_id", "cold_id"))
-    later = F.col("first_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id")))
-    return found.where(later).groupBy("doc_id", "h").agg(F.collect_set("digest").alias("later"))
-
-
-def cut(text: str, later: set[int], min_words: int) -> tuple[str, list[tuple[int, int]], int, int]:
+    hot = firsts.where(F.col("n") >= max(total * HOT_SHARE, 1000.0)).select("digest")
+    found = by_digest(rows, firsts, hot, "first_id")
+    later = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id"))
+    return keep(found.where(later).groupBy("doc_id", "h").agg(F.collect_set("digest").alias("later")), "later"), firsts, hot
+
+
+def runs_of(found, later, min_words: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """(runs of neighbouring repeats that hold half of ``min_words``, whether each unit is a
+    repeat of another text's unit, the unit of the same text that each unit repeats, or -1)."""
+    digests, start, end, h = found
+    _, first, which = np.unique(digests, return_index=True, return_inverse=True)
+    own = first[which]
+    own = np.where(end[own] <= start, own, -1)
+    other = np.isin(digests, np.array(list(later), np.int64)) if len(later) else np.zeros(len(digests), bool)
+    mark = other | (own >= 0)
+    if not mark.any():
+        return [], other, own
+    depth = np.bincount(start[mark], minlength=len(h) + 1) - np.bincount(end[mark], minlength=len(h) + 1)
+    covered = np.concatenate([[0], (np.cumsum(depth) > 0).astype(np.int8)])
+    edge = np.diff(covered)
+    runs = [(a, b) for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())
+            if b - a > min_words // 2]
+    return runs, other, own
+
+
+def same(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words two sequences begin with alike."""
+    n = min(len(x), len(y))
+    unlike = np.flatnonzero(x[:n] != y[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def extend(found, runs, other, own, around) -> list[tuple[int, int]]:
+    """The runs with the words before and after them that also stand around the unit
+    that their first or last unit repeats; ``around``: digest to (words before it, from
+    its start backwards, words after it).  Runs that meet are one."""
+    digests, start, end, h = found
+    out = []
+    for i, (a, b) in enumerate(runs):
+        low = out[-1][1] if out else 0
+        high = runs[i + 1][0] if i + 1 < len(runs) else len(h)
+        left = right = 0
+        for u in range(*np.searchsorted(start, [a, a + 1])):
+            if other[u] and int(digests[u]) in around:
+                left = max(left, same(h[low:a][::-1], around[int(digests[u])][0]))
+            if own[u] >= 0:
+                left = max(left, same(h[max(low, end[own[u]]):a][::-1], h[:start[own[u]]][::-1]))
+        for u in np.flatnonzero(end == b):
+            if other[u] and int(digests[u]) in around:
+                right = max(right, same(h[b:high], around[int(digests[u])][1]))
+            if own[u] >= 0:
+                right = max(right, same(h[b:high], h[end[own[u]]:a - left]))
+        a, b = a - left, b + right
+        if out and out[-1][1] == a:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
+def words_around(texts: DataFrame, later: DataFrame, firsts: DataFrame, hot: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h, around): for the first and last units of a text's runs, the words
+    around the unit in the document that holds it first."""
+
+    def outermost(batches):
+        for batch in batches:
+            ids, hs, out = [], [], []
+            for doc_id, h, text, own_later in zip(*(batch.column(c) for c in ("doc_id", "h", "text", "later"))):
+                found = units(text.as_py(), min_words)
+                runs, other, _ = runs_of(found, own_later.values.to_numpy(), min_words)
+                if runs:
+                    a, b = zip(*runs)
+                    edge = np.unique(found[0][other & (np.isin(found[1], a) | np.isin(found[2], b))]).tolist()
+                    ids += [doc_id.as_py()] * len(edge)
+                    hs += [h.as_py()] * len(edge)
+                    out += edge
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hs, out)], names=["doc_id", "h", "digest"])
+
+    l = later.select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later")
+    wanted = keep(texts.join(l, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")))
+                  .select("doc_id", "h", "text", "later").mapInArrow(outermost, "doc_id long, h long, digest long").distinct(), "outermost")
+
+    def surroundings(batches):
+        for batch in batches:
+            out, before, after = [], [], []
+            for text, want in zip(batch.column("text"), batch.column("want")):
+                digests, start, end, h = units(text.as_py(), min_words)
+                h = h.view(np.int64)
+                at, first = np.unique(digests, return_index=True)
+                for u in first[np.isin(at, want.values.to_numpy())]:
+                    out.append(int(digests[u]))
+                    before.append(h[max(0, start[u] - AROUND):start[u]][::-1])
+                    after.append(h[end[u]:end[u] + AROUND])
+            words = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(before, words), pa.array(after, words)],
+                                             names=["digest", "before", "after"])
+
+    sources = (firsts.join(wanted.select("digest").distinct(), "digest").groupBy("first_id", "first_h")
+               .agg(F.collect_set("digest").alias("want")))
+    held = (texts.join(sources, (F.col("h") == F.col("first_h")) & (F.col("doc_id") == F.col("first_id")))
+            .select("text", "want").mapInArrow(surroundings, "digest long, before array<long>, after array<long>")
+            .dropDuplicates(["digest"]))
+    held = keep(held.select("digest", F.struct("digest", "before", "after").alias("around")), "around")
+    return by_digest(wanted, held, hot, "around").groupBy("doc_id", "h").agg(F.collect_list("around").alias("around"))
+
+
+def cut(text: str, later, around, min_words: int) -> tuple[str, list[tuple[int, int]], int, int]:
     """(kept text, removed spans, words removed, words).  A unit is a repeat if another text
-    holds it earlier, or if the text itself does; a removed run takes the white space
-    before it along, so the text closes up."""
-    digests, sizes = units(text)
-    n_words = sum(sizes)
-    if not later and len(set(digests)) == len(digests):
-        return text, [], 0, n_words
-    seen: set[int] = set()
-    marks = []
-    for digest in digests:
-        marks.append(digest in later or digest in seen)
-        seen.add(digest)
-    runs, at = [], 0
-    for repeat, run in groupby(zip(marks, sizes), key=lambda x: x[0]):
-        n = sum(size for _, size in run)
-        if repeat and n >= min_words:
-            runs.append((at, at + n))
-        at += n
+    holds it earlier, or if the text itself does; white space around a removed run stays."""
+    found = units(text, min_words)
+    n_words = len(found[3])
+    runs, other, own = runs_of(found, later, min_words)
+    runs = [(a, b) for a, b in extend(found, runs, other, own, around) if b - a >= min_words]
     if not runs:
         return text, [], 0, n_words
     places = [hit.span() for hit in word_spans(text)]
@@ -133,18 +280,23 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """
     texts = id_and_text(docs, id_col, text_col)
     found = texts.where("text is not null").withColumn("h", text_hash())
-    later = repeats(found).select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later")
+    later, firsts, hot = repeats(found, min_words)
+    around = words_around(found, later, firsts, hot, min_words).select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "around")
+    later = later.join(around, (F.col("h") == F.col("near_h")) & F.col("doc_id").eqNullSafe(F.col("near_id")), "left") \
+        .select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later", "around")
     both = texts.withColumn("h", text_hash()).join(
         later, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")), "left")
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, later in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist()):
+            for text, later, around in zip(*(batch.column(c).to_pylist() for c in ("text", "later", "around"))):
                 if text is None:
                     out.append((None, [], 0, 0))
                     continue
-                kept, spans, words, n_words = cut(text, set(later or ()), min_words)
+                kept, spans, words, n_words = cut(text, later or (), {
+                    x["digest"]: [np.array(x[c], np.int64).view(np.uint64) for c in ("before", "after")]
+                    for x in around or ()}, min_words)
                 out.append((kept, [{"start": a, "end": b} for a, b in spans], words, n_words))
             cols = list(zip(*out)) or [()] * 4
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -152,7 +304,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
                 [batch.column("doc_id"), batch.column("h"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), span, pa.int64(), pa.int64())))],
                 names=["doc_id", "h", "text", "removed", "n_removed_words", "n_words"])
 
-    return both.select("doc_id", "h", "text", "later").mapInArrow(
+    return both.select("doc_id", "h", "text", "later", "around").mapInArrow(
         run, "doc_id long, h long, text string, removed array<struct<start:int,end:int>>, n_removed_words long, n_words long")
 
 

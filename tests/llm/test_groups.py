@@ -127,6 +127,30 @@ def test_planted_passages_go_and_the_rest_stays(spark):
                 assert " ".join(t[s.start:s.end].lower().split()) in passages[where[i]]
 
 
+def test_passages_of_common_words_inside_lines_go_to_their_ends(spark):
+    """51 words from a vocabulary of 2 to 40 words, at random places in lines, wrapped
+    differently in the later document."""
+    rnd = random.Random(6)
+    texts, where = [], {}
+    for i in range(150):
+        vocab = [f"c{k}" for k in range(rnd.choice([2, 3, 5, 10, 40]))]
+        passage = [rnd.choice(vocab) for _ in range(51)]
+        for side in (0, 1):
+            pre, post = ([f"u{i}s{side}e{end}n{k}" for k in range(rnd.randrange(1, 60))] for end in (0, 1))
+            words = list(passage)
+            if side:
+                words[rnd.randrange(50)] += "\n"
+            texts.append((2 * i + side, " ".join(pre + words + post)))
+            where[2 * i + side] = " ".join(pre + post)
+    got = substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == 300
+    for r in got:
+        if r.doc_id % 2:
+            assert r.n_removed_words == 51 and " ".join(r.text.split()) == where[r.doc_id]
+        else:
+            assert r.n_removed_words == 0
+
+
 # -- op10 ---------------------------------------------------------------------
 def brute_neighbours(rows, every, k):
     good = [(i, np.array(v, float)) for i, v in rows
