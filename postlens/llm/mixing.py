@@ -1,18 +1,21 @@
 """Mixing sources to target weights with soft domain membership.
 
 A softmax classifier, fitted on a bounded sample of a labelled table, gives every
-document a posterior over the domains.  Document rates r >= min_rate are then fitted
-by projected gradient so that the expected domain totals, the sums of r * tokens *
-posterior, match the targets in the least-squares sense.
-
-With a gradient step scaled by 1 / tokens, a document's rate follows from its
-posterior and the few domain gaps of the steps so far.  So nothing as long as the
-corpus is kept between steps: a step is one aggregate over the thin table of
-(tokens, posterior), and the driver holds one number per domain and step.
+document a posterior over the domains.  Document rates r >= min_rate are then fitted so that the
+expected domain totals, the sums of r * tokens * posterior, match the targets, at the
+least token-weighted square distance of the rates from 1.
+
+Such rates are max(min_rate, 1 + posterior * weights) with one weight a domain.  The
+weights are found by Newton steps on the dual, whose ridge is lowered until the
+targets are met.  Nothing as long as the corpus is kept between steps: a step is one
+aggregate over the thin table of (tokens, posterior), and rare domains take no more
+steps than others.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,8 +29,10 @@ from postlens.llm.linear import Rows, bounded_sample, features, fit, select_feat
 TRAIN_ROWS, MODEL_FEATURES = 6000, 2048
 #: Share of the tokens that each domain shall have.
 TARGET = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-#: Steps end when every domain is within TOLERANCE of all target tokens, or no total moves by a tenth of that.
-RIDGE, MOMENTUM, MOST_STEPS, TOLERANCE = 1e-4, 0.6, 60, 1e-4
+#: Steps end when every domain is within TOLERANCE of all target tokens; else the ridge falls to the last.
+RIDGES, MOST_STEPS, TOLERANCE = [10.0 ** -i for i in range(2, 11)], 30, 1e-4
+#: Parts of a Newton step that are tried in one aggregate.
+PARTS = (1.0, 0.5, 0.2, 0.05, 0.01)
 
 
 def train_domains(texts: DataFrame, labelled: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS):
@@ -80,67 +85,84 @@ def posteriors(texts: DataFrame, model, n_domains: int) -> DataFrame:
 
 
 def rates_of(p: np.ndarray, gaps: np.ndarray, step: float, min_rate: float) -> np.ndarray:
-    """Rates of documents with posteriors p after the steps with these domain gaps:
-    projected gradient with momentum from rate 1."""
-    old = r = np.maximum(np.ones(len(p)), min_rate)
-    for g in gaps:
-        ahead = r + MOMENTUM * (r - old)
-        old, r = r, np.maximum(min_rate, ahead - step * (p @ g + RIDGE * (ahead - 1.0)))
-    return r
-
+    """Rates of documents with posteriors p; a domain's weight is -step * its gap."""
+    return np.maximum(min_rate, 1.0 - step * (p @ gaps))
 
-def ahead_of(p: np.ndarray, gaps: np.ndarray, step: float, min_rate: float) -> np.ndarray:
-    """Where the next gradient is taken."""
-    r = rates_of(p, gaps, step, min_rate)
-    return r if not len(gaps) else r + MOMENTUM * (r - rates_of(p, gaps[:-1], step, min_rate))
 
-
-def domain_totals(thin: DataFrame, k: int, rates) -> np.ndarray:
-    """Per domain the sums of tokens * posterior * rates(posteriors); the rates may
-    come as several columns, a row of totals for each.  A task sends one row."""
+def summed(thin: DataFrame, k: int, width: int, part) -> np.ndarray:
+    """The sum of part(tokens, posteriors), a vector of ``width`` numbers, over all
+    batches.  A task sends one vector."""
 
     def run(batches):
-        total = None
+        total = np.zeros(width)
         for batch in batches:
             n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-            p = np.array(batch.column("p").values.to_numpy()).reshape(-1, k) if len(n) else np.zeros((0, k))
-            part = np.stack([(n * r) @ p for r in rates(p)]).ravel()
-            total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
+            if len(n):
+                total += part(n, np.array(batch.column("p").values.to_numpy()).reshape(-1, k))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width), pa.int32()), pa.array(total)], names=["i", "v"])
 
     got = thin.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(max([k, *(r.i + 1 for r in got)]))
+    out = np.zeros(width)
     for r in got:
         out[r.i] = r.v
-    return out.reshape(-1, k)
+    return out
+
+
+def dual_sums(thin: DataFrame, k: int, weights: list[np.ndarray], min_rate: float) -> list[tuple]:
+    """For each vector of weights: (dual without target and ridge, domain totals, their derivatives)."""
+
+    def part(n, p):
+        out = []
+        for w in weights:
+            z = p @ w
+            free = 1.0 + z > min_rate
+            out += [[(n * np.where(free, z + z * z / 2, min_rate * z - (min_rate - 1.0) ** 2 / 2)).sum()],
+                    (n * np.maximum(min_rate, 1.0 + z)) @ p, ((p * (n * free)[:, None]).T @ p).ravel()]
+        return np.concatenate(out)
+
+    got = summed(thin, k, len(weights) * (1 + k + k * k), part).reshape(len(weights), -1)
+    return [(x[0], x[1:k + 1], x[k + 1:].reshape(k, k)) for x in got]
 
 
 def fit_rates(thin: DataFrame, target: np.ndarray, total: float | None, min_rate: float):
-    """(gaps of each step, step size, expected totals): least squares of the domain
-    totals against target * total.  ``total`` None: the fewest tokens for which no
-    domain has to shrink below what it has."""
+    """(gap of each domain, step, expected totals), as ``rates_of`` takes them: rates
+    whose domain totals are target * total.  ``total`` None: the fewest tokens for which
+    no domain has to shrink below what it has.  Where no rates reach the targets, the
+    totals come as near as the last ridge allows, and a warning says so."""
     k = len(target)
-    start = domain_totals(thin, k, lambda p: [np.ones(len(p))])[0]
+    start = summed(thin, k, k, lambda n, p: n @ p)
     if total is None:
         total = float((start / np.maximum(target, 1e-12)).max())
-    want, scale = target * total, max(start.sum(), 1e-9)
-    # the largest eigenvalue of the scaled Gram matrix is at most the largest domain's share
-    step = 1.0 / (max(start.max() / scale, 1e-9) + RIDGE)
-    gaps, now = np.zeros((0, k)), start
-    for _ in range(MOST_STEPS if start.sum() else 0):
-        done = gaps
-
-        def both(p, done=done):
-            return rates_of(p, done, step, min_rate), ahead_of(p, done, step, min_rate)
-
-        last = now
-        now, ahead = domain_totals(thin, k, both)
-        if np.abs(now - want).max() <= TOLERANCE * want.sum() or \
-                len(gaps) > 1 and np.abs(now - last).max() <= TOLERANCE / 10 * want.sum():
+    want, scale = target * total, start.sum()
+    weights, ridge = np.zeros(k), RIDGES[0]
+    if not scale:
+        return weights, 1.0, start
+
+    def dual(w, x):
+        return x[0] / scale - w @ want / scale + ridge * (w @ w) / 2
+
+    def met():
+        return np.abs(at[1] - want).max() <= TOLERANCE * want.sum()
+
+    at = dual_sums(thin, k, [weights], min_rate)[0]
+    for ridge in RIDGES:
+        for _ in range(MOST_STEPS):
+            gradient = (at[1] - want) / scale + ridge * weights
+            if met() or np.abs(gradient).max() <= TOLERANCE / 10 * want.sum() / scale:
+                break
+            newton = np.linalg.solve(at[2] / scale + ridge * np.eye(k), gradient)
+            tried = [weights - t * newton for t in PARTS]
+            got = dual_sums(thin, k, tried, min_rate)
+            best = min(range(len(tried)), key=lambda i: dual(tried[i], got[i]))
+            if dual(tried[best], got[best]) >= dual(weights, at):
+                break
+            weights, at = tried[best], got[best]
+        if met():
             break
-        gaps = np.vstack([gaps, (ahead - want) / scale])
-    return gaps, step, now
+    else:
+        warnings.warn(f"targets not met: shares {(at[1] / at[1].sum()).round(5).tolist()} of {at[1].sum():.0f} tokens, "
+                      f"wanted {target.tolist()} of {want.sum():.0f}", stacklevel=2)
+    return -ridge * weights, 1.0 / ridge, at[1]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total: float | None = None,

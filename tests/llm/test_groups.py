@@ -209,6 +209,24 @@ def test_rates_meet_the_targets(spark):
     assert (r >= 0).all() and np.allclose((n * r) @ p, target * 50_000, rtol=5e-3)
 
 
+@pytest.mark.parametrize("min_rate", [0.0, 1.0])
+def test_rates_meet_the_target_of_a_rare_domain(spark, min_rate):
+    """The last domain holds 0.1% of the tokens and shall hold 14%."""
+    p = np.eye(4)[np.repeat([0, 1, 2, 3], [1300, 398, 300, 2])]
+    target = np.array([0.5, 0.18, 0.18, 0.14])
+    thin = spark.createDataFrame([(i, 0, 100, [float(x) for x in q]) for i, q in enumerate(p)],
+                                 "doc_id long, h long, n_tokens long, p array<double>")
+    gaps, step, now = mixing.fit_rates(thin, target, total=None, min_rate=min_rate)
+    totals = (100 * mixing.rates_of(p, gaps, step, min_rate)) @ p
+    assert np.allclose(totals, now) and np.allclose(totals / totals.sum(), target, atol=5e-4)
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    thin = spark.createDataFrame([(1, 0, 100, [0.5, 0.5])], "doc_id long, h long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="targets not met"):
+        mixing.fit_rates(thin, np.array([0.9, 0.1]), total=100.0, min_rate=0.0)
+
+
 def test_mixing_odd_rows(odd, nothing, spark):
     labelled = spark.createDataFrame([(1, "en"), (6, "de"), (None, "en"), (7, None), (8, "xx")], "doc_id long, domain string")
     got = mixing.mix(odd, labelled, {"en": 0.5, "de": 0.5}, min_rate=1.0).collect()
