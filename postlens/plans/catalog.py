@@ -848,10 +848,11 @@ def q_text_vectors(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
     tf = cut_lineage(TX.text_features(_posts(spark, sf_dir)).select("post_id", "vector_lemma"))
-    model = Pipeline(stages=ML.text_vector_stages(with_bow=True, with_w2v=True, w2v_partitions=4)).fit(tf)
-    nnz = F.udf(lambda v: int(v.numNonzeros()), "int")  # a sparse row stays sparse
-    return model.transform(tf).select(
-        "post_id", nnz("features_bow").alias("bow_nnz"),
+    model = Pipeline(stages=ML.text_vector_stages(with_w2v=True, w2v_partitions=4)).fit(tf)
+    # all words, whatever the size of the vocabulary
+    bow = TX.tfidf_table(tf, "post_id", "vector_lemma").groupBy("post_id").agg(F.count(F.lit(1)).cast("int").alias("_nnz"))
+    return model.transform(tf).join(bow, "post_id", "left").select(
+        "post_id", F.coalesce("_nnz", F.lit(0)).alias("bow_nnz"),
         F.aggregate(vector_to_array("featuresTF"), F.lit(0.0), lambda a, x: a + x).alias("tf_sum"),
         F.size(vector_to_array("features_w2v")).alias("w2v_size"))
 

@@ -60,7 +60,8 @@ def text_vector_stages(tokens: str = "vector_lemma", out: str = "text_features",
     each and are unused downstream, so they are opt-in).
 
     The bag of words keeps the ``vocab_size`` most frequent words: the vocabulary is
-    held by the driver (``words_outside`` counts the others).  Word2Vec trains in
+    held by the driver (``fit_bag_of_words`` tells how many others there are, and
+    ``operators.text.tfidf_table`` counts all words without a bound).  Word2Vec trains in
     ``w2v_partitions`` tasks and keeps words found ``w2v_min_count`` times."""
     stages = []
     if with_bow:
@@ -79,6 +80,12 @@ def words_outside(df: DataFrame, tokens: str, vocabulary_size: int) -> int:
     return max(0, n - vocabulary_size)
 
 
+def fit_bag_of_words(df: DataFrame, tokens: str = "vector_lemma", vocab_size: int = 1 << 18) -> tuple:
+    """(fitted bag of words over the ``vocab_size`` most frequent words, how many words it leaves out)."""
+    model = text_vector_stages(tokens, with_bow=True, vocab_size=vocab_size)[0].fit(df)
+    return model, words_outside(df, tokens, len(model.vocabulary))
+
+
 def text_feature_table(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text") -> DataFrame:
     """Per post: has_mention, has_hashtag, nbr_words and the TF-IDF vector
     ``text_features`` (1000 hashed features, min doc freq 100), fitted on the

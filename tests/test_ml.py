@@ -37,3 +37,20 @@ def test_regression_pipeline_and_tree_rules(spark):
     d = dummies(wide, keep=["nbr_words", "has_mention", "nbr_likes"])
     _, rules = ML.shallow_tree_rules(d, "nbr_likes", 3)
     assert rules and any("If (" in r for _, r in rules)
+
+
+def test_bag_of_words_has_every_word_whatever_the_vocabulary_cap(spark, monkeypatch):
+    from functools import partial
+
+    from postlens.plans.catalog import q_text_vectors
+    monkeypatch.setattr(ML, "text_vector_stages", partial(ML.text_vector_stages, vocab_size=20))
+    rows = q_text_vectors(spark, SF).collect()
+    assert len(rows) == posts_view(spark, SF).count() and max(r.bow_nnz for r in rows) > 20
+    assert all(r.bow_nnz == r.tf_sum for r in rows)
+
+
+def test_capped_bag_of_words_tells_what_it_leaves_out(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],), (["d"],), ([],)], "vector_lemma array<string>")
+    model, outside = ML.fit_bag_of_words(df, vocab_size=2)
+    assert set(model.vocabulary) == {"a", "b"} and outside == 2
+    assert ML.fit_bag_of_words(df)[1] == 0
