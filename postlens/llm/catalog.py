@@ -5,6 +5,7 @@ from postlens.llm.lm import op6_lm_scoring
 from postlens.llm.mixing import op3_mixing
 from postlens.llm.neighbours import op10_nearest_neighbours
 from postlens.llm.quality import op8_quality_rules
+from postlens.llm.runs import op13_periodic_runs
 from postlens.llm.sharding import op2_sharding
 from postlens.llm.similarity import op9_ngram_jaccard_join
 from postlens.llm.substrings import op5_substring_dedup
@@ -22,4 +23,5 @@ CATALOG = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
     "op10_nearest_neighbours": (op10_nearest_neighbours, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
