@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, with oracle SQL where SQL can express them."""
 
+from postlens.llm.alignment import op12_token_alignment
 from postlens.llm.bpe import op7_bpe_encode_decode
 from postlens.llm.lm import op6_lm_scoring
 from postlens.llm.mixing import op3_mixing
@@ -11,6 +12,7 @@ from postlens.llm.similarity import op9_ngram_jaccard_join
 from postlens.llm.substrings import op5_substring_dedup
 from postlens.llm.token_counts import op1_token_counts
 from postlens.llm.toxicity import op4_toxicity
+from postlens.llm.warc import op11_warc
 
 CATALOG = {
     "op1_token_counts": (op1_token_counts, None),
@@ -23,5 +25,7 @@ CATALOG = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
     "op10_nearest_neighbours": (op10_nearest_neighbours, None),
+    "op11_warc": (op11_warc, None),
+    "op12_token_alignment": (op12_token_alignment, None),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }
