@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: n, mse, rmse, mae, r2 — a single aggregate pass.
@@ -101,3 +104,34 @@ def report_rows(pairs: Sequence[tuple[float, float, int]]) -> list[tuple]:
     return rows
 
 
+
+
+def auc_by(scored: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", bins: int = 1024) -> DataFrame:
+    """Exact area under the ROC curve of each group: (by..., n, n_positive, auc); ties count
+    half, and a group of one class only has a null area.  Label 1 is positive, null labels and
+    scores are left out.
+
+    Rows of one score become one row (combined map-side).  Scores are dealt into bins
+    between their quantiles; what lies below inside a bin is a window over that bin, what lies in
+    lower bins a window over at most ``bins`` rows a group, so no group is sorted in one task.
+    """
+    counts = cut_lineage(
+        scored.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+        .groupBy(*by, F.col(score).cast("double").alias("_s"))
+        .agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q")))
+    edges = sorted(set(counts.approxQuantile("_s", [k / bins for k in range(1, bins)], 1e-4)))
+    if edges:
+        counts = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_s", outputCol="_bin").transform(counts)
+    else:
+        counts = counts.withColumn("_bin", F.lit(0.0))
+
+    def below(*within):
+        return F.coalesce(F.sum("_q").over(Window.partitionBy(*by, *within[:-1]).orderBy(within[-1])
+                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    inside = counts.withColumn("_below", below("_bin", "_s")) \
+        .withColumn("_area", F.col("_p") * (F.col("_below") + F.col("_q") / 2)) \
+        .groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in ("_area", "_p", "_q")])
+    return inside.withColumn("_below", below("_bin")).groupBy(*by).agg(
+        F.sum(F.col("_p") + F.col("_q")).alias("n"), F.sum("_p").alias("n_positive"),
+        F.try_divide(F.sum(F.col("_area") + F.col("_p") * F.col("_below")), F.sum("_p").cast("double") * F.sum("_q")).alias("auc"))

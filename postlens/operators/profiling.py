@@ -7,7 +7,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -149,3 +151,73 @@ def mean_by(df: DataFrame, by: Sequence[str], y: str, z: float = 1.96) -> DataFr
     half = F.lit(z) * F.col("sd") / F.sqrt(F.col("n"))
     return g.select("dimension", "value", "n", "mean", "sd",
                     (F.col("mean") - half).alias("ci_lo"), (F.col("mean") + half).alias("ci_hi"))
+
+
+#: Hex digits of an md5 that one replicate's weight is drawn from, and replicates an md5 serves.
+DRAW_DIGITS, DRAWS = 5, 6
+
+
+def poisson_cuts() -> list[int]:
+    """Rising cuts of a 20-bit number at which a Poisson(1) variable takes its next value."""
+    cuts, mass, k = [], math.exp(-1.0), 0
+    below = mass
+    while (cut := math.floor(below * 16 ** DRAW_DIGITS)) < 16 ** DRAW_DIGITS - 1:
+        cuts.append(cut)
+        k += 1
+        mass /= k
+        below += mass
+    return cuts
+
+
+def poisson_weights(id_col: str, replicates: int, seed: int = 0) -> Column:
+    """array<double>: one Poisson(1) weight a replicate, from md5(seed:block:id), so the same row
+    has the same weights in every run and partitioning."""
+    cuts = poisson_cuts()
+
+    def weight(digits: Column) -> Column:
+        u = F.conv(digits, 16, 10).cast("int")
+        out = F.lit(float(len(cuts)))
+        for k in range(len(cuts) - 1, -1, -1):
+            out = F.when(u < cuts[k], F.lit(float(k))).otherwise(out)
+        return out
+
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1))
+    hashes = F.transform(blocks, lambda b: F.md5(F.concat_ws(":", F.lit(seed), b, F.col(id_col)).cast("binary")))
+    digits = F.flatten(F.transform(hashes, lambda h: F.array(
+        *[F.substring(h, 1 + DRAW_DIGITS * k, DRAW_DIGITS) for k in range(DRAWS)])))
+    return F.transform(F.slice(digits, 1, replicates), weight)
+
+
+def percentile_of(values: Column, q: float) -> Column:
+    """Percentile of a sorted array, interpolated between neighbours; null for an empty one."""
+    at = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a, b = F.try_element_at(values, low + 1), F.try_element_at(values, F.least(low + 2, F.size(values)))
+    return F.when(F.size(values) > 0, a + (b - a) * (at - low))
+
+
+def bootstrap_mean_by(df: DataFrame, by: Sequence[str], y: str, id_col: str, replicates: int = 200,
+                      level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Mean of ``y`` with a resampled percentile interval per value of each column in ``by``:
+    (dimension, value, n, mean, ci_lo, ci_hi).
+
+    Poisson bootstrap: in each replicate a row counts Poisson(1) times, drawn from a hash of its
+    id, which needs no second scan and no exchange of rows.  The weights and weighted values of
+    all replicates are one vector a row, added up by group in a single map-side combined aggregate.  Replicates
+    in which a group has no rows are left out of its interval; null ``y`` counts nowhere, rows without
+    an id share their weights.
+    """
+    w = poisson_weights(id_col, replicates, seed)
+    rows = df.where(F.col(y).isNotNull()).select(*by, F.col(y).cast("double").alias("_y"), w.alias("_w")) \
+        .select(*by, "_y", array_to_vector(F.concat("_w", F.transform("_w", lambda x: x * F.col("_y")))).alias("_v"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("bigint").alias("value"))
+                                for c in by])).alias("d")
+    sums = rows.select(pairs, "_y", "_v").select("d.dimension", "d.value", "_y", "_v").groupBy("dimension", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("_s"))
+    means = F.sort_array(F.filter(F.zip_with(
+        F.slice("_s", 1, replicates), F.slice("_s", replicates + 1, replicates),
+        lambda n, s: F.when(n > 0, s / n)), lambda m: m.isNotNull()))
+    tail = (1.0 - level) / 2
+    return sums.withColumn("_m", means).select(
+        "dimension", "value", "n", "mean", percentile_of(F.col("_m"), tail).alias("ci_lo"),
+        percentile_of(F.col("_m"), 1.0 - tail).alias("ci_hi"))

@@ -99,6 +99,11 @@ def _wide_cte(body: str) -> str:
     return with_views("WITH " + ctes + ("" if inner else "\n" + b), posts=True, comments=True)
 
 
+def recursive(sql: str) -> str:
+    """The same query with recursive CTEs allowed."""
+    return "WITH RECURSIVE" + sql[4:]
+
+
 from ..operators import cleaning as CL  # noqa: E402
 from ..operators import emoji as EM  # noqa: E402
 from ..operators import evaluation as EV  # noqa: E402
@@ -931,3 +936,6 @@ SELECT m.model, count(*) AS n, round(sum(te.label), 1) AS label_sum FROM te CROS
 def q_ml_reg_cov(spark, sf_dir):
     pred = _fitted(spark, sf_dir, "regression").predictions()
     return pred.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 1).alias("label_sum"))
+
+
+from . import catalog_sentiment, catalog_tuning  # noqa: E402, F401  (register further queries)

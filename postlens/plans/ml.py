@@ -206,11 +206,14 @@ def estimators(task: str, grids: Mapping[str, Mapping[str, list]] | None = None,
 
 def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int = 8,
            grids: Mapping[str, Mapping[str, list]] | None = None, feature_col: str = "features",
-           models: Sequence[str] | None = None, seed: int = SEED) -> dict[str, CrossValidatorModel]:
+           models: Sequence[str] | None = None, seed: int = SEED, one_scan: bool = True) -> dict[str, CrossValidatorModel]:
     """k-fold grid search per model.  Folds are hash buckets of post_id; the
     training frame is check-pointed once so every fit rescans it.  Up to
     ``parallelism`` fits run at once (each fit is itself a distributed job, the
-    concurrency only hides per-job overhead and changes no result)."""
+    concurrency only hides per-job overhead and changes no result).
+
+    ``one_scan``: the grids of linear regression and naive Bayes are searched from sums by fold
+    (``onescan``), so only their best model is fitted."""
     data = train.withColumn("fold", F.pmod(split_bucket("post_id", seed + 1), F.lit(folds)).cast("int"))
     data = cut_lineage(data.select("post_id", F.col(feature_col).alias("features"), "label", "fold"))
     out = {}
@@ -219,10 +222,39 @@ def fit_cv(train: DataFrame, task: str, folds: int = 5, parallelism: int = 8,
             continue
         cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
                             foldCol="fold", parallelism=parallelism, seed=seed)
-        out[name] = cv.fit(data)
+        searched = one_scan and _one_scan_metrics(name, grid, data)
+        out[name] = _refit(cv, data, searched) if searched else cv.fit(data)
     return out
 
 
+def _one_scan_metrics(name: str, grid: list, data: DataFrame) -> list[list[float]] | None:
+    """Held-out metric of every fold, per grid point; None for what sums by fold cannot tell: other
+    models, other parameters, or (naive Bayes) labels other than two classes."""
+    from . import onescan as OS
+    points = [{p.name: v for p, v in g.items()} for g in grid]
+    if name == "lr" and all(set(p) <= {"regParam", "elasticNetParam"} for p in points):
+        moments = OS.fold_moments(data, "features")
+        return [[row[5] for row in OS.linear_path(moments, [p.get("regParam", 0.0)], [p.get("elasticNetParam", 0.0)])]
+                for p in points]
+    if name == "nb" and all(set(p) == {"smoothing"} for p in points):
+        scores = OS.nb_fold_scores(data, "features", "label", [p["smoothing"] for p in points]).collect()
+        found = {(r.smoothing, r.fold): r.auc_raw for r in scores}
+        folds = sorted({f for _, f in found})
+        metrics = [[found.get((float(p["smoothing"]), f)) for f in folds] for p in points]
+        if folds and all(m is not None for row in metrics for m in row):
+            return metrics
+    return None
+
+
+def _refit(cv: CrossValidator, data: DataFrame, metrics: list[list[float]]) -> CrossValidatorModel:
+    """The cross-validation result of known metrics: the best grid point, fitted on all rows."""
+    mean = [sum(m) / len(m) for m in metrics]
+    spread = [(sum((x - a) ** 2 for x in m) / len(m)) ** 0.5 for m, a in zip(metrics, mean)]
+    best = (max if cv.getEvaluator().isLargerBetter() else min)(range(len(mean)), key=mean.__getitem__)
+    model = cv.getEstimator().fit(data, cv.getEstimatorParamMaps()[best])
+    return cv._copyValues(CrossValidatorModel(model, mean, [], spread))
+
+
 def best_params(cv_models: Mapping[str, CrossValidatorModel]) -> list[tuple[str, str, str, float]]:
     """(model, param, best value, best mean CV metric) for every tuned param."""
     rows = []
