@@ -32,7 +32,7 @@ from postlens.llm.token_counts import load_tokenizer
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Merge steps of a piece, and characters of the documents that are aligned together.
-WORK, CHUNK_CHARS = 1 << 16, 1 << 21
+WORK, CHUNK_CHARS = 1 << 16, 1 << 19
 SPACE = "▁"
 LINK_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 
