@@ -145,16 +145,21 @@ controls = regex.compile("[\x1c-\x1f]").search
 
 
 class Words(dict):
-    """Bounded cache of what ``make`` gives for a key (strings of up to 64 code points, or pairs)."""
+    """Bounded cache of what ``make`` gives for a key (of up to 64 code points),
+    in two generations: when the younger one is full it becomes the older one, and what is
+    asked for again moves back, so words in use stay and words not met again go."""
 
     def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, w: str) -> tuple[bytes, bytes]:
-        hit = self.make(w)
+        hit = self.older.get(w)
+        if hit is None:
+            hit = self.make(w)
         if len(w) <= 64:
-            if len(self) >= self.size:
+            if 2 * len(self) >= self.size:
+                self.older = dict(self)
                 self.clear()
             self[w] = hit
         return hit
@@ -170,8 +175,8 @@ class Encoder:
     a function that gets (id bytes, decoded bytes, token count).
 
     What it holds: a carry of at most ``block`` code points, a run buffer of at
-    most ``window + lookahead`` symbols, and a cache of at most ``cache_size``
-    words of at most 64 code points.
+    most ``window + lookahead`` symbols, and caches of at most ``cache_size``
+    words and as many pre-tokens, of at most 64 code points.
     """
 
     def __init__(self, merges: MergeList, block: int = 1 << 16, window: int = 4096, cache_size: int = 300_000):
@@ -184,15 +189,8 @@ class Encoder:
             if merges.special else None
         self.hold = max([len(s) for s in merges.special], default=1) - 1
         self.cache = Words(self.spaced, cache_size)
-        self.pairs = Words(self.stands, cache_size)
-        # of the tokens with these first two letters; never less than what a whole vocabulary string spans
-        self.longest: dict[str, int] = {}
-        for t in merges.vocab:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 1), len(t))
-            if len(t) == 1 + len(merges.suffix):  # one letter and the suffix: any letter may follow it here
-                self.longest[t[:1]] = max(self.longest.get(t[:1], 1), 1)
-        # symbols of the byte alphabet itself, whatever they end with
-        self.plain_ids = set(merges.symbol.values())
+        # pre-tokens are met in more places than the words they stand in
+        self.heads = Words(self.word, cache_size)
         self.rare = regex.compile(f"[^{COMMON}]").search
         split = pre_tokenizers.Split(Regex(merges.pattern), "removed", invert=True)
         self.library_find = lambda text: [w for w, _ in split.pre_tokenize_str(text)]
@@ -211,61 +209,15 @@ class Encoder:
         text_of = self.m.text_of
         return struct.pack(f"<{len(ids)}I", *ids), "".join([" " + text_of[i] for i in ids]).encode()
 
-    def stands(self, pair: tuple[int, int]) -> bool:
-        """Whether two tokens side by side encode as just these two (-1: nothing before)."""
-        symbols = []
-        for t in pair:
-            if t >= 0:
-                text = self.m.text_of[t]
-                ends = bool(self.m.suffix) and t not in self.plain_ids and text.endswith(self.m.suffix)
-                letters = text[:len(text) - len(self.m.suffix)] if ends else text
-                symbols += [self.m.vocab[c] for c in letters]
-                if ends:
-                    symbols[-1] = self.m.vocab[letters[-1] + self.m.suffix]
-        return merge_all(symbols, self.m) == [t for t in pair if t >= 0]
-
     def word(self, w: str) -> list[int]:
-        """Ids of a whole pre-token.
-
-        For a merge list whose parts are made before they are used, the encoding
-        is the one token sequence in which all neighbours stand (``stands``,
-        cached); it is looked for with the longest token first, stepping back
-        where none fits.  Otherwise, and for long words, by merging.
-        """
+        """Ids of a whole pre-token: its letters, the last with the suffix, merged."""
         raw = w.encode()
-        if self.look is not None and len(raw) <= 64:
-            letters, suffix, vocab, stands = "".join(map(self.m.letters.__getitem__, raw)), self.m.suffix, self.m.vocab, self.pairs
-            n, at, ids, sizes = len(letters), 0, [], []
-            size, steps = min(n, self.longest.get(letters[:2], 1)), 0
-            while at < n and steps <= 16 * n:
-                last = ids[-1] if ids else -1
-                while size:
-                    end = at + size
-                    t = vocab.get(letters[at:] + suffix if end == n else letters[at:end])
-                    if t is not None and stands[last, t]:
-                        break
-                    size -= 1
-                steps += 1
-                if size:
-                    ids.append(t)
-                    sizes.append(size)
-                    at += size
-                    size = min(n - at, self.longest.get(letters[at:at + 2], 1))
-                elif ids:
-                    ids.pop()
-                    size = sizes.pop()
-                    at -= size
-                    size -= 1
-                else:
-                    break
-            if at == n:
-                return ids
         return merge_all([*map(self.m.symbol.__getitem__, raw[:-1]), self.m.final[raw[-1]]], self.m)
 
     def spaced(self, w: str) -> tuple[bytes, bytes]:
         """Ids and decoded pieces of what stands between two spaces: one or more whole pre-tokens."""
         find = self.find if w.isascii() or not self.rare(w) else self.library_find
-        return self.tokens([i for part in find(w) for i in self.word(part)])
+        return self.tokens([i for part in find(w) for i in self.heads[part]])
 
     # -- input ----------------------------------------------------------------
     def feed(self, text: str, out) -> None:

@@ -119,3 +119,12 @@ def test_encode_decode_rows(odd, nothing, spark, word_tok):
                          hashlib.sha256(word_tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
         assert sorted([tuple(r) for r in bpe.encode_decode(docs).collect()], key=str) == sorted(want, key=str)
     assert bpe.encode_decode(nothing).count() == 0
+
+
+def test_cache_keeps_what_is_in_use():
+    made = []
+    cache = bpe.Words(lambda w: made.append(w) or (w,), 8)
+    for k in range(40):
+        assert cache["often"] == ("often",) and cache[f"once{k}"] == (f"once{k}",)
+    assert made.count("often") == 1 and len(cache) <= 4 and len(cache.older) <= 4
+    assert cache["x" * 65] == ("x" * 65,) and "x" * 65 not in cache
