@@ -14,13 +14,19 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm.common import as_bytes, id_and_text, read
 
 #: Buckets of each order (words, pairs): what is counted and broadcast has this many numbers.
 BUCKETS = 1 << 16
+#: Buckets of one vector that a task sends.
+SLICE = 2048
+#: Size of the filter in front of the join with the trusted ids, and places that an id sets in it.
+FILTER_BITS, FILTER_HASHES = 1 << 23, 4
 #: Pseudo-count of a bucket.
 PRIOR = 1.0
 #: A document whose mean log ratio is below this is less like the target than the
@@ -38,43 +44,77 @@ def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(BUCKETS)).astype(np.int64), (pairs % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame) -> DataFrame:
-    """(target boolean, bucket int, n long) over (text binary, good boolean); pairs
-    follow the words' buckets.  Each task sends at most four rows per bucket."""
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket is met in column ``text`` (binary); pairs follow the words'
+    buckets.  A task sends its counts as ``2 * BUCKETS / SLICE`` vectors, which Spark adds up slice
+    by slice; 2 * BUCKETS numbers reach the driver."""
 
     def count(batches):
-        total = np.zeros((2, 2 * BUCKETS), np.int64)
+        total = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], []]
-            for text, good in zip(batch.column("text"), batch.column("good").to_pylist()):
-                one, two = hashed(text.as_py().split())
-                parts[good] += [one, two + BUCKETS]
-            for good in (0, 1):
-                if parts[good]:
-                    total[good] += np.bincount(np.concatenate(parts[good]), minlength=2 * BUCKETS)
-        for good in (0, 1):
-            at = np.flatnonzero(total[good])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), bool(good))), pa.array(at.astype(np.int32)),
-                                              pa.array(total[good][at])], names=["good", "bucket", "n"])
-
-    return (docs.select("text", "good").mapInArrow(count, "good boolean, bucket int, n long")
-            .groupBy("good", "bucket").agg(F.sum("n").alias("n")))
-
-
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket; the raw corpus holds all documents,
-    the target's included.  Fetches at most four rows per bucket."""
-    target, raw = np.full(2 * BUCKETS, PRIOR), np.full(2 * BUCKETS, PRIOR)
-    for good, bucket, n in counts.collect():
-        raw[bucket] += n
-        if good:
-            target[bucket] += n
+            parts = [x for text in batch.column("text") for one, two in (hashed(text.as_py().split()),) for x in (one, two + BUCKETS)]
+            if parts:
+                total += np.bincount(np.concatenate(parts), minlength=2 * BUCKETS)
+        if total.any():
+            slices = total.astype(np.float64).reshape(-1, SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()),
+                                              pa.array(list(slices), pa.list_(pa.float64()))], names=["slice", "v"])
+
+    parts = texts.select("text").mapInArrow(count, "slice int, v array<double>") \
+        .groupBy("slice").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    out = np.zeros((2 * BUCKETS // SLICE, SLICE))
+    for at, v in parts.collect():
+        out[at] = v.toArray()
+    return out.ravel()
+
+
+def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket; the raw corpus holds all documents, the target's
+    included."""
+    target, raw = target + PRIOR, raw + PRIOR
     out = np.empty(2 * BUCKETS)
     for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
         out[part] = np.log(target[part] / target[part].sum()) - np.log(raw[part] / raw[part].sum())
     return out
 
 
+def bits_of(column: Column) -> list[Column]:
+    """The places that a value sets in a filter of FILTER_BITS bits."""
+    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]
+
+
+def trusted_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text) of the documents labelled 1 in any row of ``labels`` (doc_id, quality).
+
+    A filter of a fixed size, whatever the number of labels, lets through all rows with a trusted id
+    and few others, where the rows lie; an exact join on the id follows.  So only about as many
+    texts are moved as are trusted, in the same plan at every size.
+    """
+    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_id")) \
+        .where("label_id is not null").distinct()
+    words = trusted.select(F.explode(F.array(*bits_of(F.col("label_id")))).alias("bit")) \
+        .groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("bits"))
+    mask = np.zeros(FILTER_BITS // 32, np.uint32)
+    for word, bits in words.collect():
+        mask[word] = bits
+    shared = texts.sparkSession.sparkContext.broadcast(mask)
+
+    def let_through(batches):
+        held = shared.value
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k in range(FILTER_HASHES):
+                at = batch.column(f"bit{k}").to_numpy(zero_copy_only=False)
+                ok &= (held[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+            yield batch.filter(pa.array(ok)).select(["doc_id", "text"])
+
+    marked = texts.where("doc_id is not null").select(
+        "doc_id", "text", *[b.alias(f"bit{k}") for k, b in enumerate(bits_of(F.col("doc_id")))])
+    return marked.mapInArrow(let_through, "doc_id long, text binary") \
+        .join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("label_id")).select("text")
+
+
 def repeated_words(words: list[bytes], size: int = 5) -> int:
     """Words inside windows of ``size`` words that are found twice or more in the text."""
     n = len(words) - size + 1
@@ -121,17 +161,11 @@ def rate(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_co
     target.  Null labels and ids trust nothing.  A null or empty text has no words,
     fails the base rules and scores 0; repeated rows are counted and returned each;
     without trusted documents all scores are near 0; an empty table gives an empty
-    result.  One label join carries the counting; scoring is row-local.
+    result.  Only texts that may be trusted are moved (``trusted_texts``); all else is row-local.
     """
     texts = as_bytes(id_and_text(docs, id_col, text_col))
-    trusted = (labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_id"))
-               .where("label_id is not null").distinct().withColumn("trusted", F.lit(True)))
-    # the second key spreads rows without an id, which match nothing
-    marked = (texts.withColumn("spread", F.coalesce("doc_id", F.xxhash64("text")))
-              .join(trusted.withColumn("label_key", F.col("label_id")),
-                    (F.col("doc_id") == F.col("label_id")) & (F.col("spread") == F.col("label_key")), "left")
-              .select("text", F.coalesce("trusted", F.lit(False)).alias("good")))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(marked)).astype(np.float64))
+    ratios = docs.sparkSession.sparkContext.broadcast(
+        log_ratios(bucket_counts(trusted_texts(texts, labels)), bucket_counts(texts)))
 
     def score(batches):
         ratio = ratios.value

@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from odd_rows import TEXTS
 
@@ -163,3 +164,50 @@ def test_lm_probabilities_sum_to_one():
 
 def test_lm_empty_table(nothing):
     assert lm.score_texts(nothing).count() == 0
+
+
+def brute_quality(rows, trusted):
+    """Scores by plain counting of hashed words and pairs."""
+    n = quality.BUCKETS
+    target, raw = (np.full(2 * n, quality.PRIOR) for _ in range(2))
+    buckets = []
+    for doc_id, text in rows:
+        h = [zlib.crc32(w) for w in (text or "").encode().split()]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2 ** 64 >> 40) % n + n for a, b in zip(h, h[1:])]
+        buckets.append([x % n for x in h] + pairs)
+        np.add.at(raw, buckets[-1], 1)
+        if doc_id in trusted:
+            np.add.at(target, buckets[-1], 1)
+    ratio = np.concatenate([np.log(target[s] / target[s].sum()) - np.log(raw[s] / raw[s].sum()) for s in (slice(0, n), slice(n, None))])
+    return [float(ratio[b].mean()) if b else 0.0 for b in buckets]
+
+
+def test_quality_score_equals_brute_force(spark, odd, labels):
+    sf = "/root/testdata/sf0.001"
+    for docs, labs in ((spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")), (odd, labels)):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        trusted = {r.doc_id for r in labs.collect() if r.quality == 1 and r.doc_id is not None}
+        want = {}
+        for (doc_id, text), score in zip(rows, brute_quality(rows, trusted)):
+            want.setdefault(doc_id, []).append(score)
+        got = {}
+        for r in quality.rate(docs, labs).collect():
+            got.setdefault(r.doc_id, []).append(r.score)
+            assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+        assert set(got) == set(want) and all(sorted(got[k]) == pytest.approx(sorted(want[k]), abs=1e-9) for k in want)
+
+
+def test_quality_filter_lets_all_trusted_texts_through(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CAST(concat('text ', id) AS BINARY) AS text")
+    labs = spark.range(0, 3000, 7).selectExpr("id AS doc_id", "1 AS quality")
+    want = sorted(f"text {k}" for k in range(0, 3000, 7))
+    for bits in (64, 1 << 23):  # a full filter lets everything through; the join decides
+        monkeypatch.setattr(quality, "FILTER_BITS", bits)
+        assert sorted(bytes(r.text).decode() for r in quality.trusted_texts(docs, labs).collect()) == want
+
+
+def test_quality_moves_no_untrusted_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labs = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    plan = quality.trusted_texts(quality.as_bytes(quality.id_and_text(docs)), labs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
