@@ -7,6 +7,9 @@ import sys
 import types
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +54,74 @@ def per_worker(key, make):
     return store[key]
 
 
+#: Size of the filter of ``may_hold``, and places that a value sets in it.
+FILTER_BITS, FILTER_HASHES = 1 << 23, 4
+
+
+def bits_of(column: Column) -> list[Column]:
+    """The places that a value sets in a filter of FILTER_BITS bits."""
+    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]
+
+
+def may_hold(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose ``column`` (long) may be among the values of a table of one column, and few others:
+    a filter of a fixed size, whatever the number of values, so that less is moved for the exact
+    join that has to follow.  It is of no help, and no harm, for values by the hundred million."""
+    value = F.col(values.columns[0])
+    words = values.where(value.isNotNull()).select(F.explode(F.array(*bits_of(value))).alias("bit")) \
+        .groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("bits"))
+    mask = np.zeros(FILTER_BITS // 32, np.uint32)
+    for word, bits in words.collect():
+        mask[word] = bits
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+    names = rows.columns
+
+    def let_through(batches):
+        held = shared.value
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k in range(FILTER_HASHES):
+                at = batch.column(f"bit{k}").to_numpy(zero_copy_only=False)
+                ok &= (held[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+            yield batch.filter(pa.array(ok)).select(names)
+
+    marked = rows.where(F.col(column).isNotNull()).select(*names, *[b.alias(f"bit{k}") for k, b in enumerate(bits_of(F.col(column)))])
+    return marked.mapInArrow(let_through, rows.schema)
+
+
+#: Spark removes an execution's shuffle files when it has ended, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder under a new name and read
-    it back: the lineage is cut and the rows survive lost executors."""
+    it back: the lineage is cut and the rows survive lost executors.  The shuffle files of the
+    write go when it has ended; the table goes with ``forget``."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove kept tables that nothing reads any more; others, and stores that the driver has no
+    other access to than Spark's, are left as they are."""
+    for table in tables:
+        path = getattr(table, "kept_at", None)
+        if path:
+            try:
+                fs, place = FileSystem.from_uri(path)
+                fs.delete_dir(place)
+            except (OSError, pa.ArrowException):
+                pass
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -77,12 +141,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = (edges.join(label.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
              .join(label.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
              .where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        edges = keep(e, "edges")
+        edges, old = keep(e, "edges"), edges
+        forget(old)
         if edges.isEmpty():
+            forget(edges)
             return label
         hook = (edges.select(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new"))
                 .groupBy("old").agg(F.min("new").alias("new")))
-        hook = keep(hook, "hook")
+        hook = table = keep(hook, "hook")
         # follow the hooks to their end: they always go to a smaller node
         while True:
             nxt = (hook.alias("x").join(hook.alias("y"), F.col("x.new") == F.col("y.old"), "left")
@@ -90,9 +156,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                            F.col("y.new").isNotNull().alias("moved")))
             nxt = keep(nxt, "hook")
             more = not nxt.where("moved").isEmpty()
-            hook = nxt.select("old", "new")
+            forget(table)
+            hook, table = nxt.select("old", "new"), nxt
             if not more:
                 break
-        label = keep(label.join(hook, label["root"] == hook["old"], "left")
-                     .select("node", F.coalesce("new", "root").alias("root")), "label")
+        label, old = keep(label.join(hook, label["root"] == hook["old"], "left")
+                          .select("node", F.coalesce("new", "root").alias("root")), "label"), label
+        forget(old, table)
     raise RuntimeError("components did not settle")

@@ -16,17 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import as_bytes, id_and_text, read
+from postlens.llm.common import as_bytes, id_and_text, may_hold, read
 
 #: Buckets of each order (words, pairs): what is counted and broadcast has this many numbers.
 BUCKETS = 1 << 16
 #: Buckets of one vector that a task sends.
 SLICE = 2048
-#: Size of the filter in front of the join with the trusted ids, and places that an id sets in it.
-FILTER_BITS, FILTER_HASHES = 1 << 23, 4
 #: Pseudo-count of a bucket.
 PRIOR = 1.0
 #: A document whose mean log ratio is below this is less like the target than the
@@ -78,11 +76,6 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def bits_of(column: Column) -> list[Column]:
-    """The places that a value sets in a filter of FILTER_BITS bits."""
-    return [F.pmod(F.xxhash64(column, F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)]
-
-
 def trusted_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(text) of the documents labelled 1 in any row of ``labels`` (doc_id, quality).
 
@@ -92,26 +85,7 @@ def trusted_texts(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("label_id")) \
         .where("label_id is not null").distinct()
-    words = trusted.select(F.explode(F.array(*bits_of(F.col("label_id")))).alias("bit")) \
-        .groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word")) \
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("bits"))
-    mask = np.zeros(FILTER_BITS // 32, np.uint32)
-    for word, bits in words.collect():
-        mask[word] = bits
-    shared = texts.sparkSession.sparkContext.broadcast(mask)
-
-    def let_through(batches):
-        held = shared.value
-        for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k in range(FILTER_HASHES):
-                at = batch.column(f"bit{k}").to_numpy(zero_copy_only=False)
-                ok &= (held[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-            yield batch.filter(pa.array(ok)).select(["doc_id", "text"])
-
-    marked = texts.where("doc_id is not null").select(
-        "doc_id", "text", *[b.alias(f"bit{k}") for k, b in enumerate(bits_of(F.col("doc_id")))])
-    return marked.mapInArrow(let_through, "doc_id long, text binary") \
+    return may_hold(texts.select("doc_id", "text"), "doc_id", trusted) \
         .join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("label_id")).select("text")
 
 

@@ -2,23 +2,28 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles, 4 words by default;
 equal sets are one class.  All sets are ordered alike (by hash).  With need(n) =
-ceil(0.85 n), or another share, two sets that link share at least l tokens in their l-prefixes, the
-first n - need(n) + l tokens, for every l.
-
-The candidate cost of a token is the number of components, known so far, whose sets
-post it.  A set whose prefix holds h costly tokens (cost over ``hot``) lengthens its
-prefix until it reads h + 1 matches, l = h + 1: of that many shared tokens one at
-least is cheap, so only cheap tokens need to be posted.  Prefixes are stored with
-some room; sets that need more ("dense") are posted again as a whole among
-themselves, where l may grow up to the overlap that a link needs.  Sets that stay
-among costly tokens even so hold little else: large groups of near copies that did
-not link yet.  Ordered by cost, they also post the costly tokens of their 1-prefix, and those
-long lists are never expanded into pairs at once: in rounds, a growing number of
-leaders of each list is compared with its members, members already in the leader's
-component are left out, until each list is one component or every pair was compared.
-
-Before all that, each set is compared with the one set that leads most of its lists;
-this links most near copies with one comparison a set and only saves work.
+ceil(0.85 n), or another share, two sets that link share at least t + 1 tokens in their
+prefixes of n - need(n) + 1 + t tokens, for every t.
+
+Wanted are the components of the links, so pairs inside a component need no comparison.
+
+* Stars.  In the list of each token the set with the fewest tokens of its own leads: an
+  original leads its copies.  Each set is compared with the one set that leads most of its
+  lists; this links most near copies with one comparison a set and only saves work.
+* Cost.  The cost of a token is the number of components, known so far, whose sets post it;
+  tokens of cost over ``hot`` are costly.  A set whose estimated candidates (the costs of its
+  cheap tokens) are many lengthens its prefix by t tokens, any set by as many as it needs so
+  that fewer than t + 1 of its tokens are costly.  Only cheap tokens are posted, and a partner has
+  to share t + 1 less the costly ones of them before anything is verified.
+* Counting.  Shared tokens are counted between a set and a component: a list gives a row for each
+  of its sets and components, not for each pair of sets.  Where the count suffices, the set
+  is compared with the component's member that leads it there; only if that does not link
+  are the component's other members counted one by one.
+* Dense sets.  Prefixes are stored with some room.  Sets that need more are posted again as a
+  whole among themselves.  Those that stay among costly tokens even so also post the costly
+  ones among their cheapest, and in rounds a growing number of leaders of each such list is
+  compared with its members, until each list is one component or every pair was compared.
+
 Candidates are verified in two steps: from the stored prefixes, whose missing tokens
 bound the overlap, and then on the whole sets.  Links feed connected components.
 """
@@ -28,15 +33,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postlens.llm.common import as_bytes, components, id_and_text, keep, read, text_hash
+from postlens.llm.common import as_bytes, components, forget, id_and_text, keep, may_hold, read, text_hash
 
 SHINGLE, NUM, DEN, HOT = 4, 85, 100, 16
-#: Leaders of a costly list in the first round.
-LEADERS = 8
+#: Leaders of a costly list in the first round, and growth from round to round.
+LEADERS, GROWTH = 4, 4
+#: A set with more estimated candidates than this lengthens its prefix by all the room there is.
+FEW = 16
+#: Parts that a long list is dealt over when its leaders are looked for.
+PARTS = 64
 #: A prefix is stored with room for 4 + n / ROOM more tokens.
 ROOM = 48
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,112 +115,87 @@ class Join:
     def __init__(self, texts: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, shingle: int = SHINGLE):
         self.texts, self.num, self.den, self.hot, self.shingle = texts, num, den, hot, shingle
         self.rows = keep(set_rows(texts, num, den, shingle), "sets")
-        self.classes = keep(self.rows.where("d is not null").groupBy("d")
-                            .agg(F.min(F.struct("doc_id", "h")).alias("r"), F.min("doc_id").alias("least"))
-                            .select("d", F.col("r.doc_id").alias("rep_id"), F.col("r.h").alias("rep_h"), "least"), "classes")
-        c = self.classes.select(F.col("d").alias("cd"), "rep_id", "rep_h")
-        # one row of each class; rows that repeat an id and its text are taken together
-        self.reps = keep(self.rows.where("d is not null")
-                         .join(c, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("rep_h"))
-                               & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-                         .select("d", "n", "prefix").dropDuplicates(["d"]), "reps")
-        # (node, root) of every set in a link so far
-        self.label = self.reps.sparkSession.createDataFrame([], "node long, root long")
-        self.compared = self.reps.sparkSession.createDataFrame([], "a long, b long")
-
-    def rooted(self, post: DataFrame) -> DataFrame:
-        """Postings with the component that their set is in so far."""
-        return post.join(self.label.select(F.col("node").alias("d"), "root"), "d", "left") \
+        # one row of each class of equal sets
+        self.reps = keep(self.rows.where("d is not null").groupBy("d").agg(
+            F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "h")).alias("r"),
+            F.min("doc_id").alias("least")).select("d", "n", "prefix", F.col("r.doc_id").alias("rep_id"),
+                                                   F.col("r.h").alias("rep_h"), "least"), "reps")
+        spark = self.reps.sparkSession
+        # (node, root) of every set in a link so far, the pairs compared, and whole sets fetched
+        self.label = spark.createDataFrame([], "node long, root long")
+        self.compared = spark.createDataFrame([], "a long, b long")
+        self.whole = spark.createDataFrame([], "d long, s binary")
+        self.used: list[DataFrame] = []
+
+    def p1(self, n: Column) -> Column:
+        """Tokens of the shortest prefix."""
+        return n - F.ceil(F.lit(self.num) * n / self.den).cast("int") + 1
+
+    def rooted(self, sets: DataFrame) -> DataFrame:
+        """Rows of sets with the component that the set is in so far."""
+        return sets.join(self.label.select(F.col("node").alias("d"), "root"), "d", "left") \
             .withColumn("root", F.coalesce("root", "d"))
 
-    def choose(self, post: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-        """The postings and the dense sets (cd): (s, d, n, m, root, cost, dense) of the tokens that sets post in the end, from
-        (s, d, n, place, root); ``whole``: from whole sets, not stored prefixes.  m is
-        the most that a set can share with one of another component."""
-        num, den = self.num, self.den
-        cost = keep(post.select("s", "root").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("cost"))
-                    .where("cost > 1"), "cost")
-        n = F.col("n")
-        p1 = n - F.ceil(F.lit(num) * n / den).cast("int") + 1
-        shared = post.join(cost, "s").withColumn("p1", p1)
-        if whole:
-            # a whole set shares no more with other components than its tokens of cost over 1
-            most = shared.groupBy("d", "n").agg(F.count(F.lit(1)).cast("int").alias("m")).where(F.col("m") * den >= n * num)
-            shared = shared.join(most.select("d", "m"), "d")
-        else:
-            shared = shared.withColumn("m", n)
-        shared = keep(shared, "shared")
-        # a partner may be shorter, and so may its longest prefix
-        shortest = F.floor(n * num / den)
-        room = F.ceil(F.lit(num) * shortest / den) - 1 if whole else F.lit(4) + F.floor(shortest / ROOM)
-        # the i-th costly token is inside the lengthening prefix if fewer than p1 cheap ones stand before it
-        heavy = (shared.where(F.col("cost") > self.hot).groupBy("d", "n", "p1")
-                 .agg(F.array_sort(F.collect_list("place")).alias("at"))
-                 .select("d", F.size(F.filter("at", lambda r, i: r - i < F.col("p1"))).alias("h"), room.alias("room")))
-        heavy = keep(heavy.withColumn("dense", F.col("h") > F.col("room")), "heavy")
-        j = shared.join(heavy, "d", "left")
-        h, dense, cheap = F.coalesce("h", F.lit(0)), F.coalesce("dense", F.lit(False)), F.col("cost") <= self.hot
-        own = cheap & (dense | (F.col("place") < F.col("p1") + h))
-        if whole:
-            # of sets that stay dense also the costly tokens among their p1 cheapest, unshared ones counted first
-            by_cost = F.row_number().over(W.partitionBy("d").orderBy("cost", "s"))
-            j, own = j.withColumn("r", by_cost), own | dense & (n - F.col("m") + F.col("r") <= F.col("p1"))
-        return keep(j.where(own).select("s", "d", "n", "m", "root", "cost", dense.alias("dense")), "postings"), \
-            heavy.where("dense").select(F.col("d").alias("cd"))
-
-    def sizes_fit(self, a: str = "x", b: str = "y"):
-        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-        most = F.least(F.col(f"{a}.m"), F.col(f"{b}.m"))
-        return (F.least(x, y) * self.den >= F.greatest(x, y) * self.num) & \
-            (most * (self.den + self.num) >= (x + y) * self.num)
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (a, b)."""
-        num, den = self.num, self.den
-        r = self.reps
+    def sizes_fit(self, x: Column, y: Column) -> Column:
+        return F.least(x, y) * self.den >= F.greatest(x, y) * self.num
 
-        def bound(batches):
-            for batch in batches:
-                a, b, na, nb, pa_, pb = (batch.column(c) for c in ("a", "b", "na", "nb", "pa", "pb"))
-                ok = [may_link(np.array(x.values, np.int64), np.array(y.values, np.int64), m.as_py(), n.as_py(), num, den)
-                      for x, y, m, n in zip(pa_, pb, na, nb)]
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        close = keep(pairs.join(r.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
-                     .join(r.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
-                     .select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bound, "a long, b long"), "close")
-        if close.isEmpty():
-            return close
-        whole = keep(self.whole_sets(close.select(F.col("a").alias("cd")).union(close.select("b")).distinct()), "whole")
+    # -- verification ------------------------------------------------------------
+    def verify(self, pairs: DataFrame, bound: bool) -> DataFrame:
+        """The links among candidate pairs (a, b); ``bound``: look at the stored prefixes first."""
+        num, den = self.num, self.den
+        close = pairs
+        if bound:
+            def may(batches):
+                for batch in batches:
+                    a, b, na, nb, pa_, pb = (batch.column(c) for c in ("a", "b", "na", "nb", "pa", "pb"))
+                    ok = [may_link(np.array(x.values, np.int64), np.array(y.values, np.int64), m.as_py(), n.as_py(), num, den)
+                          for x, y, m, n in zip(pa_, pb, na, nb)]
+                    yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+            x, y = (self.reps.select(F.col("d").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"p{c}")) for c in "ab")
+            close = keep(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "pa", "pb")
+                         .mapInArrow(may, "a long, b long"), "close")
+            if close.isEmpty():
+                return close
+        ends = close.select(F.col("a").alias("cd")).union(close.select("b")).distinct()
+        fetched = keep(self.whole_sets(ends.join(self.whole.select(F.col("d").alias("cd")), "cd", "left_anti")), "whole")
+        self.whole = self.whole.union(fetched)
+        self.used.append(fetched)
 
         def exact(batches):
             for batch in batches:
                 ok = []
                 for x, y in zip(batch.column("sa"), batch.column("sb")):
-                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    o = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(den * o >= num * (len(x) + len(y) - o))
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    least = least_overlap(len(x), len(y), num, den)
+                    ok.append(min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]) \
                     .filter(pa.array(ok, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
-        return keep(close.join(whole.select(F.col("d").alias("a"), F.col("s").alias("sa")), "a")
-                    .join(whole.select(F.col("d").alias("b"), F.col("s").alias("sb")), "b")
-                    .select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "links")
+        x, y = (self.whole.select(F.col("d").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        links = keep(close.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long"), "links")
+        if bound:
+            forget(close)
+        return links
 
     def whole_sets(self, classes: DataFrame) -> DataFrame:
-        """(d, s binary: the sorted hashes) of the classes in column ``cd``; their texts are
-        read again, through a broadcast where the planner finds the classes few."""
-        need = keep(classes.join(self.classes.select(F.col("d").alias("cd"), "rep_id", F.col("rep_h").alias("nh")), "cd")
+        """(d, s binary: the sorted hashes) of the classes in column ``cd``.  Their texts are read
+        again; a filter of a fixed size keeps the others where they are."""
+        need = keep(classes.join(self.reps.select(F.col("d").alias("cd"), "rep_id", F.col("rep_h").alias("nh")), "cd")
                     .select("cd", "rep_id", "nh"), "need")
         shingle = self.shingle
+        texts = may_hold(self.texts, "h", need.select("nh"))
 
         def sets(batches):
             for batch in batches:
                 out = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("cd"), pa.array(out, pa.binary())], names=["d", "s"])
+            pa.default_memory_pool().release_unused()
 
-        return (self.texts.join(need, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
-                .select("cd", "text").dropDuplicates(["cd"]).mapInArrow(sets, "d long, s binary"))
+        # rows that repeat an id and its text have one set: any of them does
+        return (texts.join(need, (F.col("h") == F.col("nh")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
+                .groupBy("cd").agg(F.first("text").alias("text")).mapInArrow(sets, "d long, s binary"))
 
     def whole_postings(self, classes: DataFrame) -> DataFrame:
         """(s, d, n, place) of every token of the classes in column ``cd``."""
@@ -226,71 +210,170 @@ class Join:
 
         return self.whole_sets(classes).mapInArrow(explode, "s long, d long, n int, place int")
 
-    def compare(self, pairs: DataFrame) -> None:
+    def compare(self, pairs: DataFrame, bound: bool = True) -> None:
         """Verify the candidates that were not compared yet, and join what links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = keep(pairs.join(self.compared, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            return
         self.compared = self.compared.union(pairs)
-        links = self.verify(pairs)
+        self.used.append(pairs)
+        links = self.verify(pairs, bound)
         if links.isEmpty():
             return
-        label = self.label
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        nodes = keep(ends.join(label, "node", "left_anti").select("node", F.col("node").alias("root")).union(label), "nodes")
+        nodes = keep(ends.join(self.label, "node", "left_anti").select("node", F.col("node").alias("root")).union(self.label), "nodes")
         of = nodes.withColumnRenamed("root", "r")
         between = (links.join(of.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a")
                    .join(of.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
                    .select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        new = components(between).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        self.label = keep(nodes.join(new, nodes["root"] == new["old"], "left")
-                          .select("node", F.coalesce("new", "root").alias("root")), "label")
-
-    def cheap_pairs(self, post: DataFrame) -> DataFrame:
-        """Cheap lists hold few components; pairs across them are candidates."""
-        cheap = post.where(F.col("cost") <= self.hot)
-        x, y = cheap.alias("x"), cheap.alias("y")
-        return (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.d") < F.col("y.d"))
-                       & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
-                .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
+        merged = components(between)
+        new = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+        self.label, old = keep(nodes.join(new, nodes["root"] == new["old"], "left")
+                               .select("node", F.coalesce("new", "root").alias("root")), "label"), self.label
+        forget(old, nodes, merged, links)
+
+    # -- candidates --------------------------------------------------------------
+    def choose(self, sets: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+        """What sets post in the end, from (d, n, own, toks: place and token of the shared ones):
+        (s, d, n, own, root, cost, need, dense), need being the cheap tokens that a partner has to
+        share, and the dense sets (cd).  ``whole``: toks are of whole sets, not of stored prefixes;
+        dense sets among them meet in one token at least of those that they post, by cost order."""
+        num, den = self.num, self.den
+        sets = self.rooted(sets)
+        post = sets.select("d", "n", "own", "root", F.explode("toks").alias("k")).select("d", "n", "own", "root", "k.place", "k.s")
+        cost = post.groupBy("s", "root").agg(F.lit(1)).groupBy("s").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
+        n, cheap = F.col("n"), F.col("cost") <= self.hot
+        # a partner may be shorter, and so may its longest prefix
+        shortest = F.floor(n * num / den)
+        room = (F.ceil(F.lit(num) * shortest / den) - 1 if whole else F.lit(4) + F.floor(shortest / ROOM)).cast("int")
+        by_set = post.join(cost, "s").groupBy("d").agg(
+            F.first("n").alias("n"), F.first("own").alias("own"), F.first("root").alias("root"),
+            F.array_sort(F.collect_list(F.struct("place", "s", "cost"))).alias("toks"))
+        if whole:
+            # a whole set shares no more with other components than its tokens of cost over 1
+            by_set = by_set.where(F.size("toks") * den >= n * num)
+        costly = F.transform(F.filter("toks", lambda k: k["cost"] > self.hot), lambda k: k["place"])
+        by_set = by_set.withColumn("p1", self.p1(n)).withColumn("room", room).withColumn("costly", costly) \
+            .withColumn("work", F.aggregate(F.filter("toks", lambda k: (k["cost"] <= self.hot) & (k["place"] < F.col("p1"))),
+                                            F.lit(0).cast("long"), lambda a, k: a + k["cost"] - 1))
+
+        def inside(t: Column) -> Column:
+            return F.size(F.filter("costly", lambda r: r < F.col("p1") + t))
+
+        # the i-th costly token is inside the lengthening prefix if fewer than p1 cheap ones stand before it
+        least = F.size(F.filter("costly", lambda r, i: r - i < F.col("p1")))
+        by_set = by_set.withColumn("least", least).withColumn("dense", F.col("least") > F.col("room")) \
+            .withColumn("t", F.when((F.col("work") > FEW) & (F.col("room") + 1 - inside(F.col("room")) > 1), F.col("room"))
+                        .otherwise(F.col("least"))) \
+            .withColumn("need", F.when(~F.col("dense"), F.col("t") + 1 - inside(F.col("t"))).otherwise(F.lit(1 if whole else 1 << 30)))
+        posted = F.filter("toks", lambda k: (k["cost"] <= self.hot) & (F.col("dense") | (k["place"] < F.col("p1") + F.col("t"))))
+        if whole:
+            # of sets that stay dense also the costly tokens among their p1 cheapest, unshared ones counted first
+            rest = F.greatest(F.col("p1") - (n - F.size("toks")), F.lit(0))
+            cheapest = F.slice(F.array_sort(F.transform("toks", lambda k: F.struct(k["cost"].alias("cost"), k["s"].alias("s"), k["place"].alias("place")))),
+                               F.lit(1), rest)
+            some = F.transform(F.filter(cheapest, lambda k: k["cost"] > self.hot),
+                               lambda k: F.struct(k["place"].alias("place"), k["s"].alias("s"), k["cost"].alias("cost")))
+            posted = F.when(F.col("dense"), F.concat(posted, some)).otherwise(posted)
+        by_set = keep(by_set.select("d", "n", "own", "root", "need", "dense", posted.alias("toks")), "postings")
+        return by_set.select("d", "n", "own", "root", "need", "dense", F.explode("toks").alias("k")) \
+            .select("k.s", "d", "n", "own", "root", "k.cost", "need", "dense"), by_set.where("dense").select(F.col("d").alias("cd"))
+
+    def counted(self, post: DataFrame) -> DataFrame:
+        """(a, root_b, lead, need): sets and components that share enough cheap tokens, with the
+        component's member that leads it in most of their lists."""
+        of = post.groupBy("s", F.col("root").alias("root_b")).agg(
+            F.min(F.struct("own", "d", "n")).alias("m"), F.min("need").alias("need_b"),
+            F.min("n").alias("low"), F.max("n").alias("high"))
+        fit = (F.col("high") * self.den >= F.col("n") * self.num) & (F.col("n") * self.den >= F.col("low") * self.num)
+        rows = post.select("s", F.col("d").alias("a"), "n", "root", "need").join(of, "s") \
+            .where((F.col("root") > F.col("root_b")) & fit)
+        by_lead = rows.groupBy("a", "root_b", F.col("m.d").alias("lead")).agg(
+            F.count(F.lit(1)).alias("k"), F.min(F.least("need", "need_b")).alias("need"))
+        return keep(by_lead.groupBy("a", "root_b").agg(F.sum("k").alias("k"), F.min("need").alias("need"), F.max_by("lead", "k").alias("lead"))
+                    .where("k >= need").select("a", "root_b", "lead"), "counted")
+
+    def compare_cheap(self, post: DataFrame) -> None:
+        """Sets against components over cheap lists, first with the leading members, then with the
+        others of the components that did not join."""
+        post = post.where(F.col("cost") <= self.hot)
+        found = self.counted(post)
+        self.compare(found.select("a", F.col("lead").alias("b")))
+        now = self.label.select(F.col("node").alias("x"), F.col("root").alias("now"))
+        left = found.join(now.select(F.col("x").alias("a"), F.col("now").alias("na")), "a", "left") \
+            .join(now.select(F.col("x").alias("root_b"), F.col("now").alias("nb")), "root_b", "left") \
+            .where(F.coalesce("na", "a") != F.coalesce("nb", "root_b")).select("a", "root_b")
+        # a component of one set was compared in full
+        several = post.select("root", "d").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1") \
+            .select(F.col("root").alias("root_b"))
+        left = keep(left.join(several, "root_b"), "left")
+        if not left.isEmpty():
+            x = post.select("s", F.col("d").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a")).join(left, "a")
+            y = post.select("s", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"), F.col("root").alias("root_b"))
+            pairs = x.join(y, ["s", "root_b"]).where(self.sizes_fit(F.col("na"), F.col("nb"))).groupBy("a", "b").agg(
+                F.count(F.lit(1)).alias("k"), F.min(F.least("need_a", "need_b")).alias("need")).where("k >= need")
+            self.compare(pairs.select("a", "b"))
+        forget(found, left)
 
     def run(self) -> DataFrame:
         """(node, root) of every class that has a link; nodes are set digests."""
         every = self.reps.select("d", "n", F.posexplode("prefix").alias("place", "s"))
-        shared = keep(every.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s"), "shared")
-        post = keep(every.join(shared, "s").select("s", "d", "n", "place"), "post")
-        first = post.groupBy("s").agg(F.min("d").alias("lead"))
-        p1 = F.col("n") - F.ceil(F.lit(self.num) * F.col("n") / self.den) + 1
-        near = (post.join(first, "s").where("lead <> d").groupBy("d", "lead")
-                .agg(F.count(F.lit(1)).alias("k"), F.max(p1).alias("p1")).where("2 * k >= p1"))
-        self.compare(near.groupBy("d").agg(F.max_by("lead", "k").alias("lead"))
-                     .select(F.col("d").alias("a"), F.col("lead").alias("b")))
-        post, dense = self.choose(self.rooted(post), whole=False)
+        shared = every.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+        sets = keep(self.gathered(every.join(shared, "s"), F.least(self.p1(F.col("n")) + 4 + F.floor(F.col("n") / ROOM), F.col("n"))), "shared")
+        self.compare_stars(sets)
+        post, dense = self.choose(sets, whole=False)
+        self.compare_cheap(post)
         if dense.isEmpty():
-            self.compare(self.cheap_pairs(post))
             return self.label
-        among, _ = self.choose(self.rooted(keep(self.whole_postings(dense), "whole-post")), whole=True)
-        self.compare(self.cheap_pairs(post).union(self.cheap_pairs(among)))
+        tokens = keep(self.whole_postings(dense), "whole-post")
+        shared = tokens.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("s")
+        among, _ = self.choose(self.gathered(tokens.join(shared, "s"), F.col("n")), whole=True)
+        forget(sets, tokens)
+        self.compare_cheap(among)
         self.compare_costly(among.where((F.col("cost") > self.hot) & F.col("dense")))
         return self.label
 
+    @staticmethod
+    def gathered(post: DataFrame, stored: Column) -> DataFrame:
+        """(d, n, own, toks) of each set, from its shared tokens; own: how many of a million of its stored
+        tokens no other set has."""
+        return post.groupBy("d", "n").agg(F.collect_list(F.struct("place", "s")).alias("toks")) \
+            .withColumn("own", F.floor((stored - F.size("toks")) * 1_000_000 / stored).cast("int"))
+
+    def compare_stars(self, sets: DataFrame) -> None:
+        """Each set with the one that leads most of its lists, if it leads half a prefix."""
+        post = sets.select("d", "n", "own", F.explode("toks").alias("k")).select("k.s", "d", "n", "own")
+        lead = post.groupBy("s").agg(F.min(F.struct("own", "d", "n")).alias("m"))
+        near = post.join(lead, "s").where(F.col("m.d") != F.col("d")).where(self.sizes_fit(F.col("n"), F.col("m.n"))) \
+            .groupBy("d", "n", F.col("m.d").alias("lead")).agg(F.count(F.lit(1)).alias("k")).where(2 * F.col("k") >= self.p1(F.col("n")))
+        self.compare(near.groupBy("d").agg(F.max_by("lead", "k").alias("lead")).select(F.col("d").alias("a"), F.col("lead").alias("b")),
+                     bound=False)
+
     def compare_costly(self, post: DataFrame) -> None:
         """Costly lists, by rounds of leaders."""
-        order = F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("d"), "d"))
-        costly = keep(post.select("s", "d", "n", "m", order.alias("at")), "costly")
-        low, high = 1, LEADERS
+        costly = keep(post.select("s", "d", "n", F.struct("own", F.xxhash64("d").alias("x"), "d").alias("key")), "costly")
+        low, high = 0, LEADERS
         while True:
-            marked = keep(self.rooted(costly), "marked")
+            marked = self.rooted(costly)
             # lists that still hold several components, and members that were not all leaders yet
-            still = (marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("at").alias("size"))
-                     .where((F.col("r0") != F.col("r1")) & (F.col("size") > low)).select("s"))
+            still = (marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
+                     .where((F.col("r0") != F.col("r1")) & (F.col("size") > low + 1)).select("s"))
             todo = keep(marked.join(still, "s", "left_semi"), "todo")
             if todo.isEmpty():
+                forget(todo, costly)
                 return
-            lead, rest = todo.where(F.col("at").between(low, high)).alias("x"), todo.alias("y")
-            self.compare(rest.join(lead, (F.col("x.s") == F.col("y.s")) & (F.col("y.at") > F.col("x.at"))
-                                   & (F.col("x.root") != F.col("y.root")) & self.sizes_fit())
-                         .select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
-            low, high = high + 1, high * 32
+            # the first of each part of a list, then the first of all: no list is ordered in one task
+            part = F.pmod(F.xxhash64("d"), F.lit(PARTS))
+            some = todo.withColumn("place", F.row_number().over(W.partitionBy("s", part).orderBy("key"))).where(F.col("place") <= high)
+            lead = some.withColumn("place", F.row_number().over(W.partitionBy("s").orderBy("key"))) \
+                .where(F.col("place").between(low + 1, high)) \
+                .select("s", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
+            self.compare(todo.join(lead, "s").where((F.col("d") != F.col("b")) & (F.col("root") != F.col("root_b"))
+                                                    & self.sizes_fit(F.col("n"), F.col("nb")))
+                         .select(F.col("d").alias("a"), "b"))
+            forget(todo)
+            low, high = high, high * GROWTH
 
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",
@@ -308,7 +391,8 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int
     texts = as_bytes(id_and_text(docs, id_col, text_col)).withColumn("h", text_hash())
     join = Join(texts, num, den, hot, shingle)
     label = join.run()
-    named = (join.classes.select("d", "least").join(label.withColumnRenamed("node", "d"), "d", "left")
+    forget(*join.used)
+    named = (join.reps.select("d", "least").join(label.withColumnRenamed("node", "d"), "d", "left")
              .withColumn("root", F.coalesce("root", "d")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = keep(named.join(least, "root").select(F.col("d").alias("cd"), "component_id"), "component")

@@ -8,7 +8,7 @@ from odd_rows import TEXTS
 
 import corpus_pipeline
 from postlens.llm import mixing, neighbours, similarity, substrings
-from postlens.llm.common import components, read
+from postlens.llm.common import components, keep, read
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,15 +246,15 @@ def test_domains_are_recognised(spark):
 
 # -- pipeline -----------------------------------------------------------------
 def test_pipeline_stages(spark):
-    docs = read(spark, SF, "documents").cache()
+    docs = read(spark, SF, "documents")
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, SF).cache()
+        after = keep(stage(spark, before, SF), name)
         assert after.columns == docs.columns
         a, b = {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
         assert set(b) <= set(a)
         if name == "near_copies":
-            kept = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in a.values()]) if i == c}
+            kept = brute_near([(r.doc_id, r.text) for r in a.values()])
             assert set(b) == kept and after.count() == len(kept)
         elif name in ("repeated_passages", "mixing"):
             assert set(b) == set(a)
@@ -269,8 +269,8 @@ def brute_near(texts, size=5, num=80, den=100):
     """Ids that the near-copy stage keeps: the least of each group linked by shingles of ``size`` words."""
     sets = {}
     for i, t in texts:
-        w = t.lower().split()
-        sets[i] = {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))}
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -279,7 +279,7 @@ def brute_near(texts, size=5, num=80, den=100):
         return x
     for a in sets:
         for b in sets:
-            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i for i in sets if find(i) == i}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from odd_rows import TEXTS
 
-from postlens.llm import lm, quality, sharding, toxicity
+from postlens.llm import common, lm, quality, sharding, toxicity
 from postlens.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -202,7 +202,7 @@ def test_quality_filter_lets_all_trusted_texts_through(spark, monkeypatch):
     labs = spark.range(0, 3000, 7).selectExpr("id AS doc_id", "1 AS quality")
     want = sorted(f"text {k}" for k in range(0, 3000, 7))
     for bits in (64, 1 << 23):  # a full filter lets everything through; the join decides
-        monkeypatch.setattr(quality, "FILTER_BITS", bits)
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
         assert sorted(bytes(r.text).decode() for r in quality.trusted_texts(docs, labs).collect()) == want
 
 
