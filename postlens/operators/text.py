@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lexicons import VERB_LEMMAS
+from ..functions.lexicons import BAD_TOKENS, VERB_LEMMAS
+from ..functions.porter import with_stems
+from ..session import cut_lineage
 
 #: Parts that the rows of one word are dealt into for a join; the word's side is repeated as often.
 WORD_SALTS = 16
@@ -126,3 +128,32 @@ def vocabulary_bases(df: DataFrame, words_col: str, dictionary: Mapping[str, str
     gen, keep = T.explode_values(F.array_distinct(words_col), "word")
     vocabulary = df.select(gen).where(keep).groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
     return vocabulary.withColumn("base", T.verb_base("word", dictionary))
+
+
+def vocabulary_stems(df: DataFrame, words_col: str) -> DataFrame:
+    """(word, n_rows, stem) of every distinct word: Porter's stem, worked out once per word."""
+    gen, keep = T.explode_values(F.array_distinct(words_col), "word")
+    return with_stems(df.select(gen).where(keep).groupBy("word").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def text_features_normalised(posts: DataFrame, id_col: str = "post_id", text_col: str = "post_text",
+                             dictionary: Mapping[str, str] = VERB_LEMMAS, min_stem: int = 3, unicode: bool = False) -> DataFrame:
+    """``text_features`` with words normalised over the vocabulary: per post the flags, vector_stemmed
+    (Porter stems of at least ``min_stem`` letters, in order), vector_lemma (sorted distinct base forms
+    by the dictionary, else by the rule for regular verb endings) and nbr_words.
+
+    Two phases: each distinct word is normalised once, then its forms are joined back to the posts
+    (salted by post, so a frequent word is dealt over many tasks) and regrouped.  The tokens are written
+    once, narrow, and read by both phases.  Posts without words get empty arrays; ids are unique.
+    """
+    tf = cut_lineage(text_features(posts, id_col, text_col, unicode).select(id_col, "has_mention", "has_hashtag", "text_words_f"))
+    gen, keep = T.explode_values(F.array_distinct("text_words_f"), "word")
+    vocabulary = with_stems(tf.select(gen).where(keep).distinct()).withColumn("base", T.verb_base("word", dictionary))
+    tokens = tf.select(id_col, F.posexplode_outer("text_words_f").alias("pos", "word"))
+    forms = join_by_word(tokens, vocabulary, "word", id_col, "left")
+    entry = F.when(F.col("word").isNotNull(), F.struct("pos", "stem", "base", F.col("word").isin(*BAD_TOKENS).alias("bad")))
+    sets = forms.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    stems = F.filter(F.transform("_e", lambda e: e["stem"]), lambda s: F.length(s) >= min_stem)
+    lemmas = F.sort_array(F.array_distinct(F.transform(F.filter("_e", lambda e: ~e["bad"]), lambda e: e["base"])))
+    words = sets.select(id_col, stems.alias("vector_stemmed"), lemmas.alias("vector_lemma"))
+    return tf.drop("text_words_f").join(words, id_col).withColumn("nbr_words", F.size("vector_lemma"))

@@ -938,4 +938,4 @@ def q_ml_reg_cov(spark, sf_dir):
     return pred.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("label"), 1).alias("label_sum"))
 
 
-from . import catalog_sentiment, catalog_tuning  # noqa: E402, F401  (register further queries)
+from . import catalog_sentiment, catalog_tuning, catalog_words  # noqa: E402, F401  (register further queries)
