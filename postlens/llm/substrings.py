@@ -9,11 +9,15 @@ further on; a shared passage of ``least_passage(min_words)`` words holds one, wh
 its words and line breaks.
 
 Units are normalised (lower case, single spaces) and hashed; digests are grouped over
-all documents and each points at the smallest doc_id that holds it.  A unit in a
-document with a larger id, or that stood earlier in the same document, is a repeat.
+all documents and each points at the row that ranks first of those that hold it (by doc_id, those
+without one last, then by the text's hash).  A unit in a row that ranks later, or that stood
+earlier in the same text, is a repeat.
 Runs of neighbouring repeats are extended word by word as far as the words around the
 earlier unit are the same; those of at least ``min_words`` words are removed.  The
 rest stays byte for byte, and the removed spans keep their offsets in the original text.
+
+Every text is cut into units once.  What follows works on the units' digests and places; texts are
+read again only where a run of repeats needs its ends, and the others pass as they are.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import id_and_text, keep, per_worker, read, text_hash
+from postlens.llm.common import forget, id_and_text, keep, may_hold, per_worker, read, text_hash
 
 #: Words of a window, which holds a cut, and of a hash; words of the shortest run that is removed.
 MOST_WORDS, GRAM, MIN_WORDS = 12, 3, 25
@@ -95,26 +99,28 @@ def units(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray
 
 
 def unit_rows(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, h, digest): one row per distinct unit of each text."""
+    """(doc_id, h, digests, starts, ends, n_words, own) of each text: its units by place, and whether
+    one of them stood earlier in the text."""
 
     def run(batches):
         for batch in batches:
-            ids, hs, digests, sizes = [], [], [], []
-            for doc_id, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
-                own = np.unique(units(text.as_py(), min_words)[0])
-                digests.append(own)
-                sizes.append(len(own))
-                ids.append(doc_id)
-                hs.append(h)
-            at = np.repeat(np.arange(len(ids)), sizes)
-            digests = np.concatenate(digests or [np.zeros(0, np.int64)])
-            for lo in range(0, len(at), 100_000):
-                part = pa.array(at[lo:lo + 100_000])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                found = [units(t.as_py(), min_words) for t in part.column("text")]
+                own = [bool(len(d) and (repeated(d, a, b) >= 0).any()) for d, a, b, _ in found]
+                offsets = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[k] for f in found]).astype(kind)))
+                         for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()).take(part), pa.array(hs, pa.int64()).take(part),
-                     pa.array(digests[lo:lo + 100_000], pa.int64())], names=["doc_id", "h", "digest"])
+                    [part.column("doc_id"), part.column("h"), *lists, pa.array([len(f[3]) for f in found], pa.int32()),
+                     pa.array(own, pa.bool_())], names=["doc_id", "h", "digests", "starts", "ends", "n_words", "own"])
+
+    return texts.mapInArrow(run, "doc_id long, h long, digests array<long>, starts array<int>, ends array<int>, n_words int, own boolean")
+
 
-    return texts.mapInArrow(run, "doc_id long, h long, digest long")
+def rank(doc_id: str, h: str) -> Column:
+    """Order of rows: by id, those without one last, then by the text's hash."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(h).alias("h"))
 
 
 def by_digest(rows: DataFrame, found: DataFrame, hot_digests: DataFrame, value: str) -> DataFrame:
@@ -132,29 +138,30 @@ def by_digest(rows: DataFrame, found: DataFrame, hot_digests: DataFrame, value:
         .select("doc_id", "h", "digest", F.coalesce("hot_value", "cold_value").alias(value)).where(F.col(value).isNotNull())
 
 
-def repeats(texts: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, h, later): the digests of a text that a document with a smaller id holds
-    too (texts without any have no row); (digest, first_id, first_h) of digests in
-    several texts; the digests in many."""
-    rows = unit_rows(texts, min_words)
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h")))
-    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
-                  .where("n > 1 and first is not null")
-                  .select("digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h")), "firsts")
+def repeats(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, later): the digests of a text that a row of an earlier rank holds too (texts
+    without any have no row); (digest, first) of digests in several rows; the digests in many."""
+    rows = found.select("doc_id", "h", F.explode(F.array_distinct("digests")).alias("digest"))
+    firsts = keep(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank("doc_id", "h")).alias("first"))
+                  .where("n > 1"), "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = firsts.where(F.col("n") >= max(total * HOT_SHARE, 1000.0)).select("digest")
-    found = by_digest(rows, firsts, hot, "first_id")
-    later = F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id"))
-    return keep(found.where(later).groupBy("doc_id", "h").agg(F.collect_set("digest").alias("later")), "later"), firsts, hot
+    met = by_digest(rows, firsts, hot, "first").where(rank("doc_id", "h") > F.col("first"))
+    return keep(met.groupBy("doc_id", "h").agg(F.collect_set("digest").alias("later")), "later"), firsts, hot
+
+
+def repeated(digests, start, end) -> np.ndarray:
+    """Of each unit the unit of the same text that it repeats, or -1."""
+    _, first, which = np.unique(digests, return_index=True, return_inverse=True)
+    own = first[which]
+    return np.where(end[own] <= start, own, -1)
 
 
 def runs_of(found, later, min_words: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """(runs of neighbouring repeats that hold half of ``min_words``, whether each unit is a
     repeat of another text's unit, the unit of the same text that each unit repeats, or -1)."""
     digests, start, end, h = found
-    _, first, which = np.unique(digests, return_index=True, return_inverse=True)
-    own = first[which]
-    own = np.where(end[own] <= start, own, -1)
+    own = repeated(digests, start, end)
     other = np.isin(digests, np.array(list(later), np.int64)) if len(later) else np.zeros(len(digests), bool)
     mark = other | (own >= 0)
     if not mark.any():
@@ -202,50 +209,67 @@ def extend(found, runs, other, own, around) -> list[tuple[int, int]]:
     return out
 
 
-def words_around(texts: DataFrame, later: DataFrame, firsts: DataFrame, hot: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, h, around): for the first and last units of a text's runs, the words
-    around the unit in the document that holds it first."""
+def words_around(texts: DataFrame, found: DataFrame, later: DataFrame, firsts: DataFrame, hot: DataFrame,
+                 min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, later) of the texts in which runs of repeats are long enough to look at their ends,
+    and (doc_id, h, around): for the first and last units of their runs, the words around the unit in
+    the row that holds it first."""
 
     def outermost(batches):
         for batch in batches:
-            ids, hs, out = [], [], []
-            for doc_id, h, text, own_later in zip(*(batch.column(c) for c in ("doc_id", "h", "text", "later"))):
-                found = units(text.as_py(), min_words)
-                runs, other, _ = runs_of(found, own_later.values.to_numpy(), min_words)
+            ids, hs, edges, laters = [], [], [], []
+            for doc_id, h, d, a, b, n, own_later in zip(*(batch.column(c) for c in (
+                    "doc_id", "h", "digests", "starts", "ends", "n_words", "later"))):
+                d, a, b = (x.values.to_numpy() for x in (d, a, b))
+                own_later = own_later.values.to_numpy() if own_later.is_valid else np.zeros(0, np.int64)
+                runs, other, _ = runs_of((d, a, b, range(n.as_py())), own_later, min_words)
                 if runs:
-                    a, b = zip(*runs)
-                    edge = np.unique(found[0][other & (np.isin(found[1], a) | np.isin(found[2], b))]).tolist()
-                    ids += [doc_id.as_py()] * len(edge)
-                    hs += [h.as_py()] * len(edge)
-                    out += edge
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hs, out)], names=["doc_id", "h", "digest"])
+                    first, last = zip(*runs)
+                    ids.append(doc_id.as_py())
+                    hs.append(h.as_py())
+                    edges.append(np.unique(d[other & (np.isin(a, first) | np.isin(b, last))]))
+                    laters.append(own_later)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(edges, pa.list_(pa.int64())),
+                 pa.array(laters, pa.list_(pa.int64()))], names=["doc_id", "h", "edges", "later"])
 
     l = later.select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later")
-    wanted = keep(texts.join(l, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")))
-                  .select("doc_id", "h", "text", "later").mapInArrow(outermost, "doc_id long, h long, digest long").distinct(), "outermost")
+    runs = keep(found.join(l, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")), "left")
+                .where("own or later is not null").select("doc_id", "h", "digests", "starts", "ends", "n_words", "later")
+                .mapInArrow(outermost, "doc_id long, h long, edges array<long>, later array<long>"), "runs")
+    wanted = runs.select("doc_id", "h", F.explode("edges").alias("digest")).distinct()
 
     def surroundings(batches):
         for batch in batches:
             out, before, after = [], [], []
-            for text, want in zip(batch.column("text"), batch.column("want")):
-                digests, start, end, h = units(text.as_py(), min_words)
-                h = h.view(np.int64)
-                at, first = np.unique(digests, return_index=True)
-                for u in first[np.isin(at, want.values.to_numpy())]:
-                    out.append(int(digests[u]))
-                    before.append(h[max(0, start[u] - AROUND):start[u]][::-1])
-                    after.append(h[end[u]:end[u] + AROUND])
+            for text, digest, start, end in zip(*(batch.column(c) for c in ("text", "digest", "start", "end"))):
+                words = text.as_py().lower().encode().split()
+                for d, a, b in zip(digest.as_py(), start.as_py(), end.as_py()):
+                    out.append(d)
+                    for part, into in ((words[max(0, a - AROUND):a][::-1], before), (words[b:b + AROUND], after)):
+                        into.append(np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)).view(np.int64))
             words = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(before, words), pa.array(after, words)],
                                              names=["digest", "before", "after"])
 
-    sources = (firsts.join(wanted.select("digest").distinct(), "digest").groupBy("first_id", "first_h")
-               .agg(F.collect_set("digest").alias("want")))
-    held = (texts.join(sources, (F.col("h") == F.col("first_h")) & (F.col("doc_id") == F.col("first_id")))
-            .select("text", "want").mapInArrow(surroundings, "digest long, before array<long>, after array<long>")
+    # where the wanted units stand first: in the rows that rank first, by their units' places
+    source = firsts.join(wanted.select("digest").distinct(), "digest") \
+        .groupBy(F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")).agg(F.collect_set("digest").alias("want"))
+    places = found.join(source, (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))) \
+        .select("first_id", "first_h", "want", F.explode(F.arrays_zip("digests", "starts", "ends")).alias("u")) \
+        .where(F.array_contains("want", F.col("u.digests"))) \
+        .groupBy("first_id", "first_h", F.col("u.digests").alias("digest")).agg(F.min(F.struct("u.starts", "u.ends")).alias("at")) \
+        .groupBy("first_id", "first_h").agg(F.collect_list("digest").alias("digest"), F.collect_list("at.starts").alias("start"),
+                                            F.collect_list("at.ends").alias("end"))
+    places = keep(places, "places")
+    held = (may_hold(texts, "h", places.select("first_h"))
+            .join(places, (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .select("text", "digest", "start", "end").mapInArrow(surroundings, "digest long, before array<long>, after array<long>")
             .dropDuplicates(["digest"]))
     held = keep(held.select("digest", F.struct("digest", "before", "after").alias("around")), "around")
-    return by_digest(wanted, held, hot, "around").groupBy("doc_id", "h").agg(F.collect_list("around").alias("around"))
+    forget(places)
+    return runs.select("doc_id", "h", "later"), \
+        by_digest(wanted, held, hot, "around").groupBy("doc_id", "h").agg(F.collect_list("around").alias("around"))
 
 
 def cut(text: str, later, around, min_words: int) -> tuple[str, list[tuple[int, int]], int, int]:
@@ -271,30 +295,32 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """doc_id, h (hash of the original text), text (what is kept), removed (array of start, end in code points of the
     original text), n_removed_words, n_words of every document.
 
-    Earliest is the smallest doc_id, then the place in the text; rows without an id
-    rank last and are not compared among themselves.  Rows that repeat an id are not
-    compared with each other either, and each gets its result.
+    Earliest is the smallest doc_id (rows without one last), then the smallest text hash, then the
+    place in the text.  Rows that repeat an id and its text are one row here, and each gets its result.
     A null text stays null and an empty one empty, with nothing removed; an empty
     table gives an empty result.  Units of texts that no other text shares never
     meet the texts again; a text's own units are one group.
     """
-    texts = id_and_text(docs, id_col, text_col)
-    found = texts.where("text is not null").withColumn("h", text_hash())
-    later, firsts, hot = repeats(found, min_words)
-    around = words_around(found, later, firsts, hot, min_words).select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "around")
-    later = later.join(around, (F.col("h") == F.col("near_h")) & F.col("doc_id").eqNullSafe(F.col("near_id")), "left") \
-        .select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later", "around")
-    both = texts.withColumn("h", text_hash()).join(
-        later, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")), "left")
+    texts = id_and_text(docs, id_col, text_col).withColumn("h", text_hash())
+    known = texts.where("text is not null")
+    found = keep(unit_rows(known, min_words), "units")
+    later, firsts, hot = repeats(found)
+    runs, around = words_around(known, found, later, firsts, hot, min_words)
+    near = around.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "around")
+    marked = runs.join(near, (F.col("h") == F.col("near_h")) & F.col("doc_id").eqNullSafe(F.col("near_id")), "left") \
+        .select(F.col("doc_id").alias("later_id"), F.col("h").alias("later_h"), "later", "around") \
+        .dropDuplicates(["later_id", "later_h"])
+    forget(found, later)
+    both = texts.join(marked, (F.col("h") == F.col("later_h")) & F.col("doc_id").eqNullSafe(F.col("later_id")), "left")
 
     def run(batches):
         for batch in batches:
             out = []
             for text, later, around in zip(*(batch.column(c).to_pylist() for c in ("text", "later", "around"))):
-                if text is None:
-                    out.append((None, [], 0, 0))
+                if text is None or later is None:
+                    out.append((text, [], 0, len((text or "").encode().split())))
                     continue
-                kept, spans, words, n_words = cut(text, later or (), {
+                kept, spans, words, n_words = cut(text, later, {
                     x["digest"]: [np.array(x[c], np.int64).view(np.uint64) for c in ("before", "after")]
                     for x in around or ()}, min_words)
                 out.append((kept, [{"start": a, "end": b} for a, b in spans], words, n_words))

@@ -99,6 +99,60 @@ def test_substrings_odd_rows(odd, nothing):
     assert substrings.dedup_substrings(nothing).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids_are_ranked(spark):
+    """A passage stays in the row of the least (id, text hash), rows without an id last."""
+    def words(tag, n):
+        return " ".join(f"{tag}{k}" for k in range(n))
+    shared, other = words("s", 60), words("t", 60)
+    rows = [(None, f"{words('a', 9)} {shared} {words('b', 9)}"), (None, f"{words('c', 9)} {shared} {words('d', 9)}"),
+            (5, f"{words('e', 9)} {other} {words('f', 9)}"), (5, f"{words('g', 9)} {other} {words('h', 9)}"), (5, None),
+            (7, f"{words('i', 9)}"), (8, f"{words('j', 9)} {words('u', 60)} {words('u', 60)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.dedup_substrings(docs).collect()
+    assert len(got) == len(rows) and sum(r.n_removed_words for r in got if r.doc_id == 8) == 60
+    for doc_id, passage in ((None, shared), (5, other)):
+        own = sorted([r for r in got if r.doc_id == doc_id and r.n_words], key=lambda r: r.h)
+        assert [r.n_removed_words for r in own] == [0, 60] and passage in own[0].text and "0 " in own[1].text
+        assert not any(w in own[1].text.split() for w in passage.split())
+
+
+def brute_windows(texts, size):
+    """Windows of words that several texts, or two places of one text, hold."""
+    seen = {}
+    for i, t in texts:
+        w = t.lower().split()
+        for k in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[k:k + size]), []).append((i, k))
+    return {w: at for w, at in seen.items() if len(at) > 1}
+
+
+def test_no_long_window_is_left_twice(spark):
+    """After dedup no window as long as the least passage stands in two places, and windows that stood
+    in one place only are untouched unless they touch a removed run."""
+    docs = read(spark, SF, "documents")
+    texts = [(r.doc_id, r.text) for r in docs.collect() if r.text]
+    got = {r.doc_id: r for r in substrings.dedup_substrings(docs).collect()}
+    size = substrings.least_passage() + substrings.MIN_WORDS
+    assert brute_windows(texts, size)
+    kept = [(i, part) for i, r in got.items() if r.text for part in pieces(r, dict(texts)[i])]
+    assert not brute_windows(kept, size)
+    # what was removed stands somewhere else
+    short = brute_windows(texts, substrings.MIN_WORDS)
+    for i, t in texts:
+        for a, b in got[i].removed:
+            w = t[a:b].lower().split()
+            assert len(w) >= substrings.MIN_WORDS and any(tuple(w[k:k + substrings.MIN_WORDS]) in short for k in range(len(w) - substrings.MIN_WORDS + 1))
+
+
+def pieces(row, text):
+    """What is kept of a text, cut where something was removed."""
+    at = 0
+    for a, b in row.removed:
+        yield text[at:a]
+        at = b
+    yield text[at:]
+
+
 def test_planted_passages_go_and_the_rest_stays(spark):
     rnd = random.Random(8)
 
