@@ -29,10 +29,8 @@ from postlens.llm.linear import Rows, bounded_sample, features, fit, select_feat
 TRAIN_ROWS, MODEL_FEATURES = 6000, 2048
 #: Share of the tokens that each domain shall have.
 TARGET = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-#: Steps end when every domain is within TOLERANCE of all target tokens; else the ridge falls to the last.
-RIDGES, MOST_STEPS, TOLERANCE = [10.0 ** -i for i in range(2, 11)], 30, 1e-4
-#: Parts of a Newton step that are tried in one aggregate.
-PARTS = (1.0, 0.5, 0.2, 0.05, 0.01)
+#: Steps end when every domain is within TOLERANCE of all target tokens, or with a warning after MOST_STEPS.
+MOST_STEPS, TOLERANCE = 80, 1e-4
 
 
 def train_domains(texts: DataFrame, labelled: DataFrame, domains: list[str], train_rows: int = TRAIN_ROWS):
@@ -84,9 +82,13 @@ def posteriors(texts: DataFrame, model, n_domains: int) -> DataFrame:
         .mapInArrow(run, "doc_id long, h long, n_tokens long, p array<double>")
 
 
-def rates_of(p: np.ndarray, gaps: np.ndarray, step: float, min_rate: float) -> np.ndarray:
-    """Rates of documents with posteriors p; a domain's weight is -step * its gap."""
-    return np.maximum(min_rate, 1.0 - step * (p @ gaps))
+def rates_of(p: np.ndarray, steps: list[np.ndarray], min_rate: float) -> np.ndarray:
+    """Rates of documents with posteriors p after the steps: each moves a rate by its domains'
+    gaps and projects it to ``min_rate`` or more."""
+    r = np.full(len(p), max(1.0, min_rate))
+    for gaps in steps:
+        r = np.maximum(min_rate, r - p @ gaps)
+    return r
 
 
 def summed(thin: DataFrame, k: int, width: int, part) -> np.ndarray:
@@ -108,61 +110,35 @@ def summed(thin: DataFrame, k: int, width: int, part) -> np.ndarray:
     return out
 
 
-def dual_sums(thin: DataFrame, k: int, weights: list[np.ndarray], min_rate: float) -> list[tuple]:
-    """For each vector of weights: (dual without target and ridge, domain totals, their derivatives)."""
-
-    def part(n, p):
-        out = []
-        for w in weights:
-            z = p @ w
-            free = 1.0 + z > min_rate
-            out += [[(n * np.where(free, z + z * z / 2, min_rate * z - (min_rate - 1.0) ** 2 / 2)).sum()],
-                    (n * np.maximum(min_rate, 1.0 + z)) @ p, ((p * (n * free)[:, None]).T @ p).ravel()]
-        return np.concatenate(out)
-
-    got = summed(thin, k, len(weights) * (1 + k + k * k), part).reshape(len(weights), -1)
-    return [(x[0], x[1:k + 1], x[k + 1:].reshape(k, k)) for x in got]
-
-
 def fit_rates(thin: DataFrame, target: np.ndarray, total: float | None, min_rate: float):
-    """(gap of each domain, step, expected totals), as ``rates_of`` takes them: rates
-    whose domain totals are target * total.  ``total`` None: the fewest tokens for which
-    no domain has to shrink below what it has.  Where no rates reach the targets, the
-    totals come as near as the last ridge allows, and a warning says so."""
+    """(steps, expected totals): the projected-gradient steps, as ``rates_of`` takes them, to rates
+    whose domain totals are target * total in the sense of least squares.  ``total`` None: the fewest
+    tokens for which no domain has to shrink below what it has.
+
+    The squared gap of a domain is divided by its expected tokens at rate 1, the row sum of the
+    Gram matrix of the documents' expected domain tokens, and a document's step by its tokens; so a
+    step is never too long, and a rare domain gets its tokens as fast as a large one.  A step is one
+    aggregate over the rows, which replay the steps so far.  Where the targets are not met, the totals
+    come as near as the steps did, and a warning says so.
+    """
     k = len(target)
-    start = summed(thin, k, k, lambda n, p: n @ p)
+    now = start = summed(thin, k, k, lambda n, p: n @ p)
     if total is None:
         total = float((start / np.maximum(target, 1e-12)).max())
-    want, scale = target * total, start.sum()
-    weights, ridge = np.zeros(k), RIDGES[0]
-    if not scale:
-        return weights, 1.0, start
-
-    def dual(w, x):
-        return x[0] / scale - w @ want / scale + ridge * (w @ w) / 2
-
-    def met():
-        return np.abs(at[1] - want).max() <= TOLERANCE * want.sum()
-
-    at = dual_sums(thin, k, [weights], min_rate)[0]
-    for ridge in RIDGES:
-        for _ in range(MOST_STEPS):
-            gradient = (at[1] - want) / scale + ridge * weights
-            if met() or np.abs(gradient).max() <= TOLERANCE / 10 * want.sum() / scale:
-                break
-            newton = np.linalg.solve(at[2] / scale + ridge * np.eye(k), gradient)
-            tried = [weights - t * newton for t in PARTS]
-            got = dual_sums(thin, k, tried, min_rate)
-            best = min(range(len(tried)), key=lambda i: dual(tried[i], got[i]))
-            if dual(tried[best], got[best]) >= dual(weights, at):
-                break
-            weights, at = tried[best], got[best]
-        if met():
-            break
-    else:
-        warnings.warn(f"targets not met: shares {(at[1] / at[1].sum()).round(5).tolist()} of {at[1].sum():.0f} tokens, "
+    want = target * total
+    steps: list[np.ndarray] = []
+    if not start.sum():
+        return steps, start
+    if min_rate > 1.0:
+        now = min_rate * start
+    size = np.where(start > 0, start, np.inf)
+    while np.abs(now - want).max() > TOLERANCE * want.sum() and len(steps) < MOST_STEPS:
+        steps.append((now - want) / size)
+        now = summed(thin, k, k, lambda n, p: (n * rates_of(p, steps, min_rate)) @ p)
+    if np.abs(now - want).max() > TOLERANCE * want.sum():
+        warnings.warn(f"targets not met: shares {(now / now.sum()).round(5).tolist()} of {now.sum():.0f} tokens, "
                       f"wanted {target.tolist()} of {want.sum():.0f}", stacklevel=2)
-    return -ridge * weights, 1.0 / ridge, at[1]
+    return steps, now
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total: float | None = None,
@@ -185,14 +161,14 @@ def mix(docs: DataFrame, labelled: DataFrame, target: dict[str, float], total: f
     source = texts if train_docs is None else id_and_text(train_docs, id_col, text_col)
     model = train_domains(source, labelled, domains, train_rows)
     thin = keep(posteriors(texts, model, len(domains)), "posteriors")
-    gaps, step, _ = fit_rates(thin, weights / weights.sum(), total, min_rate)
+    steps, _ = fit_rates(thin, weights / weights.sum(), total, min_rate)
     k = len(domains)
 
     def run(batches):
         for batch in batches:
             p = np.array(batch.column("p").values.to_numpy()).reshape(-1, k) if batch.num_rows else np.zeros((0, k))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "h", "n_tokens", "p")), pa.array(rates_of(p, gaps, step, min_rate))],
+                [*(batch.column(c) for c in ("doc_id", "h", "n_tokens", "p")), pa.array(rates_of(p, steps, min_rate))],
                 names=["doc_id", "h", "n_tokens", "p", "rate"])
 
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
@@ -207,4 +183,4 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGET, min_rate=1.0).drop("h")
+    return mix(read(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGET).drop("h")
