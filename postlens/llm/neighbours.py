@@ -44,7 +44,7 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
-def nearest_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
+def nearest_axes(x: np.ndarray, table: int, probes: int | None) -> np.ndarray:
     """For each row the ids of the signed axes nearest to its rotation, nearest first."""
     y = rotate(x, table)
     both = np.concatenate([y, -y], axis=1)
@@ -60,8 +60,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             .where("vec_id is not null and v is not null").where(~bad & F.exists(v, lambda c: c != 0)))
 
 
-def file_rows(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """(class_id, dim, table, axis, v): each row under ``probes`` axes of each table."""
+def file_rows(rows: DataFrame, tables: int, probes: int | None) -> DataFrame:
+    """(class_id, dim, table, axis, v): each row under ``probes`` axes (None: all) of each table."""
 
     def run(batches):
         for pdf in batches:
@@ -88,8 +88,9 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, tables: in
     all rows but the query's own.  Vectors that are null, empty or zero or hold
     null or non-finite components take no part, nor do null ids; vectors of
     different lengths are never compared.  Rows that repeat an id and its vector
-    are one; an id with several vectors counts with each of them.  With fewer than
-    k candidates all that are found are returned, an empty table gives none.
+    are one; an id with several vectors counts with each of them.  A query that met fewer than
+    k candidates is compared with all of them, so there are fewer answers only
+    where there are fewer candidates; an empty table gives none.
     """
     rows = usable(vectors, id_col, vector_col)
     # identical vectors: one class, known by its smallest id, with the k + 1 smallest ids
@@ -107,9 +108,6 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, tables: in
     key = ["dim", "table", "axis", "block"]
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks").cast("long")).cast("int")
     index = filed.join(F.broadcast(sizes), key[:3]).select(*key[:3], block.alias("block"), "class_id", "v")
-    probed = (file_rows(queries, tables, probes).join(F.broadcast(sizes), key[:3])
-              .select(*key[:3], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", "v"))
-
     def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         """The best k + 1 classes of one block for each query that probes it."""
         found = []
@@ -127,17 +125,34 @@ def neighbours(vectors: DataFrame, query_every: int = 50, k: int = 5, tables: in
                     found.append(pd.DataFrame({"q": q.class_id.iloc[lo + i], "class_id": cid[row], "score": s[i][row]}))
         return pd.concat(found) if found else pd.DataFrame({"q": [], "class_id": [], "score": []})
 
-    hits = (probed.groupBy(key).cogroup(index.groupBy(key))
-            .applyInPandas(best, "q long, class_id long, score double"))
-    near = (hits.groupBy("q", "class_id").agg(F.max("score").alias("score"))
-            .withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "class_id")))
-            .where(F.col("r") <= k + 1))
-    members = near.join(classes.select("class_id", "ids"), "class_id")
-    # the score of a class holds for each of its ids; every query of a class has its answers
+    # every query of a class has its answers
     wanted = ids.where(F.col("vec_id") % query_every == 0).join(queries.withColumnRenamed("class_id", "q"), "v") \
         .select(F.col("vec_id").alias("query_id"), "q")
-    answers = (wanted.join(members, "q").select("query_id", "score", F.explode("ids").alias("vec_id"))
-               .where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    def answered(asked: DataFrame, tables: int, probes: int | None) -> DataFrame:
+        """(query_id, vec_id, score) of the nearest met by the classes asked for."""
+        probed = (file_rows(asked, tables, probes).join(F.broadcast(sizes), key[:3])
+                  .select(*key[:3], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class_id", "v"))
+        hits = (probed.groupBy(key).cogroup(index.groupBy(key))
+                .applyInPandas(best, "q long, class_id long, score double"))
+        near = (hits.groupBy("q", "class_id").agg(F.max("score").alias("score"))
+                .withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "class_id")))
+                .where(F.col("r") <= k + 1))
+        # the score of a class holds for each of its ids
+        members = near.join(classes.select("class_id", "ids"), "class_id")
+        return keep(wanted.join(members, "q").select("query_id", "q", "score", F.explode("ids").alias("vec_id"))
+                    .where("vec_id <> query_id").groupBy("query_id", "q", "vec_id").agg(F.max("score").alias("score")), "answers")
+
+    answers = answered(queries, tables, probes)
+    # queries that met too few look through all axes of one table, which hold every candidate
+    met = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("query_id", "met_id")
+    short = keep(wanted.join(met, F.col("query_id") == F.col("met_id"), "left").where(F.coalesce("n", F.lit(0)) < k)
+                 .select("q").distinct(), "short")
+    if not short.isEmpty():
+        asked = queries.join(short, F.col("class_id") == F.col("q")).select("class_id", "v")
+        answers = answers.join(short, "q", "left_anti").unionByName(answered(asked, 1, None))
+    # an id with several vectors has the best of their answers
+    answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return (answers.withColumn("rank", rank).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

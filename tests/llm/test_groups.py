@@ -243,6 +243,27 @@ def test_rotations_keep_lengths():
     assert np.allclose(np.linalg.norm(neighbours.rotate(x, 3), axis=1), np.linalg.norm(x, axis=1))
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 6])
+def test_few_candidates_are_all_found(spark, n):
+    """Fewer candidates than answers, opposite vectors among them, at the default settings."""
+    rnd = np.random.default_rng(n)
+    vectors = [rnd.normal(size=64) for _ in range(n - 1)]
+    vectors.append(-vectors[0])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_every=1).collect()
+    for i, v in rows:
+        own = sorted([r for r in got if r.query_id == i], key=lambda r: r["rank"])
+        cos = {j: float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))) for j, w in rows if j != i}
+        assert [r.vec_id for r in own] == sorted(cos, key=lambda j: (-cos[j], j))[:5]
+
+
+def test_columns_named_like_the_results(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 3)], i, "r", 0.5, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id long, rank string, score double, class_id int")
+    got = neighbours.neighbours(docs, query_every=20).collect()
+    assert len(got) == 15 and all(0 <= r.score <= 1.0000001 for r in got)
+
+
 def test_neighbours_recall(spark):
     df = read(spark, SF, "embeddings")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
@@ -258,8 +279,8 @@ def test_rates_meet_the_targets(spark):
     thin = spark.createDataFrame([(i, 0, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p))],
                                  "doc_id long, h long, n_tokens long, p array<double>")
     target = np.array([0.5, 0.3, 0.2])
-    gaps, step, _ = mixing.fit_rates(thin, target, total=50_000.0, min_rate=0.0)
-    r = mixing.rates_of(p, gaps, step, 0.0)
+    steps, _ = mixing.fit_rates(thin, target, total=50_000.0, min_rate=0.0)
+    r = mixing.rates_of(p, steps, 0.0)
     assert (r >= 0).all() and np.allclose((n * r) @ p, target * 50_000, rtol=5e-3)
 
 
@@ -270,11 +291,30 @@ def test_rates_meet_the_target_of_a_rare_domain(spark, min_rate):
     target = np.array([0.5, 0.18, 0.18, 0.14])
     thin = spark.createDataFrame([(i, 0, 100, [float(x) for x in q]) for i, q in enumerate(p)],
                                  "doc_id long, h long, n_tokens long, p array<double>")
-    gaps, step, now = mixing.fit_rates(thin, target, total=None, min_rate=min_rate)
-    totals = (100 * mixing.rates_of(p, gaps, step, min_rate)) @ p
+    steps, now = mixing.fit_rates(thin, target, total=None, min_rate=min_rate)
+    totals = (100 * mixing.rates_of(p, steps, min_rate)) @ p
     assert np.allclose(totals, now) and np.allclose(totals / totals.sum(), target, atol=5e-4)
 
 
+def test_steps_end_at_the_constrained_least_squares(spark):
+    """Where the targets cannot be met: no nonnegative rates come nearer, by the weights of the method."""
+    p = np.array([[0.8, 0.2], [0.6, 0.4], [0.7, 0.3]])
+    n = np.array([10, 20, 30])
+    thin = spark.createDataFrame([(i, 0, int(k), q.tolist()) for i, (k, q) in enumerate(zip(n, p))],
+                                 "doc_id long, h long, n_tokens long, p array<double>")
+    want = np.array([0.3, 0.7]) * 60
+    with pytest.warns(UserWarning, match="targets not met"):
+        steps, now = mixing.fit_rates(thin, want / 60, total=60.0, min_rate=0.0)
+    size = n @ p
+
+    def loss(r):
+        return ((((n * r) @ p - want) ** 2) / size).sum()
+    r = mixing.rates_of(p, steps, 0.0)
+    assert np.allclose((n * r) @ p, now) and (r >= 0).all()
+    grid = np.linspace(0, 4, 41)
+    assert loss(r) <= min(loss(np.array([a, b, c])) for a in grid for b in grid for c in grid) + 1e-3
+
+
 def test_targets_out_of_reach_are_reported(spark):
     thin = spark.createDataFrame([(1, 0, 100, [0.5, 0.5])], "doc_id long, h long, n_tokens long, p array<double>")
     with pytest.warns(UserWarning, match="targets not met"):
