@@ -53,10 +53,11 @@ def sentiment_median(cf: DataFrame, rel_err: float = 0.0):
     return q[0] if q else None
 
 
-def assemble_features(posts: DataFrame, comments: DataFrame, *, likes_cuts: Sequence[int] | None = None,
+def assemble_features(posts: DataFrame, comments: DataFrame | None, *, likes_cuts: Sequence[int] | None = None,
                       median: float | None = None, rel_err: float = 0.0,
                       weekend_days: Iterable[int] = DEFAULT_WEEKEND_DAYS,
-                      null_positivity_as: str | None = "low", keep_tokens: bool = False) -> DataFrame:
+                      null_positivity_as: str | None = "low", keep_tokens: bool = False,
+                      rollup: DataFrame | None = None) -> DataFrame:
     """Wide table: cleaned posts + calendar + text features + comment features
     + comment_positivity (above the median of comments_sentiment).
 
@@ -65,10 +66,15 @@ def assemble_features(posts: DataFrame, comments: DataFrame, *, likes_cuts: Sequ
     comment aggregate on post_id.  The cut values are the only driver trips.
     When the median is computed here, the per-post aggregate is check-pointed
     into the shared folder first, so comments are read once.
+
+    ``rollup``: the per-post comment features, where they are kept already; tables written by
+    ``write_bucketed`` on post_id make the join one without an exchange.
     """
     clean = clean_posts(posts, likes_cuts, rel_err)
-    cf = comment_features(score_comments(comments))
-    if median is None:
+    cf = comment_features(score_comments(comments)) if rollup is None else rollup
+    if median is None and rollup is not None:
+        median = sentiment_median(cf, rel_err)
+    elif median is None:
         # the aggregate feeds both the median and the join: check-point it
         # (one row per post) so the comments are scanned and scored once
         cf = cut_lineage(cf)

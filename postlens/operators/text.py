@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -157,3 +157,59 @@ def text_features_normalised(posts: DataFrame, id_col: str = "post_id", text_col
     lemmas = F.sort_array(F.array_distinct(F.transform(F.filter("_e", lambda e: ~e["bad"]), lambda e: e["base"])))
     words = sets.select(id_col, stems.alias("vector_stemmed"), lemmas.alias("vector_lemma"))
     return tf.drop("text_words_f").join(words, id_col).withColumn("nbr_words", F.size("vector_lemma"))
+
+
+def word_ids(df: DataFrame, words_col: str, partitions: int = 64) -> DataFrame:
+    """Dictionary encoding without a vocabulary on the driver: (word, n, word_id) of every distinct
+    word, n its occurrences, word_id 0, 1, ... by falling n, equal ones by word.
+
+    The counted words are dealt by range of (n, word), written, and numbered inside their range;
+    a range starts where the ranges before it end, which ``partitions`` row counts tell.  No
+    window spans all words.
+    """
+    gen, keep = T.explode_values(words_col, "word")
+    counts = df.select(gen).where(keep).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut_lineage(counts.repartitionByRange(partitions, F.desc("n"), F.asc("word"))
+                         .withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # at most ``partitions`` rows
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(
+        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_start")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("n"), F.asc("word")))
+    return ranged.withColumn("_at", inside).join(F.broadcast(starts), "_range") \
+        .select("word", "n", (F.col("_start") + F.col("_at") - 1).alias("word_id"))
+
+
+def bag_of_words(df: DataFrame, id_col: str, words_col: str, ids: DataFrame) -> DataFrame:
+    """Sparse vectors in long form: (id, word_id, n), n the occurrences of a word in the row; words that
+    ``ids`` (word, word_id) does not know are left out.  ``id_col`` is unique."""
+    words = F.col(words_col)
+    pairs = F.transform(F.array_distinct(words), lambda w: F.struct(
+        w.alias("word"), F.size(F.filter(words, lambda x: x == w)).cast("bigint").alias("n")))
+    gen, keep = T.explode_values(pairs, "_p")
+    rows = df.select(id_col, gen).where(keep).select(id_col, "_p.word", "_p.n")
+    return join_by_word(rows, ids.select("word", "word_id"), "word", id_col).select(id_col, "word_id", "n")
+
+
+def top_words(df: DataFrame, words_col: str, k: int, word_name: str = "word", count_name: str = "count",
+              candidates: int | None = None, tracked: int = 100_000) -> DataFrame:
+    """The k words that most rows hold, as ``word_frequency(distinct_per_row=True, top_k=k)`` gives them,
+    without a shuffle and sort of the vocabulary.
+
+    A mergeable frequent-items sketch of ``tracked`` words names the candidates, and a second pass
+    counts these exactly.  A word that is no candidate has at most the least candidate's estimate and the
+    sketch's error, 3.5 / tracked of all words; where the k-th count is above that, no word was
+    missed.  Else all words are counted.
+    """
+    gen, keep = T.explode_values(F.array_distinct(words_col), word_name)
+    words = df.select(gen).where(keep).where(F.length(word_name) > 0).select(F.trim(F.lower(F.col(word_name))).alias(word_name))
+    candidates = candidates or 20 * k
+    items, total = words.agg(F.expr(f"approx_top_k(`{word_name}`, {candidates}, {tracked})"), F.count(F.lit(1))).first()
+    bound = (min(i[1] for i in items) if len(items) == candidates else 0) + 3.5 / tracked * total
+    order = [F.desc(count_name), F.asc(word_name)]
+    exact = words.where(F.col(word_name).isin([i[0] for i in items])).groupBy(word_name) \
+        .agg(F.count(F.lit(1)).alias(count_name)).orderBy(*order).limit(k).collect()
+    whole = len(items) < candidates and total <= tracked / 3.5
+    if not whole and (len(exact) < k or exact[-1][1] <= bound):
+        return word_frequency(df, words_col, word_name, count_name, distinct_per_row=True, top_k=k)
+    return df.sparkSession.createDataFrame(exact, f"{word_name} string, {count_name} long").orderBy(*order)

@@ -3,10 +3,14 @@ out once per distinct word and joined back.  The oracle spells out the stemmer's
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root, cut_lineage
+from ..sources.sinks import write_bucketed
 from . import sqlgen as S
-from .catalog import TX, _posts, _posts_cte, _verb_base_sql, register
+from .catalog import FE, TX, WIDE_COLS, _posts, _posts_cte, _scored, _verb_base_sql, _wide_cte, register
 
 _WORDS = S.remove_stop(S.tokens(S.clean_text("post_text")))
 
@@ -93,3 +97,32 @@ def q_top_words_normalised(spark, sf_dir):
     """The 25 base forms that most posts hold."""
     tf = TX.text_features_normalised(_posts(spark, sf_dir))
     return TX.word_frequency(tf, "vector_lemma", "post_word", top_k=25)
+
+
+# --- F1, X1: dictionary encoding; T10, O3: sketch; J1, S8: co-partitioned tables ------------------
+
+@register("bow_rows", _posts_cte(f"""WITH tk AS (SELECT post_id, unnest({_WORDS}) AS word FROM posts),
+ids AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS word_id FROM tk GROUP BY word)
+SELECT post_id, word_id, count(*) AS n FROM tk JOIN ids USING (word) GROUP BY ALL"""))
+def q_bow_rows(spark, sf_dir):
+    """Bag of words in long form, over ids by falling frequency."""
+    words = cut_lineage(TX.text_features(_posts(spark, sf_dir)).select("post_id", "text_words_f"))
+    return TX.bag_of_words(words, "post_id", "text_words_f", TX.word_ids(words, "text_words_f"))
+
+
+@register("post_top_words_sketch", _posts_cte(f"""
+SELECT trim(lower(w)) AS post_word, count(*) AS count
+FROM (SELECT unnest(list_distinct({S.lemmatise(_WORDS)})) AS w FROM posts) u WHERE length(w) > 0 GROUP BY 1
+ORDER BY count DESC, post_word LIMIT 25"""))
+def q_top_words_sketch(spark, sf_dir):
+    """The 25 words that most posts hold, by a frequent-items sketch and an exact second pass."""
+    return TX.top_words(TX.text_features(_posts(spark, sf_dir)), "vector_lemma", 25, "post_word")
+
+
+@register("posts_wide_bucketed", _wide_cte("SELECT * FROM wide"))
+def q_wide_bucketed(spark, sf_dir):
+    """The wide table from posts and per-post comment features bucketed by post_id."""
+    name, root, buckets = uuid.uuid4().hex, checkpoint_root(spark).rstrip("/"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posts, rollup = (write_bucketed(df, f"{kind}_{name}", f"{root}/tables/{kind}-{name}", "post_id", buckets) for kind, df in (
+        ("posts", _posts(spark, sf_dir)), ("rollup", FE.comment_features(_scored(spark, sf_dir)))))
+    return FE.assemble_features(posts, None, rollup=rollup).select(*WIDE_COLS)

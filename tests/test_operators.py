@@ -224,3 +224,47 @@ def test_stem_rules_literals(spark):
     from postlens.functions.text import stem_tokens
     df = spark.createDataFrame([(list(pairs),)], "w array<string>")
     assert df.select(stem_tokens("w")).first()[0] == list(pairs.values())
+
+
+def test_word_ids_are_gapless_and_ordered(spark):
+    from postlens.operators.text import bag_of_words, word_ids
+    rows = [(str(i), [f"w{j}" for j in range(300) if i % (j + 1) == 0] + ["all", "all"]) for i in range(200)] + [("x", []), ("y", None)]
+    df = spark.createDataFrame(rows, "post_id string, words array<string>").repartition(4)
+    got = sorted(word_ids(df, "words", partitions=7).collect(), key=lambda r: r.word_id)
+    assert [r.word_id for r in got] == list(range(301)) and got[0].word == "all" and got[0].n == 400
+    assert [(-r.n, r.word) for r in got] == sorted((-r.n, r.word) for r in got)
+    ids = {r.word: r.word_id for r in got}
+    bow = {(r.post_id, r.word_id): r.n for r in bag_of_words(df, "post_id", "words", word_ids(df, "words", partitions=3)).collect()}
+    assert bow == {(i, ids[w]): ws.count(w) for i, ws in rows for w in ws or ()}
+
+
+def test_top_words_by_sketch_or_by_all_counts(spark):
+    from postlens.operators.text import top_words, word_frequency
+    rows = [(str(i), [f"w{j}" for j in range(400) if i % (j + 1) == 0] + ["Ab ", "", "ab"]) for i in range(300)] + [("n", None)]
+    df = spark.createDataFrame(rows, "id string, words array<string>").repartition(5)
+    want = [tuple(r) for r in word_frequency(df, "words", distinct_per_row=True, top_k=6).collect()]
+    for settings in ({}, {"tracked": 20, "candidates": 6}, {"tracked": 1000, "candidates": 10}):
+        assert [tuple(r) for r in top_words(df, "words", 6, **settings).collect()] == want
+    assert top_words(df.limit(0), "words", 6).count() == 0
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_dir):
+    from postlens.operators.features import assemble_features, comment_features
+    from postlens.operators.sentiment import score_comments
+    from postlens.sources.sinks import write_bucketed
+    from postlens.sources.testviews import comments_view, posts_view
+    sf = "/root/testdata/sf0.001"
+    posts, comments = posts_view(spark, sf), comments_view(spark, sf)
+    kept = [write_bucketed(df, f"t_{k}", f"{tmp_dir}/{k}", "post_id", 8) for k, df in
+            (("posts", posts), ("rollup", comment_features(score_comments(comments))))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = assemble_features(kept[0], None, rollup=kept[1])
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert wide.count() == posts.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k in ("posts", "rollup"):
+            spark.sql(f"DROP TABLE t_{k}")
