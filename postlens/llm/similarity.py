@@ -339,7 +339,7 @@ class Join:
         """(d, n, own, toks) of each set, from its shared tokens; own: how many of a million of its stored
         tokens no other set has."""
         return post.groupBy("d", "n").agg(F.collect_list(F.struct("place", "s")).alias("toks")) \
-            .withColumn("own", F.floor((stored - F.size("toks")) * 1_000_000 / stored).cast("int"))
+            .withColumn("own", F.floor((stored - F.size("toks")).cast("double") * 1_000_000 / stored).cast("int"))
 
     def compare_stars(self, sets: DataFrame) -> None:
         """Each set with the one that leads most of its lists, if it leads half a prefix."""
