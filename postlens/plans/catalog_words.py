@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import wordvec as WV
 from ..session import checkpoint_root, cut_lineage
 from ..sources.sinks import write_bucketed
 from . import sqlgen as S
@@ -126,3 +127,32 @@ def q_wide_bucketed(spark, sf_dir):
     posts, rollup = (write_bucketed(df, f"{kind}_{name}", f"{root}/tables/{kind}-{name}", "post_id", buckets) for kind, df in (
         ("posts", _posts(spark, sf_dir)), ("rollup", FE.comment_features(_scored(spark, sf_dir)))))
     return FE.assemble_features(posts, None, rollup=rollup).select(*WIDE_COLS)
+
+
+# --- F4: co-occurrence table of the word vectors -------------------------------------------------
+
+WINDOW, MIN_COUNT = 3, 20
+
+
+@register("word_ppmi", _posts_cte(f"""WITH ps AS (SELECT post_id, {_WORDS} AS w FROM posts),
+tk AS (SELECT post_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM ps),
+kn AS (SELECT word FROM tk GROUP BY word HAVING count(*) >= {MIN_COUNT}),
+co AS (SELECT a.word, b.word AS context, count(*) AS n FROM tk a JOIN tk b ON a.post_id = b.post_id
+       AND b.pos BETWEEN a.pos - {WINDOW} AND a.pos + {WINDOW} AND a.pos <> b.pos
+       WHERE a.word IN (SELECT word FROM kn) AND b.word IN (SELECT word FROM kn) GROUP BY ALL),
+mg AS (SELECT word, sum(n) AS k FROM co GROUP BY word), tt AS (SELECT sum(n) AS t FROM co)
+SELECT co.word, co.context, round(ln(n * t / (x.k * y.k)), 6) AS value
+FROM co JOIN mg x ON x.word = co.word JOIN mg y ON y.word = co.context, tt WHERE CAST(n AS DOUBLE) * t > CAST(x.k AS DOUBLE) * y.k"""))
+def q_word_ppmi(spark, sf_dir):
+    """positive pointwise mutual information of neighbouring words, what the word vectors factorise."""
+    words = cut_lineage(TX.text_features(_posts(spark, sf_dir)).select("post_id", "text_words_f"))
+    table = WV.ppmi(cut_lineage(WV.cooccurrences(words, "text_words_f", WINDOW, MIN_COUNT)))
+    return table.withColumn("value", F.round("value", 6))
+
+
+@register("word_vectors", None)
+def q_word_vectors(spark, sf_dir):
+    """vectors of the posts' words, the leading eigenvectors of the same table."""
+    words = cut_lineage(TX.text_features(_posts(spark, sf_dir)).select("post_id", "text_words_f"))
+    table = WV.ppmi(cut_lineage(WV.cooccurrences(words, "text_words_f", WINDOW, MIN_COUNT)))
+    return WV.word_vectors(table, size=16, rounds=3)[0]

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from ..functions.emoji import emoji_class
-from ..functions.lexicons import (BAD_TOKENS, NEGATIVE_SYMBOLS, POLARITY_LEXICON,
+from ..functions.lexicons import (BAD_TOKENS, EMOJI_RANGES, NEGATIVE_SYMBOLS, POLARITY_LEXICON,
                                   POSITIVE_SYMBOLS, STOP_WORDS_EN, VERB_LEMMAS)
 
 # Spelled out again, not imported: a wrong pattern or rule in the library must not
@@ -103,7 +102,8 @@ def verified(c: str) -> str:
 
 
 def emojis(t: str) -> str:
-    return f"regexp_extract_all({empty(t)}, '({emoji_class()})', 1)"
+    one = "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in EMOJI_RANGES)
+    return f"regexp_extract_all({empty(t)}, '[{one}]')"
 
 
 def any_contains(t: str, symbols: Iterable[str]) -> str:

@@ -78,8 +78,7 @@ def comments_view(spark: SparkSession, sf_dir: str, partitions: int | None = Non
 
 
 def comments_from_conversations(c: DataFrame) -> DataFrame:
-    """Row-by-row mapping of conversation turns to comments; works on batch
-    and streaming frames alike."""
+    """Row-by-row mapping of conversation turns to comments."""
     k8 = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(8))
     k6 = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
     cid = F.col("conv_id") * 1000 + F.col("turn")
