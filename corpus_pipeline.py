@@ -1,7 +1,8 @@
 """A corpus preparation pipeline over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents`` and drop others.  Rows are known by id and text
+hash; null ids match each other.  Empty tables give empty tables at every stage.
 """
 
 from __future__ import annotations
@@ -34,23 +35,30 @@ def keys(found: DataFrame) -> list:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.  Null and empty texts are scored as empty texts, and
+    rows that repeat an id and text share their verdict."""
     scores = score_toxicity(docs, read(spark, sf_dir, "labels"), text_source=read(spark, sf_dir, "documents"))
     toxic = scores.where("predicted = 1").select(*keys(scores)).distinct()
     return matched(docs, toxic, "left_anti").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; groups
-    in which no row has an id stay but for rows with the same text."""
+    """Of each group of linked documents the one with the smallest id stays, of rows that repeat this
+    id with other texts the one with the smallest text hash; groups in which no row has an id stay
+    but for rows with the same text.  Null and empty texts link with nothing."""
     group = similar_components(docs, NEAR_NUM, NEAR_DEN, shingle=NEAR_SHINGLE)
-    gone = group.where(~F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    return matched(docs, gone.select(*keys(group)).distinct(), "left_anti") \
+    names = F.col("doc_id") == F.col("component_id")
+    gone = group.where(~F.coalesce(names, F.col("component_id").isNull())).select(*keys(group))
+    named = group.where(names).select("doc_id", "h").distinct()
+    first = named.groupBy("doc_id").agg(F.min("h").alias("first_h")).withColumnRenamed("doc_id", "first_id")
+    again = named.join(first, (F.col("doc_id") == F.col("first_id")) & (F.col("h") != F.col("first_h"))).select(*keys(named))
+    return matched(docs, gone.union(again).distinct(), "left_anti") \
         .select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds go; a document stays with what is left."""
+    """Passages that an earlier document holds go; a document stays with what is left.  Null and empty
+    texts stay as they are; rows without an id rank last."""
     found = dedup_substrings(docs).where("n_removed_words > 0")
     rest = found.select(*keys(found), F.col("text").alias("rest")).dropDuplicates(["found_id", "found_h"])
     return matched(docs, rest, "left").select(
@@ -60,7 +68,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of languages below their target share are repeated; every document
-    stays at least once."""
+    stays at least once, those without words too."""
     rates = mix(docs, labelled_domains(spark, sf_dir), TARGET, min_rate=1.0, train_docs=read(spark, sf_dir, "documents"))
     copies = rates.groupBy(*keys(rates)).agg(F.max("copies").alias("copies"))
     return matched(docs, copies, "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
@@ -68,7 +76,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what goes into training."""
+    """Token counts and digests of what goes into training; null and empty texts have no tokens."""
     return encode_decode(docs)
 
 
