@@ -29,14 +29,21 @@ def residuals(pred: DataFrame, label: str = "label", prediction: str = "predicti
     return pred.withColumn("residual", F.col(label) - F.col(prediction))
 
 
-def confusion_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+#: More classes than this are no classes.
+MAX_CLASSES = 1000
+
+
+def confusion_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                     max_classes: int = MAX_CLASSES) -> DataFrame:
     """(label, prediction, n) for every pair of classes, zero-filled: a class is any
     value that occurs as a label or as a prediction.  One aggregate over the rows;
-    the class set is taken from its result."""
+    the class set is taken from its result.  Columns that hold no classes (more than
+    ``max_classes`` values) are an error; nothing is left out."""
     n = pred.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")) \
         .agg(F.count(F.lit(1)).alias("n"))
     classes = n.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.collect_set("c").alias("cs"))
-    pairs = classes.select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("prediction"))
+    few = F.when(F.size("cs") <= max_classes, F.col("cs")).otherwise(F.raise_error(F.lit(f"more than {max_classes} classes")))
+    pairs = classes.select(few.alias("cs")).select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("prediction"))
     return (pairs.join(n, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
 

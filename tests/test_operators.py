@@ -268,3 +268,13 @@ def test_bucketed_tables_join_without_an_exchange(spark, tmp_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for k in ("posts", "rollup"):
             spark.sql(f"DROP TABLE t_{k}")
+
+
+def test_confusion_counts_refuse_what_holds_no_classes(spark):
+    import pytest as pt
+
+    from postlens.operators.evaluation import confusion_counts
+    df = spark.range(30).selectExpr("CAST(id AS DOUBLE) AS label", "CAST(id % 3 AS DOUBLE) AS prediction")
+    assert confusion_counts(df).count() == 900
+    with pt.raises(Exception, match="more than 10 classes"):
+        confusion_counts(df, max_classes=10).collect()
