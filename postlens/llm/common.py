@@ -90,22 +90,25 @@ def may_hold(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     return marked.mapInArrow(let_through, rows.schema)
 
 
-#: Spark removes an execution's shuffle files when it has ended, if this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark removes the shuffle files when the write has ended, and Python
+#: workers get batches of so many rows, which bounds what texts and sets take in memory.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+           "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared checkpoint folder under a new name and read
-    it back: the lineage is cut and the rows survive lost executors.  The shuffle files of the
-    write go when it has ended; the table goes with ``forget``."""
+    it back: the lineage is cut and the rows survive lost executors.  The table goes with ``forget``."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
