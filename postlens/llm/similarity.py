@@ -378,15 +378,15 @@ class Join:
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",
                        text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, h (text hash), n_shingles, component_id of every row: sets of distinct shingles of
+    """doc_id, h (text hash), n_shingles, component_id, root of every row: sets of distinct shingles of
     ``shingle`` words link when den * shared >= num * union; component_id is the smallest doc_id
     reachable by links, the row's own included.
 
     Null and empty texts and texts of white space have an empty set, link with
     nothing and are their own component.  Rows with equal sets are linked; a null id
     takes part but never names a component (null if no member has an id).  Rows that
-    repeat an id with another text are linked by that id's name only.  An empty
-    table gives an empty result.
+    repeat an id with another text are linked by that id's name only; root, which rows without a set
+    do not have, tells such components apart.  An empty table gives an empty result.
     """
     texts = as_bytes(id_and_text(docs, id_col, text_col)).withColumn("h", text_hash())
     join = Join(texts, num, den, hot, shingle)
@@ -395,15 +395,15 @@ def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int
     named = (join.reps.select("d", "least").join(label.withColumnRenamed("node", "d"), "d", "left")
              .withColumn("root", F.coalesce("root", "d")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = keep(named.join(least, "root").select(F.col("d").alias("cd"), "component_id"), "component")
+    of_class = keep(named.join(least, "root").select(F.col("d").alias("cd"), "component_id", "root"), "component")
     # rows without a set are their own component
     rows = join.rows.select("doc_id", "h", "n", "d")
     linked = (rows.where("d is not null").join(of_class, F.col("d") == F.col("cd"))
-              .select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "component_id"))
+              .select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"), "component_id", "root"))
     alone = rows.where("d is null").select("doc_id", "h", F.lit(0).cast("long").alias("n_shingles"),
-                                           F.col("doc_id").alias("component_id"))
+                                           F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return linked.union(alone)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(read(spark, sf_dir, "documents")).drop("h")
+    return similar_components(read(spark, sf_dir, "documents")).drop("h", "root")

@@ -401,3 +401,27 @@ def test_stages_keep_rows_without_ids_apart(odd, spark, stage):
     docs = odd.select(*corpus_pipeline.COLUMNS)
     after = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
     assert after.where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_nothing_and_on_odd_rows(odd, nothing, spark, stage):
+    """Nulls, empty and very long texts, copies, repeated ids and clashing columns at every stage."""
+    name, fn = corpus_pipeline.STAGES[stage]
+    assert fn(spark, nothing, SF).count() == 0
+    after = fn(spark, odd, SF)
+    ids = [r.doc_id for r in after.select("doc_id").collect()]
+    if stage < 4:
+        assert after.columns == list(corpus_pipeline.COLUMNS)
+    if name in ("repeated_passages", "bpe"):
+        assert len(ids) == len(TEXTS)
+    assert {3, 4, 5, 6}.issubset(ids)  # without words, or clean and alone
+    if name == "mixing":
+        assert set(ids) == {i for i, _ in TEXTS} and len(ids) >= len(TEXTS)
+
+
+def test_near_copies_under_one_id_are_one(spark):
+    words = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(5, words), (5, words + " tail"), (5, "something else altogether"), (9, "head " + words)],
+                                 "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert [r.doc_id for r in got] == [5, 5] and sum(r.text.startswith("w0 w1") for r in got) == 1
