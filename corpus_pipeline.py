@@ -43,15 +43,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, of rows that repeat this
-    id with other texts the one with the smallest text hash; groups in which no row has an id stay
+    """Of each group of linked documents the one with the smallest id stays, of linked rows that
+    repeat this id the one with the smallest text hash; groups in which no row has an id stay
     but for rows with the same text.  Null and empty texts link with nothing."""
     group = similar_components(docs, NEAR_NUM, NEAR_DEN, shingle=NEAR_SHINGLE)
     names = F.col("doc_id") == F.col("component_id")
     gone = group.where(~F.coalesce(names, F.col("component_id").isNull())).select(*keys(group))
-    named = group.where(names).select("doc_id", "h").distinct()
-    first = named.groupBy("doc_id").agg(F.min("h").alias("first_h")).withColumnRenamed("doc_id", "first_id")
-    again = named.join(first, (F.col("doc_id") == F.col("first_id")) & (F.col("h") != F.col("first_h"))).select(*keys(named))
+    named = group.where(names & F.col("root").isNotNull()).select("doc_id", "h", "root").distinct()
+    first = named.groupBy("root").agg(F.min("h").alias("first_h"))
+    again = named.join(first, "root").where("h <> first_h").select(*keys(named))
     return matched(docs, gone.union(again).distinct(), "left_anti") \
         .select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
