@@ -3,7 +3,7 @@
 The positive pointwise mutual information of words that stand near each other is a symmetric
 table (word, context, value), counted by Spark.  Its leading eigenvectors come from a
 randomised block power iteration: a block of ``size`` columns is one small vector a word; a product
-with the table is a salted join on the context and a sum by word, and the block is made orthonormal
+with the table is a join on the context and a sum by word, and the block is made orthonormal
 with the one size x size matrix of its inner products that reaches the driver.
 """
 
@@ -17,25 +17,45 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
-from .text import join_by_word
+from .blocks import block_words, in_blocks, parts, translated
+from .text import numbered
+
+
+def cooccurrence_ids(df: DataFrame, words_col: str, window: int = 5, min_count: int = 5) -> tuple[DataFrame, DataFrame]:
+    """((word, context, n) by word id, both ways of each pair; (word, n, word_id) of the words found at
+    least ``min_count`` times).  Other words keep their places, but their pairs are never formed."""
+    blocked = in_blocks(df.select(F.col(words_col).alias("_tokens")), None, "_tokens")
+    words = block_words(blocked, "_tokens")
+    ids = cut_lineage(numbered(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)))
+    known = translated(blocked, "_tokens", parts(words, ids.select("word", F.col("word_id").cast("int").alias("_at"))))
+    at = F.col("_at")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.when(F.size(at) > k, F.filter(F.zip_with(
+        F.slice(at, F.lit(1), F.greatest(F.size(at) - k, F.lit(0))), F.slice(at, k + 1, F.size(at)),
+        lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a + b).alias("both"))),
+        lambda p: p["both"].isNotNull())).otherwise(F.array())))
+    gen, keep = T.explode_values(pairs, "_p")
+    one_way = known.where(F.size(at) > 1).select(gen).where(keep).groupBy("_p.a", "_p.b").agg(F.count(F.lit(1)).alias("n"))
+    ways = F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context"),
+                                                                       (2 * F.col("n")).alias("n"))))
+                     .otherwise(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context"), "n"),
+                                        F.struct(F.col("b").alias("word"), F.col("a").alias("context"), "n")))).alias("w")
+    return one_way.select(ways).select("w.*"), ids
 
 
 def cooccurrences(df: DataFrame, words_col: str, window: int = 5, min_count: int = 5) -> DataFrame:
     """(word, context, n): how often words stand at most ``window`` places apart in a row, both ways.
-    Words found less than ``min_count`` times are left out after counting (the places stay)."""
-    words = F.col(words_col)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda k: F.when(F.size(words) > k, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - k, F.lit(1))),
-        lambda i: F.struct(F.element_at(words, i).alias("a"), F.element_at(words, i + k).alias("b")))).otherwise(F.array())))
-    gen, keep = T.explode_values(pairs, "_p")
-    one_way = df.where(F.size(words_col) > 1).select(gen).where(keep).groupBy("_p.a", "_p.b").agg(F.count(F.lit(1)).alias("n"))
-    ways = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context")),
-                             F.struct(F.col("b").alias("word"), F.col("a").alias("context")))).alias("w")
-    both = one_way.select(ways, "n").groupBy("w.word", "w.context").agg(F.sum("n").alias("n"))
-    gen, keep = T.explode_values(words_col, "word")
-    known = df.select(gen).where(keep).groupBy("word").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_count).select("word")
-    kept = join_by_word(both, known, "word", "context")
-    return join_by_word(kept, known.withColumnRenamed("word", "context"), "context", "word").select("word", "context", "n")
+    Words found less than ``min_count`` times are left out (the places stay)."""
+    counts, ids = cooccurrence_ids(df, words_col, window, min_count)
+    return named(counts, ids)
+
+
+def named(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """A table over word ids (word, context, ...) over words.  A word has at most one row for each
+    other word, so neither join needs salt."""
+    rest = [c for c in table.columns if c not in ("word", "context")]
+    first, second = (ids.select(F.col("word_id").alias(c), F.col("word").alias(f"_{c}")) for c in ("word", "context"))
+    return table.join(first, "word").join(second, "context").select(
+        F.col("_word").alias("word"), F.col("_context").alias("context"), *rest)
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
@@ -43,8 +63,7 @@ def ppmi(counts: DataFrame) -> DataFrame:
     both ways of each pair."""
     total = counts.agg(F.sum("n")).first()[0] or 1
     of = counts.groupBy("word").agg(F.sum("n").alias("_nw"))
-    both = join_by_word(join_by_word(counts, of, "word", "context"),
-                        of.select(F.col("word").alias("context"), F.col("_nw").alias("_nc")), "context", "word")
+    both = counts.join(of, "word").join(of.select(F.col("word").alias("context"), F.col("_nw").alias("_nc")), "context")
     value = F.log(F.col("n") * F.lit(float(total)) / (F.col("_nw").cast("double") * F.col("_nc")))
     return both.select("word", "context", value.alias("value")).where("value > 0")
 
@@ -56,7 +75,8 @@ def scaled(v: str, by: Column) -> Column:
 def times(table: DataFrame, block: DataFrame) -> DataFrame:
     """The symmetric table (word, context, value) times a block (word, v)."""
     of = block.select(F.col("word").alias("context"), "v")
-    return join_by_word(table, of, "context", "word").select("word", array_to_vector(scaled("v", F.col("value"))).alias("v")) \
+    # a context has at most one row for each word: no salt
+    return table.join(of, "context").select("word", array_to_vector(scaled("v", F.col("value"))).alias("v")) \
         .groupBy("word").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v"))
 
 
