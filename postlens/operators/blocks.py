@@ -8,14 +8,14 @@ through the driver, and no task holds more than a block.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import text as T
 from ..session import cut_lineage
@@ -70,14 +70,9 @@ def _values(part: DataFrame) -> list[StructField]:
     return [f for f in part.schema.fields if f.name not in ("_block", "word")]
 
 
-def translated(blocked: DataFrame, words_col: str, part: DataFrame, merge_by: str | None = None, one_row: bool = False,
-               or_word: bool = False) -> DataFrame:
+def translated(blocked: DataFrame, words_col: str, part: DataFrame) -> DataFrame:
     """The rows of ``in_blocks`` with an array for every value column of ``parts``: the values of the row's
-    tokens, in order; null for tokens without, or the token itself (``or_word``).
-
-    ``merge_by``, the id: rows that share it all get the tokens of all of them, by place, at one place
-    by value; ``one_row`` keeps one of them.
-    """
+    tokens, in order; null for tokens without."""
     values = _values(part)
     kept = [f for f in blocked.schema.fields if f.name not in ("_block", words_col)]
     names, value_names = [f.name for f in kept], [f.name for f in values]
@@ -86,52 +81,8 @@ def translated(blocked: DataFrame, words_col: str, part: DataFrame, merge_by: st
         lengths, tokens = _flat(rows.column(words_col))
         at = _found(tokens, words)
         columns = [_whole(words.column(n)).take(at) for n in value_names]
-        columns = [pc.coalesce(c, tokens.cast(c.type)) for c in columns] if or_word else columns
-        if merge_by and len(pc.unique(rows.column(merge_by))) < rows.num_rows:
-            chosen, lengths, order = _merged(rows.column(merge_by).to_pylist(), lengths, columns, one_row)
-            rows, columns = rows.take(pa.array(chosen)), [c.take(pa.array(order)) for c in columns]
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         return pa.table([rows.column(n) for n in names] + [pa.ListArray.from_arrays(ends, c) for c in columns],
                         names=names + value_names)
 
     return _met(blocked, part, fn, StructType(kept + [StructField(f.name, ArrayType(f.dataType)) for f in values]))
-
-
-def _merged(ids: list, lengths: np.ndarray, columns: Sequence[pa.Array], one_row: bool) -> tuple[list, list, np.ndarray]:
-    """(rows, lengths, places): for every row, or the first of each id, the places of the tokens of all
-    rows with its id."""
-    starts = np.cumsum(lengths) - lengths
-    of: dict = {}
-    for row, key in enumerate(ids):
-        of.setdefault(key, []).append(row)
-    order = {}
-    for key, rows in of.items():
-        places = np.concatenate([np.arange(starts[r], starts[r] + lengths[r]) for r in rows])
-        if len(rows) > 1:
-            within = np.concatenate([np.arange(lengths[r]) for r in rows]).tolist()
-            shown = [[(v is not None, v) for v in c.take(pa.array(places)).to_pylist()] for c in columns]
-            places = places[sorted(range(len(places)), key=lambda k: (within[k], *(c[k] for c in shown)))]
-        order[key] = places
-    chosen = [rows[0] for rows in of.values()] if one_row else list(range(len(ids)))
-    found = [order[ids[r]] for r in chosen]
-    return chosen, [len(p) for p in found], np.concatenate(found).astype(np.int64)
-
-
-def counted(blocked: DataFrame, id_col: str, words_col: str, part: DataFrame, count_col: str = "n") -> DataFrame:
-    """(id, count, word, values): a row for each distinct token of a row of ``in_blocks`` that ``parts``
-    holds, and how often the row has it."""
-    fields = [StructField("word", part.schema["word"].dataType), *_values(part)]
-    names = [f.name for f in fields]
-
-    def fn(rows: pa.Table, words: pa.Table) -> pa.Table:
-        lengths, tokens = _flat(rows.column(words_col))
-        at = _found(tokens, words)
-        size = max(words.num_rows, 1)
-        key = np.repeat(np.arange(len(lengths)), lengths)[pc.is_valid(at).to_numpy(zero_copy_only=False)] * size
-        key, n = np.unique(key + at.drop_null().to_numpy(), return_counts=True)
-        row, word = pa.array(key // size), pa.array(key % size)
-        return pa.table([_whole(rows.column(id_col)).take(row), pa.array(n.astype(np.int64))]
-                        + [_whole(words.column(n)).take(word) for n in names], names=[id_col, count_col, *names])
-
-    schema = StructType([blocked.schema[id_col], StructField(count_col, LongType()), *fields])
-    return _met(blocked.select("_block", id_col, words_col), part, fn, schema)

@@ -1,7 +1,12 @@
+import os
+
 import pytest
 from odd_rows import TEXTS
 from pyspark.sql import types as T
 
+# this module may be the one that a test beside tests/conftest.py finds under the name conftest
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                        T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                        T.StructField("n_chars", T.LongType()),
