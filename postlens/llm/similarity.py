@@ -22,7 +22,12 @@ Wanted are the components of the links, so pairs inside a component need no comp
 * Dense sets.  Prefixes are stored with some room.  Sets that need more are posted again as a
   whole among themselves.  Those that stay among costly tokens even so also post the costly
   ones among their cheapest, and in rounds a growing number of leaders of each such list is
-  compared with its members, until each list is one component or every pair was compared.
+  compared with its members, until each list is one component or empty.
+* Differences.  Sets near a leader L are not compared pair by pair.  With D(x) the tokens that only
+  one of x and L has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| tokens.  Of two sets that are
+  not both in L's component one does not link with L, so two that link share more than half of
+  either one's D (give or take the sizes), and D's tokens are rare where the sets' own are not.  A
+  set so near to L that all it links with is near L too leaves the list.
 
 Candidates are verified in two steps: from the stored prefixes, whose missing tokens
 bound the overlap, and then on the whole sets.  Links feed connected components.
@@ -44,6 +49,8 @@ SHINGLE, NUM, DEN, HOT = 4, 85, 100, 16
 LEADERS, GROWTH = 4, 4
 #: A set with more estimated candidates than this lengthens its prefix by all the room there is.
 FEW = 16
+#: Sets within NEAR times the distance that links may have are compared by their differences from a leader.
+NEAR = 3
 #: Parts that a long list is dealt over when its leaders are looked for.
 PARTS = 64
 #: A prefix is stored with room for 4 + n / ROOM more tokens.
@@ -218,7 +225,10 @@ class Join:
             return
         self.compared = self.compared.union(pairs)
         self.used.append(pairs)
-        links = self.verify(pairs, bound)
+        self.unite(self.verify(pairs, bound))
+
+    def unite(self, links: DataFrame) -> None:
+        """Join the components between which kept links (a, b) lead."""
         if links.isEmpty():
             return
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -351,29 +361,95 @@ class Join:
                      bound=False)
 
     def compare_costly(self, post: DataFrame) -> None:
-        """Costly lists, by rounds of leaders."""
+        """Costly lists, by rounds of leaders; members near a leader are compared around it and leave."""
+        num, den, high = self.num, self.den, LEADERS
         costly = keep(post.select("s", "d", "n", F.struct("own", F.xxhash64("d").alias("x"), "d").alias("key")), "costly")
-        low, high = 0, LEADERS
+        if costly.isEmpty():
+            return
+        sets = keep(self.whole_sets(costly.select(F.col("d").alias("cd")).distinct()), "dense")
         while True:
             marked = self.rooted(costly)
-            # lists that still hold several components, and members that were not all leaders yet
-            still = (marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-                     .where((F.col("r0") != F.col("r1")) & (F.col("size") > low + 1)).select("s"))
-            todo = keep(marked.join(still, "s", "left_semi"), "todo")
+            # lists that still hold several components
+            still = marked.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("s")
+            todo = keep(marked.join(still, "s", "left_semi").select(*costly.columns), "todo")
+            forget(costly)
             if todo.isEmpty():
-                forget(todo, costly)
+                forget(todo, sets)
                 return
             # the first of each part of a list, then the first of all: no list is ordered in one task
             part = F.pmod(F.xxhash64("d"), F.lit(PARTS))
             some = todo.withColumn("place", F.row_number().over(W.partitionBy("s", part).orderBy("key"))).where(F.col("place") <= high)
-            lead = some.withColumn("place", F.row_number().over(W.partitionBy("s").orderBy("key"))) \
-                .where(F.col("place").between(low + 1, high)) \
-                .select("s", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-            self.compare(todo.join(lead, "s").where((F.col("d") != F.col("b")) & (F.col("root") != F.col("root_b"))
-                                                    & self.sizes_fit(F.col("n"), F.col("nb")))
-                         .select(F.col("d").alias("a"), "b"))
-            forget(todo)
-            low, high = high, high * GROWTH
+            lead = some.withColumn("place", F.row_number().over(W.partitionBy("s").orderBy("key"))).where(F.col("place") <= high) \
+                .select("s", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("key").alias("first"))
+            met = keep(todo.join(lead, "s").where(self.within(F.abs(F.col("n") - F.col("nb")), F.col("n"), F.col("nb"), NEAR))
+                       .select("s", "d", "b", "first"), "met")
+            near = keep(self.differences(met.select("d", "b").distinct(), sets), "near")
+            self.unite(keep(near.where((F.col("d") != F.col("b")) & self.within(F.size("toks"), F.col("n"), F.col("nb")))
+                            .select(F.col("d").alias("a"), "b"), "links"))
+            # what links with d has den / num of its size at most and num / den at least, so it is near b too
+            leaves = F.size("toks").cast("long") * den * (den + num) <= (den - num) * (NEAR * den * F.col("nb") + ((NEAR - 1) * num - den) * F.col("n"))
+            home = keep(met.join(near.where(leaves).select("d", "b"), ["d", "b"]).groupBy("s", "d")
+                        .agg(F.min_by("b", "first").alias("b")), "home")
+            self.compare_around(near.join(home.where("b <> d").select("b").distinct(), "b", "left_semi"))
+            # a leader is near itself, so every list gets shorter
+            costly = keep(todo.join(home.select("s", "d"), ["s", "d"], "left_anti"), "costly")
+            forget(todo, met, near, home)
+            high *= GROWTH
+
+    def within(self, x: Column, n: Column, m: Column, times: int = 1) -> Column:
+        """Whether sets of n and m tokens that differ in x are within so many times the distance of links."""
+        return x * (self.den + self.num) <= times * (self.den - self.num) * (n + m)
+
+    def differences(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(d, b, n, nb, toks: the tokens that one of both has) of those pairs (d, b) that are near."""
+        num, den = self.num, self.den
+
+        def run(batches):
+            for batch in batches:
+                d, b, n, nb, toks = [], [], [], [], []
+                for i, j, x, y in zip(batch.column("d").to_pylist(), batch.column("b").to_pylist(), batch.column("sd"), batch.column("sb")):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    only = np.setxor1d(x, y, assume_unique=True)
+                    if len(only) * (den + num) <= NEAR * (den - num) * (len(x) + len(y)):
+                        for column, value in zip((d, b, n, nb, toks), (i, j, len(x), len(y), _long(only))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(nb, pa.int32()),
+                     pa.array(toks, pa.list_(pa.int64()))], names=["d", "b", "n", "nb", "toks"])
+            pa.default_memory_pool().release_unused()
+
+        x, y = (sets.select(F.col("d").alias(c), F.col("s").alias(f"s{c}")) for c in "db")
+        return pairs.join(x, "d").join(y, "b").select("d", "b", "sd", "sb") \
+            .mapInArrow(run, "d long, b long, n int, nb int, toks array<long>")
+
+    def compare_around(self, near: DataFrame) -> None:
+        """Sets near the same leader b, where one of both is not in its component, by their differences from it."""
+        num, den = self.num, self.den
+        of = self.label.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+        sets = self.rooted(near).join(of, "b", "left") \
+            .withColumn("out", F.col("root") != F.coalesce("root_b", "b")).drop("root_b")
+        sets = keep(sets.join(sets.where("out").select("b").distinct(), "b", "left_semi"), "around")
+        post = sets.select("b", "d", "n", "nb", "root", "out", F.size("toks").cast("long").alias("x"),
+                           F.explode("toks").alias("s"))
+        shared = post.groupBy("b", "s").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("r0"), F.max("root").alias("r1")) \
+            .where("r0 <> r1").select("b", "s", "k")
+        # d shares more than (x + (nb - n) (den - num) / (den + num)) / 2 tokens with a set that is out and links with it
+        share = F.floor((F.col("x") * (den + num) + (den - num) * (F.col("nb") - F.col("n"))) / (2 * (den + num))) + 1
+        by_set = keep(post.join(shared, ["b", "s"]).groupBy("b", "d").agg(
+            *[F.first(c).alias(c) for c in ("n", "nb", "root", "out", "x")], F.array_sort(F.collect_list(F.struct("k", "s"))).alias("toks"))
+            .withColumn("few", F.size("toks") - share + 1).where("few > 0 or out"), "by-set")
+        rows = by_set.select("b", "d", "n", "root", "out", "x", "few", F.size("toks").alias("size"), F.posexplode("toks").alias("place", "k")) \
+            .select("b", "k.s", "d", "n", "root", "out", "x", "size", (F.col("place") < F.col("few")).alias("first"))
+        x = rows.where("out").select("b", "s", "d", "n", "root", "x", "size", "first")
+        y = rows.where("first").select("b", "s", "out", *[F.col(c).alias(f"{c}2") for c in ("d", "n", "root", "x", "size")])
+        able = (F.col("root") != F.col("root2")) & self.sizes_fit(F.col("n"), F.col("n2")) \
+            & ((F.col("x") + F.col("x2")) * (den + num) - (den - num) * (F.col("n") + F.col("n2"))
+               <= 2 * (den + num) * F.least("size", "size2"))
+        inner = x.join(y.where("not out"), ["b", "s"]).where(able)
+        outer = x.where("first").join(y.where("out"), ["b", "s"]).where(able & (F.col("d") < F.col("d2")))
+        self.compare(inner.select(F.col("d").alias("a"), F.col("d2").alias("b")).union(
+            outer.select(F.col("d").alias("a"), F.col("d2").alias("b"))))
+        forget(sets, by_set)
 
 
 def similar_components(docs: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT, id_col: str = "doc_id",

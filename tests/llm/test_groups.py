@@ -74,6 +74,36 @@ def test_similarity_of_large_groups(spark):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], key=str) == brute_components(texts)
 
 
+def test_groups_of_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch, num=85):
+    """Copies of one text, a little further from it than links reach, and copies of copies that chain them."""
+    rnd = random.Random(num)
+    base = [f"b{i}" for i in range(110)]
+    texts = []
+    for i in range(160):
+        w = list(rnd.choice(texts)) if i > 100 and i % 4 == 0 else list(base)
+        for k in rnd.sample(range(2, 108), rnd.choice([1, 2, 3, 3, 4])):
+            w[k] = f"o{i}x{k}"
+        texts.append(w)
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = brute_components(texts, num)
+    join = similarity.Join(similarity.as_bytes(spark.createDataFrame(texts, "doc_id long, text string"))
+                           .withColumn("h", similarity.text_hash()), num, hot=2)
+    costly, before = join.compare_costly, []
+
+    def counted(post):
+        before.append(join.compared.count())
+        costly(post)
+    monkeypatch.setattr(join, "compare_costly", counted)
+    join.run()
+    label = {r.d: r.root for r in join.rooted(join.reps.select("d")).collect()}
+    ids = {r.d: r.rep_id for r in join.reps.collect()}
+    least = {}
+    for d, root in label.items():
+        least[root] = min(ids[d], least.get(root, ids[d]))
+    assert {i: c for i, _, c in want} == {ids[d]: least[root] for d, root in label.items()}
+    assert len(set(least.values())) > 50 and join.compared.count() - before[0] < 20 * len(texts)
+
+
 def test_prefix_bound_loses_no_link():
     rnd = np.random.default_rng(4)
     for _ in range(400):
