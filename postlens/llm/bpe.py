@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from postlens.llm.common import id_and_text, per_worker, read
+from postlens.llm.common import id_and_text, per_worker, read, release_worker
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -396,6 +396,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, block: int
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches):
+        release_worker(("encoder", path, block))
         enc = per_worker(("encoder", path, block), lambda: Encoder(MergeList(path), block=block))
         enc.reset()
         for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import keep
+from postlens.llm.common import keep, release_worker
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,6 +40,7 @@ def select_features(sample: DataFrame, n_classes: int, most: int, prefixes: tupl
     documents and with the largest likelihood-ratio statistic of presence against class."""
 
     def run(batches):
+        release_worker()
         for pdf in batches:
             for y, text in zip(pdf.y, pdf.text):
                 yield pd.DataFrame({"f": list(features(text, prefixes)), "y": int(y)})

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import id_and_text, keep, read, text_hash
+from postlens.llm.common import id_and_text, keep, read, release_worker, text_hash
 from postlens.llm.linear import Rows, bounded_sample, features, fit, select_features
 
 #: Bound of the labelled sample and of the model's features.
@@ -65,6 +65,7 @@ def posteriors(texts: DataFrame, model, n_domains: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release_worker()
         at, w, b = shared.value
         known = at.keys()
         for batch in batches:

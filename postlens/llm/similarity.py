@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postlens.llm.common import as_bytes, components, forget, id_and_text, keep, may_hold, read, text_hash
+from postlens.llm.common import as_bytes, components, forget, id_and_text, keep, may_hold, read, release_worker, text_hash
 
 SHINGLE, NUM, DEN, HOT = 4, 85, 100, 16
 #: Leaders of a costly list in the first round, and growth from round to round.
@@ -87,6 +87,7 @@ def set_rows(texts: DataFrame, num: int, den: int, shingle: int = SHINGLE) -> Da
     lengthened prefix; empty sets have d null."""
 
     def run(batches):
+        release_worker()
         for batch in batches:
             d, n, prefix = [], [], []
             for text in batch.column("text"):

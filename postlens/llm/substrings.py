@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import forget, id_and_text, keep, may_hold, per_worker, read, text_hash
+from postlens.llm.common import forget, id_and_text, keep, may_hold, per_worker, read, release_worker, text_hash
 
 #: Words of a window, which holds a cut, and of a hash; words of the shortest run that is removed.
 MOST_WORDS, GRAM, MIN_WORDS = 12, 3, 25
@@ -103,6 +103,7 @@ def unit_rows(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one of them stood earlier in the text."""
 
     def run(batches):
+        release_worker("substring_powers")
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)

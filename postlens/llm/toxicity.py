@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import fold, id_and_text, read, text_hash
+from postlens.llm.common import fold, id_and_text, read, release_worker, text_hash
 from postlens.llm.linear import Rows, bounded_sample, features, fit, select_features
 
 #: Names of groups, by kind; a name is swapped for others of its kind.
@@ -112,6 +112,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_R
     model = docs.sparkSession.sparkContext.broadcast(train(source, known, train_rows, identity_terms=identity_terms))
 
     def run(batches):
+        release_worker()
         weights, bias = model.value
         for batch in batches:
             scores = [score_text(t or "", weights, bias) for t in batch.column("text").to_pylist()]

@@ -128,3 +128,35 @@ def test_cache_keeps_what_is_in_use():
         assert cache["often"] == ("often",) and cache[f"once{k}"] == (f"once{k}",)
     assert made.count("often") == 1 and len(cache) <= 4 and len(cache.older) <= 4
     assert cache["x" * 65] == ("x" * 65,) and "x" * 65 not in cache
+
+
+def test_workers_let_go_of_what_other_operators_left(spark, odd):
+    """The encoder's caches stay for its own tasks and go with another operator's."""
+    from postlens.llm.bpe import encode_decode
+    from postlens.llm.common import as_bytes, id_and_text, keep, text_hash
+    from postlens.llm.similarity import set_rows
+
+    def held(batches):
+        import os
+        import sys
+
+        import pyarrow as pa
+        for batch in batches:
+            store = vars(sys.modules["_postlens_worker_store"]) if "_postlens_worker_store" in sys.modules else {}
+            keys = [str(k) for k in store if isinstance(k, tuple) and k[0] == "encoder"]
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([len(keys)], pa.int64())], names=["pid", "n"])
+
+    def holders():
+        return {r.pid for r in spark.range(64).repartition(32).mapInArrow(held, "pid long, n long").collect() if r.n}
+
+    def spread(df):
+        return df.repartition(32)
+
+    keep(encode_decode(spread(odd)), "encoded")
+    keep(encode_decode(spread(odd)), "encoded")
+    before = holders()
+    assert before
+    texts = as_bytes(id_and_text(spread(odd))).withColumn("h", text_hash())
+    for _ in range(4):
+        keep(set_rows(texts, 85, 100), "sets")
+    assert len(holders()) < len(before)
