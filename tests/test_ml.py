@@ -54,3 +54,24 @@ def test_capped_bag_of_words_tells_what_it_leaves_out(spark):
     model, outside = ML.fit_bag_of_words(df, vocab_size=2)
     assert set(model.vocabulary) == {"a", "b"} and outside == 2
     assert ML.fit_bag_of_words(df)[1] == 0
+
+
+def test_both_tasks_read_one_wide_table(spark, monkeypatch):
+    from postlens.plans import analysis as AN
+    post = "post_id string, profile_name string, post_timestamp string, post_text string, nbr_pictures int, " \
+           "is_multiple_pictures boolean, google_maps_url string, location string, nbr_likes long, nbr_comments long, is_video string"
+    posts = spark.createDataFrame(
+        [(str(i % 5), "p", f"2024-03-0{i + 1} 10:00:00", t, 1, False, None, None, 10 * i, i, "True\r")
+         for i, t in enumerate(["going home @you", None, "", "nice #day words words", "walked", "again"])], post) \
+        .withColumn("post_timestamp", F.to_timestamp("post_timestamp"))
+    comments = spark.createDataFrame([(1, 7, "True", "1", "great @a"), (2, 7, None, "1", "awful"), (3, 8, "1.0", None, "x"),
+                                      (4, 8, "pending", "3", None)],
+                                     "comment_id long, commenter_id long, commenter_verified string, post_id string, comment_text string")
+    seen = []
+    monkeypatch.setattr(AN, "run_task", lambda wide, task, **kw: seen.append(wide))
+    AN.run_analysis(posts, comments)
+    assert len(seen) == 2 and all("Join" not in w._jdf.queryExecution().optimizedPlan().toString() for w in seen)
+    wide = assemble_features(posts, comments, keep_tokens=True)
+    # a post id that two posts share keeps both rows
+    assert sorted(map(repr, seen[0].collect())) == sorted(map(repr, wide.select(*seen[0].columns).collect()))
+    assert {"nbr_likes", "comment_positivity", "vector_lemma"} <= set(seen[0].columns) and seen[0].count() == 6
