@@ -33,6 +33,8 @@ from postlens.llm.token_counts import load_tokenizer
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Merge steps of a piece, and characters of the documents that are aligned together.
 WORK, CHUNK_CHARS = 1 << 16, 1 << 19
+#: Links that a task counts at once.
+COUNTED = 1 << 20
 SPACE = "▁"
 LINK_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 
@@ -240,7 +242,9 @@ class Aligned:
             ids[place[side]] = self.ids[side]
             mark[place[side]] = np.where(last[side], close, ord(","))
         powers = 10 ** np.arange(10, dtype=np.int64)
-        digits = np.maximum(1, np.searchsorted(powers, ids, "right"))
+        digits = np.ones(len(ids), np.int64)
+        for power in powers[1:][powers[1:] <= ids.max(initial=0)]:
+            digits += ids >= power
         start = np.cumsum(digits + 1) - digits - 1
         out = np.empty(int((digits + 1).sum()), np.uint8)
         out[start + digits] = mark
@@ -320,17 +324,32 @@ def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     return id_and_text(docs, id_col, text_col).mapInArrow(work_on, LINK_SCHEMA)
 
 
+def numbers_of(links: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair numbers of some documents, one after the other, and where each document's begin and end."""
+    _, offsets, data = links.buffers()
+    at = np.frombuffer(offsets, np.int32)[links.offset:links.offset + len(links) + 1] if len(links) else np.zeros(1, np.int32)
+    own = np.frombuffer(data or b"", "<i4", (at[-1] - at[0]) // 4, at[0]) if at[-1] > at[0] else np.zeros(0, "<i4")
+    return own, (at - at[0]) // 4
+
+
+def counted(batches, n_pairs: int) -> Iterator[pa.RecordBatch]:
+    """A task's links by id pair.  It goes through its total once for about ``COUNTED`` links, not
+    once for each document."""
+    total = np.zeros(n_pairs, np.int64)
+    for batch in batches:
+        own, _ = numbers_of(batch.column("links"))
+        for k in range(0, len(own), COUNTED):
+            total += np.bincount(own[k:k + COUNTED], minlength=n_pairs)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+
+
 def pair_counts(links: DataFrame, n_pairs: int) -> np.ndarray:
     """How many links of all documents hold each id pair.  Tasks send their counts, Spark adds them
     up; the result has at most one number for each pair that the vocabularies allow."""
 
     def count(batches):
-        total = np.zeros(n_pairs, np.int64)
-        for batch in batches:
-            for x in batch.column("links"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<i4"), minlength=n_pairs)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+        return counted(batches, n_pairs)
 
     out = np.zeros(n_pairs, np.int64)
     sums = links.select("links").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
@@ -361,12 +380,8 @@ def link_strength(docs: DataFrame, a_path: str | None = None, b_path: str | None
     def look_up(batches):
         n, best = shared.value
         for batch in batches:
-            sizes, sums, bests = [], [], []
-            for x in batch.column("links"):
-                own = np.frombuffer(x.as_buffer(), "<i4")
-                sizes.append(len(own))
-                sums.append(int(n[own].sum()))
-                bests.append(int(best[own].sum()))
+            own, at = numbers_of(batch.column("links"))
+            sizes, sums, bests = np.diff(at), *(np.diff(np.append(0, np.cumsum(x[own], dtype=np.int64))[at]) for x in (n, best))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")]
                 + [pa.array(x, pa.int64()) for x in (sizes, bests, sums)] + [batch.column("groups_sha256")],

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import TEXTS
 
@@ -123,3 +124,25 @@ def test_odd_rows(spark, odd, nothing, vocab):
 def test_groups_as_rows(odd, vocab):
     got = sorted([(r.doc_id, r.a_ids, r.b_ids, [tuple(g) for g in r.groups]) for r in al.align_tokens(odd).collect()], key=str)
     assert got == sorted([(i, *whole(vocab, t)) for i, t in TEXTS], key=str)
+
+
+def test_links_are_counted_by_batch(spark, monkeypatch):
+    """One pass over the totals for many documents: the counts of a batch are those of its documents."""
+    docs = [[k % 7, 3, 3, k % 11] * (k % 3) for k in range(500)]
+    rows = [(k, np.array(x, "<i4").tobytes()) for k, x in enumerate(docs)]
+    want = Counter(x for own in docs for x in own)
+    got = al.pair_counts(spark.createDataFrame(rows, "doc_id long, links binary").coalesce(1), 1000)
+    assert {k: v for k, v in enumerate(got.tolist()) if v} == dict(want)
+
+    table = pa.array([x for _, x in rows], pa.binary())
+    for part in (table, table[123:400], table[5:5], pa.array([b""] * 3, pa.binary()), pa.array([], pa.binary())):
+        own, at = al.numbers_of(part)
+        assert [own[lo:hi].tolist() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())] \
+            == [np.frombuffer(x.as_py(), "<i4").tolist() for x in part]
+
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(al, "COUNTED", 100)
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: calls.append(len(a[0])) or plain(*a, **b))
+    out, = al.counted([pa.record_batch([table], ["links"])], 1000)
+    assert dict(zip(*out.to_pydict().values())) == dict(want)
+    assert len(calls) <= sum(want.values()) // 100 + 1
