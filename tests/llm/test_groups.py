@@ -7,7 +7,7 @@ import pytest
 from odd_rows import TEXTS
 
 import corpus_pipeline
-from postlens.llm import mixing, neighbours, similarity, substrings
+from postlens.llm import common, mixing, neighbours, similarity, substrings
 from postlens.llm.common import components, keep, read
 
 SF = "/root/testdata/sf0.001"
@@ -19,6 +19,28 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_first_round_of_components_takes_the_edges_as_they_are(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(common, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    rows = [(None, 4), (4, None), (5, 5), (9, 3), (3, 9), (9, 3), (9, 12)]
+    got = sorted(map(tuple, components(spark.createDataFrame(rows, "a long, b long")).collect()))
+    assert got == [(3, 3), (9, 3), (12, 3)] and kept.count("edges") <= 3
+    kept.clear()
+    star = spark.createDataFrame([(1, i) for i in range(2, 20)], "a long, b long")
+    assert {r.root for r in components(star).collect()} == {1} and kept.count("edges") == 2
+    assert components(star.where("a > 1")).isEmpty()
+
+
+def test_driver_collects_its_garbage_now_and_then(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "tidy", lambda s: done.append(s))
+    for _ in range(2 * common.TIDY_EVERY):
+        assert keep(spark.range(3), "t").count() == 3
+    assert done == [spark, spark]
+    monkeypatch.undo()
+    common.tidy(spark)
+
+
 # -- op9 ----------------------------------------------------------------------
 def brute_components(texts, num=85, den=100):
     """(doc_id, n_shingles, component_id) of each row, by comparing all pairs of ids."""
