@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..session import cut_lineage
@@ -70,19 +70,23 @@ def _values(part: DataFrame) -> list[StructField]:
     return [f for f in part.schema.fields if f.name not in ("_block", "word")]
 
 
-def translated(blocked: DataFrame, words_col: str, part: DataFrame) -> DataFrame:
-    """The rows of ``in_blocks`` with an array for every value column of ``parts``: the values of the row's
-    tokens, in order; null for tokens without."""
-    values = _values(part)
-    kept = [f for f in blocked.schema.fields if f.name not in ("_block", words_col)]
-    names, value_names = [f.name for f in kept], [f.name for f in values]
+def neighbour_counts(blocked: DataFrame, words_col: str, part: DataFrame, window: int) -> DataFrame:
+    """(a, b, n): how often the values a <= b of two tokens stand at most ``window`` places apart in a row of
+    ``in_blocks``, counted by block, so a pair comes back once for each block that has it.  ``part`` has
+    one integer column, 0 or more; tokens without a value keep their places."""
+    value, = _values(part)
 
     def fn(rows: pa.Table, words: pa.Table) -> pa.Table:
         lengths, tokens = _flat(rows.column(words_col))
-        at = _found(tokens, words)
-        columns = [_whole(words.column(n)).take(at) for n in value_names]
-        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return pa.table([rows.column(n) for n in names] + [pa.ListArray.from_arrays(ends, c) for c in columns],
-                        names=names + value_names)
-
-    return _met(blocked, part, fn, StructType(kept + [StructField(f.name, ArrayType(f.dataType)) for f in values]))
+        at = pc.fill_null(_whole(words.column(value.name)).take(_found(tokens, words)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        keys = [np.empty(0, np.int64)]
+        for k in range(1, window + 1):
+            a, b = at[:-k], at[k:]
+            both = (a >= 0) & (b >= 0) & (row[:-k] == row[k:])
+            a, b = a[both], b[both]
+            keys.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+        pairs, n = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.table({"a": (pairs >> 32).astype(np.int32), "b": (pairs & 0xFFFFFFFF).astype(np.int32), "n": n.astype(np.int64)})
+
+    return _met(blocked, part, fn, StructType([StructField("a", value.dataType), StructField("b", value.dataType), StructField("n", LongType())]))
