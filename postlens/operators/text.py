@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.lexicons import BAD_TOKENS, VERB_LEMMAS
 from ..functions.porter import with_stems
 from ..session import cut_lineage
+from .blocks import looked_up
 
 #: Parts that the rows of one word are dealt into for a join; the word's side is repeated as often.
 WORD_SALTS = 16
@@ -146,21 +147,29 @@ def text_features_normalised(posts: DataFrame, id_col: str = "post_id", text_col
     (Porter stems of at least ``min_stem`` letters, in order), vector_lemma (sorted distinct base forms
     by the dictionary, else by the rule for regular verb endings) and nbr_words.
 
-    Two phases: each distinct word is normalised once, then its forms are joined back to the posts
-    (salted by post, so a frequent word is dealt over many tasks) and regrouped.  The tokens are written
-    once, narrow, and read by both phases.  Posts without words get empty arrays; ids are unique.
+    Two phases: each distinct word is normalised once, then its forms go to the blocks of posts that hold
+    it (``blocks.looked_up``), so no token moves by itself.  The tokens are written once, narrow, and read by
+    both phases.  Posts without words get empty arrays.  Ids are meant to be unique: posts of one id
+    share the words of all of them, in the order of their places, and posts without an id are left out.
     """
-    tf = cut_lineage(text_features(posts, id_col, text_col, unicode).select(id_col, "has_mention", "has_hashtag", "text_words_f"))
-    gen, keep = T.explode_values(F.array_distinct("text_words_f"), "word")
-    vocabulary = with_stems(tf.select(gen).where(keep).distinct()).withColumn("base", T.verb_base("word", dictionary))
-    tokens = tf.select(id_col, F.posexplode_outer("text_words_f").alias("pos", "word"))
-    forms = join_by_word(tokens, vocabulary, "word", id_col, "left")
-    entry = F.when(F.col("word").isNotNull(), F.struct("pos", "stem", "base", F.col("word").isin(*BAD_TOKENS).alias("bad")))
-    sets = forms.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    tf = cut_lineage(text_features(posts, id_col, text_col, unicode).select(id_col, "has_mention", "has_hashtag", "text_words_f")
+                     .where(F.col(id_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+
+    def forms(words: DataFrame) -> DataFrame:
+        return with_stems(words).withColumns({"base": T.verb_base("word", dictionary), "bad": F.col("word").isin(*BAD_TOKENS)})
+
+    sets = looked_up(tf, "text_words_f", forms, ["stem", "base", "bad"], "_e")
+    repeated = cut_lineage(tf.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
+    if not repeated.isEmpty():
+        several = sets.join(repeated, id_col, "left_semi")
+        placed = F.transform("_e", lambda e, i: F.struct(i.alias("pos"), e["stem"].alias("stem"), e["base"].alias("base"), e["bad"].alias("bad")))
+        shared = several.groupBy(id_col).agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("_e"))
+        sets = sets.join(repeated, id_col, "left_anti").select(id_col, "has_mention", "has_hashtag", "_e").unionByName(
+            several.drop("_e").join(shared.withColumn("_e", F.transform("_e", lambda e: e.dropFields("pos"))), id_col))
     stems = F.filter(F.transform("_e", lambda e: e["stem"]), lambda s: F.length(s) >= min_stem)
     lemmas = F.sort_array(F.array_distinct(F.transform(F.filter("_e", lambda e: ~e["bad"]), lambda e: e["base"])))
-    words = sets.select(id_col, stems.alias("vector_stemmed"), lemmas.alias("vector_lemma"))
-    return tf.drop("text_words_f").join(words, id_col).withColumn("nbr_words", F.size("vector_lemma"))
+    return sets.select(id_col, "has_mention", "has_hashtag", stems.alias("vector_stemmed"), lemmas.alias("vector_lemma")) \
+        .withColumn("nbr_words", F.size("vector_lemma"))
 
 
 def word_ids(df: DataFrame, words_col: str, partitions: int = 64) -> DataFrame:
