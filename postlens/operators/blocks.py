@@ -24,7 +24,7 @@ from ..session import cut_lineage
 #: Tokens that a block holds on average.
 BLOCK_TOKENS = 500_000
 #: Rows that ``looked_up`` takes at once, and slots that a block's words are dealt into by a hash.
-BATCH_ROWS, SLOTS = 16, 16_384
+BATCH_ROWS, SLOTS = 32, 16_384
 SEPARATOR = "\u0001"
 
 
@@ -102,7 +102,7 @@ def _slot(word: Column) -> Column:
 
 def looked_up(rows: DataFrame, words_col: str, forms: Callable[[DataFrame], DataFrame], values: list[str],
               out_col: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The rows with ``words_col`` replaced by ``out_col``, one struct of ``values`` for each token, in order, without Python
+    """The rows with ``words_col`` replaced by ``out_col``, one struct of ``values`` (of ``forms``, or the word) for each token, in order, without Python
     and without an exchange of tokens.  ``forms`` adds the values to the distinct words (word, ...), each there once.
     ``rows`` is written and has ``_row`` = monotonically_increasing_id() from then; tokens are not null and hold no U+0001.
 
@@ -116,9 +116,11 @@ def looked_up(rows: DataFrame, words_col: str, forms: Callable[[DataFrame], Data
     gen, keep = T.explode_values(words_col, "word")
     vocabulary = forms(blocked.select("_block", gen).where(keep).distinct().groupBy("word").agg(F.collect_list("_block").alias("_blocks")))
     block, keep = T.explode_values("_blocks", "_block")
-    entry = F.struct(_slot(F.col("word")).alias("slot"), "word", *values)
-    tables = vocabulary.select(block, "word", *values).where(keep).withColumn("_entry", entry) \
-        .groupBy("_block").agg(F.sort_array(F.collect_list("_entry")).alias("_table"))
+    others = [v for v in values if v != "word"]
+    # the slot is worked out behind the exchange
+    tables = vocabulary.select(block, "word", *others).where(keep).groupBy("_block").agg(F.collect_list(F.struct("word", *others)).alias("_words"))
+    tables = tables.select("_block", F.sort_array(F.transform("_words", lambda e: F.struct(
+        _slot(e["word"]).alias("slot"), e["word"].alias("word"), *(e[v].alias(v) for v in others)))).alias("_table"))
     # place of the first entry of each slot or, where a slot has none, of a later one
     tables = tables.withColumn("_starts", F.flatten(F.transform("_table", lambda e, i: F.array_repeat(
         i, e["slot"] - F.when(i == 0, F.lit(-1)).otherwise(F.get("_table", i - 1)["slot"])))))

@@ -161,12 +161,15 @@ def text_features_normalised(posts: DataFrame, id_col: str = "post_id", text_col
     share the words of all of them, in the order of their places, and posts without an id are left out.
     """
     tf = cut_lineage(text_features(posts, id_col, text_col, unicode).select(id_col, "has_mention", "has_hashtag", "text_words_f")
-                     .where(F.col(id_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id()))
+                     .where(F.col(id_col).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), compression="zstd")
 
     def forms(words: DataFrame) -> DataFrame:
-        return with_stems(words).withColumns({"base": T.verb_base("word", dictionary), "bad": F.col("word").isin(*BAD_TOKENS)})
+        # null for the word itself, which most forms are, so that less moves
+        return with_stems(words).withColumns({"stem": F.nullif(F.col("stem"), F.col("word")),
+                                              "base": F.nullif(T.verb_base("word", dictionary), F.col("word"))})
 
-    sets = looked_up(tf, "text_words_f", forms, ["stem", "base", "bad"], "_e")
+    sets = looked_up(tf, "text_words_f", forms, ["word", "stem", "base"], "_e").withColumn("_e", F.transform("_e", lambda e: F.struct(
+        F.coalesce(e["stem"], e["word"]).alias("stem"), F.coalesce(e["base"], e["word"]).alias("base"), e["word"].isin(*BAD_TOKENS).alias("bad"))))
     repeated = cut_lineage(tf.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
     if not repeated.isEmpty():
         several = sets.join(repeated, id_col, "left_semi")
